@@ -1,4 +1,4 @@
 """Query catalog: importing this package registers every query."""
 
-from . import dashboard  # noqa: F401
+from . import dashboard, modeling  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
