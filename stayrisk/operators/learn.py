@@ -23,3 +23,274 @@ def cv_table(scored_folds: DataFrame, y: str = "is_canceled", pred: str = "predi
     w = Window.partitionBy(F.lit(0))
     return g.withColumns({"f05_mean": stable(F.avg("f05").over(w)),
                           "f05_sd": stable(F.stddev_samp("f05").over(w))})
+
+
+# ---------------------------------------------------------------- model frame
+from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression,  # noqa: E402
+                                       RandomForestClassifier)
+from pyspark.ml.feature import (OneHotEncoder, RobustScaler, SQLTransformer,  # noqa: E402
+                                StringIndexer, TargetEncoder, VectorAssembler)
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from ..constants import THRESHOLD  # noqa: E402
+from ..functions import features as fx  # noqa: E402
+from . import encode as en  # noqa: E402
+from . import evaluate as ev  # noqa: E402
+
+LABEL = "is_canceled"
+ONEHOT_COLS = ["hotel", "meal", "distribution_channel", "reserved_room_type", "customer_type",
+               "arrival_season", "babies_bin", "children_bin", "parking_bin", "prev_cancel_bin",
+               "prev_loyal_bin", "booking_changes_bin"]
+TARGET_COLS = ["agent", "country_grouped"]
+BINARY_COLS = ["market_segment"]
+LOG_COLS = ["lead_time", "adr", "days_in_waiting_list", "lead_x_transient"]
+PLAIN_COLS = ["stays_in_weekend_nights", "stays_in_week_nights", "adults", "is_repeated_guest",
+              "total_of_special_requests", "month_sin", "month_cos", "no_commitment",
+              "is_weekend_only", "has_company"]
+
+
+def model_frame(bookings: DataFrame, weighted: bool = True) -> DataFrame:
+    """Key + label (+ balanced weight) + the 29 features.  ``deposit_type`` is
+    not among them (leaky, B09)."""
+    fm = fx.feature_matrix(bookings, keep=("booking_id", LABEL))
+    return en.with_class_weight(fm, LABEL) if weighted else fm.withColumn("weight", F.lit(1.0))
+
+
+def feature_stages(te_smoothing: float = 10.0) -> list:
+    """F02-F05 as MLlib stages: one-hot (no level dropped), target encoding
+    for agent and country, base-2 code columns for market segment, log1p +
+    robust scaling for skewed counts."""
+    prep = SQLTransformer(statement=(
+        "SELECT *, " + ", ".join(f"log1p(greatest(CAST({c} AS DOUBLE), 0D)) AS {c}_log" for c in LOG_COLS)
+        + ", CAST(company IS NOT NULL AS INT) AS has_company, CAST(agent AS STRING) AS agent_key FROM __THIS__"))
+    cats = ONEHOT_COLS + ["agent_key", "country_grouped"] + BINARY_COLS
+    idx = StringIndexer(inputCols=cats, outputCols=[f"{c}_idx" for c in cats],
+                        handleInvalid="keep", stringOrderType="alphabetAsc")
+    ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in ONEHOT_COLS],
+                        outputCols=[f"{c}_ohe" for c in ONEHOT_COLS], dropLast=False, handleInvalid="keep")
+    te = TargetEncoder(inputCols=["agent_key_idx", "country_grouped_idx"], outputCols=["agent_te", "country_te"],
+                       labelCol=LABEL, targetType="binary", handleInvalid="keep", smoothing=te_smoothing)
+    # "+ 0.0" drops the nominal metadata the encoder copies from the index
+    # column, so trees treat the encodings as numbers, not 60-level categories
+    bits = SQLTransformer(statement="SELECT *, agent_te + 0.0 AS agent_te_num, country_te + 0.0 AS country_te_num, " + ", ".join(
+        f"CAST(shiftright(CAST(market_segment_idx AS INT) + 1, {2 - i}) & 1 AS DOUBLE) AS market_segment_{i}"
+        for i in range(3)) + " FROM __THIS__")
+    logv = VectorAssembler(inputCols=[f"{c}_log" for c in LOG_COLS], outputCol="log_vec")
+    rs = RobustScaler(inputCol="log_vec", outputCol="log_scaled", withCentering=True, withScaling=True)
+    asm = VectorAssembler(inputCols=[f"{c}_ohe" for c in ONEHOT_COLS] + ["agent_te_num", "country_te_num"]
+                          + [f"market_segment_{i}" for i in range(3)] + ["log_scaled"] + PLAIN_COLS,
+                          outputCol="features", handleInvalid="keep")
+    return [prep, idx, ohe, te, bits, logv, rs, asm]
+
+
+MODEL_KINDS = ("logistic", "forest", "gbt_shallow", "gbt_deep", "gbt_sub")
+
+
+def classifier(kind: str, tag: str | None = None, seed: int = 42):
+    """F09-F11.  The three boosted configurations stand in for the
+    reference's three boosting libraries (shallow / deep / subsampled)."""
+    tag = tag or kind
+    common = dict(featuresCol="features", labelCol=LABEL, weightCol="weight", predictionCol=f"pred_{tag}")
+    if kind == "logistic":
+        est = LogisticRegression(maxIter=50, regParam=0.01, elasticNetParam=0.0, threshold=THRESHOLD, **common)
+    elif kind == "forest":
+        est = RandomForestClassifier(numTrees=30, maxDepth=8, seed=seed, **common)
+    elif kind == "gbt_shallow":
+        est = GBTClassifier(maxDepth=3, maxIter=25, stepSize=0.2, seed=seed, **common)
+    elif kind == "gbt_deep":
+        est = GBTClassifier(maxDepth=6, maxIter=12, stepSize=0.2, seed=seed, **common)
+    elif kind == "gbt_sub":
+        est = GBTClassifier(maxDepth=5, maxIter=20, stepSize=0.2, subsamplingRate=0.7,
+                            featureSubsetStrategy="sqrt", seed=seed, **common)
+    else:
+        raise ValueError(kind)
+    est = est.setProbabilityCol(f"prob_{tag}").setRawPredictionCol(f"raw_{tag}")
+    if kind != "logistic":
+        # predicted class = argmax(p_i / t_i): cancel exactly when p1 >= 0.60
+        est = est.setThresholds([1 - THRESHOLD, THRESHOLD])
+    return est
+
+
+def p1(col: str) -> Column:
+    """P(cancel) from a probability vector column."""
+    return vector_to_array(F.col(col))[1]
+
+
+def fit_featurizer(train: DataFrame) -> PipelineModel:
+    return Pipeline(stages=feature_stages()).fit(train)
+
+
+def fit_pipeline(train: DataFrame, kind: str) -> PipelineModel:
+    """Features + one classifier as one persisted-able PipelineModel."""
+    return Pipeline(stages=feature_stages() + [classifier(kind)]).fit(train)
+
+
+def score(model: PipelineModel, df: DataFrame, kind: str, out: str = "p") -> DataFrame:
+    return model.transform(df).withColumn(out, p1(f"prob_{kind}"))
+
+
+def evaluate_scores(scored: DataFrame, p: str = "p", threshold: float = THRESHOLD) -> DataFrame:
+    """One-row evaluation of a probability column: AUC, accuracy,
+    precision, recall, F0.5 at the threshold, Brier."""
+    s = scored.select(LABEL, F.col(p).alias("score")).withColumn("prediction", fx.decision("score", threshold))
+    m = ev.class_metrics(ev.confusion(s))
+    auc = ev.auc_roc(s).select("auc_roc")
+    br = ev.brier(s)
+    return m.select("*", auc.scalar().alias("auc_roc"), br.scalar().alias("brier"))
+
+
+def fit_and_evaluate(train: DataFrame, test: DataFrame, kind: str) -> DataFrame:
+    """F09-F11 report: fit on the train part, evaluate on the test part."""
+    model = fit_pipeline(train, kind)
+    return evaluate_scores(score(model, test, kind)).select(F.lit(kind).alias("model"), "*")
+
+
+# F12
+def fit_voting(train_feat: DataFrame, kinds=("logistic", "forest", "gbt_shallow")) -> list:
+    return [(k, classifier(k).fit(train_feat)) for k in kinds]
+
+
+def vote(members: list, feat: DataFrame, out: str = "p_vote") -> DataFrame:
+    """Soft voting: mean of member probabilities.  Members run one after the
+    other on the same frame (distinct output columns), so no join."""
+    d = feat
+    for k, m in members:
+        d = m.transform(d).withColumn(f"p_{k}", p1(f"prob_{k}"))
+    return d.withColumn(out, sum(F.col(f"p_{k}") for k, _ in members) / len(members))
+
+
+# F13
+def fit_stacking(train: DataFrame, kinds=("logistic", "gbt_shallow"), k: int = 3):
+    """Out-of-fold base probabilities -> logistic meta-learner; bases are then
+    refit on all training rows.  Returns (featurizer, bases, meta)."""
+    feat_model = fit_featurizer(train)
+    feat = en.stratified_folds(feat_model.transform(train), k).persist()
+    try:
+        held = None
+        for f in range(1, k + 1):
+            tr, te = feat.filter(F.col("fold") != f), feat.filter(F.col("fold") == f)
+            d = te
+            for kind in kinds:
+                d = classifier(kind).fit(tr).transform(d).withColumn(f"p_{kind}", p1(f"prob_{kind}"))
+            d = d.select("booking_id", LABEL, "weight", *[f"p_{kind}" for kind in kinds])
+            held = d if held is None else held.unionByName(d)
+        meta_in = VectorAssembler(inputCols=[f"p_{kind}" for kind in kinds], outputCol="meta_features")
+        meta = Pipeline(stages=[meta_in, LogisticRegression(
+            featuresCol="meta_features", labelCol=LABEL, weightCol="weight", probabilityCol="prob_stack",
+            rawPredictionCol="raw_stack", predictionCol="pred_stack", threshold=THRESHOLD)]).fit(held)
+        bases = [(kind, classifier(kind).fit(feat)) for kind in kinds]
+        return feat_model, bases, meta
+    finally:
+        feat.unpersist()
+
+
+def stack_score(feat_model, bases, meta, df: DataFrame, out: str = "p_stack") -> DataFrame:
+    d = feat_model.transform(df)
+    for kind, m in bases:
+        d = m.transform(d).withColumn(f"p_{kind}", p1(f"prob_{kind}"))
+    return meta.transform(d).withColumn(out, p1("prob_stack"))
+
+
+# F16
+def cv_models(df: DataFrame, kinds=("logistic", "forest", "gbt_shallow"), k: int = 3) -> DataFrame:
+    """Per model x fold: F0.5, precision, recall on the held-out fold (each
+    fit is a distributed MLlib job; the loop only orders them)."""
+    feat_model = fit_featurizer(df)
+    feat = en.stratified_folds(feat_model.transform(df), k).persist()
+    try:
+        parts = []
+        for kind in kinds:
+            for f in range(1, k + 1):
+                m = classifier(kind).fit(feat.filter(F.col("fold") != f))
+                s = (m.transform(feat.filter(F.col("fold") == f))
+                     .select(LABEL, F.lit(f).alias("fold"), F.col(f"pred_{kind}").cast("int").alias("prediction")))
+                parts.append(s.withColumn("model", F.lit(kind)))
+        allp = parts[0]
+        for p in parts[1:]:
+            allp = allp.unionByName(p)
+        g = allp.groupBy("model", "fold").agg(
+            F.count_if((F.col(LABEL) == 0) & (F.col("prediction") == 1)).alias("fp"),
+            F.count_if((F.col(LABEL) == 1) & (F.col("prediction") == 0)).alias("fn"),
+            F.count_if((F.col(LABEL) == 1) & (F.col("prediction") == 1)).alias("tp"))
+        tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+        out = g.select("model", "fold", safe_div(1.25 * tp, 1.25 * tp + 0.25 * fn + fp).alias("f05"),
+                       safe_div(tp, tp + fp).alias("precision"), safe_div(tp, tp + fn).alias("recall"))
+        return write_and_read(out, "cv")
+    finally:
+        feat.unpersist()
+
+
+def write_and_read(df: DataFrame, kind: str) -> DataFrame:
+    """Cut lineage: write to the shared folder (``spark.checkpoint.dir``) and
+    read back, so later use neither refits models nor depends on cached
+    blocks of a lost executor."""
+    import uuid
+    from ..session import shared_dir
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def model_ranking(cv: DataFrame) -> DataFrame:
+    """F16: mean and sample sd of F0.5 per model, ranked (one row per model)."""
+    g = cv.groupBy("model").agg(F.avg("f05").alias("f05_mean"), F.stddev_samp("f05").alias("f05_sd"),
+                                F.count(F.lit(1)).alias("folds"))
+    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.col("f05_mean").desc(), "model")).cast("long"))
+
+
+# F17 / F18
+def _cv(estimator_stages, grid, df: DataFrame, k: int, parallelism: int = 2):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
+    est = estimator_stages[-1]
+    evaluator = MulticlassClassificationEvaluator(
+        labelCol=LABEL, predictionCol=est.getPredictionCol(), metricName="fMeasureByLabel",
+        metricLabel=1.0, beta=0.5)
+    folds = en.stratified_folds(df, k).withColumn("fold0", (F.col("fold") - 1).cast("int"))
+    cv = CrossValidator(estimator=Pipeline(stages=estimator_stages), estimatorParamMaps=grid,
+                        evaluator=evaluator, foldCol="fold0", parallelism=parallelism)
+    return cv.fit(folds)
+
+
+def _param_rows(grid, metrics, method: str, model: str):
+    rows = []
+    for pm, score_ in zip(grid, metrics):
+        params = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
+        rows.append((model, method, params, float(score_)))
+    return rows
+
+
+def tuning_grid(df: DataFrame, k: int = 3) -> DataFrame:
+    """grid search of the shallow boosted model with CrossValidator
+    (fold column = our stratified folds, F0.5 on the cancel class)."""
+    from pyspark.ml.tuning import ParamGridBuilder
+    gbt = classifier("gbt_shallow").setMaxIter(10)
+    grid = ParamGridBuilder().addGrid(gbt.maxDepth, [2, 4]).addGrid(gbt.stepSize, [0.1, 0.3]).build()
+    m = _cv(feature_stages() + [gbt], grid, df, k)
+    return df.sparkSession.createDataFrame(_param_rows(grid, m.avgMetrics, "grid", "gbt"),
+                                           "model string, method string, params string, f05 double")
+
+
+def tuning_random(df: DataFrame, n: int = 4, k: int = 3, seed: int = 7) -> DataFrame:
+    """seeded random search over the same space."""
+    import random
+    gbt = classifier("gbt_shallow").setMaxIter(10)
+    rnd = random.Random(seed)
+    grid = [{gbt.maxDepth: rnd.randint(2, 5), gbt.stepSize: round(rnd.uniform(0.05, 0.4), 3)} for _ in range(n)]
+    m = _cv(feature_stages() + [gbt], grid, df, k)
+    return df.sparkSession.createDataFrame(_param_rows(grid, m.avgMetrics, "random", "gbt"),
+                                           "model string, method string, params string, f05 double")
+
+
+# F19
+def tuning_compare(results: DataFrame) -> DataFrame:
+    """(model, method, f05) -> one row per model: best F0.5 per method as
+    columns, and the method with the highest score (ties: method name)."""
+    best = results.groupBy("model", "method").agg(F.max("f05").alias("f05"))
+    wide = best.groupBy("model").pivot("method").agg(F.first("f05"))
+    w = Window.partitionBy("model").orderBy(F.col("f05").desc(), F.col("method").asc())
+    win = (best.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+           .select("model", F.col("method").alias("best_method"), F.col("f05").alias("best_f05")))
+    return wide.join(win, "model")
