@@ -72,3 +72,20 @@ def q_batch_score(spark, sf):
     and advice grade.  The model-backed version is ``batch_score_model``."""
     s = scored(spark, sf)
     return s.withColumn("risk_grade", fx.risk_grade("score", "prediction"))
+
+
+@query("stream_score", W(f"SELECT *, {_GRADE_SQL} AS risk_grade FROM ({S.SCORED})"))
+def q_stream_score(spark, sf):
+    """F14 through Structured Streaming: the written bookings files are read
+    as a stream (available-now trigger), scored, and sunk to parquet with a
+    checkpoint in the shared folder; the sink is read back."""
+    from ..sources.bookings import bookings_path
+    from ..streaming.scoring import start_scoring
+
+    def run(path):
+        src = bookings_path(spark, sf)
+        schema = spark.read.parquet(src).schema
+        q = start_scoring(spark, src, schema, path, path + "_checkpoint")
+        q.awaitTermination()
+
+    return spark.read.parquet(_once(spark, sf, "stream-scored", run))

@@ -118,6 +118,12 @@ def bookings_plan(spark: SparkSession, sf_dir: str, use_sql_window: bool = False
 _MATERIALIZED: dict[tuple, str] = {}
 
 
+def bookings_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the written bookings table (written on first use)."""
+    bookings(spark, sf_dir)
+    return _MATERIALIZED[(spark.sparkContext.applicationId, os.path.abspath(sf_dir))]
+
+
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bookings table, written once per session and source to the shared
     folder (``spark.checkpoint.dir``) and read back.
