@@ -75,7 +75,7 @@ def _below(counts: DataFrame) -> DataFrame:
     return global_running_sum(counts, order=[F.col("s")],
                               split={"_sblk": F.floor(F.col("s") * _SCORE_BLOCK)},
                               values={"pos_below": F.col("pos"), "neg_below": F.col("neg")},
-                              exclusive=True)
+                              exclusive=True, checkpoint=True)
 
 
 # G04

@@ -8,53 +8,63 @@ prefix, a value bucket).  Running sums are taken inside each block, block
 totals (one row per block) get their own running sum per segment, and the
 two are added back with an equi-join.  The widest task is one block, and the
 offsets table has one row per block rather than per input row.
+
+Blocks are keyed by one struct column: struct equality is null-safe and the
+block-local window and the join back share the same hash partitioning, so
+the big side is shuffled once.  When the input is expensive to recompute
+(joins upstream), ``checkpoint=True`` writes it once as parquet to the
+shared checkpoint folder and reads it back, because both the local sums and
+the totals read it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def segmented_running_sum(df: DataFrame, segment: list[str], order: list,
                           split: dict[str, Column], values: dict[str, Column],
-                          exclusive: bool = True) -> DataFrame:
+                          exclusive: bool = True, checkpoint: bool = False) -> DataFrame:
     """Add running sums of ``values`` (name -> column) within ``segment``.
 
-    ``order`` are the sort columns (must be a total order inside a segment
-    for a deterministic result).  ``split`` (name -> column) must be
+    ``order`` are the sort columns (a total order inside a segment gives a
+    deterministic result).  ``split`` (name -> column) must be
     non-decreasing in ``order`` inside a segment.  ``exclusive`` sums rows
     strictly before the current one (SQL ``ROWS BETWEEN UNBOUNDED PRECEDING
     AND 1 PRECEDING``, 0 instead of NULL for the first row); otherwise the
     current row is included.  Output: input columns + one column per value.
     """
-    bkeys = segment + list(split)
     vals = {f"_v_{k}": v for k, v in values.items()}
     d = df.withColumns({**split, **vals})
+    d = d.withColumns({"_bk": F.struct(*segment, *split), "_sk": F.struct(*segment)})
+    if checkpoint:
+        # one computation of the input, written to shared storage and read
+        # back (DataFrame.checkpoint would compute it twice unless cached)
+        import uuid
+        from ..session import shared_dir
+        spark = d.sparkSession
+        path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex[:12]}"
+        d.write.mode("overwrite").parquet(path)
+        d = spark.read.parquet(path)
     hi = -1 if exclusive else Window.currentRow
-    w_local = Window.partitionBy(*bkeys).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
+    w_local = Window.partitionBy("_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
     local = d.withColumns({f"_l_{k}": F.sum(f"_v_{k}").over(w_local) for k in values})
-    # block totals come from the same clustered data: no second pass upstream
-    totals = local.groupBy(*bkeys).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
-    w_off = Window.partitionBy(*segment).orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(*[F.col(c).alias(f"_o_key_{i}") for i, c in enumerate(bkeys)],
-                         *[F.sum(f"_t_{k}").over(w_off).alias(f"_o_{k}") for k in values])
-    cond = reduce(lambda a, b: a & b,
-                  [local[c].eqNullSafe(offs[f"_o_key_{i}"]) for i, c in enumerate(bkeys)])
-    joined = local.join(offs, cond, "inner")
-    out = joined.withColumns({
+    totals = d.groupBy("_bk", "_sk", *split).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    w_off = Window.partitionBy("_sk").orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("_bk", *[F.sum(f"_t_{k}").over(w_off).alias(f"_o_{k}") for k in values])
+    out = local.join(offs, "_bk", "inner").withColumns({
         k: F.coalesce(F.col(f"_l_{k}"), F.lit(0)) + F.coalesce(F.col(f"_o_{k}"), F.lit(0))
         for k in values})
-    drop = list(split) + list(vals) + [f"_l_{k}" for k in values] + [f"_o_{k}" for k in values] \
-        + [f"_o_key_{i}" for i in range(len(bkeys))]
+    drop = ["_bk", "_sk", *split, *vals] + [f"_l_{k}" for k in values] + [f"_o_{k}" for k in values]
     return out.drop(*drop)
 
 
 def global_running_sum(df: DataFrame, order: list, split: dict[str, Column],
-                       values: dict[str, Column], exclusive: bool = True) -> DataFrame:
+                       values: dict[str, Column], exclusive: bool = True,
+                       checkpoint: bool = False) -> DataFrame:
     """Running sums over the whole table in ``order`` (no segment)."""
     seg = "_seg_all"
-    out = segmented_running_sum(df.withColumn(seg, F.lit(0)), [seg], order, split, values, exclusive)
+    out = segmented_running_sum(df.withColumn(seg, F.lit(0)), [seg], order, split, values,
+                                exclusive, checkpoint)
     return out.drop(seg)

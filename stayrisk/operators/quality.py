@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORY_DOMAINS, COUNTRIES, MIN_SUPPORT, NUMERIC_DOMAINS
-from ..functions.numeric import cents, stable
+from ..functions.numeric import cents, safe_div, stable
 
 LABEL = "is_canceled"
 
@@ -54,6 +54,16 @@ def _stack(row: DataFrame, key: str, groups: list[tuple[str, list[str]]],
     return row.selectExpr(expr)
 
 
+def _rows(row: DataFrame, key: str, entries: list, names: list[str]) -> DataFrame:
+    """Unpivot one aggregate row into a long table with one ``inline`` of an
+    array of structs: entries are (label, [Column per output name]).  Two
+    plan nodes however many columns are profiled (a stack over hundreds of
+    intermediate columns makes analysis itself slow)."""
+    arr = F.array(*[F.struct(F.lit(label).alias(key), *[c.alias(n) for c, n in zip(cols, names)])
+                    for label, cols in entries])
+    return row.select(F.inline(arr))
+
+
 def _as_long(df: DataFrame, cols: Sequence[str], value: str = "value") -> DataFrame:
     """(column, value-as-string) pairs for ``cols`` via one generator."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias(value))
@@ -75,11 +85,10 @@ def domain_check_numeric(df: DataFrame, domains: dict = NUMERIC_DOMAINS) -> Data
         lo, hi = domains[c]
         aggs += [F.count_if(F.col(c) < lo).alias(f"{c}__below"),
                  F.count_if(F.col(c) > hi).alias(f"{c}__above")]
-    row = df.agg(*aggs).withColumns({f"{c}__lo": F.lit(float(domains[c][0])) for c in cols}) \
-        .withColumns({f"{c}__hi": F.lit(float(domains[c][1])) for c in cols})
-    out = _stack(row, "column", [(c, [f"{c}__lo", f"{c}__hi", f"{c}__below", f"{c}__above"])
-                                 for c in cols], ["lo", "hi", "n_below", "n_above"])
-    return out.withColumn("n_out", F.col("n_below") + F.col("n_above"))
+    row = df.agg(*aggs)
+    entries = [(c, [F.lit(float(domains[c][0])), F.lit(float(domains[c][1])), F.col(f"{c}__below"),
+                    F.col(f"{c}__above"), F.col(f"{c}__below") + F.col(f"{c}__above")]) for c in cols]
+    return _rows(row, "column", entries, ["lo", "hi", "n_below", "n_above", "n_out"])
 
 
 # B07
@@ -158,11 +167,10 @@ def cleaning_log(df: DataFrame, steps: list[tuple[str, object]] | None = None) -
         aggs.append(F.count_if(cum).alias(f"in{i}"))
         cum = cum & F.coalesce(pred, F.lit(False))
         aggs.append(F.count_if(cum).alias(f"out{i}"))
-    row = d.agg(*aggs).withColumns({f"no{i}": F.lit(i + 1) for i in range(len(steps))})
-    out = _stack(row, "step", [(name, [f"no{i}", f"in{i}", f"out{i}"])
-                               for i, (name, _) in enumerate(steps)],
-                 ["step_no", "rows_in", "rows_out"])
-    return out.withColumn("dropped", F.col("rows_in") - F.col("rows_out"))
+    row = d.agg(*aggs)
+    entries = [(name, [F.lit(i + 1), F.col(f"in{i}"), F.col(f"out{i}"), F.col(f"in{i}") - F.col(f"out{i}")])
+               for i, (name, _) in enumerate(steps)]
+    return _rows(row, "step", entries, ["step_no", "rows_in", "rows_out", "dropped"])
 
 
 # D18
@@ -170,9 +178,8 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     cols = list(cols or df.columns)
     row = df.agg(F.count(F.lit(1)).alias("__n"),
                  *[F.count_if(F.col(c).isNull()).alias(f"{c}__null") for c in cols])
-    out = _stack(row.withColumns({f"{c}__n": F.col("__n") for c in cols}), "column",
-                 [(c, [f"{c}__null", f"{c}__n"]) for c in cols], ["n_null", "n"])
-    return out.select("column", "n_null", (F.col("n_null") / F.col("n") * 100).alias("null_pct"))
+    entries = [(c, [F.col(f"{c}__null"), F.col(f"{c}__null") / F.col("__n") * 100]) for c in cols]
+    return _rows(row, "column", entries, ["n_null", "null_pct"])
 
 
 def _numeric(c: str):
@@ -200,19 +207,15 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS
                  F.percentile(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"),
                  F.max(x).alias(f"{c}__max"), F.count_if(x == 0).alias(f"{c}__zero")]
     row = df.agg(*aggs)
-    fix = {}
+    entries = []
     for c in cols:
-        s = _scale(c)
-        fix.update({f"{c}__mean": F.col(f"{c}__mean") / s, f"{c}__sd": stable(F.col(f"{c}__sd") / s),
-                    f"{c}__min": F.col(f"{c}__min") / s, f"{c}__max": F.col(f"{c}__max") / s,
-                    f"{c}__q1": F.col(f"{c}__q")[0] / s, f"{c}__med": F.col(f"{c}__q")[1] / s,
-                    f"{c}__q3": F.col(f"{c}__q")[2] / s,
-                    f"{c}__zs": F.col(f"{c}__zero") / F.col(f"{c}__n")})
-    row = row.withColumns(fix)
-    return _stack(row, "column",
-                  [(c, [f"{c}__n", f"{c}__mean", f"{c}__sd", f"{c}__min", f"{c}__q1",
-                        f"{c}__med", f"{c}__q3", f"{c}__max", f"{c}__zs"]) for c in cols],
-                  ["n", "mean", "sd", "min", "q1", "median", "q3", "max", "zero_share"])
+        sc = _scale(c)
+        q = F.col(f"{c}__q")
+        entries.append((c, [F.col(f"{c}__n"), F.col(f"{c}__mean") / sc, stable(F.col(f"{c}__sd") / sc),
+                            F.col(f"{c}__min") / sc, q[0] / sc, q[1] / sc, q[2] / sc, F.col(f"{c}__max") / sc,
+                            safe_div(F.col(f"{c}__zero"), F.col(f"{c}__n"))]))
+    return _rows(row, "column", entries,
+                 ["n", "mean", "sd", "min", "q1", "median", "q3", "max", "zero_share"])
 
 
 # D20
@@ -233,9 +236,9 @@ def outlier_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS
                  (lo / s).alias(f"{c}__lo"), (hi / s).alias(f"{c}__hi"),
                  F.count_if(x < lo).alias(f"{c}__below"), F.count_if(x > hi).alias(f"{c}__above")]
     row = df.agg(*aggs)
-    return _stack(row, "column", [(c, [f"{c}__q1", f"{c}__q3", f"{c}__lo", f"{c}__hi",
-                                       f"{c}__below", f"{c}__above"]) for c in cols],
-                  ["q1", "q3", "lo_fence", "hi_fence", "n_below", "n_above"])
+    entries = [(c, [F.col(f"{c}__q1"), F.col(f"{c}__q3"), F.col(f"{c}__lo"), F.col(f"{c}__hi"),
+                    F.col(f"{c}__below"), F.col(f"{c}__above")]) for c in cols]
+    return _rows(row, "column", entries, ["q1", "q3", "lo_fence", "hi_fence", "n_below", "n_above"])
 
 
 # D21
@@ -250,16 +253,63 @@ def category_profile(df: DataFrame, cols: Sequence[str] = CATEGORY_PROFILE_COLUM
 
 
 # D23
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def _exact_sql(df: DataFrame, c: str) -> str | None:
+    """SQL for an integer-valued version of the column, or None."""
+    if c in MONEY_COLUMNS:
+        return f"CAST(round({_q(c)} * 100) AS BIGINT)"
+    return f"CAST({_q(c)} AS BIGINT)" if dict(df.dtypes)[c] in _INTEGRAL else None
+
+
 def correlation(df: DataFrame, cols: Sequence[str] = CORRELATION_COLUMNS) -> DataFrame:
-    """Pearson r for every pair, all pairs in one aggregate pass."""
+    """Pearson r for every pair of columns in one aggregate pass.
+
+    Integer and money columns go through sufficient statistics (n, sum x,
+    sum x^2, sum xy): ~k^2/2 plain double sums that stay in whole-stage
+    codegen, where k^2/2 ``corr`` aggregates (six buffer slots each) would
+    not.  Per-row terms are integers, so the sums are exact (and independent
+    of partitioning) up to 2^53; the one-row combine
+    r = (n Sxy - Sx Sy) / sqrt((n Sxx - Sx^2)(n Syy - Sy^2)) is done in
+    DECIMAL(38,0), free of cancellation.  Other columns use ``corr``.
+    The expressions are generated as SQL text: three plan-building calls
+    instead of thousands of Column round trips for k^2 terms.
+    """
     cols = _present(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[stable(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias(f"{a}__{b}")
-                   for a, b in pairs])
-    row = row.withColumns({f"{a}__{b}__a": F.lit(a) for a, b in pairs}) \
-        .withColumns({f"{a}__{b}__b": F.lit(b) for a, b in pairs})
-    return _stack(row, "pair", [(f"{a}|{b}", [f"{a}__{b}__a", f"{a}__{b}__b", f"{a}__{b}"])
-                                for a, b in pairs], ["col_a", "col_b", "r"]).drop("pair")
+    ex = {c: _exact_sql(df, c) for c in cols}
+    exact_cols = [c for c in cols if ex[c] is not None]
+    complete = " AND ".join(f"{ex[c]} IS NOT NULL" for c in exact_cols) or "true"
+    proj = [f"CASE WHEN {complete} THEN 1 ELSE 0 END AS __ok"]
+    for i, c in enumerate(cols):
+        if ex[c] is not None:
+            proj.append(f"CAST(CASE WHEN {complete} THEN {ex[c]} END AS DOUBLE) AS x_{i}")
+        else:
+            proj.append(f"CAST({_q(c)} AS DOUBLE) AS x_{i}")
+    x = {c: f"x_{i}" for i, c in enumerate(cols)}
+    aggs = ["sum(__ok) AS n"]
+    for c in exact_cols:
+        aggs += [f"sum({x[c]}) AS s_{x[c]}", f"sum({x[c]} * {x[c]}) AS ss_{x[c]}"]
+    for a, b in pairs:
+        if ex[a] is not None and ex[b] is not None:
+            aggs.append(f"sum({x[a]} * {x[b]}) AS sp_{x[a]}_{x[b]}")
+        else:
+            aggs.append(f"corr({x[a]}, {x[b]}) AS r_{x[a]}_{x[b]}")
+    row = df.selectExpr(*proj).selectExpr(*aggs)
+    D = "DECIMAL(38,0)"
+    structs = []
+    for a, b in pairs:
+        if ex[a] is not None and ex[b] is not None:
+            n, sa, sb = f"CAST(n AS {D})", f"CAST(s_{x[a]} AS {D})", f"CAST(s_{x[b]} AS {D})"
+            num = f"CAST({n} * CAST(sp_{x[a]}_{x[b]} AS {D}) - {sa} * {sb} AS DOUBLE)"
+            da = f"CAST({n} * CAST(ss_{x[a]} AS {D}) - {sa} * {sa} AS DOUBLE)"
+            db = f"CAST({n} * CAST(ss_{x[b]} AS {D}) - {sb} * {sb} AS DOUBLE)"
+            r = f"try_divide({num}, sqrt({da}) * sqrt({db}))"
+        else:
+            r = f"r_{x[a]}_{x[b]}"
+        structs.append(f"named_struct('col_a', '{a}', 'col_b', '{b}', 'r', round({r}, 9) + 0.0D)")
+    return row.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 # D24

@@ -92,9 +92,12 @@ def register_driver_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES
         spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")).createOrReplaceTempView(t)
 
 
-def bookings_plan(spark: SparkSession, sf_dir: str, use_sql_window: bool = False) -> DataFrame:
-    """Lazy bookings DataFrame (nothing written).
+def bookings_plan(spark: SparkSession, sf_dir: str, use_sql_window: bool = False,
+                  checkpoint: bool = False) -> DataFrame:
+    """Bookings DataFrame.
 
+    ``checkpoint=True`` writes the joined rows once to the shared checkpoint
+    folder before the running sums (they read them twice).
     ``use_sql_window=True`` runs the SQL text whole (single window per
     customer); it exists to test the balanced version against it.
     """
@@ -107,7 +110,7 @@ def bookings_plan(spark: SparkSession, sf_dir: str, use_sql_window: bool = False
         split={"_day": F.to_date("od"), "_idblk": F.shiftright("booking_id", _ID_BLOCK_BITS)},
         values={"previous_cancellations": F.col("is_canceled"),
                 "previous_bookings_not_canceled": F.lit(1) - F.col("is_canceled")},
-        exclusive=True,
+        exclusive=True, checkpoint=checkpoint,
     ).withColumns({"previous_cancellations": F.col("previous_cancellations").cast("int"),
                    "previous_bookings_not_canceled": F.col("previous_bookings_not_canceled").cast("int")})
     view = f"b4_{uuid.uuid4().hex[:8]}"
@@ -135,7 +138,7 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _MATERIALIZED.get(key)
     if path is None:
         path = f"{shared_dir(spark)}/bookings-{uuid.uuid4().hex[:12]}"
-        bookings_plan(spark, sf_dir).write.mode("overwrite").parquet(path)
+        bookings_plan(spark, sf_dir, checkpoint=True).write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
