@@ -165,7 +165,7 @@ def lead_transient_rate(df: DataFrame, hotel: str | None = None) -> DataFrame:
     d = with_lead_bin(filter_hotel(df, hotel)).withColumn(
         "is_transient", F.coalesce((F.col("customer_type") == "Transient").cast("int"), F.lit(0)))
     r = rate_table(d, ["lead_bin", "lead_bin_no", "is_transient"])
-    return r.withColumn("tipe", F.when(F.col("is_transient") == 1, "Transient")
+    return r.withColumn("guest_type", F.when(F.col("is_transient") == 1, "Transient")
                         .otherwise("Non-Transient"))
 
 

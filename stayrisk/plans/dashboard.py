@@ -272,7 +272,7 @@ def q_lead_band(spark, sf):
 
 
 @query("lead_transient_rate", W(
-    f"SELECT *, CASE WHEN is_transient = 1 THEN 'Transient' ELSE 'Non-Transient' END AS tipe FROM "
+    f"SELECT *, CASE WHEN is_transient = 1 THEN 'Transient' ELSE 'Non-Transient' END AS guest_type FROM "
     f"(SELECT lead_bin, lead_bin_no, is_transient, {_RATE} FROM (SELECT *, {S.LEAD_BIN} AS lead_bin, {S.LEAD_BIN_NO} AS lead_bin_no, "
     "coalesce(CAST(customer_type = 'Transient' AS INTEGER), 0) AS is_transient FROM bookings) "
     "WHERE lead_bin IS NOT NULL GROUP BY lead_bin, lead_bin_no, is_transient)"))

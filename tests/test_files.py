@@ -67,3 +67,12 @@ def test_model_artifact(spark):
     assert m2.transform(df).count() == 2
     with pytest.raises(FileNotFoundError):
         files.load_model(path + "_missing")
+
+
+def test_drop_leaky_keeps_original(spark, sf):
+    from stayrisk.operators.quality import drop_leaky
+    from stayrisk.sources.bookings import bookings
+    b = bookings(spark, sf)
+    m = drop_leaky(b)
+    assert "deposit_type" not in m.columns and "deposit_type" in b.columns
+    assert m.count() == b.count()
