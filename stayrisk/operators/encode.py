@@ -115,8 +115,8 @@ def target_encode_oof(df: DataFrame, col: str, fold: str = "fold", y: str = Y, m
     tot = per.groupBy(col).agg(F.sum("_s").alias("_tot_s"), F.sum("_n").alias("_tot_n"))
     fs = df.filter(F.col(y).isNotNull()).groupBy(fold).agg(F.sum(y).cast("long").alias("_fs"),
                                                            F.count(y).alias("_fn"))
-    allS = df.agg(F.sum(y).cast("long")).scalar()
-    allN = df.agg(F.count(y)).scalar()
+    alls = df.agg(F.struct(F.sum(y).cast("long").alias("s"), F.count(y).alias("n"))).scalar()
+    allS, allN = alls["s"], alls["n"]
     j = (df.join(per.filter(F.col(col).isNotNull()), [col, fold], "left")
          .join(tot.filter(F.col(col).isNotNull()), col, "left")
          .join(fs, fold, "left"))
@@ -132,10 +132,11 @@ def log_robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_rs") ->
     """log1p, then (v - median) / (Q3 - Q1) with exact quartiles (state is a
     count per distinct value; for continuous columns at scale use MLlib's
     ``RobustScaler``, which uses approximate quantiles)."""
-    q = df.agg(*[F.percentile(F.log1p(F.col(c)), [0.25, 0.5, 0.75]).alias(c) for c in cols])
+    q = df.agg(F.struct(*[F.percentile(F.log1p(F.col(c)), [0.25, 0.5, 0.75]).alias(c)
+                          for c in cols])).scalar()
     outs = {}
     for c in cols:
-        qc = q.select(c).scalar()
+        qc = q[c]
         outs[c + suffix] = stable(safe_div(F.log1p(F.col(c)) - qc[1], qc[2] - qc[0]))
     return df.withColumns(outs)
 

@@ -100,9 +100,8 @@ def auc_pr(scored: DataFrame, y: str = Y, p: str = P) -> DataFrame:
     (recall step) x (precision at that score).  Step rule, our choice; MLlib's
     ``areaUnderPR`` uses the trapezoid instead."""
     b = _below(score_counts(scored, y, p))
-    tot = b.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    Pt = tot.select("P").scalar()
-    Nt = tot.select("N").scalar()
+    tot = b.agg(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
+    Pt, Nt = tot["P"], tot["N"]
     tp = Pt - F.col("pos_below")
     fp = Nt - F.col("neg_below")
     term = F.when(F.col("pos") > 0, (F.col("pos") / Pt) * (tp / (tp + fp))).otherwise(0.0)
@@ -142,8 +141,8 @@ def threshold_sweep(scored: DataFrame, y: str = Y, p: str = P, steps: int = 100,
     h = (scored.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
          .groupBy(threshold_index(F.col(p), steps).alias("j"))
          .agg(_cnt(F.col(y) == 1).alias("pos"), _cnt(F.col(y) == 0).alias("neg")))
-    tot = h.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    Pt, Nt = tot.select("P").scalar(), tot.select("N").scalar()
+    tot = h.agg(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
+    Pt, Nt = tot["P"], tot["N"]
     grid = spark.range(0, steps + 1).select(F.col("id").cast("int").alias("j"))
     g = grid.join(h, "j", "left").fillna(0, ["pos", "neg"])
     # suffix sums over the (steps+1)-row grid table

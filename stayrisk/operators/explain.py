@@ -43,10 +43,11 @@ def _ranked_long(df: DataFrame, key: str, entries: list) -> DataFrame:
 def linear_attribution(df: DataFrame, weights: dict[str, float] = LINEAR_WEIGHTS,
                        key: str = "booking_id") -> DataFrame:
     """Exact attribution of a linear (logit) model: w * (x - mean x), ranked
-    within each booking.  Means are one aggregate, read as scalar subqueries."""
+    within each booking.  Means are one aggregate, read as one scalar subquery."""
     feats = list(weights)
-    means = df.agg(*[F.avg(f).alias(f) for f in feats])
-    entries = [(f, F.lit(float(w)) * (F.col(f) - means.select(f).scalar())) for f, w in weights.items()]
+    # one aggregate for all means, read through a single scalar subquery
+    means = df.agg(F.struct(*[F.avg(f).alias(f) for f in feats]).alias("m")).scalar()
+    entries = [(f, F.lit(float(w)) * (F.col(f) - means[f])) for f, w in weights.items()]
     return _ranked_long(df, key, entries)
 
 

@@ -222,12 +222,12 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS
 def outlier_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS,
                     k: float = 1.5) -> DataFrame:
     """IQR fences per column and rows outside them.  Quartiles come from one
-    aggregate, fed back as a scalar subquery; counting is a second pass."""
+    aggregate, fed back as one scalar subquery; counting is a second pass."""
     cols = _present(df, cols)
-    qs = df.agg(*[F.percentile(_numeric(c), [0.25, 0.75]).alias(c) for c in cols])
+    qs = df.agg(F.struct(*[F.percentile(_numeric(c), [0.25, 0.75]).alias(c) for c in cols])).scalar()
     aggs = []
     for c in cols:
-        q = qs.select(F.col(c)).scalar()
+        q = qs[c]
         q1, q3 = q[0], q[1]
         lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
         x = _numeric(c)
