@@ -241,17 +241,24 @@ def model_ranking(cv: DataFrame) -> DataFrame:
 
 
 # F17 / F18
-def _cv(estimator_stages, grid, df: DataFrame, k: int, parallelism: int = 2):
+def _cv(estimator, grid, df: DataFrame, k: int, parallelism: int = 4):
+    """CrossValidator over our stratified folds.  The feature pipeline is
+    fitted once and its output persisted; only the classifier is refitted per
+    fold and parameter map (our choice: encoders see all training rows)."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator
-    est = estimator_stages[-1]
     evaluator = MulticlassClassificationEvaluator(
-        labelCol=LABEL, predictionCol=est.getPredictionCol(), metricName="fMeasureByLabel",
+        labelCol=LABEL, predictionCol=estimator.getPredictionCol(), metricName="fMeasureByLabel",
         metricLabel=1.0, beta=0.5)
-    folds = en.stratified_folds(df, k).withColumn("fold0", (F.col("fold") - 1).cast("int"))
-    cv = CrossValidator(estimator=Pipeline(stages=estimator_stages), estimatorParamMaps=grid,
-                        evaluator=evaluator, foldCol="fold0", parallelism=parallelism)
-    return cv.fit(folds)
+    feat = fit_featurizer(df).transform(df)
+    folds = (en.stratified_folds(feat, k).withColumn("fold0", (F.col("fold") - 1).cast("int"))
+             .select("features", LABEL, "weight", "fold0").persist())
+    try:
+        cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator,
+                            foldCol="fold0", parallelism=parallelism)
+        return cv.fit(folds)
+    finally:
+        folds.unpersist()
 
 
 def _param_rows(grid, metrics, method: str, model: str):
@@ -268,7 +275,7 @@ def tuning_grid(df: DataFrame, k: int = 3) -> DataFrame:
     from pyspark.ml.tuning import ParamGridBuilder
     gbt = classifier("gbt_shallow").setMaxIter(10)
     grid = ParamGridBuilder().addGrid(gbt.maxDepth, [2, 4]).addGrid(gbt.stepSize, [0.1, 0.3]).build()
-    m = _cv(feature_stages() + [gbt], grid, df, k)
+    m = _cv(gbt, grid, df, k)
     return df.sparkSession.createDataFrame(_param_rows(grid, m.avgMetrics, "grid", "gbt"),
                                            "model string, method string, params string, f05 double")
 
@@ -279,7 +286,7 @@ def tuning_random(df: DataFrame, n: int = 4, k: int = 3, seed: int = 7) -> DataF
     gbt = classifier("gbt_shallow").setMaxIter(10)
     rnd = random.Random(seed)
     grid = [{gbt.maxDepth: rnd.randint(2, 5), gbt.stepSize: round(rnd.uniform(0.05, 0.4), 3)} for _ in range(n)]
-    m = _cv(feature_stages() + [gbt], grid, df, k)
+    m = _cv(gbt, grid, df, k)
     return df.sparkSession.createDataFrame(_param_rows(grid, m.avgMetrics, "random", "gbt"),
                                            "model string, method string, params string, f05 double")
 
