@@ -117,6 +117,15 @@ def p1(col: str) -> Column:
     return vector_to_array(F.col(col))[1]
 
 
+def fit_many(jobs: list, parallelism: int = 3) -> list:
+    """Run independent fits from a small driver thread pool (like
+    ``CrossValidator(parallelism=...)``): each fit is a distributed MLlib job;
+    overlapping them keeps executors busy between a fit's short stages."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 def fit_featurizer(train: DataFrame) -> PipelineModel:
     return Pipeline(stages=feature_stages()).fit(train)
 
@@ -148,7 +157,8 @@ def fit_and_evaluate(train: DataFrame, test: DataFrame, kind: str) -> DataFrame:
 
 # F12
 def fit_voting(train_feat: DataFrame, kinds=("logistic", "forest", "gbt_shallow")) -> list:
-    return [(k, classifier(k).fit(train_feat)) for k in kinds]
+    models = fit_many([lambda k=k: classifier(k).fit(train_feat) for k in kinds])
+    return list(zip(kinds, models))
 
 
 def vote(members: list, feat: DataFrame, out: str = "p_vote") -> DataFrame:
@@ -167,19 +177,22 @@ def fit_stacking(train: DataFrame, kinds=("logistic", "gbt_shallow"), k: int = 3
     feat_model = fit_featurizer(train)
     feat = en.stratified_folds(feat_model.transform(train), k).persist()
     try:
+        folds = list(range(1, k + 1))
+        jobs = [lambda f=f, kind=kind: classifier(kind).fit(feat.filter(F.col("fold") != f))
+                for f in folds for kind in kinds]
+        fitted = iter(fit_many(jobs))
         held = None
-        for f in range(1, k + 1):
-            tr, te = feat.filter(F.col("fold") != f), feat.filter(F.col("fold") == f)
-            d = te
+        for f in folds:
+            d = feat.filter(F.col("fold") == f)
             for kind in kinds:
-                d = classifier(kind).fit(tr).transform(d).withColumn(f"p_{kind}", p1(f"prob_{kind}"))
+                d = next(fitted).transform(d).withColumn(f"p_{kind}", p1(f"prob_{kind}"))
             d = d.select("booking_id", LABEL, "weight", *[f"p_{kind}" for kind in kinds])
             held = d if held is None else held.unionByName(d)
         meta_in = VectorAssembler(inputCols=[f"p_{kind}" for kind in kinds], outputCol="meta_features")
         meta = Pipeline(stages=[meta_in, LogisticRegression(
             featuresCol="meta_features", labelCol=LABEL, weightCol="weight", probabilityCol="prob_stack",
             rawPredictionCol="raw_stack", predictionCol="pred_stack", threshold=THRESHOLD)]).fit(held)
-        bases = [(kind, classifier(kind).fit(feat)) for kind in kinds]
+        bases = list(zip(kinds, fit_many([lambda kind=kind: classifier(kind).fit(feat) for kind in kinds])))
         return feat_model, bases, meta
     finally:
         feat.unpersist()
@@ -199,13 +212,14 @@ def cv_models(df: DataFrame, kinds=("logistic", "forest", "gbt_shallow"), k: int
     feat_model = fit_featurizer(df)
     feat = en.stratified_folds(feat_model.transform(df), k).persist()
     try:
+        pairs = [(kind, f) for kind in kinds for f in range(1, k + 1)]
+        models = fit_many([lambda kind=kind, f=f: classifier(kind).fit(feat.filter(F.col("fold") != f))
+                           for kind, f in pairs])
         parts = []
-        for kind in kinds:
-            for f in range(1, k + 1):
-                m = classifier(kind).fit(feat.filter(F.col("fold") != f))
-                s = (m.transform(feat.filter(F.col("fold") == f))
-                     .select(LABEL, F.lit(f).alias("fold"), F.col(f"pred_{kind}").cast("int").alias("prediction")))
-                parts.append(s.withColumn("model", F.lit(kind)))
+        for (kind, f), m in zip(pairs, models):
+            s = (m.transform(feat.filter(F.col("fold") == f))
+                 .select(LABEL, F.lit(f).alias("fold"), F.col(f"pred_{kind}").cast("int").alias("prediction")))
+            parts.append(s.withColumn("model", F.lit(kind)))
         allp = parts[0]
         for p in parts[1:]:
             allp = allp.unionByName(p)
