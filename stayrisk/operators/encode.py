@@ -108,19 +108,21 @@ def target_encode(df: DataFrame, col: str, y: str = Y, m: float = 10.0,
 def target_encode_oof(df: DataFrame, col: str, fold: str = "fold", y: str = Y, m: float = 10.0,
                       out: str | None = None) -> DataFrame:
     """Out-of-fold: each row is encoded with the statistics of the other
-    folds, computed as (category total) - (category, fold) in one aggregate.
-    The prior is the out-of-fold label mean as well."""
+    folds: (category total) - (category, fold).  The prior is the
+    out-of-fold label mean.  One aggregate pass over ``df`` by (category,
+    fold); category totals, fold totals and the grand total all derive from
+    that small table.  ``df`` is read twice (aggregate, join back), so pass a
+    written table when it is expensive to recompute."""
     out = out or f"{col}_te"
-    per = target_stats(df, col, y, by=[fold])
-    tot = per.groupBy(col).agg(F.sum("_s").alias("_tot_s"), F.sum("_n").alias("_tot_n"))
-    fs = df.filter(F.col(y).isNotNull()).groupBy(fold).agg(F.sum(y).cast("long").alias("_fs"),
-                                                           F.count(y).alias("_fn"))
-    alls = df.agg(F.struct(F.sum(y).cast("long").alias("s"), F.count(y).alias("n"))).scalar()
-    allS, allN = alls["s"], alls["n"]
+    per = target_stats(df, col, y, by=[fold])                 # includes the null category
+    tot = (per.filter(F.col(col).isNotNull()).groupBy(col)
+           .agg(F.sum("_s").alias("_tot_s"), F.sum("_n").alias("_tot_n")))
+    fs = per.groupBy(fold).agg(F.sum("_s").alias("_fs"), F.sum("_n").alias("_fn"))
+    alls = per.agg(F.struct(F.sum("_s").alias("s"), F.sum("_n").alias("n"))).scalar()
     j = (df.join(per.filter(F.col(col).isNotNull()), [col, fold], "left")
-         .join(tot.filter(F.col(col).isNotNull()), col, "left")
+         .join(tot, col, "left")
          .join(fs, fold, "left"))
-    prior = (allS - F.col("_fs")) / (allN - F.col("_fn"))
+    prior = (alls["s"] - F.col("_fs")) / (alls["n"] - F.col("_fn"))
     s = F.col("_tot_s") - F.coalesce(F.col("_s"), F.lit(0))
     n = F.col("_tot_n") - F.coalesce(F.col("_n"), F.lit(0))
     te = (s + F.lit(m) * prior) / (n + F.lit(m))

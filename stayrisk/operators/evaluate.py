@@ -99,8 +99,9 @@ def auc_pr(scored: DataFrame, y: str = Y, p: str = P) -> DataFrame:
     """Average precision: sum over distinct scores (high to low) of
     (recall step) x (precision at that score).  Step rule, our choice; MLlib's
     ``areaUnderPR`` uses the trapezoid instead."""
-    b = _below(score_counts(scored, y, p))
-    tot = b.agg(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
+    counts = score_counts(scored, y, p)
+    b = _below(counts)
+    tot = counts.agg(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
     Pt, Nt = tot["P"], tot["N"]
     tp = Pt - F.col("pos_below")
     fp = Nt - F.col("neg_below")

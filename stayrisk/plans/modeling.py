@@ -195,7 +195,9 @@ _FOLDS = ("f AS (SELECT *, CAST(((row_number() OVER (PARTITION BY is_canceled OR
     "fs AS (SELECT fold, CAST(sum(is_canceled) AS BIGINT) AS fs, count(is_canceled) AS fn FROM f WHERE is_canceled IS NOT NULL GROUP BY fold), "
     "al AS (SELECT CAST(sum(is_canceled) AS BIGINT) AS aS, count(is_canceled) AS aN FROM f)"))
 def q_target_encode_oof(spark, sf):
-    b = en.stratified_folds(bookings(spark, sf).select("booking_id", "agent", "is_canceled"), 5)
+    from ..operators.learn import write_and_read
+    b = write_and_read(en.stratified_folds(bookings(spark, sf).select("booking_id", "agent", "is_canceled"), 5),
+                       "folds")
     return en.target_encode_oof(b, "agent").select("booking_id", "agent", "fold", "agent_te")
 
 
