@@ -191,54 +191,79 @@ def _scale(c: str) -> float:
     return 100.0 if c in MONEY_COLUMNS else 1.0
 
 
+# D19 / D20 share one prepared projection: each profiled column as a double,
+# money in exact cents; expressions are generated as SQL text (a few
+# plan-building calls instead of hundreds of Column round trips).
+def _prepared(df: DataFrame, cols: Sequence[str]):
+    proj = []
+    for i, c in enumerate(cols):
+        x = f"round({_q(c)} * 100)" if c in MONEY_COLUMNS else _q(c)
+        proj.append(f"CAST({x} AS DOUBLE) AS x{i}")
+    return df.selectExpr(*proj)
+
+
+def _view(d: DataFrame) -> str:
+    import uuid
+    name = f"_stayrisk_prof_{uuid.uuid4().hex[:10]}"
+    d.createOrReplaceTempView(name)
+    return name
+
+
 # D19
 def numeric_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS) -> DataFrame:
-    """n, mean, sd, min, quartiles, max, zero share per numeric column, one pass.
+    """n, mean, sd, min, quartiles, max, zero share per numeric column.
 
-    Quartiles are exact ``percentile`` (state bounded by distinct values);
-    for continuous columns at scale pass them through ``percentile_approx``.
+    One pass of plain sums (n, sum x, sum x^2, min, max, zeros: stays in
+    codegen), with the sample variance combined exactly in DECIMAL(38,0);
+    quartiles are exact ``percentile`` in one struct-valued scalar subquery
+    (state: one count per distinct value; for continuous columns at scale
+    use ``percentile_approx``).
     """
     cols = _present(df, cols)
-    aggs = []
-    for c in cols:
-        x = _numeric(c)
-        aggs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__sd"), F.min(x).alias(f"{c}__min"),
-                 F.percentile(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"),
-                 F.max(x).alias(f"{c}__max"), F.count_if(x == 0).alias(f"{c}__zero")]
-    row = df.agg(*aggs)
-    entries = []
-    for c in cols:
+    v = _view(_prepared(df, cols))
+    spark = df.sparkSession
+    D = "DECIMAL(38,0)"
+    aggs, structs = [], []
+    pct = ", ".join(f"'q{i}', percentile(x{i}, array(0.25, 0.5, 0.75))" for i in range(len(cols)))
+    for i, c in enumerate(cols):
+        aggs += [f"count(x{i}) AS n{i}", f"sum(x{i}) AS s{i}", f"sum(x{i} * x{i}) AS ss{i}",
+                 f"min(x{i}) AS mn{i}", f"max(x{i}) AS mx{i}", f"count_if(x{i} = 0) AS z{i}"]
         sc = _scale(c)
-        q = F.col(f"{c}__q")
-        entries.append((c, [F.col(f"{c}__n"), F.col(f"{c}__mean") / sc, stable(F.col(f"{c}__sd") / sc),
-                            F.col(f"{c}__min") / sc, q[0] / sc, q[1] / sc, q[2] / sc, F.col(f"{c}__max") / sc,
-                            safe_div(F.col(f"{c}__zero"), F.col(f"{c}__n"))]))
-    return _rows(row, "column", entries,
-                 ["n", "mean", "sd", "min", "q1", "median", "q3", "max", "zero_share"])
+        var = (f"try_divide(CAST(CAST(n{i} AS {D}) * CAST(ss{i} AS {D}) - CAST(s{i} AS {D}) * CAST(s{i} AS {D}) AS DOUBLE), "
+               f"CAST(n{i} AS DOUBLE) * CAST(n{i} - 1 AS DOUBLE))")
+        structs.append(
+            f"named_struct('column', '{c}', 'n', n{i}, 'mean', try_divide(s{i}, n{i}) / {sc}, "
+            f"'sd', round(sqrt({var}) / {sc}, 9) + 0.0D, 'min', mn{i} / {sc}, "
+            f"'q1', pq.q{i}[0] / {sc}, 'median', pq.q{i}[1] / {sc}, 'q3', pq.q{i}[2] / {sc}, "
+            f"'max', mx{i} / {sc}, 'zero_share', try_divide(z{i}, n{i}))")
+    sql = (f"SELECT inline(array({', '.join(structs)})) FROM "
+           f"(SELECT *, (SELECT named_struct({pct}) FROM {v}) AS pq FROM (SELECT {', '.join(aggs)} FROM {v}))")
+    return spark.sql(sql)
 
 
 # D20
 def outlier_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS,
                     k: float = 1.5) -> DataFrame:
     """IQR fences per column and rows outside them.  Quartiles come from one
-    aggregate, fed back as one scalar subquery; counting is a second pass."""
+    aggregate read as a scalar subquery (runs once); counting is a second
+    pass over the table.  No join."""
     cols = _present(df, cols)
-    qs = df.agg(F.struct(*[F.percentile(_numeric(c), [0.25, 0.75]).alias(c) for c in cols])).scalar()
-    aggs = []
-    for c in cols:
-        q = qs[c]
-        q1, q3 = q[0], q[1]
-        lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
-        x = _numeric(c)
-        s = _scale(c)
-        aggs += [(q1 / s).alias(f"{c}__q1"), (q3 / s).alias(f"{c}__q3"),
-                 (lo / s).alias(f"{c}__lo"), (hi / s).alias(f"{c}__hi"),
-                 F.count_if(x < lo).alias(f"{c}__below"), F.count_if(x > hi).alias(f"{c}__above")]
-    row = df.agg(*aggs)
-    entries = [(c, [F.col(f"{c}__q1"), F.col(f"{c}__q3"), F.col(f"{c}__lo"), F.col(f"{c}__hi"),
-                    F.col(f"{c}__below"), F.col(f"{c}__above")]) for c in cols]
-    return _rows(row, "column", entries, ["q1", "q3", "lo_fence", "hi_fence", "n_below", "n_above"])
+    v = _view(_prepared(df, cols))
+    spark = df.sparkSession
+    qs = ", ".join(f"'q{i}', percentile(x{i}, array(0.25, 0.75))" for i in range(len(cols)))
+    fences = f"(SELECT named_struct({qs}) FROM {v})"
+    aggs, structs = [], []
+    for i, c in enumerate(cols):
+        q1, q3 = f"f.q{i}[0]", f"f.q{i}[1]"
+        lo, hi = f"({q1} - {k} * ({q3} - {q1}))", f"({q3} + {k} * ({q3} - {q1}))"
+        aggs += [f"count_if(x{i} < {lo}) AS b{i}", f"count_if(x{i} > {hi}) AS a{i}",
+                 f"first({q1}) AS q1_{i}", f"first({q3}) AS q3_{i}", f"first({lo}) AS lo{i}", f"first({hi}) AS hi{i}"]
+        sc = _scale(c)
+        structs.append(f"named_struct('column', '{c}', 'q1', q1_{i} / {sc}, 'q3', q3_{i} / {sc}, "
+                       f"'lo_fence', lo{i} / {sc}, 'hi_fence', hi{i} / {sc}, 'n_below', b{i}, 'n_above', a{i})")
+    sql = (f"SELECT inline(array({', '.join(structs)})) FROM "
+           f"(SELECT {', '.join(aggs)} FROM (SELECT *, {fences} AS f FROM {v}))")
+    return spark.sql(sql)
 
 
 # D21
