@@ -67,8 +67,8 @@ def q_is_weekend_only(spark, sf):
     return bookings(spark, sf).select("booking_id", fx.is_weekend_only().alias("is_weekend_only"))
 
 
-def _bin_query(name, fn, sql_expr, src):
-    @query(name, W(f"SELECT booking_id, {src}, {sql_expr} AS {name} FROM bookings"))
+def _bin_query(name, fn, sql_expr, src, as_double=()):
+    @query(name, W(f"SELECT booking_id, {src}, {sql_expr} AS {name} FROM bookings"), as_double=as_double)
     def q(spark, sf):
         return bookings(spark, sf).select("booking_id", src, fn().alias(name))
     q.__name__ = f"q_{name}"
@@ -76,7 +76,7 @@ def _bin_query(name, fn, sql_expr, src):
 
 
 _bin_query("babies_bin", fx.babies_bin, S.BABIES_BIN, "babies")
-_bin_query("children_bin", fx.children_bin, S.CHILDREN_BIN, "children")
+_bin_query("children_bin", fx.children_bin, S.CHILDREN_BIN, "children", as_double=("children",))
 _bin_query("parking_bin", fx.parking_bin, S.PARKING_BIN, "required_car_parking_spaces")
 _bin_query("prev_cancel_bin", fx.prev_cancel_bin, S.PREV_CANCEL_BIN, "previous_cancellations")
 _bin_query("prev_loyal_bin", fx.prev_loyal_bin, S.PREV_LOYAL_BIN, "previous_bookings_not_canceled")
@@ -112,7 +112,7 @@ def q_feature_matrix(spark, sf):
     return fm.withColumns({"month_sin": stable("month_sin"), "month_cos": stable("month_cos")})
 
 
-@query("lead_bin", W(f"SELECT booking_id, lead_time, {S.LEAD_BIN} AS lead_bin, {S.LEAD_BIN_NO} AS lead_bin_no FROM bookings"))
+@query("lead_bin", W(f"SELECT booking_id, lead_time, {S.LEAD_BIN} AS lead_bin, {S.LEAD_BIN_NO} AS lead_bin_no FROM bookings"), as_double=("lead_bin_no",))
 def q_lead_bin(spark, sf):
     return st.with_lead_bin(bookings(spark, sf)).select("booking_id", "lead_time", "lead_bin", "lead_bin_no")
 
@@ -162,7 +162,7 @@ def _band(amber):
     return f"CASE WHEN cr >= 35.0 THEN 'red' WHEN cr >= {amber} THEN 'amber' ELSE 'green' END"
 
 
-@query("filter_hotel", W("SELECT * FROM bookings WHERE hotel = 'City Hotel'"))
+@query("filter_hotel", W("SELECT * FROM bookings WHERE hotel = 'City Hotel'"), as_double=("children",))
 def q_filter_hotel(spark, sf):
     return st.filter_hotel(bookings(spark, sf), "City Hotel")
 
@@ -384,7 +384,7 @@ _NIGHTS = "(stays_in_weekend_nights + stays_in_week_nights)"
 
 @query("drop_adr_outliers", W(
     f"SELECT * FROM d WHERE NOT coalesce(adr < 0.0 OR adr > 510.0 OR ({_NIGHTS} = 0 AND adr > 0) "
-    f"OR {S.cents('adr')} > fence_cents, false)", _FENCES))
+    f"OR {S.cents('adr')} > fence_cents, false)", _FENCES), as_double=("children",))
 def q_drop_adr_outliers(spark, sf):
     return qy.drop_adr_outliers(bookings(spark, sf))
 

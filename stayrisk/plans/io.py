@@ -31,7 +31,7 @@ def bookings_csv(spark, sf):
     return _once(spark, sf, "bookings-csv", lambda p: files.write_with_null_tokens(bookings(spark, sf), p))
 
 
-@query("scan_bookings", W("SELECT * FROM bookings"))
+@query("scan_bookings", W("SELECT * FROM bookings"), as_double=("children",))
 def q_scan_bookings(spark, sf):
     return files.scan_bookings(spark, bookings_csv(spark, sf))
 
@@ -42,13 +42,13 @@ def q_scan_batch(spark, sf):
     return files.file_row_counts(df).agg(F.sum("rows").alias("n_rows"))
 
 
-@query("scored_sink", W(S.SCORED))
+@query("scored_sink", W(S.SCORED), as_double=("children",))
 def q_scored_sink(spark, sf):
     path = _once(spark, sf, "scored", lambda p: files.write_scored(scored(spark, sf), p))
     return spark.read.parquet(path)
 
 
-@query("scored_preview", W(f"SELECT * FROM ({S.SCORED}) ORDER BY booking_id LIMIT 200"))
+@query("scored_preview", W(f"SELECT * FROM ({S.SCORED}) ORDER BY booking_id LIMIT 200"), as_double=("children",))
 def q_scored_preview(spark, sf):
     return files.scored_preview(scored(spark, sf))
 
@@ -65,7 +65,7 @@ _GRADE_SQL = ("CASE WHEN prediction = 1 AND score >= 0.75 THEN 'very_high' WHEN
               "WHEN score >= 0.40 THEN 'medium' ELSE 'low' END")
 
 
-@query("batch_score", W(f"SELECT *, {_GRADE_SQL} AS risk_grade FROM ({S.SCORED})"))
+@query("batch_score", W(f"SELECT *, {_GRADE_SQL} AS risk_grade FROM ({S.SCORED})"), as_double=("children",))
 def q_batch_score(spark, sf):
     """F14 with the bookings' ``score`` in the model's place: probability
     rounded half-even to 4 places, decision on the unrounded value, risk label
@@ -74,7 +74,7 @@ def q_batch_score(spark, sf):
     return s.withColumn("risk_grade", fx.risk_grade("score", "prediction"))
 
 
-@query("stream_score", W(f"SELECT *, {_GRADE_SQL} AS risk_grade FROM ({S.SCORED})"))
+@query("stream_score", W(f"SELECT *, {_GRADE_SQL} AS risk_grade FROM ({S.SCORED})"), as_double=("children",))
 def q_stream_score(spark, sf):
     """F14 through Structured Streaming: the written bookings files are read
     as a stream (available-now trigger), scored, and sunk to parquet with a
