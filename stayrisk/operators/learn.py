@@ -1,43 +1,28 @@
-"""Model training, cross-validation and tuning on MLlib."""
+"""Model training, cross-validation and tuning on MLlib.
+
+Every fit is a distributed MLlib job on DataFrames; independent fits are
+overlapped from a small driver thread pool.  Intermediate results that are
+read more than once are written to the shared folder.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
+                                       RandomForestClassifier)
+from pyspark.ml.feature import (OneHotEncoder, RobustScaler, SQLTransformer,
+                                StringIndexer, TargetEncoder, VectorAssembler)
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import THRESHOLD
+from ..functions import features as fx
 from ..functions.numeric import safe_div, stable
-
-
-# F15
-def cv_table(scored_folds: DataFrame, y: str = "is_canceled", pred: str = "prediction",
-             fold: str = "fold") -> DataFrame:
-    """Per-fold F0.5, precision, recall; mean and sample sd of F0.5 over the
-    folds.  One aggregate by fold, then a window over the k fold rows."""
-    yc, pc = F.col(y), F.col(pred)
-    g = scored_folds.groupBy(fold).agg(
-        F.count_if((yc == 0) & (pc == 1)).alias("fp"), F.count_if((yc == 1) & (pc == 0)).alias("fn"),
-        F.count_if((yc == 1) & (pc == 1)).alias("tp"))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    g = g.select(fold, safe_div(1.25 * tp, 1.25 * tp + 0.25 * fn + fp).alias("f05"),
-                 safe_div(tp, tp + fp).alias("precision"), safe_div(tp, tp + fn).alias("recall"))
-    w = Window.partitionBy(F.lit(0))
-    return g.withColumns({"f05_mean": stable(F.avg("f05").over(w)),
-                          "f05_sd": stable(F.stddev_samp("f05").over(w))})
-
+from . import encode as en
+from . import evaluate as ev
 
 # ---------------------------------------------------------------- model frame
-from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,  # noqa: E402
-                                       RandomForestClassifier)
-from pyspark.ml.feature import (OneHotEncoder, RobustScaler, SQLTransformer,  # noqa: E402
-                                StringIndexer, TargetEncoder, VectorAssembler)
-from pyspark.ml.functions import vector_to_array  # noqa: E402
-
-from ..constants import THRESHOLD  # noqa: E402
-from ..functions import features as fx  # noqa: E402
-from . import encode as en  # noqa: E402
-from . import evaluate as ev  # noqa: E402
-
 LABEL = "is_canceled"
 ONEHOT_COLS = ["hotel", "meal", "distribution_channel", "reserved_room_type", "customer_type",
                "arrival_season", "babies_bin", "children_bin", "parking_bin", "prev_cancel_bin",
@@ -247,6 +232,23 @@ def write_and_read(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# F15
+def cv_table(scored_folds: DataFrame, y: str = "is_canceled", pred: str = "prediction",
+             fold: str = "fold") -> DataFrame:
+    """Per-fold F0.5, precision, recall; mean and sample sd of F0.5 over the
+    folds.  One aggregate by fold, then a window over the k fold rows."""
+    yc, pc = F.col(y), F.col(pred)
+    g = scored_folds.groupBy(fold).agg(
+        F.count_if((yc == 0) & (pc == 1)).alias("fp"), F.count_if((yc == 1) & (pc == 0)).alias("fn"),
+        F.count_if((yc == 1) & (pc == 1)).alias("tp"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    g = g.select(fold, safe_div(1.25 * tp, 1.25 * tp + 0.25 * fn + fp).alias("f05"),
+                 safe_div(tp, tp + fp).alias("precision"), safe_div(tp, tp + fn).alias("recall"))
+    w = Window.partitionBy(F.lit(0))
+    return g.withColumns({"f05_mean": stable(F.avg("f05").over(w)),
+                          "f05_sd": stable(F.stddev_samp("f05").over(w))})
+
+
 def model_ranking(cv: DataFrame) -> DataFrame:
     """F16: mean and sample sd of F0.5 per model, ranked (one row per model)."""
     g = cv.groupBy("model").agg(F.avg("f05").alias("f05_mean"), F.stddev_samp("f05").alias("f05_sd"),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORY_DOMAINS, COUNTRIES, MIN_SUPPORT, NUMERIC_DOMAINS
-from ..functions.numeric import cents, safe_div, stable
+from ..functions.numeric import cents
 
 LABEL = "is_canceled"
 
@@ -43,17 +43,6 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _stack(row: DataFrame, key: str, groups: list[tuple[str, list[str]]],
-           names: list[str]) -> DataFrame:
-    """Unpivot one wide row: each group is (label, [column per output name])."""
-    parts = []
-    for label, cols in groups:
-        parts.append("'" + label.replace("'", "\\'") + "'")
-        parts += [_q(c) for c in cols]
-    expr = f"stack({len(groups)}, {', '.join(parts)}) as ({_q(key)}, {', '.join(_q(n) for n in names)})"
-    return row.selectExpr(expr)
-
-
 def _rows(row: DataFrame, key: str, entries: list, names: list[str]) -> DataFrame:
     """Unpivot one aggregate row into a long table with one ``inline`` of an
     array of structs: entries are (label, [Column per output name]).  Two

@@ -15,8 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import (BAND_AMBER_LEAD, BAND_AMBER_MONTH, LEAD_LABELS, MIN_SUPPORT, MONTHS,
-                         TOP_K)
+from ..constants import BAND_AMBER_LEAD, BAND_AMBER_MONTH, LEAD_LABELS, MIN_SUPPORT, TOP_K
 from ..functions import features as fx
 from ..functions.numeric import cents, safe_div
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import CATEGORY_DOMAINS, COUNTRIES, FEATURE_COLUMNS, NUMERIC_DOMAINS
+from ..constants import (ADVICE_ACTIONS, CATEGORY_DOMAINS, COUNTRIES, FEATURE_COLUMNS,
+                         NUMERIC_DOMAINS)
 from ..functions import features as fx
 from ..functions.numeric import stable
 from ..operators import quality as qy
@@ -126,7 +127,7 @@ _GRADE = ("CASE WHEN prediction = 1 AND score >= 0.75 THEN 'very_high' WHEN pred
           "WHEN score >= 0.40 THEN 'medium' ELSE 'low' END")
 _ACTIONS_SQL = ("CASE grade " + " ".join(
     "WHEN '{}' THEN '{}'".format(k, " | ".join(v).replace("'", "''"))
-    for k, v in __import__("stayrisk.constants", fromlist=["x"]).ADVICE_ACTIONS.items()) + " END")
+    for k, v in ADVICE_ACTIONS.items()) + " END")
 
 
 @query("risk_action", W(f"SELECT booking_id, score, prediction, grade, {_ACTIONS_SQL} AS actions FROM "
