@@ -10,6 +10,7 @@ integer counts (tested).
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,9 +88,22 @@ DRIVER_TABLES = ("orders", "customer", "lineitem")
 _ID_BLOCK_BITS = 16
 
 
-def register_driver_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
+def register_driver_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> dict[str, str]:
+    """Register the driver tables under session-unique view names (a user's
+    own ``orders`` view is left alone); returns table -> view name."""
+    tag = uuid.uuid4().hex[:8]
+    views = {}
     for t in names:
-        spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")).createOrReplaceTempView(t)
+        views[t] = f"_stayrisk_{t}_{tag}"
+        spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")).createOrReplaceTempView(views[t])
+    return views
+
+
+def _with_views(sql: str, views: dict[str, str]) -> str:
+    """The bookings SQL text with table names pointed at the given views."""
+    for t, v in views.items():
+        sql = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {v}", sql)
+    return sql
 
 
 def bookings_plan(spark: SparkSession, sf_dir: str, use_sql_window: bool = False,
@@ -101,12 +115,12 @@ def bookings_plan(spark: SparkSession, sf_dir: str, use_sql_window: bool = False
     ``use_sql_window=True`` runs the SQL text whole (single window per
     customer); it exists to test the balanced version against it.
     """
-    register_driver_tables(spark, sf_dir)
+    views = register_driver_tables(spark, sf_dir)
     if use_sql_window:
-        return spark.sql(BOOKINGS_SQL)
+        return spark.sql(_with_views(BOOKINGS_SQL, views))
     # only what the final projection reads: lets Catalyst prune the unused
     # lineitem aggregates before the rows are written for the running sums
-    b3 = spark.sql("WITH " + _BASE_CTES + " SELECT * FROM b3").drop("n_lines", "n_ret")
+    b3 = spark.sql(_with_views("WITH " + _BASE_CTES + " SELECT * FROM b3", views)).drop("n_lines", "n_ret")
     b4 = segmented_running_sum(
         b3, segment=["cust"], order=[F.col("od"), F.col("booking_id")],
         split={"_day": F.to_date("od"), "_idblk": F.shiftright("booking_id", _ID_BLOCK_BITS)},
