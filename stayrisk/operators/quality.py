@@ -199,21 +199,28 @@ def _view(d: DataFrame) -> str:
 
 
 # D19
-def numeric_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS) -> DataFrame:
+def _pct_fn(approx: bool, accuracy: int) -> str:
+    return f"percentile_approx({{x}}, {{p}}, {accuracy})" if approx else "percentile({x}, {p})"
+
+
+def numeric_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS,
+                    approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """n, mean, sd, min, quartiles, max, zero share per numeric column.
 
     One pass of plain sums (n, sum x, sum x^2, min, max, zeros: stays in
     codegen), with the sample variance combined exactly in DECIMAL(38,0);
     quartiles are exact ``percentile`` in one struct-valued scalar subquery
-    (state: one count per distinct value; for continuous columns at scale
-    use ``percentile_approx``).
+    (state: one count per distinct value, right for counts, days and cents).
+    ``approx=True`` switches to ``percentile_approx`` (bounded sketch) for
+    continuous columns at scale.
     """
     cols = _present(df, cols)
     v = _view(_prepared(df, cols))
     spark = df.sparkSession
     D = "DECIMAL(38,0)"
     aggs, structs = [], []
-    pct = ", ".join(f"'q{i}', percentile(x{i}, array(0.25, 0.5, 0.75))" for i in range(len(cols)))
+    pf = _pct_fn(approx, accuracy)
+    pct = ", ".join(f"'q{i}', " + pf.format(x=f"x{i}", p="array(0.25, 0.5, 0.75)") for i in range(len(cols)))
     for i, c in enumerate(cols):
         aggs += [f"count(x{i}) AS n{i}", f"sum(x{i}) AS s{i}", f"sum(x{i} * x{i}) AS ss{i}",
                  f"min(x{i}) AS mn{i}", f"max(x{i}) AS mx{i}", f"count_if(x{i} = 0) AS z{i}"]
@@ -232,14 +239,15 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS
 
 # D20
 def outlier_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS,
-                    k: float = 1.5) -> DataFrame:
+                    k: float = 1.5, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """IQR fences per column and rows outside them.  Quartiles come from one
     aggregate read as a scalar subquery (runs once); counting is a second
-    pass over the table.  No join."""
+    pass over the table.  No join.  ``approx`` as in :func:`numeric_profile`."""
     cols = _present(df, cols)
     v = _view(_prepared(df, cols))
     spark = df.sparkSession
-    qs = ", ".join(f"'q{i}', percentile(x{i}, array(0.25, 0.75))" for i in range(len(cols)))
+    pf = _pct_fn(approx, accuracy)
+    qs = ", ".join(f"'q{i}', " + pf.format(x=f"x{i}", p="array(0.25, 0.75)") for i in range(len(cols)))
     fences = f"(SELECT named_struct({qs}) FROM {v})"
     aggs, structs = [], []
     for i, c in enumerate(cols):

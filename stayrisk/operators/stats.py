@@ -225,17 +225,19 @@ def target_distribution(df: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 # D22
-def bivariate_rate(df: DataFrame, col: str, q: int = 4, label: str = LABEL) -> DataFrame:
+def bivariate_rate(df: DataFrame, col: str, q: int = 4, label: str = LABEL,
+                   approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Cancel rate by ``q`` quantile bins of a numeric column.
 
     Cut points are exact ``percentile`` values (count map per distinct value:
     memory bounded by the column's cardinality, fine for ids, counts, days,
     cents; use ``percentile_approx`` for continuous values).  Bins are
     right-closed: bin i holds cut(i-1) < x <= cut(i).  Our choice where the
-    reference gives no rule.
+    reference gives no rule.  ``approx=True`` uses ``percentile_approx``.
     """
     probs = [i / q for i in range(1, q)]
-    cuts = df.agg(F.percentile(col, probs).alias("c")).scalar()
+    pct = F.percentile_approx(col, probs, accuracy) if approx else F.percentile(col, probs)
+    cuts = df.agg(pct.alias("c")).scalar()
     x = F.col(col)
     bin_no = F.lit(1)
     for i in range(q - 1):

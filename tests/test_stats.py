@@ -70,3 +70,16 @@ def test_attribution_threshold_and_abs_ties(spark):
     kept = sorted(x["feature"] for x in ex.positive_attributions(r).collect())
     assert kept == ["c", "d", "e"]                                  # |0.0001| is not > 0.0001
     assert ex.top_attributions(r, 3).count() == 3
+
+
+def test_profiles_approx_mode(spark, sf):
+    from stayrisk.operators import quality as qy
+    from stayrisk.sources.bookings import bookings
+    b = bookings(spark, sf)
+    ex = {r["column"]: r for r in qy.numeric_profile(b).collect()}
+    ap = {r["column"]: r for r in qy.numeric_profile(b, approx=True).collect()}
+    for c in ("lead_time", "adr", "adults"):
+        assert ap[c]["n"] == ex[c]["n"] and ap[c]["mean"] == ex[c]["mean"]
+        assert abs(ap[c]["median"] - ex[c]["median"]) <= 0.02 * (ex[c]["max"] - ex[c]["min"])
+    assert qy.outlier_profile(b, approx=True).count() == len(ex)
+    assert st.bivariate_rate(b, "lead_time", approx=True).count() == 4
