@@ -29,6 +29,24 @@ def _checked_broadcast(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df)
 
 
+def left_lookup(df: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` left-joined to a per-key ``lookup`` table, with rows whose key
+    is NULL kept out of the join (they cannot match).  In a shuffled join all
+    NULL keys hash to one partition, and a missing category (no agent, no
+    country) can be a third of the data; here those rows skip the shuffle.
+    The join itself is left to AQE (broadcast when the lookup is small)."""
+    has_key = None
+    for k in keys:
+        c = F.col(k).isNotNull()
+        has_key = c if has_key is None else has_key & c
+    extra = [c for c in lookup.columns if c not in keys]
+    matched = df.filter(has_key).join(lookup, keys, "left")
+    missing = df.filter(~has_key).select(
+        *[F.col(c) for c in df.columns],
+        *[F.lit(None).cast(lookup.schema[c].dataType).alias(c) for c in extra])
+    return matched.unionByName(missing.select(*matched.columns))
+
+
 # F01 + J01
 def learn_top_countries(df: DataFrame, k: int = 36, col: str = "country") -> DataFrame:
     """The k most frequent values (ties: smaller value first); k rows."""
@@ -100,7 +118,7 @@ def target_encode(df: DataFrame, col: str, y: str = Y, m: float = 10.0,
     out = out or f"{col}_te"
     prior = df.agg(F.avg(y)).scalar()
     st = target_stats(df, col, y).filter(F.col(col).isNotNull())
-    j = df.join(st, col, "left")
+    j = left_lookup(df, st, [col])
     te = (F.col("_s") + F.lit(m) * prior) / (F.col("_n") + F.lit(m))
     return j.withColumn(out, F.coalesce(te, prior)).drop("_s", "_n")
 
@@ -119,9 +137,8 @@ def target_encode_oof(df: DataFrame, col: str, fold: str = "fold", y: str = Y, m
            .agg(F.sum("_s").alias("_tot_s"), F.sum("_n").alias("_tot_n")))
     fs = per.groupBy(fold).agg(F.sum("_s").alias("_fs"), F.sum("_n").alias("_fn"))
     alls = per.agg(F.struct(F.sum("_s").alias("s"), F.sum("_n").alias("n"))).scalar()
-    j = (df.join(per.filter(F.col(col).isNotNull()), [col, fold], "left")
-         .join(tot, col, "left")
-         .join(fs, fold, "left"))
+    j = left_lookup(left_lookup(df, per.filter(F.col(col).isNotNull()), [col, fold]), tot, [col])
+    j = j.join(F.broadcast(fs), fold, "left")                 # one row per fold
     prior = (alls["s"] - F.col("_fs")) / (alls["n"] - F.col("_fn"))
     s = F.col("_tot_s") - F.coalesce(F.col("_s"), F.lit(0))
     n = F.col("_tot_n") - F.coalesce(F.col("_n"), F.lit(0))

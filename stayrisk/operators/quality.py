@@ -115,6 +115,10 @@ def flag_adr_outliers(df: DataFrame, lo: float = 0.0, hi: float = 510.0,
     above the fence of its own hotel x room type.  Fence table: one row per
     group; the join is left to AQE (broadcast when small at run time)."""
     f = adr_fences(df, by, k)
+    # one row per hotel x room type: broadcast after checking the bound, so
+    # the bookings are never shuffled onto a handful of hot keys
+    if f.count() <= 100_000:
+        f = F.broadcast(f)
     nights = F.col("stays_in_weekend_nights") + F.col("stays_in_week_nights")
     d = df.join(f, list(by), "left")
     bad = ((F.col("adr") < lo) | (F.col("adr") > hi) | ((nights == 0) & (F.col("adr") > 0))
