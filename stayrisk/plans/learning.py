@@ -66,10 +66,12 @@ def q_fit_forest(spark, sf):
 @query("fit_boosted")
 def q_fit_boosted(spark, sf):
     train, test = _split(spark, sf)
-    out = None
-    for kind in ("gbt_shallow", "gbt_deep", "gbt_sub"):
-        r = ln.write_and_read(ln.fit_and_evaluate(train, test, kind), f"eval-{kind}")
-        out = r if out is None else out.unionByName(r)
+    kinds = ("gbt_shallow", "gbt_deep", "gbt_sub")
+    parts = ln.fit_many([lambda k=k: ln.write_and_read(ln.fit_and_evaluate(train, test, k), f"eval-{k}")
+                         for k in kinds])
+    out = parts[0]
+    for r in parts[1:]:
+        out = out.unionByName(r)
     return out
 
 
