@@ -20,11 +20,17 @@ _WRITTEN: dict[tuple, str] = {}
 def _once(spark, sf, kind, writer):
     """Write a derived file set once per session and source; return its path."""
     key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in _WRITTEN:
-        path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex[:12]}"
-        writer(path)
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+    path = _WRITTEN.get(key)
+    if path is not None:
+        try:
+            spark.read.parquet(path) if kind != "bookings-csv" else spark.read.text(path)
+            return path
+        except Exception:  # noqa: BLE001 - the folder was cleaned up: write again
+            _WRITTEN.pop(key, None)
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex[:12]}"
+    writer(path)
+    _WRITTEN[key] = path
+    return path
 
 
 def bookings_csv(spark, sf):

@@ -152,10 +152,14 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     path = _MATERIALIZED.get(key)
-    if path is None:
-        path = f"{shared_dir(spark)}/bookings-{uuid.uuid4().hex[:12]}"
-        bookings_plan(spark, sf_dir, checkpoint=True).write.mode("overwrite").parquet(path)
-        _MATERIALIZED[key] = path
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # noqa: BLE001 - the folder was cleaned up: rebuild
+            _MATERIALIZED.pop(key, None)
+    path = f"{shared_dir(spark)}/bookings-{uuid.uuid4().hex[:12]}"
+    bookings_plan(spark, sf_dir, checkpoint=True).write.mode("overwrite").parquet(path)
+    _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
 

@@ -23,3 +23,12 @@ def test_materialized_is_reused(spark, sf):
     p1 = bookings(spark, sf).inputFiles()
     p2 = bookings(spark, sf).inputFiles()
     assert p1 == p2
+
+
+def test_rebuilds_when_folder_is_gone(spark, sf):
+    from stayrisk.sources import bookings as B
+    n = B.bookings(spark, sf).count()
+    key = next(k for k in B._MATERIALIZED if k[1].endswith("sf0.001"))
+    B._MATERIALIZED[key] = B._MATERIALIZED[key] + "-missing"     # as if cleaned up
+    assert B.bookings(spark, sf).count() == n
+    assert not B._MATERIALIZED[key].endswith("-missing")
