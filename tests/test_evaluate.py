@@ -96,3 +96,20 @@ def test_cv_table_sample_sd(spark):
     t = cv_table(df).toPandas()
     assert len(t) == 5
     assert t["f05_sd"].iloc[0] == pytest.approx(round(t["f05"].std(), 9), abs=1e-9)
+
+
+def test_decision_uses_unrounded_probability(spark):
+    from stayrisk.functions import features as fx
+    df = spark.createDataFrame([(0.59996,), (0.6,)], "p double")
+    r = df.select(fx.prob_round("p").alias("shown"), fx.decision("p").alias("pred")).collect()
+    assert r[0]["shown"] == 0.6 and r[0]["pred"] == 0          # S9: shows 0.6, not a cancel
+    assert r[1]["pred"] == 1                                   # tie at the threshold cancels
+
+
+def test_cost_guards_and_dominance_ties(spark):
+    conf = ev.confusion_from_counts(spark, 10, 3, 0, 0)       # no FN, no TP
+    d = ev.cost_dominance(conf).first()
+    assert d["fp_fn_ratio"] == 0.0                             # S21: FN cost 0 -> ratio 0
+    assert ev.cost_summary(conf).first()["savings_pct"] is None  # base cost 0 -> no division
+    tie = ev.confusion_from_counts(spark, 10, 3, 7, 5)         # 3*700 == 7*300
+    assert ev.cost_dominance(tie).first()["dominant_error"] == "False Negative"   # S23
