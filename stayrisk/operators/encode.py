@@ -185,11 +185,13 @@ def stratified_rank(df: DataFrame, y: str = Y, key: str = "booking_id") -> DataF
     """Row number within each label value, ordered by (portable hash, key).
 
     A label value holds about half the rows, so a plain window would run in
-    two tasks; the running count is split into 1024 hash blocks per label.
+    two tasks; the running count is split into 2^20 hash blocks per label
+    (about 500k rows per block at 10^12 rows; the offsets table is at most
+    2^20 small rows per label).
     """
     d = df.withColumn("_h", portable_hash(key))
     out = segmented_running_sum(d, segment=[y], order=[F.col("_h"), F.col(key)],
-                                split={"_hblk": F.shiftright(F.col("_h"), 21)},
+                                split={"_hblk": F.shiftright(F.col("_h"), 11)},
                                 values={"_rn": F.lit(1)}, exclusive=False)
     return out.drop("_h")
 

@@ -19,8 +19,9 @@ from .prefix import global_running_sum
 
 Y, P, PRED = "is_canceled", "score", "prediction"
 
-# score blocks for the running sums over distinct scores: 2^16 per unit
-_SCORE_BLOCK = 65536.0
+# score blocks for the running sums over distinct scores: 2^20 per unit, so
+# the offsets table (one row per block, sorted in one task) stays <= ~1M rows
+_SCORE_BLOCK = 1048576.0
 
 
 def _cnt(cond: Column) -> Column:
