@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORY_DOMAINS, COUNTRIES, MIN_SUPPORT, NUMERIC_DOMAINS
@@ -273,9 +273,11 @@ def category_profile(df: DataFrame, cols: Sequence[str] = CATEGORY_PROFILE_COLUM
     cols = _present(df, cols)
     g = (_as_long(df, cols).filter(F.col("value").isNotNull())
          .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    # window over the aggregated table: one partition per profiled column,
-    # sized by that column's distinct values
-    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("column")))
+    # per-column totals: one row per profiled column (a proven bound), so a
+    # high-cardinality column never lands in a single task
+    tot = g.groupBy("column").agg(F.sum("n").alias("_tot"))
+    return g.join(F.broadcast(tot), "column").select(
+        "column", "value", "n", (F.col("n") / F.col("_tot")).alias("share"))
 
 
 # D23
