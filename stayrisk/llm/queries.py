@@ -6,8 +6,9 @@ table and returns the full result."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import line_dedup, mixing, near_dup, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +24,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_rules)}
-ORACLE: dict[str, str] = {}
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dups(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+                    F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op7_near_dups, op8_line_dedup)}
+ORACLE: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE_SQL}
