@@ -133,14 +133,14 @@ def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix64((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64))
 
 
-def split_words(col: pa.Array, lower: bool = False) -> Words:
-    """Split each text at blank runs (space, tab, LF, VT, FF, CR)."""
+def split_words(col: pa.Array, lower: bool = False, gap: np.ndarray = _SPACE) -> Words:
+    """Split each text at runs of ``gap`` bytes (space, tab, LF, VT, FF, CR)."""
     data, off = utf8(col, lower)
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), z, z, np.zeros(len(off), np.int64))
-    word = ~_SPACE[data]
+    word = ~gap[data]
     cut = np.zeros(n + 1, bool)
     cut[off] = True
     before = np.concatenate([[False], word[:-1]]) & ~cut[:-1]

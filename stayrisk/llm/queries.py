@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dup, quality_rules
+from . import decontam, line_dedup, mixing, near_dup, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.select("doc_id", "item_id", "coverage", "n_tiles", F.lit(True).alias("contaminated"))
+
+
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dups(table(spark, sf_dir, "documents"))
 
@@ -34,5 +39,5 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op7_near_dups, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op5_decontaminate, op7_near_dups, op8_line_dedup)}
 ORACLE: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE_SQL}
