@@ -106,8 +106,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Kind of each byte for splitting: 0 is a gap; a word is a run of one kind.
+NOT_BLANK = np.ones(256, np.uint8)
+NOT_BLANK[[32, 9, 10, 11, 12, 13]] = 0
+LETTERS = np.zeros(256, np.uint8)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
 class Words(NamedTuple):
@@ -133,23 +136,28 @@ def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix64((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64))
 
 
-def split_words(col: pa.Array, lower: bool = False, gap: np.ndarray = _SPACE) -> Words:
-    """Split each text at runs of ``gap`` bytes (space, tab, LF, VT, FF, CR)."""
-    data, off = utf8(col, lower)
+def split_bytes(data: np.ndarray, off: np.ndarray, kinds: np.ndarray = NOT_BLANK) -> Words:
+    """Split texts, given as bytes and offsets, into runs of one kind."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), z, z, np.zeros(len(off), np.int64))
-    word = ~gap[data]
-    cut = np.zeros(n + 1, bool)
-    cut[off] = True
-    before = np.concatenate([[False], word[:-1]]) & ~cut[:-1]
-    after = np.concatenate([word[1:], [False]]) & ~cut[1:]
-    start = np.flatnonzero(word & ~before)
-    end = np.flatnonzero(word & ~after) + 1
+    kind = kinds[data]
+    edge = np.ones(n + 1, bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[off] = True
+    word = kind > 0
+    start = np.flatnonzero(word & edge[:-1])
+    end = np.flatnonzero(word & edge[1:]) + 1
     return Words(spans_hash(data, start, end), start, end, np.searchsorted(start, off))
 
 
+def split_words(col: pa.Array, lower: bool = False, kinds: np.ndarray = NOT_BLANK) -> Words:
+    """Split each text of an Arrow column; by default at runs of space, tab,
+    LF, VT, FF and CR."""
+    return split_bytes(*utf8(col, lower), kinds)
+
+
 def sums_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over each text's range."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
@@ -175,16 +183,34 @@ def binary_temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def bounded_sample(df: DataFrame, label: str, per_label: int, key: str = "doc_id",
-                   seed: int = 17) -> DataFrame:
+def bounded_sample(df: DataFrame, label: str, per_label: int, key: str = "doc_id", seed: int = 17) -> DataFrame:
     """About ``per_label`` rows of each label value (all, if there are fewer),
-    chosen by a hash of the key: the same rows at any partitioning.  The label
-    must have few distinct values."""
+    chosen by a hash of the key: the same rows at any partitioning.  ``weight``
+    is the number of rows a chosen row stands for.  The label must have few
+    distinct values and the key few repeats."""
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    keep = F.lit(False)
-    top = (1 << 62) * 2 - 1
+    top = (1 << 63) - 1
+    keep, weight = F.lit(False), F.lit(1.0)
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         share = min(1.0, per_label / n)
-        cut = int(share * top) if share < 1 else top
-        keep = keep | ((F.col(label) == F.lit(value)) & (F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit(top)) <= F.lit(cut)))
-    return df.filter(keep)
+        cut = top if share == 1 else int(share * top)
+        here = F.col(label) == F.lit(value)
+        keep = keep | (here & (F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit(top)) <= F.lit(cut)))
+        weight = F.when(here, F.lit(1 / share)).otherwise(weight)
+    return df.filter(keep).withColumn("weight", weight)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_label: int) -> DataFrame:
+    """Bounded training sample ``doc_id, text, y, weight``: one row for each of
+    about ``per_label`` labelled documents per label value.  Labels are sampled
+    first, so only a bounded table is broadcast and texts are not shuffled."""
+    marks = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn)
+             .groupBy("doc_id").agg(F.round(F.avg(label)).cast("int").alias("y")))
+    marks = written(bounded_sample(marks, "y", per_label), "marks")
+    texts = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("weight").alias("weight"))
+
+
+def fold(n: int, key: str = "doc_id", seed: int = 23) -> Column:
+    """A repeatable fold number, unrelated to the held-out remainder."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)).cast("int")

@@ -31,19 +31,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, split_words, word_array, written
+from .common import LETTERS, chunks, mix64, split_words, word_array, written
 
 MIN_MATCH = 4
 MIN_COVERAGE = 0.6
 BLOCK_WORDS = 1 << 20
 _FILTER_BITS = 22
-_GAP = np.ones(256, bool)
-_GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BASE = 0xD1342543DE82EF95
 
 
 def _words(col: pa.Array):
-    return split_words(pc.utf8_lower(pc.fill_null(col, "")), gap=_GAP)
+    return split_words(pc.utf8_lower(pc.fill_null(col, "")), kinds=LETTERS)
 
 
 def seeds(tokens: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

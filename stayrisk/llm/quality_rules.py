@@ -173,3 +173,29 @@ def measure(docs: DataFrame) -> DataFrame:
     failed = too_short(F.col("n_words")) | too_repetitive(F.col("n_repeat_words"), F.col("n_words"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     failed.alias("base_failed"), cascade(F.lit(""), F.array(), order, known).alias("kept"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
+grams AS (
+  SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS g
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM grams) WHERE c > 1),
+covered AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid),
+m AS (
+  SELECT w.rid, doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         len(list_filter(ls, x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
+           - len(list_distinct(list_filter(ls, x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS capitals, len(ls) AS n_lines
+  FROM w LEFT JOIN covered c ON w.rid = c.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 20 * n_words
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * capitals > 50 * word_chars
+            OR 100 * n_dup_lines > 50 * n_lines) AS kept
+FROM m
+"""
