@@ -13,13 +13,19 @@ similarity of ``THRESHOLD`` allows.  Texts of at least that similarity are
 linked; a group is a connected component.
 
 1. Equal texts collapse to one node (128-bit hash of the word sequence).
-2. Every node of a bucket is aligned with the bucket's smallest node (a star),
-   so a group of thousands of copies costs a linear number of alignments.
-3. Links give components.  Then all pairs of a bucket that lie in different
-   components are aligned as well, so no link is lost.  In a bucket crowded
-   with components the pairs come from an exact prefix filter over all k-mers
-   instead: two texts of similarity t share one of the (1-t)|A| + 1 k-mers that
-   are rarest in the crowd, so texts with only a common passage do not meet.
+2. The hub of a bucket is its member that meets the most company in all its
+   buckets.  Every other member is aligned with its hub (a star), so a group of
+   thousands of copies costs a linear number of alignments.
+3. A hub that carries edits of its own gives way to the member nearest to the
+   k-mers that most of the star agree on, with a second star around it.
+4. Members linked to one hub are connected.  What is left are pairs under one
+   hub H of which one, A, is not linked to H.  With E(X) the k-mers in which X
+   and H differ, A and B differ in exactly those in which E(A) and E(B) do, so a
+   link needs an overlap of at least (|E(A)| + |E(B)| - (|A| + |B|) / 9) / 2.
+   A prefix filter on these sets, rarest k-mer first, finds all pairs that can
+   reach it; an edited copy's prefix is k-mers of its own, so unlinked copies
+   of one text do not meet each other.  The found pairs are aligned.
+5. Links give components.
 
 Cases: texts without words are never grouped (each is its own class); texts of
 fewer than five words are one k-mer, so only equal ones meet; a null id takes
@@ -34,7 +40,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, mix64, split_words, written
@@ -43,7 +49,6 @@ K = 5
 THRESHOLD = 0.8
 SKETCHES = 16
 PICKED = 3
-CROWD = 64
 _CANDIDATES = 24
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -167,26 +172,43 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return len(tails) / (total - len(tails))
 
 
+def _texts_kmers(texts: pa.Array, k: int) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for b in chunks([pa.RecordBatch.from_arrays([texts], names=["text"])]):
+        h, first = kmers(split_words(b.column("text"), lower=True), k)
+        out += np.split(h, first[1:-1])
+    return out
+
+
 def _align(k: int, threshold: float):
+    """Align ``text_a`` with ``text_b``; with ``wide``, hand on the k-mers in
+    which the two differ."""
     def run(batches):
         for b in batches:
-            kept: list[int] = []
-            last: tuple[str, np.ndarray] | None = None
-            for i, (x, y) in enumerate(zip(b.column("text_a"), b.column("text_b"))):
-                x = x.as_py()
-                if last is None or last[0] != x:
-                    last = (x, kmers(split_words(pa.array([x]), lower=True), k)[0])
-                if similarity(last[1], kmers(split_words(pa.array([y.as_py()]), lower=True), k)[0], threshold) >= threshold:
-                    kept.append(i)
-            yield b.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+            sides = []
+            for c in ("text_a", "text_b"):
+                code = b.column(c).dictionary_encode()
+                grams = _texts_kmers(code.dictionary, k)
+                sides.append([grams[i] for i in code.indices.to_pylist()])
+            n_a, n_b = ([len(x) for x in side] for side in sides)
+            linked = [similarity(x, y, threshold) >= threshold for x, y in zip(*sides)]
+            differ = [np.setxor1d(x, y, assume_unique=True).view(np.int64) if wide else None
+                      for x, y, wide in zip(*sides, b.column("wide").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("a"), b.column("b"), pa.array(linked, pa.bool_()), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()),
+                 pa.array(differ, pa.list_(pa.int64()))], names=["a", "b", "linked", "n_a", "n_b", "differ"])
     return run
 
 
-def linked(pairs: DataFrame, texts: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (``a, b``: nodes) whose texts are similar enough."""
+ALIGNED = "a binary, b binary, linked boolean, n_a int, n_b int, differ array<long>"
+
+
+def aligned(pairs: DataFrame, texts: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
+    """``pairs`` (``a, b``: nodes, ``wide``) with whether their texts are
+    similar enough, their lengths and, if wide, the k-mers in which they differ."""
     side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_align(k, threshold), "a binary, b binary")
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "wide", "text_a", "text_b")
+    return both.mapInArrow(_align(k, threshold), ALIGNED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,35 +235,60 @@ def _alike(n: Column, m: Column, threshold: float) -> Column:
     return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)
 
 
-def _rare_kmers(k: int):
-    def run(batches):
-        for b in chunks(batches):
-            h, first = kmers(split_words(b.column("text"), lower=True), k)
-            at = np.repeat(np.arange(b.num_rows), np.diff(first))
-            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(at)), pa.array(h.view(np.int64))], names=["node", "kmer"])
-    return run
-
-
-def crowd_pairs(crowd: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Pairs of ``crowd`` (``node, n, label``) in different components that
-    share one of their rarest k-mers: a superset of all links, by the prefix
-    filter."""
-    from pyspark.sql import Window
-    grams = written(texts.join(crowd, "node", "left_semi").select("node", "text")
-                    .mapInArrow(_rare_kmers(k), "node binary, kmer long"), "crowd-kmers")
-    common = grams.groupBy("kmer").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    order = Window.partitionBy("node").orderBy("held", "kmer")
-    ranked = grams.join(common, "kmer", "left").fillna(1, ["held"]).withColumn("rank", F.row_number().over(order))
-    few = (ranked.filter("held > 1").join(crowd, "node")
-           .filter(F.col("rank") <= F.floor(F.lit(1 - threshold) * F.col("n") + 1e-9) + 1))
-    few = written(few.select("kmer", "node", "n", "label"), "crowd-prefix")
-    x, y = few.alias("x"), few.alias("y")
-    return (x.join(y, (F.col("x.kmer") == F.col("y.kmer")) & (F.col("x.label") < F.col("y.label"))
-                   & _alike(F.col("x.n"), F.col("y.n"), threshold))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-
-
-def near_dups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+def centres(spokes: DataFrame) -> DataFrame:
+    """``a, centre``: for each star whose hub is not the member nearest to the
+    star's majority, that member."""
+    s = spokes.filter(F.col("differ").isNotNull())
+    grams = s.select("a", "b", F.explode("differ").alias("kmer"))
+    members = s.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
+    # the hub is wrong where most members differ from it
+    wrong = (grams.groupBy("a", "kmer").agg(F.count(F.lit(1)).alias("held")).join(members, "a")
+             .filter(F.col("held") * 2 > F.col("members")).select("a", "kmer"))
+    wrong = written(wrong, "majority")
+    n_wrong = wrong.groupBy("a").agg(F.count(F.lit(1)).alias("n_wrong"))
+    right = grams.join(wrong, ["a", "kmer"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("right"))
+    far = s.join(n_wrong, "a").join(right, ["a", "b"]).select(
+        "a", "b", "n_wrong", (F.size("differ") + F.col("n_wrong") - 2 * F.col("right")).alias("far"))
+    best = far.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best"), F.first("n_wrong").alias("n_wrong"))
+    return best.filter(F.col("best.far") < F.col("n_wrong")).select("a", F.col("best.b").alias("centre"))
+
+
+def open_pairs(spokes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes under one hub, at least one of them not linked to it,
+    that can be similar enough.  ``spokes`` is ``aligned`` (hub ``a``, member
+    ``b``)."""
+    part = F.lit((1 - threshold) / (1 + threshold))  # |A d B| <= part * (|A| + |B|)
+    s = (spokes.filter(F.col("differ").isNotNull())
+         .select("a", "b", "linked", "n_b", "differ", F.size("differ").alias("e"),
+                 (F.size("differ") - part * F.col("n_b")).alias("spare"),
+                 # similar as a set but not in order: the bound below does not hold
+                 (~F.col("linked") & (F.size("differ") <= part * (F.col("n_a") + F.col("n_b")))).alias("shuffled")))
+    least = s.groupBy("a").agg(F.min(F.when(~F.col("linked") & ~F.col("shuffled"), F.col("spare"))).alias("open_spare"),
+                               F.min("spare").alias("any_spare"), F.max("shuffled").alias("some_shuffled"))
+    s = written(s.join(least, "a").filter(F.col("open_spare").isNotNull() | F.col("some_shuffled")), "open-spokes")
+
+    def prefix(other):  # the overlap with any partner is at least (spare + other) / 2
+        return F.col("e") - F.greatest(F.lit(1), F.ceil((F.col("spare") + F.col(other)) / 2 - 1e-6)) + 1
+
+    grams = s.select("a", "b", "linked", "shuffled", "n_b", F.explode("differ").alias("kmer"),
+                     prefix("any_spare").alias("as_open"), F.coalesce(prefix("open_spare"), F.lit(0)).alias("as_any"))
+    held = grams.groupBy("a", "kmer").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    grams = written(grams.join(held, ["a", "kmer"]), "open-kmers")
+    alone = s.select("a", "b", "e").join(grams.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")), ["a", "b"])
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("held", "kmer"))
+    # k-mers that nobody else holds come first in the order
+    ranked = grams.join(alone, ["a", "b"]).withColumn("rank", rank + F.col("e") - F.col("met"))
+    first = written(ranked.filter(F.col("rank") <= F.greatest("as_open", "as_any")), "open-prefix")
+    x = first.filter(~F.col("linked") & ~F.col("shuffled") & (F.col("rank") <= F.col("as_open"))).alias("x")
+    y = first.filter(F.col("rank") <= F.col("as_any")).alias("y")
+    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") != F.col("y.b")) & _alike(F.col("x.n_b"), F.col("y.n_b"), threshold)
+    pairs = x.join(y, same & (F.col("x.kmer") == F.col("y.kmer")))
+    odd = s.filter("shuffled").alias("x").join(s.alias("y"), same)
+    both = lambda d: d.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
+    return both(pairs).union(both(odd)).distinct()
+
+
+def near_dups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """Class of every document of ``docs`` (``doc_id, text``): ``doc_id,
     class_id`` (smallest id of the group), ``text_id`` (smallest id with an
     equal text), ``kept`` (true for the document that stays)."""
@@ -251,34 +298,32 @@ def near_dups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, crowd:
     nodes = written(rows.filter("n > 0").groupBy("node").agg(one).select("node", "r.doc_id", "r.text_hash", "r.n", "r.buckets"), "nodes")
 
     members = nodes.select(F.explode("buckets").alias("bucket"), "node", "n")
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    shared = written(members.join(hubs, "bucket").select("bucket", "held", "node", "n", "hub"), "buckets")
-    wanted = shared.select("node").distinct().join(nodes, "node").select("node", "doc_id", "text_hash")
+    held = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    met = written(members.join(held, "bucket").select("bucket", "node", "n", "held"), "met")
+    central = met.groupBy("node").agg(F.sum(F.col("held") - 1).alias("company"))
+    met = written(met.join(central, "node"), "buckets")
+    hubs = met.groupBy("bucket").agg(F.max(F.struct("company", "node", "n")).alias("hub"))
+    # a star per hub, over all the buckets it is the hub of
+    stars = met.join(hubs, "bucket").filter(F.col("node") != F.col("hub.node")).select(
+        F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    stars = written(stars, "stars")
+    several = stars.groupBy("a").agg((F.count(F.lit(1)) > 1).alias("wide"))
+    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct().join(nodes, "node").select("node", "doc_id", "text_hash")
     w, s = wanted.alias("w"), source.alias("s")
     texts = s.join(w, (F.col("s.text_hash") == F.col("w.text_hash")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")))
-    texts = written(texts.groupBy("w.node").agg(F.first("s.text").alias("text")), "bucket-texts")
-
-    stars = written(shared.filter((F.col("node") != F.col("hub.node")) & _alike(F.col("n"), F.col("hub.n"), threshold))
-                    .select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = written(linked(stars, texts, k, threshold), "links")
-    labels = components(links)
-
-    open_ = shared.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-    split = (open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-             .filter("low <> high").select("bucket", "size"))
-    open_ = written(open_.join(split, "bucket"), "open-buckets")
-    small = open_.filter(F.col("size") <= crowd)
-    x, y = small.alias("x"), small.alias("y")
-    pairs = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))
-                    & _alike(F.col("x.n"), F.col("y.n"), threshold))
-             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    many = written(open_.filter(F.col("size") > crowd).select("node", "n", "label").distinct(), "crowd")
-    if not many.isEmpty():
-        pairs = pairs.union(crowd_pairs(many, texts, k, threshold)).distinct()
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(stars, ["a", "b"], "left_anti")
-    more = written(linked(written(pairs, "pairs"), texts, k, threshold), "more-links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    texts = written(texts.groupBy("w.node").agg(F.first("s.text").alias("text")), "texts")
+
+    spokes = written(aligned(stars.join(several, "a"), texts, k, threshold), "spokes")
+    moved = written(centres(spokes), "centres")
+    again = stars.union(stars.select("a", F.col("a").alias("b")).distinct()).join(moved, "a").filter(F.col("b") != F.col("centre"))
+    again = written(again.select(F.col("centre").alias("a"), "b").distinct(), "stars")
+    closer = written(aligned(again.withColumn("wide", F.lit(True)), texts, k, threshold), "spokes")
+    links = spokes.union(closer).filter("linked").select("a", "b")
+    final = spokes.join(moved, "a", "left_anti").union(closer)
+    seen = stars.union(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = written(open_pairs(final, threshold).join(seen, ["a", "b"], "left_anti"), "pairs")
+    more = written(aligned(pairs.withColumn("wide", F.lit(False)), texts, k, threshold), "more-spokes").filter("linked").select("a", "b")
+    labels = components(links.union(more))
 
     by_node = nodes.select("node", F.col("doc_id").alias("text_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = by_node.groupBy("label").agg(F.min("text_id").alias("class_id"))

@@ -188,8 +188,8 @@ covered AS (
 m AS (
   SELECT w.rid, doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
-         len(list_filter(ls, x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
-           - len(list_distinct(list_filter(ls, x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+           - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
          coalesce(c.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS capitals, len(ls) AS n_lines
   FROM w LEFT JOIN covered c ON w.rid = c.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
