@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -21,9 +22,25 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CHUNK_BYTES = 1 << 19
 
 
+_SCOPE = ["tables"]
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder of this application's written intermediates, in the shared folder."""
-    return f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{_SCOPE[-1]}"
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Intermediates written inside are deleted at the end: compute or write
+    what depends on them before."""
+    _SCOPE.append(f"scope-{uuid.uuid4().hex[:12]}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,13 +52,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every written intermediate.  Call it only when no result that
-    reads them is still to be computed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

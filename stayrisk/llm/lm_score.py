@@ -1,15 +1,18 @@
 """Operator 9: language-model scores by context-tree weighting over bytes.
 
-The model.  A byte is eight binary decisions (a node of a 255-node tree).  Its
-context is the classes of the last ``DEPTH`` bytes (``CLASSES`` of them: letters
-one each, then blanks, digits, other signs, UTF-8 lead and trail bytes; start
-of text counts as a line end).  Every node at every context depth has a
-Krichevsky-Trofimov estimate from its counts of zeros and ones, and the tree
-mixes all depths: P_w = 1/2 P_kt + 1/2 prod P_w(children).  Counts come from
-all training texts; block probabilities depend on counts alone, so the exact
-weights follow from the added-up counts.  The number of contexts is bounded by
-the classes, hence so are the counts and the table of log probabilities that is
-broadcast for scoring, at any size of corpus.
+The model.  A byte is eight binary decisions (a node of a 255-node tree); its
+context is the last ``DEPTH`` bytes, nearest first, with the end sign before the
+start of a text.  A node has at every context depth a Krichevsky-Trofimov
+estimate from its counts of zeros and ones, and the tree mixes all depths:
+P_w = 1/2 P_kt + 1/2 prod P_w(children).  Counts come from all training texts;
+block probabilities depend on counts alone, so the exact weights follow from
+the added-up counts.  A byte is predicted by the nodes on its path, down to the
+deepest context that training has seen there.
+
+Model size.  A context is split further only if training holds it ``least``
+times, the smallest power of two that leaves at most ``MAX_CELLS`` (context,
+byte) pairs.  A context that is not split keeps all its counts, so every text
+counts at every size, and what is broadcast is bounded.
 
 The base.  Add-one unigram scores need the training count of every token.
 Words are counted by 64-bit hash.  The most frequent ones (up to
@@ -17,9 +20,9 @@ Words are counted by 64-bit hash.  The most frequent ones (up to
 frequent, are joined to the documents' own word lists by hash.
 
 Cases: null and empty texts have the end token only and the score of an
-immediate end; without training rows every base score is 0 and the model is
-uniform; null and repeated ids are fine (a null id is not held out); an empty
-table gives no rows.
+immediate end; without training rows every base score is 0 and every bit has
+probability 1/2; null and repeated ids are fine (a null id is not held out); an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,30 +37,18 @@ from pyspark.sql import functions as F
 
 from .common import chunks, held_out, split_bytes, sums_by_text, utf8, written
 
-DEPTH = 3
-CLASSES = 32
+DEPTH = 5
 END = 255  # never a byte of UTF-8
 COMMON_WORDS = 1 << 19
-CONTEXTS = CLASSES ** DEPTH
+MAX_CELLS = 3 << 18
 CHUNK = 1 << 20
 FLUSH = 1 << 21
 
 
-def byte_classes() -> np.ndarray:
-    c = np.full(256, 29, np.int32)
-    c[[10, 11, 12, 13, END]] = 0
-    c[[32, 9]] = 1
-    c[97:123] = np.arange(2, 28)
-    c[65:91] = np.arange(2, 28)
-    c[48:58] = 28
-    c[128:192] = 31
-    c[192:END] = 30
-    return c
-
-
 def cells(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context * 256 + byte of every byte and of every text's end, first cell
-    of each text).  The nearest byte is the most significant context digit."""
+    """(cell of every byte and of every text's end, first cell of each text).
+    A cell holds the byte in its low 8 bits, the byte before in the next 8 and
+    so on; ``cell & mask(d)`` is the cell of context depth ``d``."""
     n = np.diff(off) + 1
     first = np.concatenate([[0], np.cumsum(n)])
     x = np.full(first[-1], END, np.uint8)
@@ -65,13 +56,16 @@ def cells(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside[first[1:] - 1] = False
     x[inside] = data
     place = np.arange(len(x)) - np.repeat(first[:-1], n)
-    kind = byte_classes()[x]
-    context = np.zeros(len(x), np.int32)
+    cell = x.astype(np.int64)
     for d in range(1, DEPTH + 1):
-        back = np.zeros(len(x), np.int32)
-        back[d:] = kind[:-d] if d < len(x) else kind[:0]
-        context = context * CLASSES + np.where(place >= d, back, 0)
-    return context * 256 + x, first
+        back = np.full(len(x), END, np.int64)
+        back[d:] = x[:max(0, len(x) - d)]
+        cell |= np.where(place >= d, back, END) << (8 * d)
+    return cell, first
+
+
+def mask(d: int) -> int:
+    return (1 << (8 * (d + 1))) - 1
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -90,67 +84,62 @@ def _kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.where(small, 0.0, out)
 
 
-def _bit_counts(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(zeros, ones) of the nodes of each bit level, from counts (..., 256)."""
-    out = []
-    while counts.shape[-1] > 1:
-        out.append((counts[..., 0::2], counts[..., 1::2]))
-        counts = counts[..., 0::2] + counts[..., 1::2]
-    return out[::-1]
-
-
-def log_table(counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte in each context (contexts x 256, float32)
-    by context-tree weighting of training ``counts`` (contexts x 256)."""
-    half = math.log(0.5)
-    out = np.empty((CONTEXTS, 256), np.float32)
-    leaves = CONTEXTS // CLASSES  # contexts below one context of depth 1
-
-    def branch(c: int):
-        """Block probabilities, weights and estimates below context (c,)."""
-        part = counts[c * leaves:(c + 1) * leaves].astype(np.float64)
-        levels = []
-        for d in range(DEPTH, 0, -1):
-            levels.append(_bit_counts(part))
-            part = part.reshape(-1, CLASSES, 256).sum(axis=1) if d > 1 else part
-        return levels  # deepest first; bit levels of (contexts at depth d, nodes)
-
-    root = counts.sum(axis=0, dtype=np.float64)[None]
-    root_bits = _bit_counts(root)
-    below = [np.zeros((1, 1 << b)) for b in range(8)]
-    for c in range(CLASSES):
-        levels = branch(c)
-        for b in range(8):
-            block = None
-            for bits in levels:
-                own = _kt_log(*bits[b])
-                block = own if block is None else np.logaddexp(half + own, half + block.reshape(-1, CLASSES, block.shape[-1]).sum(axis=1))
-            below[b] += block
-    root_weight = []
+def context_tree(by_depth: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """The mixed estimates of a tree from its (sorted cells, counts) at depths
+    0, 1, ...: for each bit level and depth the sorted nodes, and for each node
+    the probability of a one if no deeper context knows the node."""
+    half, out = math.log(0.5), []
     for b in range(8):
-        own = _kt_log(*root_bits[b])
-        root_weight.append(np.exp(half + own - np.logaddexp(half + own, half + below[b])))
-    for c in range(CLASSES):
-        levels = branch(c)
-        log_p = np.zeros((leaves, 1))
-        for b in range(8):
-            block, weights = None, []
-            for bits in levels:
-                own = _kt_log(*bits[b])
-                if block is None:
-                    block = own
-                else:
-                    deeper = half + block.reshape(-1, CLASSES, block.shape[-1]).sum(axis=1)
-                    block = np.logaddexp(half + own, deeper)
-                    weights.append(np.exp(half + own - block))
-            estimate = lambda bits: (bits[b][1] + 0.5) / (bits[b][0] + bits[b][1] + 1.0)
-            p = estimate(levels[0])
-            for k, w in enumerate(weights, 1):  # mix from the deepest depth up
-                spread = CLASSES ** k
-                p = np.repeat(w, spread, axis=0) * np.repeat(estimate(levels[k]), spread, axis=0) + (1 - np.repeat(w, spread, axis=0)) * p
-            p = root_weight[b] * estimate(root_bits) + (1 - root_weight[b]) * p
-            log_p = np.stack([log_p + np.log10(1 - p), log_p + np.log10(p)], axis=-1).reshape(leaves, -1)
-        out[c * leaves:(c + 1) * leaves] = log_p
+        ids, zeros, ones, block, split = [], [], [], [], []
+        for cell, n in by_depth:
+            node = cell >> (8 - b)
+            start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+            bit = (cell >> (7 - b)) & 1
+            add = lambda v: np.add.reduceat(v, start) if len(start) else np.zeros(0)
+            ids.append(node[start])
+            one, total = add(n * bit), add(n)
+            ones.append(one.astype(np.float64))
+            zeros.append((total - one).astype(np.float64))
+        weight = [None] * len(ids)
+        for d in range(len(ids) - 1, -1, -1):
+            own = _kt_log(zeros[d], ones[d])
+            below, kids = np.zeros(len(own)), np.zeros(len(own), bool)
+            if d + 1 < len(ids) and len(ids[d + 1]):
+                up = np.searchsorted(ids[d], ids[d + 1] & ((1 << (8 * d + b)) - 1))
+                below = np.bincount(up, block[0], minlength=len(own))
+                kids[up] = True
+            mixed = np.where(kids, np.logaddexp(half + own, half + below), own)
+            weight[d] = np.where(kids, np.exp(half + own - mixed), 1.0)
+            block.insert(0, mixed)
+        # from the root down: what shallower depths have said, and the share left
+        level, said, left = [], np.zeros(1), np.ones(1)
+        for d in range(len(ids)):
+            if d:
+                up = np.searchsorted(ids[d - 1], ids[d] & ((1 << (8 * (d - 1) + b)) - 1))
+                said, left = (said + left * weight[d - 1] * estimate)[up], (left * (1 - weight[d - 1]))[up]
+            else:
+                said, left = np.zeros(len(ids[0])), np.ones(len(ids[0]))
+            estimate = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1.0)
+            level.append((ids[d], (said + left * estimate).astype(np.float32)))
+        out.append(level)
+    return out
+
+
+def log_probability(cell: np.ndarray, tree: list) -> np.ndarray:
+    """log10 probability of each cell's byte in its context."""
+    out = np.zeros(len(cell))
+    for b, level in enumerate(tree):
+        p, todo = np.full(len(cell), 0.5), np.arange(len(cell))
+        for d in range(len(level) - 1, -1, -1):
+            ids, q = level[d]
+            if not len(ids) or not len(todo):
+                continue
+            node = (cell[todo] & mask(d)) >> (8 - b)
+            at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
+            hit = ids[at] == node
+            p[todo[hit]] = q[at[hit]]
+            todo = todo[~hit]
+        out += np.log10(np.where((cell >> (7 - b)) & 1, p, 1 - p))
     return out
 
 
@@ -170,34 +159,54 @@ def _statistics(batches):
         key, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return key, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
-    words, held, texts, seen, pending = [], 0, 0, None, []
+    held: dict[int, list] = {WORD: [], CELL: []}
+    texts = 0
     for b in chunks(batches, limit=CHUNK):
         texts += b.num_rows
         data, off = utf8(b.column("text"), lower=True)
-        key, n = np.unique(split_bytes(data, off).hash.view(np.int64), return_counts=True)
-        words.append((key, n))
-        held += len(key)
-        if held > FLUSH:
-            words = [merged(words)]
-            held = len(words[0][0])
-            if held > FLUSH // 2:
-                yield from out(WORD, *words[0])
-                words, held = [], 0
-        pending.append(cells(data, off)[0])
-        if sum(map(len, pending)) > 8 * CHUNK:
-            part = np.bincount(np.concatenate(pending), minlength=CONTEXTS * 256)
-            seen, pending = part if seen is None else seen + part, []
-    if words:
-        yield from out(WORD, *merged(words))
-    if pending:
-        part = np.bincount(np.concatenate(pending), minlength=CONTEXTS * 256)
-        seen = part if seen is None else seen + part
-    if seen is not None:
-        at = np.flatnonzero(seen)
-        yield from out(CELL, at, seen[at])
+        for kind, key in ((WORD, split_bytes(data, off).hash.view(np.int64)), (CELL, cells(data, off)[0])):
+            held[kind].append(np.unique(key, return_counts=True))
+            if sum(len(k) for k, _ in held[kind]) > FLUSH:
+                held[kind] = [merged(held[kind])]
+                if len(held[kind][0][0]) > FLUSH // 2:
+                    yield from out(kind, *held[kind].pop())
+    for kind, parts in held.items():
+        if parts:
+            yield from out(kind, *merged(parts))
     yield from out(TEXT, np.zeros(1, np.int64), np.array([texts]))
 
 
+def grown_cells(cell: DataFrame, max_cells: int = MAX_CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted cells, counts) at each depth of the tree, from the counts of the
+    deepest cells (``key, n``): a depth holds the cells whose context's parent
+    was seen often enough to be split."""
+    masks = F.array(*[F.lit(mask(d)) for d in range(DEPTH + 1)])
+    deep = (cell.select(F.posexplode(masks).alias("d", "mask"), "key", "n")
+            .groupBy("d", F.col("key").bitwiseAND(F.col("mask")).alias("key")).agg(F.sum("n").alias("n")))
+    deep = written(deep, "lm-cells")
+    context = F.shiftright("key", 8)
+    total = deep.groupBy(F.col("d").alias("of"), context.alias("context")).agg(F.sum("n").alias("seen"))
+    above = F.col("context_masks")[F.greatest(F.col("d") - 1, F.lit(0))]
+    shorter = deep.withColumn("context_masks", F.array(F.lit(0).cast("long"), *[F.lit(mask(d - 1)).cast("long") for d in range(1, DEPTH + 1)]))
+    shorter = shorter.select("d", "key", "n", F.when(F.col("d") > 0, F.col("d") - 1).alias("of"), context.bitwiseAND(above).alias("context"))
+    known = shorter.join(total, ["of", "context"], "left").select("d", "key", "n", F.floor(F.log2("seen")).cast("int").alias("octave"))
+    known = written(known, "lm-known")
+    room, least = max_cells, 0
+    for r in known.filter("d > 0").groupBy("octave").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("octave")).collect():
+        if r["k"] > room:
+            least = r["octave"] + 1
+            break
+        room -= r["k"]
+    got = known.filter((F.col("d") == 0) | (F.col("octave") >= least)).select("d", "key", "n").toArrow()
+    d, key, n = (got.column(c).to_numpy() for c in ("d", "key", "n"))
+    out = []
+    for k in range(DEPTH + 1):
+        own, count = key[d == k], n[d == k]
+        order = np.argsort(own)
+        out.append((own[order], count[order]))
+    return out
+
+
 def fit(train: DataFrame, common_words: int = COMMON_WORDS) -> tuple[dict, DataFrame]:
     """(what scoring tasks need, ``key, n`` of the words outside it)."""
     counts = written(train.select("text").mapInArrow(_statistics, "kind int, key long, n long")
@@ -214,10 +223,8 @@ def fit(train: DataFrame, common_words: int = COMMON_WORDS) -> tuple[dict, DataF
     top = words.filter(F.col("n") >= least).select("key", "n").toArrow()
     key, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(key)
-    grid = np.zeros((CONTEXTS, 256), np.int64)
-    got = counts.filter(F.col("kind") == CELL).select("key", "n").toArrow()
-    grid.ravel()[got.column("key").to_numpy()] = got.column("n").to_numpy()
-    model = {"words": key[order], "logs": np.log10(n[order] + 1.0), "table": log_table(grid).ravel(), "texts": texts,
+    tree = context_tree(grown_cells(counts.filter(F.col("kind") == CELL).select("key", "n")))
+    model = {"words": key[order], "logs": np.log10(n[order] + 1.0), "tree": tree, "texts": texts,
              "tokens": sum(r["n"] for r in by_size) + texts, "distinct": sum(r["k"] for r in by_size) + (texts > 0)}
     return model, words.filter(F.col("n") < least).select("key", "n")
 
@@ -233,7 +240,8 @@ def _score(shared):
         for b in chunks(batches, limit=CHUNK):
             data, off = utf8(b.column("text"), lower=True)
             cell, first = cells(data, off)
-            score = sums_by_text(m["table"][cell], first)
+            kinds, which = np.unique(cell, return_inverse=True)
+            score = sums_by_text(log_probability(kinds, m["tree"])[which], first)
             words = split_bytes(data, off)
             text = words.text_of()
             unique, back = np.unique(words.hash, return_inverse=True)

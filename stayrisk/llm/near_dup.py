@@ -291,7 +291,7 @@ def open_pairs(spokes: DataFrame, threshold: float) -> DataFrame:
 def near_dups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """Class of every document of ``docs`` (``doc_id, text``): ``doc_id,
     class_id`` (smallest id of the group), ``text_id`` (smallest id with an
-    equal text), ``kept`` (true for the document that stays)."""
+    equal text), ``kept`` (true for the document that stays), ``text_hash``."""
     source = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     rows = written(source.mapInArrow(_sketch(k), SKETCH_SCHEMA), "sketches")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n", "buckets")).alias("r")
@@ -332,4 +332,13 @@ def near_dups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> Data
     own = F.col("n") == 0
     class_id = F.when(own, F.col("doc_id")).otherwise(F.col("class_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"),
-                      F.coalesce(F.col("doc_id") == class_id, class_id.isNull()).alias("kept"))
+                      F.coalesce(F.col("doc_id") == class_id, class_id.isNull()).alias("kept"), "text_hash")
+
+
+def keep_one(docs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stay, columns unchanged: one document of each
+    group.  Rows that share the kept id and its text stay together."""
+    gone = near_dups(docs, k, threshold).filter(~F.col("kept")).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash")) & docs["doc_id"].eqNullSafe(F.col("_id"))
+    return docs.join(gone, same, "left_anti")

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, mixing, near_dup, quality_model, quality_rules, toxicity
+from . import (decontam, langid, line_dedup, lm_score, mixing, near_dup, quality_model, quality_rules, token_counts,
+               toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +38,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "item_id", "coverage", "n_tiles", F.lit(True).alias("contaminated"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_table(token_counts.length_histogram(table(spark, sf_dir, "documents")))
+
+
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_dups(table(spark, sf_dir, "documents"))
+    return near_dup.near_dups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +52,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_language_id, op3_quality_rules, op4_quality_classifier, op5_decontaminate,
-    op7_near_dups, op8_line_dedup, op10_toxicity)}
+    op6_token_counts, op7_near_dups, op8_line_dedup, op9_lm_score, op10_toxicity)}
 ORACLE: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
