@@ -68,3 +68,36 @@ def global_running_sum(df: DataFrame, order: list, split: dict[str, Column],
     out = segmented_running_sum(df.withColumn(seg, F.lit(0)), [seg], order, split, values,
                                 exclusive, checkpoint)
     return out.drop(seg)
+
+
+def nested_running_sum(df: DataFrame, segment: list[str], order: list, levels: dict[str, Column],
+                       values: dict[str, Column]) -> DataFrame:
+    """Exclusive running sums of ``values`` within ``segment`` for segments of
+    any size.
+
+    ``levels`` (name -> column), read in turn, must never decrease along
+    ``order`` (a day, a minute of that day, ...).  They form a tree of blocks:
+    a block's offset is its parent's plus the totals of its earlier siblings,
+    so no window holds more than one block's children or one leaf's rows.
+    """
+    names = list(levels)
+    d = df.withColumns({**levels, **{f"_v_{k}": v for k, v in values.items()}})
+    path = lambda k: F.struct(*segment, *names[:k])  # noqa: E731 - struct equality is null-safe
+    before = Window.unboundedPreceding, -1
+    tables = {len(names): d.groupBy(*segment, *names).agg(*[F.sum(f"_v_{v}").alias(f"_t_{v}") for v in values])}
+    for k in range(len(names) - 1, 0, -1):
+        tables[k] = tables[k + 1].groupBy(*segment, *names[:k]).agg(*[F.sum(f"_t_{v}").alias(f"_t_{v}") for v in values])
+    offsets = None
+    for k in range(1, len(names) + 1):
+        w = Window.partitionBy(path(k - 1)).orderBy(names[k - 1]).rowsBetween(*before)
+        t = tables[k].select(path(k).alias("_path"), path(k - 1).alias("_up"),
+                             *[F.coalesce(F.sum(f"_t_{v}").over(w), F.lit(0)).alias(f"_o_{v}") for v in values])
+        if offsets is not None:
+            up = offsets.select(F.col("_path").alias("_up"), *[F.col(f"_o_{v}").alias(f"_p_{v}") for v in values])
+            t = t.join(up, "_up").select("_path", *[(F.col(f"_o_{v}") + F.col(f"_p_{v}")).alias(f"_o_{v}") for v in values])
+        offsets = t.drop("_up")
+    leaf = path(len(names))
+    w = Window.partitionBy(leaf).orderBy(*order).rowsBetween(*before)
+    local = d.withColumns({f"_l_{v}": F.coalesce(F.sum(f"_v_{v}").over(w), F.lit(0)) for v in values}).withColumn("_path", leaf)
+    out = local.join(offsets, "_path").withColumns({v: F.col(f"_l_{v}") + F.col(f"_o_{v}") for v in values})
+    return out.select(*df.columns, *values)

@@ -1,10 +1,11 @@
 """The ``bookings`` table: one row per order, derived from the driver tables.
 
 The definition is one SQL text (FIXTURES.md §2).  DuckDB runs it whole as a
-CTE.  Spark runs the same text up to ``b3`` and replaces the per-customer
-window of ``b4`` with :func:`segmented_running_sum`, so a customer with a
-huge share of the orders is spread over many tasks.  Both give identical
-integer counts (tested).
+CTE.  Spark runs the same text up to ``b3``; the per-customer window of ``b4``
+stays a window for customers of up to ``WINDOW_ROWS`` orders and becomes a
+:func:`nested_running_sum` for those above, so a customer with a huge share of
+the orders is spread over many tasks.  All give identical integer counts
+(tested).
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.prefix import segmented_running_sum
+from ..operators.prefix import nested_running_sum
 from ..session import shared_dir
 
 _BASE_CTES = """l AS (SELECT l_orderkey, count(*) AS n_lines, CAST(floor(sum(l_quantity)) AS BIGINT) AS qty,
@@ -82,10 +84,8 @@ BOOKINGS_SQL = "WITH " + _BASE_CTES + ",\n" + _WINDOW_CTE + "\n" + _FINAL_SELECT
 
 DRIVER_TABLES = ("orders", "customer", "lineitem")
 
-# bookings per split block inside one customer: a new block every day and
-# every 2^16 order keys, so a customer owning a third of the orders is still
-# spread over many tasks.
-_ID_BLOCK_BITS = 16
+# orders of one customer that one window task may hold
+WINDOW_ROWS = 1 << 20
 
 
 def register_driver_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> dict[str, str]:
@@ -106,32 +106,59 @@ def _with_views(sql: str, views: dict[str, str]) -> str:
     return sql
 
 
+def history_levels() -> dict:
+    """Blocks along (od, booking_id): day, minute, exact time, then id ranges.
+    No block has more children than there are days, 1440 minutes, distinct
+    times in a minute, or 2^16 id ranges; a leaf holds at most 2^16 ids."""
+    od = F.col("od").cast("timestamp")
+    return {"_day": F.to_date(od), "_minute": F.date_trunc("minute", od), "_time": od,
+            "_id32": F.shiftright("booking_id", 32), "_id16": F.shiftright("booking_id", 16)}
+
+
+def with_history(b3: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Add the cancelled and kept orders of the same customer before each
+    order, by (od, booking_id).  ``b3`` is read three times: pass a written
+    table."""
+    values = {"previous_cancellations": F.col("is_canceled"),
+              "previous_bookings_not_canceled": F.lit(1) - F.col("is_canceled")}
+    heavy = b3.groupBy("cust").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > window_rows).select("cust")
+    w = Window.partitionBy("cust").orderBy("od", "booking_id").rowsBetween(Window.unboundedPreceding, -1)
+    light = b3.join(heavy, "cust", "left_anti").withColumns({k: F.coalesce(F.sum(v).over(w), F.lit(0)) for k, v in values.items()})
+    large = nested_running_sum(b3.join(heavy, "cust", "left_semi").select(*b3.columns), ["cust"],
+                               [F.col("od"), F.col("booking_id")], history_levels(), values)
+    d = light.select(*b3.columns, *values).unionByName(large)
+    return d.withColumns({k: F.col(k).cast("int") for k in values})
+
+
 def bookings_plan(spark: SparkSession, sf_dir: str, use_sql_window: bool = False,
-                  checkpoint: bool = False) -> DataFrame:
+                  checkpoint: bool = False, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Bookings DataFrame.
 
     ``checkpoint=True`` writes the joined rows once to the shared checkpoint
-    folder before the running sums (they read them twice).
+    folder before the running sums (they are read more than once).
     ``use_sql_window=True`` runs the SQL text whole (single window per
     customer); it exists to test the balanced version against it.
     """
     views = register_driver_tables(spark, sf_dir)
-    if use_sql_window:
-        return spark.sql(_with_views(BOOKINGS_SQL, views))
-    # only what the final projection reads: lets Catalyst prune the unused
-    # lineitem aggregates before the rows are written for the running sums
-    b3 = spark.sql(_with_views("WITH " + _BASE_CTES + " SELECT * FROM b3", views)).drop("n_lines", "n_ret")
-    b4 = segmented_running_sum(
-        b3, segment=["cust"], order=[F.col("od"), F.col("booking_id")],
-        split={"_day": F.to_date("od"), "_idblk": F.shiftright("booking_id", _ID_BLOCK_BITS)},
-        values={"previous_cancellations": F.col("is_canceled"),
-                "previous_bookings_not_canceled": F.lit(1) - F.col("is_canceled")},
-        exclusive=True, checkpoint=checkpoint,
-    ).withColumns({"previous_cancellations": F.col("previous_cancellations").cast("int"),
-                   "previous_bookings_not_canceled": F.col("previous_bookings_not_canceled").cast("int")})
+    try:
+        if use_sql_window:
+            return spark.sql(_with_views(BOOKINGS_SQL, views))
+        # only what the final projection reads: lets Catalyst prune the unused
+        # lineitem aggregates before the rows are written for the running sums
+        b3 = spark.sql(_with_views("WITH " + _BASE_CTES + " SELECT * FROM b3", views)).drop("n_lines", "n_ret")
+    finally:
+        for v in views.values():
+            spark.catalog.dropTempView(v)
+    if checkpoint:
+        path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex[:12]}"
+        b3.write.parquet(path)
+        b3 = spark.read.parquet(path)
     view = f"b4_{uuid.uuid4().hex[:8]}"
-    b4.createOrReplaceTempView(view)
-    return spark.sql(_FINAL_SELECT.replace("FROM b4", f"FROM {view}"))
+    with_history(b3, window_rows).createOrReplaceTempView(view)
+    try:
+        return spark.sql(_FINAL_SELECT.replace("FROM b4", f"FROM {view}"))
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 _MATERIALIZED: dict[tuple, str] = {}
