@@ -30,13 +30,14 @@ LINEAR_WEIGHTS = {
 def _ranked_long(df: DataFrame, key: str, entries: list) -> DataFrame:
     """entries: list of (feature name, shap Column).  One row per (key,
     feature) with rank 1 = largest |shap| (ties: feature name)."""
-    arr = F.array(*[F.struct((-F.abs(v)).alias("k"), F.lit(f).alias("feature"), v.alias("shap"))
+    # an attribution that is null ranks after all others
+    arr = F.array(*[F.struct(v.isNull().alias("none"), (-F.abs(v)).alias("k"), F.lit(f).alias("feature"), v.alias("shap"))
                     for f, v in entries])
     d = df.select(key, F.posexplode(F.sort_array(arr)).alias("pos", "e"))
     return d.select(key, F.col("e.feature").alias("feature"), F.col("e.shap").alias("shap"),
                     F.abs(F.col("e.shap")).alias("abs_shap"),
                     (F.col("pos") + 1).cast("long").alias("rank"),
-                    F.when(F.col("e.shap") > 0, "raises").otherwise("lowers").alias("direction"))
+                    F.when(F.col("e.shap") > 0, "raises").when(F.col("e.shap").isNotNull(), "lowers").alias("direction"))
 
 
 # G16 + W01
@@ -76,15 +77,6 @@ def mean_abs_attribution(long: DataFrame) -> DataFrame:
                                        F.count(F.lit(1)).alias("n"))
 
 
-def sample_by_hash(df: DataFrame, n_target: int, total: int, key: str = "booking_id",
-                   seed: int = 42) -> DataFrame:
-    """Repeatable sample of about ``n_target`` rows: keep rows whose hash falls
-    under n_target/total (a sampling operator: the sample *is* the feature)."""
-    frac = min(1.0, n_target / max(total, 1))
-    u = (F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit(0xFFFFFFFF)) / 4294967296.0)
-    return df.filter(u < frac)
-
-
 def feature_names(df: DataFrame, features_col: str) -> list[str]:
     """Slot names of an assembled vector column from its ML attribute metadata."""
     meta = df.schema[features_col].metadata.get("ml_attr", {})

@@ -7,11 +7,13 @@ read more than once are written to the shared folder.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import (OneHotEncoder, RobustScaler, SQLTransformer,
-                                StringIndexer, TargetEncoder, VectorAssembler)
+                                StringIndexer, TargetEncoder, VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,31 +44,67 @@ def model_frame(bookings: DataFrame, weighted: bool = True) -> DataFrame:
     return en.with_class_weight(fm, LABEL) if weighted else fm.withColumn("weight", F.lit(1.0))
 
 
-def feature_stages(te_smoothing: float = 10.0) -> list:
-    """F02-F05 as MLlib stages: one-hot (no level dropped), target encoding
-    for agent and country, base-2 code columns for market segment, log1p +
-    robust scaling for skewed counts."""
+CATEGORIES = ONEHOT_COLS + ["agent_key", "country_grouped"] + BINARY_COLS
+
+
+def _head_stages(te_smoothing: float) -> list:
     prep = SQLTransformer(statement=(
         "SELECT *, " + ", ".join(f"log1p(greatest(CAST({c} AS DOUBLE), 0D)) AS {c}_log" for c in LOG_COLS)
         + ", CAST(company IS NOT NULL AS INT) AS has_company, CAST(agent AS STRING) AS agent_key FROM __THIS__"))
-    cats = ONEHOT_COLS + ["agent_key", "country_grouped"] + BINARY_COLS
-    idx = StringIndexer(inputCols=cats, outputCols=[f"{c}_idx" for c in cats],
+    idx = StringIndexer(inputCols=CATEGORIES, outputCols=[f"{c}_idx" for c in CATEGORIES],
                         handleInvalid="keep", stringOrderType="alphabetAsc")
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in ONEHOT_COLS],
                         outputCols=[f"{c}_ohe" for c in ONEHOT_COLS], dropLast=False, handleInvalid="keep")
     te = TargetEncoder(inputCols=["agent_key_idx", "country_grouped_idx"], outputCols=["agent_te", "country_te"],
                        labelCol=LABEL, targetType="binary", handleInvalid="keep", smoothing=te_smoothing)
+    return [prep, idx, ohe, te]
+
+
+def code_width(levels: int) -> int:
+    """Bits for codes 1..levels; 0 is the code of null and unseen values."""
+    return max(1, levels.bit_length())
+
+
+def fit_featurizer(train: DataFrame, te_smoothing: float = 10.0) -> PipelineModel:
+    """F02-F05 as one persistable pipeline: one-hot (no level dropped), target
+    encoding for agent and country (null and unseen values: the prior, as F04),
+    base-2 codes of as many bits as the fitted market segments need, log1p +
+    robust scaling for skewed counts."""
+    head = Pipeline(stages=_head_stages(te_smoothing)).fit(train)
+    labels = dict(zip(CATEGORIES, head.stages[1].labelsArray))
+    prior = train.agg(F.avg(LABEL)).first()[0] or 0.0
     # "+ 0.0" drops the nominal metadata the encoder copies from the index
     # column, so trees treat the encodings as numbers, not 60-level categories
-    bits = SQLTransformer(statement="SELECT *, agent_te + 0.0 AS agent_te_num, country_te + 0.0 AS country_te_num, " + ", ".join(
-        f"CAST(shiftright(CAST(market_segment_idx AS INT) + 1, {2 - i}) & 1 AS DOUBLE) AS market_segment_{i}"
-        for i in range(3)) + " FROM __THIS__")
-    logv = VectorAssembler(inputCols=[f"{c}_log" for c in LOG_COLS], outputCol="log_vec")
+    te = [f"CASE WHEN {c}_idx < {len(labels[c])} THEN {o} ELSE {prior!r}D END + 0.0D AS {o}_num"
+          for c, o in (("agent_key", "agent_te"), ("country_grouped", "country_te"))]
+    known, width = len(labels["market_segment"]), code_width(len(labels["market_segment"]))
+    code = f"CASE WHEN market_segment_idx < {known} THEN CAST(market_segment_idx AS INT) + 1 ELSE 0 END"
+    bits = [f"CAST(shiftright({code}, {width - 1 - i}) & 1 AS DOUBLE) AS market_segment_{i}" for i in range(width)]
+    numbers = SQLTransformer(statement=f"SELECT *, {', '.join(te + bits)} FROM __THIS__")
+    logv = VectorAssembler(inputCols=[f"{c}_log" for c in LOG_COLS], outputCol="log_vec", handleInvalid="keep")
     rs = RobustScaler(inputCol="log_vec", outputCol="log_scaled", withCentering=True, withScaling=True)
     asm = VectorAssembler(inputCols=[f"{c}_ohe" for c in ONEHOT_COLS] + ["agent_te_num", "country_te_num"]
-                          + [f"market_segment_{i}" for i in range(3)] + ["log_scaled"] + PLAIN_COLS,
+                          + [f"market_segment_{i}" for i in range(width)] + ["log_scaled"] + PLAIN_COLS,
                           outputCol="features", handleInvalid="keep")
-    return [prep, idx, ohe, te, bits, logv, rs, asm]
+    tail = Pipeline(stages=[numbers, logv, rs, asm]).fit(head.transform(train))
+    return PipelineModel(stages=head.stages + tail.stages)
+
+
+def train_matrix(featurizer: PipelineModel, train: DataFrame, folds: int = 5, te_smoothing: float = 10.0) -> DataFrame:
+    """Features of the rows the featurizer was fitted on: as it transforms
+    them, but each row's target encodings come from the other folds, so a row's
+    own label is not in its features."""
+    d = PipelineModel(stages=featurizer.stages[:3]).transform(train)
+    d = d.withColumn("_part", F.pmod(en.portable_hash(), F.lit(folds)).cast("int"))
+    for col, out in (("agent_key", "agent_te"), ("country_grouped", "country_te")):
+        d = en.target_encode_oof(d, col, "_part", LABEL, te_smoothing, out)
+    # the fitted statement sends unseen values to the prior; here the
+    # out-of-fold value stands for itself
+    numbers = featurizer.stages[4].getStatement()
+    for out in ("agent_te", "country_te"):
+        numbers = re.sub(rf"CASE WHEN \w+ < \d+ THEN {out} ELSE \S+ END", out, numbers)
+    tail = PipelineModel(stages=[SQLTransformer(statement=numbers)] + featurizer.stages[5:])
+    return tail.transform(d)
 
 
 MODEL_KINDS = ("logistic", "forest", "gbt_shallow", "gbt_deep", "gbt_sub")
@@ -111,13 +149,11 @@ def fit_many(jobs: list, parallelism: int = 3) -> list:
         return list(pool.map(lambda job: job(), jobs))
 
 
-def fit_featurizer(train: DataFrame) -> PipelineModel:
-    return Pipeline(stages=feature_stages()).fit(train)
-
-
-def fit_pipeline(train: DataFrame, kind: str) -> PipelineModel:
-    """Features + one classifier as one persisted-able PipelineModel."""
-    return Pipeline(stages=feature_stages() + [classifier(kind)]).fit(train)
+def fit_pipeline(train: DataFrame, kind: str, **params) -> PipelineModel:
+    """Features + one classifier as one persistable PipelineModel."""
+    feat = fit_featurizer(train)
+    est = classifier(kind)
+    return PipelineModel(stages=feat.stages + [est.copy({est.getParam(k): v for k, v in params.items()}).fit(train_matrix(feat, train))])
 
 
 def score(model: PipelineModel, df: DataFrame, kind: str, out: str = "p") -> DataFrame:
@@ -127,7 +163,7 @@ def score(model: PipelineModel, df: DataFrame, kind: str, out: str = "p") -> Dat
 def evaluate_scores(scored: DataFrame, p: str = "p", threshold: float = THRESHOLD) -> DataFrame:
     """One-row evaluation of a probability column: AUC, accuracy,
     precision, recall, F0.5 at the threshold, Brier."""
-    s = scored.select(LABEL, F.col(p).alias("score")).withColumn("prediction", fx.decision("score", threshold))
+    s = write_and_read(scored.select(LABEL, F.col(p).alias("score")).withColumn("prediction", fx.decision("score", threshold)), "scores")
     m = ev.class_metrics(ev.confusion(s))
     auc = ev.auc_roc(s).select("auc_roc")
     br = ev.brier(s)
@@ -156,68 +192,76 @@ def vote(members: list, feat: DataFrame, out: str = "p_vote") -> DataFrame:
 
 
 # F13
-def fit_stacking(train: DataFrame, kinds=("logistic", "gbt_shallow"), k: int = 3):
-    """Out-of-fold base probabilities -> logistic meta-learner; bases are then
-    refit on all training rows.  Returns (featurizer, bases, meta)."""
-    feat_model = fit_featurizer(train)
-    feat = en.stratified_folds(feat_model.transform(train), k).persist()
-    try:
-        folds = list(range(1, k + 1))
-        jobs = [lambda f=f, kind=kind: classifier(kind).fit(feat.filter(F.col("fold") != f))
-                for f in folds for kind in kinds]
-        fitted = iter(fit_many(jobs))
-        held = None
-        for f in folds:
-            d = feat.filter(F.col("fold") == f)
+STACK_BASES = ("gbt_shallow", "gbt_deep", "gbt_sub", "forest")
+
+
+def fit_stacking(train: DataFrame, kinds=STACK_BASES, k: int = 3, beside=()) -> PipelineModel:
+    """Stack as one persistable PipelineModel: features, base models, logistic
+    meta-learner (``prob_stack``).  The meta-learner sees base probabilities of
+    rows that neither the bases nor their encoders were fitted on.  Models
+    ``beside`` are fitted and scored along, but not stacked."""
+    folds = write_and_read(en.stratified_folds(train, k), "stack-folds")
+
+    def meta_rows(f):
+        part = folds.filter(F.col("fold") != f)
+        feat = fit_featurizer(part)
+        x = train_matrix(feat, part).persist()
+        try:
+            d = feat.transform(folds.filter(F.col("fold") == f))
             for kind in kinds:
-                d = next(fitted).transform(d).withColumn(f"p_{kind}", p1(f"prob_{kind}"))
-            d = d.select("booking_id", LABEL, "weight", *[f"p_{kind}" for kind in kinds])
-            held = d if held is None else held.unionByName(d)
-        meta_in = VectorAssembler(inputCols=[f"p_{kind}" for kind in kinds], outputCol="meta_features")
-        meta = Pipeline(stages=[meta_in, LogisticRegression(
-            featuresCol="meta_features", labelCol=LABEL, weightCol="weight", probabilityCol="prob_stack",
-            rawPredictionCol="raw_stack", predictionCol="pred_stack", threshold=THRESHOLD)]).fit(held)
-        bases = list(zip(kinds, fit_many([lambda kind=kind: classifier(kind).fit(feat) for kind in kinds])))
-        return feat_model, bases, meta
-    finally:
-        feat.unpersist()
-
-
-def stack_score(feat_model, bases, meta, df: DataFrame, out: str = "p_stack") -> DataFrame:
-    d = feat_model.transform(df)
-    for kind, m in bases:
-        d = m.transform(d).withColumn(f"p_{kind}", p1(f"prob_{kind}"))
-    return meta.transform(d).withColumn(out, p1("prob_stack"))
+                d = classifier(kind).fit(x).transform(d)
+            return write_and_read(d.select(LABEL, "weight", *[f"prob_{kind}" for kind in kinds]), "stack-meta")
+        finally:
+            x.unpersist()
+
+    def bases():
+        feat = fit_featurizer(train)
+        x = train_matrix(feat, train).persist()
+        try:
+            return feat, [classifier(kind).fit(x) for kind in (*kinds, *beside)]
+        finally:
+            x.unpersist()
+
+    *held, (feat, models) = fit_many([lambda f=f: meta_rows(f) for f in range(1, k + 1)] + [bases])
+    rows = held[0]
+    for h in held[1:]:
+        rows = rows.unionByName(h)
+    pick = [VectorSlicer(inputCol=f"prob_{kind}", outputCol=f"p1_{kind}", indices=[1]) for kind in kinds]
+    join = VectorAssembler(inputCols=[f"p1_{kind}" for kind in kinds], outputCol="meta_features")
+    meta = Pipeline(stages=[*pick, join, LogisticRegression(
+        featuresCol="meta_features", labelCol=LABEL, weightCol="weight", probabilityCol="prob_stack",
+        rawPredictionCol="raw_stack", predictionCol="pred_stack", threshold=THRESHOLD)]).fit(rows)
+    return PipelineModel(stages=feat.stages + models + meta.stages)
 
 
 # F16
-def cv_models(df: DataFrame, kinds=("logistic", "forest", "gbt_shallow"), k: int = 3) -> DataFrame:
-    """Per model x fold: F0.5, precision, recall on the held-out fold (each
-    fit is a distributed MLlib job; the loop only orders them)."""
-    feat_model = fit_featurizer(df)
-    feat = en.stratified_folds(feat_model.transform(df), k).persist()
-    try:
-        pairs = [(kind, f) for kind in kinds for f in range(1, k + 1)]
-        models = fit_many([lambda kind=kind, f=f: classifier(kind).fit(feat.filter(F.col("fold") != f))
-                           for kind, f in pairs])
-        parts = []
-        for (kind, f), m in zip(pairs, models):
-            s = (m.transform(feat.filter(F.col("fold") == f))
-                 .select(LABEL, F.lit(f).alias("fold"), F.col(f"pred_{kind}").cast("int").alias("prediction")))
-            parts.append(s.withColumn("model", F.lit(kind)))
-        allp = parts[0]
-        for p in parts[1:]:
-            allp = allp.unionByName(p)
-        g = allp.groupBy("model", "fold").agg(
+RANKED = (*STACK_BASES, "logistic", "voting", "stack")
+
+
+def cv_models(df: DataFrame, k: int = 5, inner: int = 2) -> DataFrame:
+    """Per model x fold: F0.5, precision, recall on the held-out fold, for the
+    five single models, their soft vote (logistic, forest, shallow boosting)
+    and the stack.  Encoders and models are fitted on the other folds only."""
+    folds = write_and_read(en.stratified_folds(df, k), "cv-folds")
+
+    def fold_scores(f):
+        model = fit_stacking(folds.filter(F.col("fold") != f).drop("fold"), k=inner, beside=("logistic",))
+        d = model.transform(folds.filter(F.col("fold") == f))
+        p = {kind: p1(f"prob_{kind}") for kind in (*STACK_BASES, "logistic", "stack")}
+        p["voting"] = (p["logistic"] + p["forest"] + p["gbt_shallow"]) / 3
+        each = F.array(*[F.struct(F.lit(m).alias("model"), fx.decision(p[m]).alias("prediction")) for m in RANKED])
+        return write_and_read(d.select(LABEL, "fold", F.inline(each)).groupBy("model", "fold").agg(
             F.count_if((F.col(LABEL) == 0) & (F.col("prediction") == 1)).alias("fp"),
             F.count_if((F.col(LABEL) == 1) & (F.col("prediction") == 0)).alias("fn"),
-            F.count_if((F.col(LABEL) == 1) & (F.col("prediction") == 1)).alias("tp"))
-        tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-        out = g.select("model", "fold", safe_div(1.25 * tp, 1.25 * tp + 0.25 * fn + fp).alias("f05"),
-                       safe_div(tp, tp + fp).alias("precision"), safe_div(tp, tp + fn).alias("recall"))
-        return write_and_read(out, "cv")
-    finally:
-        feat.unpersist()
+            F.count_if((F.col(LABEL) == 1) & (F.col("prediction") == 1)).alias("tp")), "cv-fold")
+
+    parts = fit_many([lambda f=f: fold_scores(f) for f in range(1, k + 1)], parallelism=2)
+    g = parts[0]
+    for part in parts[1:]:
+        g = g.unionByName(part)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return write_and_read(g.select("model", "fold", safe_div(1.25 * tp, 1.25 * tp + 0.25 * fn + fp).alias("f05"),
+                                   safe_div(tp, tp + fp).alias("precision"), safe_div(tp, tp + fn).alias("recall")), "cv")
 
 
 def write_and_read(df: DataFrame, kind: str) -> DataFrame:
@@ -257,54 +301,53 @@ def model_ranking(cv: DataFrame) -> DataFrame:
 
 
 # F17 / F18
-def _cv(estimator, grid, df: DataFrame, k: int, parallelism: int = 4):
-    """CrossValidator over our stratified folds.  The feature pipeline is
-    fitted once and its output persisted; only the classifier is refitted per
-    fold and parameter map (our choice: encoders see all training rows)."""
+TUNED = ("gbt_shallow", "gbt_deep", "gbt_sub")
+
+
+def _search(df: DataFrame, candidates: dict[str, list[dict]], method: str, k: int) -> DataFrame:
+    """Mean F0.5 over ``k`` stratified folds of each model's parameter sets;
+    encoders are fitted on the training folds of each split."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator
-    evaluator = MulticlassClassificationEvaluator(
-        labelCol=LABEL, predictionCol=estimator.getPredictionCol(), metricName="fMeasureByLabel",
-        metricLabel=1.0, beta=0.5)
-    feat = fit_featurizer(df).transform(df)
-    folds = (en.stratified_folds(feat, k).withColumn("fold0", (F.col("fold") - 1).cast("int"))
-             .select("features", LABEL, "weight", "fold0").persist())
-    try:
-        cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator,
-                            foldCol="fold0", parallelism=parallelism)
-        return cv.fit(folds)
-    finally:
-        folds.unpersist()
-
-
-def _param_rows(grid, metrics, method: str, model: str):
-    rows = []
-    for pm, score_ in zip(grid, metrics):
-        params = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-        rows.append((model, method, params, float(score_)))
-    return rows
-
-
-def tuning_grid(df: DataFrame, k: int = 3) -> DataFrame:
-    """grid search of the shallow boosted model with CrossValidator
-    (fold column = our stratified folds, F0.5 on the cancel class)."""
-    from pyspark.ml.tuning import ParamGridBuilder
-    gbt = classifier("gbt_shallow").setMaxIter(10)
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, [2, 4]).addGrid(gbt.stepSize, [0.1, 0.3]).build()
-    m = _cv(gbt, grid, df, k)
-    return df.sparkSession.createDataFrame(_param_rows(grid, m.avgMetrics, "grid", "gbt"),
-                                           "model string, method string, params string, f05 double")
-
-
-def tuning_random(df: DataFrame, n: int = 4, k: int = 3, seed: int = 7) -> DataFrame:
+    folds = write_and_read(en.stratified_folds(df, k), "search-folds")
+    tried = [(kind, params) for kind, sets in candidates.items() for params in sets]
+
+    def on_fold(f):
+        part = folds.filter(F.col("fold") != f)
+        feat = fit_featurizer(part)
+        x = train_matrix(feat, part).persist()
+        held = feat.transform(folds.filter(F.col("fold") == f)).select("features", LABEL, "weight").persist()
+
+        def one(kind, params):
+            est = classifier(kind)
+            model = est.copy({est.getParam(n): v for n, v in {"maxIter": 8, **params}.items()}).fit(x)
+            return MulticlassClassificationEvaluator(
+                labelCol=LABEL, predictionCol=est.getPredictionCol(), metricName="fMeasureByLabel",
+                metricLabel=1.0, beta=0.5).evaluate(model.transform(held))
+
+        try:
+            return fit_many([lambda c=c: one(*c) for c in tried], parallelism=4)
+        finally:
+            x.unpersist()
+            held.unpersist()
+
+    scores = [on_fold(f) for f in range(1, k + 1)]
+    rows = [(kind, method, ", ".join(f"{n}={v}" for n, v in sorted(params.items())), float(sum(s[i] for s in scores) / k))
+            for i, (kind, params) in enumerate(tried)]
+    return df.sparkSession.createDataFrame(rows, "model string, method string, params string, f05 double")
+
+
+def tuning_grid(df: DataFrame, k: int = 3, kinds=TUNED) -> DataFrame:
+    """grid search of the boosted models (depth x step)."""
+    grid = [{"maxDepth": d, "stepSize": s} for d in (2, 4) for s in (0.1, 0.3)]
+    return _search(df, {kind: grid for kind in kinds}, "grid", k)
+
+
+def tuning_random(df: DataFrame, n: int = 3, k: int = 3, seed: int = 7, kinds=TUNED) -> DataFrame:
     """seeded random search over the same space."""
     import random
-    gbt = classifier("gbt_shallow").setMaxIter(10)
     rnd = random.Random(seed)
-    grid = [{gbt.maxDepth: rnd.randint(2, 5), gbt.stepSize: round(rnd.uniform(0.05, 0.4), 3)} for _ in range(n)]
-    m = _cv(gbt, grid, df, k)
-    return df.sparkSession.createDataFrame(_param_rows(grid, m.avgMetrics, "random", "gbt"),
-                                           "model string, method string, params string, f05 double")
+    return _search(df, {kind: [{"maxDepth": rnd.randint(2, 5), "stepSize": round(rnd.uniform(0.05, 0.4), 3)} for _ in range(n)]
+                        for kind in kinds}, "random", k)
 
 
 # F19

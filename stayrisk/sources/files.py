@@ -8,6 +8,7 @@ over the scan: no Python per row.
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Sequence
 
@@ -43,25 +44,54 @@ def null_tokens_to_null(c: str, tokens: Sequence[str] = CSV_NULL_TOKENS):
     return F.when(F.col(c).isin(list(tokens)), F.lit(None)).otherwise(F.col(c))
 
 
+def typed(v, data_type: T.DataType):
+    """Text as ``data_type``; null if it is not one.  Whole numbers may carry a
+    fraction of zeros (``2.0``), as tables with missing values export them."""
+    plain = v.try_cast(data_type)
+    if not isinstance(data_type, (T.IntegerType, T.LongType, T.ShortType)):
+        return plain
+    number = v.try_cast("double")
+    whole = F.when(number == F.floor(number), number.cast("decimal(38,0)").try_cast(data_type))
+    return F.coalesce(plain, F.when(F.abs(number) < F.lit(1e18), whole))
+
+
+def _by_header(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(columns, files) for each distinct header among the CSV files of
+    ``path``: files are matched by name, not by position."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
+        F.monotonically_increasing_id().alias("line"))
+    heads = (lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"))
+             .groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).collect())
+    return sorted(((next(csv.reader([r["head"].lstrip("\ufeff")]), []), r["files"]) for r in heads), key=lambda x: x[1])
+
+
 # A01 / A02
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType = BOOKING_SCHEMA,
              tokens: Sequence[str] = CSV_NULL_TOKENS, with_file: bool = False) -> DataFrame:
     """Read booking CSV file(s) (a path, folder or glob) with a header.
 
     Columns in ``schema`` are converted to their declared type; any other
-    columns stay text.  ``with_file`` adds the source file name (A02's
-    per-file row counts are a ``groupBy`` on it).
+    columns stay text.  Files may have their columns in any order; a column
+    that a file lacks is null there.  ``with_file`` adds the source file name
+    (A02's per-file row counts are a ``groupBy`` on it).
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = None
+    for columns, names in _by_header(spark, path):
+        text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        part = spark.read.schema(text).option("header", True).csv(names)
+        if with_file:
+            part = part.withColumn("source_file", F.input_file_name())
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    if raw is None:  # no file has a line
+        raw = spark.createDataFrame([], T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
     types = {f.name: f.dataType for f in schema.fields}
     cols = []
     for c in raw.columns:
-        v = null_tokens_to_null(c, tokens)
+        v = null_tokens_to_null(c, tokens) if c != "source_file" else F.col(c)
         if c in types and not isinstance(types[c], T.StringType):
-            v = v.try_cast(types[c])
+            v = typed(v, types[c])
         cols.append(v.alias(c))
-    if with_file:
-        cols.append(F.input_file_name().alias("source_file"))
     return raw.select(*cols)
 
 
@@ -80,13 +110,14 @@ def file_row_counts(df: DataFrame) -> DataFrame:
 def dtype_audit(raw_text: DataFrame, schema: T.StructType = BOOKING_SCHEMA,
                 tokens: Sequence[str] = CSV_NULL_TOKENS) -> DataFrame:
     """Per declared non-text column: values present but not parseable as the
-    declared type.  One aggregate pass over the text scan."""
+    declared type (for whole numbers also values with a fraction).  One
+    aggregate pass over the text scan."""
     fields = [f for f in schema.fields if f.name in raw_text.columns
               and not isinstance(f.dataType, T.StringType)]
     aggs = []
     for f in fields:
         v = null_tokens_to_null(f.name, tokens)
-        aggs.append(F.count_if(v.isNotNull() & v.try_cast(f.dataType).isNull()).alias(f.name))
+        aggs.append(F.count_if(v.isNotNull() & typed(v, f.dataType).isNull()).alias(f.name))
     row = raw_text.agg(*aggs)
     arr = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("declared"),
                              F.col(f.name).alias("n_bad")) for f in fields])
@@ -95,12 +126,20 @@ def dtype_audit(raw_text: DataFrame, schema: T.StructType = BOOKING_SCHEMA,
 
 def write_with_null_tokens(df: DataFrame, path: str, tokens: Sequence[str] = ("NULL", "NA", "N/A", "None", "null", "", "nan"),
                            key: str = "booking_id") -> None:
-    """Write a CSV where each null is spelled with a different token (picked
-    by key), to exercise the null-token scan."""
+    """Write CSV files that exercise the scan: each null is spelled with a
+    different token (picked by key), a part of the whole numbers is written as
+    ``2.0``, and half of the rows go to files with the columns reversed."""
     k = len(tokens)
     tok = F.element_at(F.array(*[F.lit(t) for t in tokens]), (F.col(key) % k + 1).cast("int"))
-    cols = [F.coalesce(F.col(c).cast("string"), tok).alias(c) for c in df.columns]
-    df.select(*cols).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    cols = []
+    for f in df.schema.fields:
+        v = F.col(f.name).cast("string")
+        if isinstance(f.dataType, T.IntegerType):
+            v = F.when(F.col(key) % 3 == 0, F.concat(v, F.lit(".0"))).otherwise(v)
+        cols.append(F.coalesce(v, tok).alias(f.name))
+    for part, order in ((0, cols), (1, cols[::-1])):
+        (df.filter(F.pmod(F.xxhash64(key), F.lit(2)) == part).select(*order).write.mode("append")
+         .option("header", True).option("emptyValue", "").csv(path))
 
 
 # A03
@@ -115,6 +154,8 @@ def batch_contract(df: DataFrame, spark: SparkSession | None = None) -> DataFram
             action = "ok"
         elif c == "country" and "country_grouped" in have:
             action = "ok (country_grouped given)"
+        elif c == "country":
+            action = "country_grouped filled with 0"
         elif c in HARD_REQUIRED:
             action = "error"
         elif c in FILL_WITH_ZERO:
@@ -125,17 +166,6 @@ def batch_contract(df: DataFrame, spark: SparkSession | None = None) -> DataFram
     return spark.createDataFrame(rows, "column string, present boolean, hard_required boolean, action string")
 
 
-def fill_contract(df: DataFrame) -> DataFrame:
-    """Add missing fillable contract columns as 0 (company as null)."""
-    add = {}
-    for c in FILL_WITH_ZERO:
-        if c not in df.columns and c != "country_grouped":
-            add[c] = F.lit(0)
-    if "company" not in df.columns:
-        add["company"] = F.lit(None).cast("double")
-    return df.withColumns(add) if add else df
-
-
 # A04 / A05
 RESULT_COLUMNS = ["cancel_probability", "prediction", "risk_label"]
 

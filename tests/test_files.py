@@ -37,7 +37,23 @@ def test_contract_report(spark, sf):
     rep = {r["column"]: r["action"] for r in files.batch_contract(b).collect()}
     assert rep["meal"] == "filled with 0" and rep["lead_time"] == "error"
     assert rep["country"].startswith("ok") and rep["hotel"] == "ok"
-    assert "company" in files.fill_contract(b.drop("company")).columns
+    rep = {r["column"]: r["action"] for r in files.batch_contract(b.drop("country_grouped")).collect()}
+    assert rep["country"] == "country_grouped filled with 0"
+
+
+def test_float_text_and_header_order(spark):
+    tmp = tempfile.mkdtemp(prefix="stayrisk-test-")
+    os.mkdir(os.path.join(tmp, "in"))
+    for name, text in (("a.csv", "booking_id,lead_time,adults\n1,10.0,2\n2,2.5,2.0\n"),
+                       ("b.csv", "adults,booking_id,lead_time,note\n3,9007199254740993,200,x\n")):
+        with open(os.path.join(tmp, "in", name), "w", encoding="utf-8") as f:
+            f.write(text)
+    df = files.scan_csv(spark, os.path.join(tmp, "in"), with_file=True)
+    got = {r["booking_id"]: (r["lead_time"], r["adults"], r["note"]) for r in df.collect()}
+    assert got == {1: (10, 2, None), 2: (None, 2, None), 9007199254740993: (200, 3, "x")}
+    assert sorted(r["rows"] for r in files.file_row_counts(df).collect()) == [1, 2]
+    raw = spark.createDataFrame([("2.5", "7.0"), ("3", None)], "lead_time string, adults string")
+    assert {r["column"]: r["n_bad"] for r in files.dtype_audit(raw).collect()} == {"lead_time": 1, "adults": 0}
 
 
 def test_scored_roundtrip_and_preview(spark, sf):

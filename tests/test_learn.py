@@ -10,10 +10,7 @@ from stayrisk.sources.bookings import bookings
 @pytest.fixture(scope="module")
 def small_model(spark, sf):
     df = ln.model_frame(bookings(spark, sf))
-    gbt = ln.classifier("gbt_shallow").setMaxIter(5)
-    from pyspark.ml import Pipeline
-    model = Pipeline(stages=ln.feature_stages() + [gbt]).fit(df)
-    return df, model
+    return df, ln.fit_pipeline(df, "gbt_shallow", maxIter=5)
 
 
 def test_one_row_scores_like_inside_batch(spark, small_model):
@@ -58,3 +55,44 @@ def test_model_ranking_and_tuning_compare(spark):
     got = {x["model"]: (x["best_method"], x["best_f05"], x["grid"]) for x in t.collect()}
     assert got == {"CatBoost": ("optuna", 0.7233, 0.7210), "LightGBM": ("optuna", 0.7246, 0.7188),
                    "XGBoost": ("optuna", 0.7256, 0.7156)}
+
+
+def test_segment_codes_take_as_many_bits_as_needed(spark, sf):
+    df = ln.model_frame(bookings(spark, sf))
+    many = df.withColumn("market_segment", F.concat(F.lit("S"), (F.col("booking_id") % 8).cast("string")))
+    feat = ln.fit_featurizer(many)
+    odd = many.limit(20).withColumn("market_segment", F.when(F.col("booking_id") % 2 == 0, "unseen"))
+    d = feat.transform(many.unionByName(odd))
+    codes = d.groupBy("market_segment").agg(F.collect_set(F.array(*[f"market_segment_{i}" for i in range(4)])).alias("c")).collect()
+    by = {r["market_segment"]: [tuple(x) for x in r["c"]] for r in codes}
+    assert all(len(c) == 1 for c in by.values())
+    assert by["unseen"] == by[None] == [(0.0, 0.0, 0.0, 0.0)]
+    assert len({c[0] for s, c in by.items() if s and s != "unseen"}) == 8 and (0.0,) * 4 not in [by[f"S{i}"][0] for i in range(8)]
+
+
+def test_noise_category_does_not_look_predictive(spark, sf):
+    """With ids drawn at random in place of agents, features of training rows
+    must not give away their labels."""
+    df = ln.model_frame(bookings(spark, sf)).withColumn("agent", (F.xxhash64("booking_id") % 700).cast("double"))
+    feat = ln.fit_featurizer(df)
+    leak = feat.transform(df).agg(F.corr("agent_te_num", "is_canceled")).first()[0]
+    clean = ln.train_matrix(feat, df).agg(F.corr("agent_te_num", "is_canceled")).first()[0]
+    assert leak > 0.3 and abs(clean) < 0.1
+
+
+def test_null_and_unseen_agents_get_the_prior(spark, sf):
+    df = ln.model_frame(bookings(spark, sf))
+    feat = ln.fit_featurizer(df)
+    prior = df.agg(F.avg("is_canceled")).first()[0]
+    odd = df.limit(6).withColumn("agent", F.when(F.col("booking_id") % 2 == 0, F.lit(99999.0)))
+    assert {round(r[0], 12) for r in feat.transform(odd).select("agent_te_num").collect()} == {round(prior, 12)}
+
+
+def test_stack_saves_and_scores_without_label(spark, sf, tmp_path):
+    from pyspark.ml import PipelineModel
+    df = ln.model_frame(bookings(spark, sf))
+    stack = ln.fit_stacking(df, kinds=("gbt_shallow", "forest"), k=2)
+    stack.save(str(tmp_path / "stack"))
+    again = PipelineModel.load(str(tmp_path / "stack"))
+    p = lambda m, d: {r["booking_id"]: r["p"] for r in ln.score(m, d, "stack").select("booking_id", "p").collect()}
+    assert p(stack, df) == p(again, df.drop("is_canceled", "weight"))
