@@ -16,19 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_div, stable
-from .prefix import segmented_running_sum
+from .prefix import global_running_sum, segmented_running_sum
+from .quantiles import quantiles, value_block, value_counts
 
 Y = "is_canceled"
 
 
-def _checked_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast only after the row count is checked against ``limit``."""
-    n = df.count()
-    if n > limit:
-        raise ValueError(f"lookup has {n} rows, above the broadcast bound {limit}")
-    return F.broadcast(df)
-
-
 def left_lookup(df: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` left-joined to a per-key ``lookup`` table, with rows whose key
     is NULL kept out of the join (they cannot match).  In a shuffled join all
@@ -55,50 +48,37 @@ def learn_top_countries(df: DataFrame, k: int = 36, col: str = "country") -> Dat
 
 
 def lookup_country(df: DataFrame, top: DataFrame, col: str = "country",
-                   out: str = "country_learned", k_bound: int = 10_000) -> DataFrame:
+                   out: str = "country_learned") -> DataFrame:
     """Left join to the learned list; unlisted or null -> 'Other'."""
-    t = _checked_broadcast(top.select(F.col(col).alias("_ck"), F.col(col).alias("_cv")), k_bound)
-    j = df.join(t, df[col] == t["_ck"], "left")
-    return j.withColumn(out, F.coalesce(F.col("_cv"), F.lit("Other"))).drop("_ck", "_cv")
+    j = left_lookup(df, top.select(col, F.col(col).alias("_cv")), [col])
+    return j.withColumn(out, F.coalesce(F.col("_cv"), F.lit("Other"))).drop("_cv")
 
 
 # F02
 def onehot(df: DataFrame, col: str, levels: Sequence[str], prefix: str | None = None) -> DataFrame:
     """One 0/1 column per level (no level dropped).  ``levels`` come from the
-    feature definition or from :func:`learn_levels`."""
+    feature definition."""
     prefix = prefix or col
     return df.withColumns({f"{prefix}_{lv}": F.coalesce((F.col(col) == lv).cast("int"), F.lit(0))
                            for lv in levels})
 
 
-def learn_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list[str]:
-    """Distinct non-null values, sorted; bounded by ``max_levels``."""
-    vals = (df.filter(F.col(col).isNotNull()).select(col).distinct()
-            .orderBy(col).limit(max_levels + 1).collect())
-    if len(vals) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels; use target or binary encoding")
-    return [r[0] for r in vals]
-
-
 # F03
-def binary_codes(df: DataFrame, col: str, max_levels: int = 1_000_000) -> tuple[DataFrame, int]:
+def binary_codes(df: DataFrame, col: str) -> tuple[DataFrame, int]:
     """(value, code) with codes 1..n in value order, and the bit width
     ceil(log2(n+1)).  Ordering by value (not first appearance) is our
-    choice: Spark has no defined row order to take 'first seen' from."""
+    choice: Spark has no defined row order to take 'first seen' from.  Codes
+    are running counts over blocks of values, so any number of levels works."""
     d = df.filter(F.col(col).isNotNull()).select(col).distinct()
-    n = d.count()
-    if n > max_levels:
-        raise ValueError(f"{col}: {n} levels")
-    # the window runs over the distinct values only (n rows, checked above)
-    codes = d.withColumn("_code", F.dense_rank().over(Window.orderBy(col)).cast("long"))
-    return codes, max(1, math.ceil(math.log2(n + 1)))
+    kind = dict(d.dtypes)[col]
+    block = F.substring(col, 1, 3) if kind == "string" else value_block(F.col(col).cast("double"))
+    codes = global_running_sum(d, [F.col(col)], {"_block": block}, {"_code": F.lit(1).cast("long")}, exclusive=False, checkpoint=True)
+    return codes, max(1, math.ceil(math.log2(codes.count() + 1)))
 
 
-def binary_encode(df: DataFrame, col: str, broadcast_bound: int = 100_000) -> DataFrame:
+def binary_encode(df: DataFrame, col: str) -> DataFrame:
     codes, bits = binary_codes(df, col)
-    n = codes.count()
-    c = F.broadcast(codes) if n <= broadcast_bound else codes
-    j = df.join(c, col, "left")
+    j = left_lookup(df, codes, [col])
     code = F.coalesce(F.col("_code"), F.lit(0))
     return j.withColumns({f"{col}_{i}": F.shiftright(code, bits - 1 - i).bitwiseAND(1).cast("int")
                           for i in range(bits)}).drop("_code")
@@ -116,9 +96,9 @@ def target_encode(df: DataFrame, col: str, y: str = Y, m: float = 10.0,
     (the MLlib ``TargetEncoder`` smoothing form; m is our choice).  Null or
     unseen categories get the prior."""
     out = out or f"{col}_te"
-    prior = df.agg(F.avg(y)).scalar()
-    st = target_stats(df, col, y).filter(F.col(col).isNotNull())
-    j = left_lookup(df, st, [col])
+    every = target_stats(df, col, y)                          # includes the null category
+    prior = every.agg(F.sum("_s") / F.sum("_n")).scalar()
+    j = left_lookup(df, every.filter(F.col(col).isNotNull()), [col])
     te = (F.col("_s") + F.lit(m) * prior) / (F.col("_n") + F.lit(m))
     return j.withColumn(out, F.coalesce(te, prior)).drop("_s", "_n")
 
@@ -128,31 +108,34 @@ def target_encode_oof(df: DataFrame, col: str, fold: str = "fold", y: str = Y, m
     """Out-of-fold: each row is encoded with the statistics of the other
     folds: (category total) - (category, fold).  The prior is the
     out-of-fold label mean.  One aggregate pass over ``df`` by (category,
-    fold); category totals, fold totals and the grand total all derive from
-    that small table.  ``df`` is read twice (aggregate, join back), so pass a
-    written table when it is expensive to recompute."""
+    fold), written as a small table; category totals and the few fold sums
+    derive from it, and one join on the category brings them back."""
     out = out or f"{col}_te"
-    per = target_stats(df, col, y, by=[fold])                 # includes the null category
-    tot = (per.filter(F.col(col).isNotNull()).groupBy(col)
-           .agg(F.sum("_s").alias("_tot_s"), F.sum("_n").alias("_tot_n")))
-    fs = per.groupBy(fold).agg(F.sum("_s").alias("_fs"), F.sum("_n").alias("_fn"))
-    alls = per.agg(F.struct(F.sum("_s").alias("s"), F.sum("_n").alias("n"))).scalar()
-    j = left_lookup(left_lookup(df, per.filter(F.col(col).isNotNull()), [col, fold]), tot, [col])
-    j = j.join(F.broadcast(fs), fold, "left")                 # one row per fold
-    prior = (alls["s"] - F.col("_fs")) / (alls["n"] - F.col("_fn"))
-    s = F.col("_tot_s") - F.coalesce(F.col("_s"), F.lit(0))
-    n = F.col("_tot_n") - F.coalesce(F.col("_n"), F.lit(0))
+    from .learn import write_and_read
+    per = write_and_read(target_stats(df, col, y, by=[fold]), "fold-stats")   # includes the null category
+    sums = {r[fold]: (r["s"], r["n"]) for r in per.groupBy(fold).agg(F.sum("_s").alias("s"), F.sum("_n").alias("n")).collect()}
+    all_s, all_n = (sum(v[i] for v in sums.values()) for i in (0, 1))
+    cat = (per.filter(F.col(col).isNotNull()).groupBy(col)
+           .agg(F.sum("_s").alias("_tot_s"), F.sum("_n").alias("_tot_n"),
+                F.map_from_entries(F.collect_list(F.struct(fold, F.struct("_s", "_n")))).alias("_own")))
+    j = left_lookup(df, cat, [col])
+    prior = F.lit(None).cast("double")
+    for f, (s_f, n_f) in sums.items():
+        rest = (all_s - s_f) / (all_n - n_f) if all_n > n_f else None
+        prior = F.when(F.col(fold).eqNullSafe(F.lit(f)), F.lit(rest).cast("double")).otherwise(prior)
+    own = F.col("_own")[F.col(fold)]
+    s = F.col("_tot_s") - F.coalesce(own["_s"], F.lit(0))
+    n = F.col("_tot_n") - F.coalesce(own["_n"], F.lit(0))
     te = (s + F.lit(m) * prior) / (n + F.lit(m))
-    return j.withColumn(out, F.coalesce(te, prior)).drop("_s", "_n", "_tot_s", "_tot_n", "_fs", "_fn")
+    return j.withColumn(out, F.coalesce(te, prior)).drop("_tot_s", "_tot_n", "_own")
 
 
 # F05
 def log_robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_rs") -> DataFrame:
-    """log1p, then (v - median) / (Q3 - Q1) with exact quartiles (state is a
-    count per distinct value; for continuous columns at scale use MLlib's
-    ``RobustScaler``, which uses approximate quantiles)."""
-    q = df.agg(F.struct(*[F.percentile(F.log1p(F.col(c)), [0.25, 0.5, 0.75]).alias(c)
-                          for c in cols])).scalar()
+    """log1p, then (v - median) / (Q3 - Q1) with exact, distributed quartiles
+    (:mod:`.quantiles`)."""
+    q = quantiles(value_counts(df, {c: F.log1p(F.col(c)) for c in cols}), [0.25, 0.5, 0.75])
+    q = q.agg(F.map_from_entries(F.collect_list(F.struct("column", "q")))).scalar()
     outs = {}
     for c in cols:
         qc = q[c]

@@ -1,7 +1,7 @@
 """Data-quality and profiling jobs.
 
 Column-wise profiles run as *one* aggregate pass over the table (one
-``count_if``/``percentile``/``corr`` per column), then ``stack`` turns the
+``count_if`` per column), then ``stack`` turns the
 single wide row into a long (column, ...) table.  Value profiles
 ``stack`` the columns into (column, value) pairs first and aggregate once;
 the map-side partial aggregate keeps the shuffle at one row per distinct
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CATEGORY_DOMAINS, COUNTRIES, MIN_SUPPORT, NUMERIC_DOMAINS
 from ..functions.numeric import cents
+from .quantiles import quantiles, value_counts
 
 LABEL = "is_canceled"
 
@@ -97,14 +98,9 @@ def domain_check_category(df: DataFrame, domains: dict | None = None) -> DataFra
 # B08
 def adr_fences(df: DataFrame, by: Sequence[str] = ("hotel", "reserved_room_type"),
                k: float = 1.5) -> DataFrame:
-    """Upper ADR fence per hotel x room type: Q3 + k*IQR, in cents.
-
-    Exact ``percentile`` over integer cents: its per-group state is a count
-    per distinct cents value (bounded by the price grid), and the
-    interpolated quartiles are exact, so the fence is engine-independent.
-    """
-    q = df.filter(F.col("adr").isNotNull()).groupBy(*by).agg(
-        F.percentile(cents("adr"), [0.25, 0.75]).alias("q"))
+    """Upper ADR fence per hotel x room type: Q3 + k*IQR, in cents.  Quartiles
+    are exact and distributed (:mod:`.quantiles`)."""
+    q = quantiles(value_counts(df, {"adr": cents("adr")}, by), [0.25, 0.75], by)
     return q.select(*by, (F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("fence_cents"))
 
 
@@ -115,10 +111,6 @@ def flag_adr_outliers(df: DataFrame, lo: float = 0.0, hi: float = 510.0,
     above the fence of its own hotel x room type.  Fence table: one row per
     group; the join is left to AQE (broadcast when small at run time)."""
     f = adr_fences(df, by, k)
-    # one row per hotel x room type: broadcast after checking the bound, so
-    # the bookings are never shuffled onto a handful of hot keys
-    if f.count() <= 100_000:
-        f = F.broadcast(f)
     nights = F.col("stays_in_weekend_nights") + F.col("stays_in_week_nights")
     d = df.join(f, list(by), "left")
     bad = ((F.col("adr") < lo) | (F.col("adr") > hi) | ((nights == 0) & (F.col("adr") > 0))
@@ -184,87 +176,58 @@ def _scale(c: str) -> float:
     return 100.0 if c in MONEY_COLUMNS else 1.0
 
 
-# D19 / D20 share one prepared projection: each profiled column as a double,
-# money in exact cents; expressions are generated as SQL text (a few
-# plan-building calls instead of hundreds of Column round trips).
-def _prepared(df: DataFrame, cols: Sequence[str]):
-    proj = []
-    for i, c in enumerate(cols):
-        x = f"round({_q(c)} * 100)" if c in MONEY_COLUMNS else _q(c)
-        proj.append(f"CAST({x} AS DOUBLE) AS x{i}")
-    return df.selectExpr(*proj)
-
-
-def _view(d: DataFrame) -> str:
-    import uuid
-    name = f"_stayrisk_prof_{uuid.uuid4().hex[:10]}"
-    d.createOrReplaceTempView(name)
-    return name
-
-
 # D19
-def _pct_fn(approx: bool, accuracy: int) -> str:
-    return f"percentile_approx({{x}}, {{p}}, {accuracy})" if approx else "percentile({x}, {p})"
-
-
-def numeric_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS,
-                    approx: bool = False, accuracy: int = 10000) -> DataFrame:
+def numeric_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS) -> DataFrame:
     """n, mean, sd, min, quartiles, max, zero share per numeric column.
 
-    One pass of plain sums (n, sum x, sum x^2, min, max, zeros: stays in
-    codegen), with the sample variance combined exactly in DECIMAL(38,0);
-    quartiles are exact ``percentile`` in one struct-valued scalar subquery
-    (state: one count per distinct value, right for counts, days and cents).
-    ``approx=True`` switches to ``percentile_approx`` (bounded sketch) for
-    continuous columns at scale.
+    All of it comes from the columns' value counts (one aggregate with map-side
+    combine): sums and sums of squares are added in DECIMAL, so the sample
+    variance is exact at any number of rows; quartiles are exact and
+    distributed (:mod:`.quantiles`).
     """
     cols = _present(df, cols)
-    v = _view(_prepared(df, cols))
-    spark = df.sparkSession
-    D = "DECIMAL(38,0)"
-    aggs, structs = [], []
-    pf = _pct_fn(approx, accuracy)
-    pct = ", ".join(f"'q{i}', " + pf.format(x=f"x{i}", p="array(0.25, 0.5, 0.75)") for i in range(len(cols)))
-    for i, c in enumerate(cols):
-        aggs += [f"count(x{i}) AS n{i}", f"sum(x{i}) AS s{i}", f"sum(x{i} * x{i}) AS ss{i}",
-                 f"min(x{i}) AS mn{i}", f"max(x{i}) AS mx{i}", f"count_if(x{i} = 0) AS z{i}"]
-        sc = _scale(c)
-        var = (f"try_divide(CAST(CAST(n{i} AS {D}) * CAST(ss{i} AS {D}) - CAST(s{i} AS {D}) * CAST(s{i} AS {D}) AS DOUBLE), "
-               f"CAST(n{i} AS DOUBLE) * CAST(n{i} - 1 AS DOUBLE))")
-        structs.append(
-            f"named_struct('column', '{c}', 'n', n{i}, 'mean', try_divide(s{i}, n{i}) / {sc}, "
-            f"'sd', round(sqrt({var}) / {sc}, 9) + 0.0D, 'min', mn{i} / {sc}, "
-            f"'q1', pq.q{i}[0] / {sc}, 'median', pq.q{i}[1] / {sc}, 'q3', pq.q{i}[2] / {sc}, "
-            f"'max', mx{i} / {sc}, 'zero_share', try_divide(z{i}, n{i}))")
-    sql = (f"SELECT inline(array({', '.join(structs)})) FROM "
-           f"(SELECT *, (SELECT named_struct({pct}) FROM {v}) AS pq FROM (SELECT {', '.join(aggs)} FROM {v}))")
-    return spark.sql(sql)
+    counts = value_counts(df, {c: _numeric(c) for c in cols})
+    q = quantiles(counts, [0.25, 0.5, 0.75])
+    x, n = F.col("value"), F.col("n")
+    whole = F.col("value") == F.floor("value")
+    D = "decimal(38,0)"
+    m = counts.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.sum(x * n).alias("s"), F.sum(x * x * n).alias("ss"),
+        F.sum(F.when(whole, x.cast("decimal(20,0)") * n.cast("decimal(15,0)"))).cast(D).alias("ws"),
+        F.sum(F.when(whole, (x * x).cast("decimal(20,0)") * n.cast("decimal(15,0)"))).cast(D).alias("wss"), F.every(whole).alias("whole"),
+        F.min(x).alias("mn"), F.max(x).alias("mx"), F.sum(F.when(x == 0, n).otherwise(0)).alias("zeros"))
+    rows = F.col("rows").cast(D)
+    spread = F.when(F.col("whole"), (rows * F.col("wss") - F.col("ws") * F.col("ws")).cast("double")).otherwise(
+        F.col("rows") * F.col("ss") - F.col("s") * F.col("s"))
+    var = F.try_divide(spread, F.col("rows").cast("double") * (F.col("rows") - 1).cast("double"))
+    total = F.when(F.col("whole"), F.col("ws").cast("double")).otherwise(F.col("s"))
+    m = m.join(q.drop("n"), "column")
+    scale = F.element_at(F.create_map(*[v for c in cols for v in (F.lit(c), F.lit(_scale(c)))]), F.col("column"))
+    empty = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    out = m.select("column", F.col("rows").alias("n"), (F.try_divide(total, F.col("rows").cast("double")) / scale).alias("mean"),
+                   (F.round(F.sqrt(var) / scale, 9) + 0.0).alias("sd"), (F.col("mn") / scale).alias("min"),
+                   *[(F.col("q")[i] / scale).alias(name) for i, name in enumerate(("q1", "median", "q3"))],
+                   (F.col("mx") / scale).alias("max"), F.try_divide("zeros", "rows").alias("zero_share"))
+    # a column without values keeps its row
+    return empty.join(out, "column", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 # D20
-def outlier_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS,
-                    k: float = 1.5, approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """IQR fences per column and rows outside them.  Quartiles come from one
-    aggregate read as a scalar subquery (runs once); counting is a second
-    pass over the table.  No join.  ``approx`` as in :func:`numeric_profile`."""
+def outlier_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS, k: float = 1.5) -> DataFrame:
+    """IQR fences per column and rows outside them, all from the columns' value
+    counts: one pass over the table."""
     cols = _present(df, cols)
-    v = _view(_prepared(df, cols))
-    spark = df.sparkSession
-    pf = _pct_fn(approx, accuracy)
-    qs = ", ".join(f"'q{i}', " + pf.format(x=f"x{i}", p="array(0.25, 0.75)") for i in range(len(cols)))
-    fences = f"(SELECT named_struct({qs}) FROM {v})"
-    aggs, structs = [], []
-    for i, c in enumerate(cols):
-        q1, q3 = f"f.q{i}[0]", f"f.q{i}[1]"
-        lo, hi = f"({q1} - {k} * ({q3} - {q1}))", f"({q3} + {k} * ({q3} - {q1}))"
-        aggs += [f"count_if(x{i} < {lo}) AS b{i}", f"count_if(x{i} > {hi}) AS a{i}",
-                 f"first({q1}) AS q1_{i}", f"first({q3}) AS q3_{i}", f"first({lo}) AS lo{i}", f"first({hi}) AS hi{i}"]
-        sc = _scale(c)
-        structs.append(f"named_struct('column', '{c}', 'q1', q1_{i} / {sc}, 'q3', q3_{i} / {sc}, "
-                       f"'lo_fence', lo{i} / {sc}, 'hi_fence', hi{i} / {sc}, 'n_below', b{i}, 'n_above', a{i})")
-    sql = (f"SELECT inline(array({', '.join(structs)})) FROM "
-           f"(SELECT {', '.join(aggs)} FROM (SELECT *, {fences} AS f FROM {v}))")
-    return spark.sql(sql)
+    counts = value_counts(df, {c: _numeric(c) for c in cols})
+    q = quantiles(counts, [0.25, 0.75]).select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = q.withColumns({"lo": F.col("q1") - k * (F.col("q3") - F.col("q1")), "hi": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
+    out = counts.join(q, "column").groupBy("column", "q1", "q3", "lo", "hi").agg(
+        F.sum(F.when(F.col("value") < F.col("lo"), F.col("n")).otherwise(0)).alias("n_below"),
+        F.sum(F.when(F.col("value") > F.col("hi"), F.col("n")).otherwise(0)).alias("n_above"))
+    scale = F.element_at(F.create_map(*[v for c in cols for v in (F.lit(c), F.lit(_scale(c)))]), F.col("column"))
+    empty = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    out = out.select("column", (F.col("q1") / scale).alias("q1"), (F.col("q3") / scale).alias("q3"),
+                     (F.col("lo") / scale).alias("lo_fence"), (F.col("hi") / scale).alias("hi_fence"), "n_below", "n_above")
+    return empty.join(out, "column", "left").fillna(0, ["n_below", "n_above"])
 
 
 # D21
@@ -292,52 +255,41 @@ def _exact_sql(df: DataFrame, c: str) -> str | None:
 
 
 def correlation(df: DataFrame, cols: Sequence[str] = CORRELATION_COLUMNS) -> DataFrame:
-    """Pearson r for every pair of columns in one aggregate pass.
-
-    Integer and money columns go through sufficient statistics (n, sum x,
-    sum x^2, sum xy): ~k^2/2 plain double sums that stay in whole-stage
-    codegen, where k^2/2 ``corr`` aggregates (six buffer slots each) would
-    not.  Per-row terms are integers, so the sums are exact (and independent
-    of partitioning) up to 2^53; the one-row combine
-    r = (n Sxy - Sx Sy) / sqrt((n Sxx - Sx^2)(n Syy - Sy^2)) is done in
-    DECIMAL(38,0), free of cancellation.  Other columns use ``corr``.
-    The expressions are generated as SQL text: three plan-building calls
-    instead of thousands of Column round trips for k^2 terms.
+    """Pearson r for every pair of columns, over the rows where both have a
+    value.
+
+    Integer and money columns go through sufficient statistics per pair: a row
+    becomes one (pair, x, y) entry per pair, entries are summed as integers in
+    4,096 row blocks and the blocks in DECIMAL, so the sums are exact and
+    independent of partitioning.  r = (n Sxy - Sx Sy) / sqrt((n Sxx - Sx^2)
+    (n Syy - Sy^2)) is combined in DECIMAL, free of cancellation.  Pairs with
+    another kind of column use ``corr`` on the same entries.
     """
     cols = _present(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     ex = {c: _exact_sql(df, c) for c in cols}
-    exact_cols = [c for c in cols if ex[c] is not None]
-    complete = " AND ".join(f"{ex[c]} IS NOT NULL" for c in exact_cols) or "true"
-    proj = [f"CASE WHEN {complete} THEN 1 ELSE 0 END AS __ok"]
-    for i, c in enumerate(cols):
-        if ex[c] is not None:
-            proj.append(f"CAST(CASE WHEN {complete} THEN {ex[c]} END AS DOUBLE) AS x_{i}")
-        else:
-            proj.append(f"CAST({_q(c)} AS DOUBLE) AS x_{i}")
-    x = {c: f"x_{i}" for i, c in enumerate(cols)}
-    aggs = ["sum(__ok) AS n"]
-    for c in exact_cols:
-        aggs += [f"sum({x[c]}) AS s_{x[c]}", f"sum({x[c]} * {x[c]}) AS ss_{x[c]}"]
-    for a, b in pairs:
-        if ex[a] is not None and ex[b] is not None:
-            aggs.append(f"sum({x[a]} * {x[b]}) AS sp_{x[a]}_{x[b]}")
-        else:
-            aggs.append(f"corr({x[a]}, {x[b]}) AS r_{x[a]}_{x[b]}")
-    row = df.selectExpr(*proj).selectExpr(*aggs)
-    D = "DECIMAL(38,0)"
-    structs = []
-    for a, b in pairs:
-        if ex[a] is not None and ex[b] is not None:
-            n, sa, sb = f"CAST(n AS {D})", f"CAST(s_{x[a]} AS {D})", f"CAST(s_{x[b]} AS {D})"
-            num = f"CAST({n} * CAST(sp_{x[a]}_{x[b]} AS {D}) - {sa} * {sb} AS DOUBLE)"
-            da = f"CAST({n} * CAST(ss_{x[a]} AS {D}) - {sa} * {sa} AS DOUBLE)"
-            db = f"CAST({n} * CAST(ss_{x[b]} AS {D}) - {sb} * {sb} AS DOUBLE)"
-            r = f"try_divide({num}, sqrt({da}) * sqrt({db}))"
-        else:
-            r = f"r_{x[a]}_{x[b]}"
-        structs.append(f"named_struct('col_a', '{a}', 'col_b', '{b}', 'r', round({r}, 9) + 0.0D)")
-    return row.selectExpr(f"inline(array({', '.join(structs)}))")
+    exact = [p for p in pairs if ex[p[0]] and ex[p[1]]]
+    other = [p for p in pairs if p not in exact]
+    out = None
+    if exact:
+        entries = ", ".join(f"struct('{a}' AS col_a, '{b}' AS col_b, {ex[a]} AS x, {ex[b]} AS y)" for a, b in exact)
+        row = ", ".join(_q(c) for c in df.columns if dict(df.dtypes)[c] not in ("map", "variant"))
+        long = df.selectExpr(f"pmod(xxhash64({row}), 4096) AS block", f"inline(array({entries}))").filter("x IS NOT NULL AND y IS NOT NULL")
+        sums = {"n": "count(1)", "sx": "sum(x)", "sy": "sum(y)", "sxx": "sum(x * x)", "syy": "sum(y * y)", "sxy": "sum(x * y)"}
+        part = long.groupBy("col_a", "col_b", "block").agg(*[F.expr(f"{v} AS {k}") for k, v in sums.items()])
+        g = part.groupBy("col_a", "col_b").agg(*[F.expr(f"CAST(sum(CAST({k} AS DECIMAL(28,0))) AS DECIMAL(38,0)) AS {k}") for k in sums])
+        up, left, right = ("CAST(n * sxy - sx * sy AS DOUBLE)", "CAST(n * sxx - sx * sx AS DOUBLE)", "CAST(n * syy - sy * sy AS DOUBLE)")
+        out = g.selectExpr("col_a", "col_b", f"round(try_divide({up}, sqrt({left}) * sqrt({right})), 9) + 0.0D AS r")
+    if other:
+        entries = ", ".join(f"struct('{a}' AS col_a, '{b}' AS col_b, CAST({ex[a] or _q(a)} AS DOUBLE) AS x, CAST({ex[b] or _q(b)} AS DOUBLE) AS y)"
+                            for a, b in other)
+        rest = df.selectExpr(f"inline(array({entries}))").groupBy("col_a", "col_b").agg(F.expr("round(corr(x, y), 9) + 0.0D AS r"))
+        out = rest if out is None else out.unionByName(rest)
+    # a pair without common rows keeps its row
+    all_pairs = df.sparkSession.createDataFrame(pairs, "col_a string, col_b string")
+    return all_pairs.join(out, ["col_a", "col_b"], "left")
 
 
 # D24

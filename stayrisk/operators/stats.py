@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..constants import BAND_AMBER_LEAD, BAND_AMBER_MONTH, LEAD_LABELS, MIN_SUPPORT, TOP_K
 from ..functions import features as fx
 from ..functions.numeric import cents, safe_div
+from .quantiles import quantiles, value_counts
 
 LABEL = "is_canceled"
 
@@ -73,8 +74,13 @@ def with_month_num(df: DataFrame, col: str = "arrival_date_month") -> DataFrame:
 
 
 # D02
+def calendar_sort(df: DataFrame, *then: str) -> DataFrame:
+    """Rows in calendar order of ``month_num`` (unknown months last)."""
+    return df.orderBy(F.col("month_num").asc_nulls_last(), *then)
+
+
 def month_hotel_rate(df: DataFrame) -> DataFrame:
-    return with_month_num(rate_table(df, ["arrival_date_month", "hotel"]))
+    return calendar_sort(with_month_num(rate_table(df, ["arrival_date_month", "hotel"])), "hotel")
 
 
 # D03
@@ -125,7 +131,7 @@ def lead_hotel_rate(df: DataFrame, complete: bool = True) -> DataFrame:
 # D07 + C20 + T02
 def month_rate(df: DataFrame, hotel: str | None = None) -> DataFrame:
     r = with_month_num(rate_table(filter_hotel(df, hotel), ["arrival_date_month"]))
-    return r.withColumn("band", fx.rate_band("cr", BAND_AMBER_MONTH))
+    return calendar_sort(r.withColumn("band", fx.rate_band("cr", BAND_AMBER_MONTH)))
 
 
 # D08 = B03 + T01
@@ -198,18 +204,15 @@ def kpi_summary(df: DataFrame) -> DataFrame:
 
 
 # D16
-def revpar(df: DataFrame, capacity: DataFrame, max_capacity_rows: int = 100_000) -> DataFrame:
+def revpar(df: DataFrame, capacity: DataFrame) -> DataFrame:
     """Revenue per available room: room revenue of kept (not canceled)
     bookings / (rooms x days).  ``capacity`` (hotel, rooms, days) comes from
-    the user; it has one row per property, and is broadcast only after its
-    row count is checked."""
+    the user, one row per property; both sides of the join are aggregates."""
     rev = (df.filter((F.col(LABEL) == 0) & F.col("hotel").isNotNull()).groupBy("hotel")
            .agg(F.sum(cents("adr") * (F.col("stays_in_weekend_nights")
                                      + F.col("stays_in_week_nights"))).alias("revenue_cents"),
                 F.count(F.lit(1)).alias("kept")))
     cap = capacity.select("hotel", F.col("rooms").cast("long"), F.col("days").cast("long"))
-    if cap.count() <= max_capacity_rows:
-        cap = F.broadcast(cap)
     out = rev.join(cap, "hotel", "inner")
     return out.select("hotel", "kept", "rooms", "days",
                       (F.col("revenue_cents") / 100).alias("revenue"),
@@ -225,19 +228,14 @@ def target_distribution(df: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 # D22
-def bivariate_rate(df: DataFrame, col: str, q: int = 4, label: str = LABEL,
-                   approx: bool = False, accuracy: int = 10000) -> DataFrame:
+def bivariate_rate(df: DataFrame, col: str, q: int = 4, label: str = LABEL) -> DataFrame:
     """Cancel rate by ``q`` quantile bins of a numeric column.
 
-    Cut points are exact ``percentile`` values (count map per distinct value:
-    memory bounded by the column's cardinality, fine for ids, counts, days,
-    cents; use ``percentile_approx`` for continuous values).  Bins are
+    Cut points are exact, distributed quantiles (:mod:`.quantiles`).  Bins are
     right-closed: bin i holds cut(i-1) < x <= cut(i).  Our choice where the
-    reference gives no rule.  ``approx=True`` uses ``percentile_approx``.
+    reference gives no rule.
     """
-    probs = [i / q for i in range(1, q)]
-    pct = F.percentile_approx(col, probs, accuracy) if approx else F.percentile(col, probs)
-    cuts = df.agg(pct.alias("c")).scalar()
+    cuts = quantiles(value_counts(df, {col: F.col(col)}), [i / q for i in range(1, q)]).select("q").scalar()
     x = F.col(col)
     bin_no = F.lit(1)
     for i in range(q - 1):

@@ -54,7 +54,6 @@ def test_lookup_country_and_onehot(spark):
     assert got == {1: "PRT", 2: "PRT", 3: "GBR", 4: "Other", 5: "Other"}
     oh = en.onehot(df, "country", ["PRT", "GBR"]).orderBy("id").collect()
     assert [(r["country_PRT"], r["country_GBR"]) for r in oh] == [(1, 0), (1, 0), (0, 1), (0, 0), (0, 0)]
-    assert en.learn_levels(df, "country") == ["GBR", "PRT", "ZZZ"]
 
 
 def test_class_weights(spark):

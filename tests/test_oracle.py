@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from stayrisk import plans
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(E.oracle_sql())
+NAMES = sorted(plans.ORACLE)
 
 
 @pytest.fixture(scope="module")
