@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 MIN_ABS = 0.0001
 
-# Example coefficients of a logistic model on count-like features, used by
-# the registered query; in use they come from ``LogisticRegressionModel``
-# (see learn.linear_weights).
+# Example coefficients on count-like features, for the query that has a SQL
+# twin; those of a fitted model come from ``learn.linear_weights``.
 LINEAR_WEIGHTS = {
     "lead_time": 0.004, "stays_in_weekend_nights": 0.05, "stays_in_week_nights": 0.03,
     "adults": 0.1, "is_repeated_guest": -0.6, "days_in_waiting_list": 0.002,
@@ -27,19 +26,26 @@ LINEAR_WEIGHTS = {
 }
 
 
-def _ranked_long(df: DataFrame, key: str, entries: list) -> DataFrame:
-    """entries: list of (feature name, shap Column).  One row per (key,
-    feature) with rank 1 = largest |shap| (ties: feature name)."""
-    # an attribution that is null ranks after all others
-    arr = F.array(*[F.struct(v.isNull().alias("none"), (-F.abs(v)).alias("k"), F.lit(f).alias("feature"), v.alias("shap"))
-                    for f, v in entries])
-    d = df.select(key, F.posexplode(F.sort_array(arr)).alias("pos", "e"))
+def _ranked_entries(df: DataFrame, key: str, entries) -> DataFrame:
+    """One row per (key, feature) of an array of (none, k, feature, shap)
+    structs in rank order: rank 1 = largest |shap|, ties by feature name, an
+    attribution that is null after all others."""
+    d = df.select(key, F.posexplode(F.sort_array(entries)).alias("pos", "e"))
     return d.select(key, F.col("e.feature").alias("feature"), F.col("e.shap").alias("shap"),
                     F.abs(F.col("e.shap")).alias("abs_shap"),
                     (F.col("pos") + 1).cast("long").alias("rank"),
                     F.when(F.col("e.shap") > 0, "raises").when(F.col("e.shap").isNotNull(), "lowers").alias("direction"))
 
 
+def _entry(feature, v):
+    return F.struct(v.isNull().alias("none"), (-F.abs(v)).alias("k"), feature.alias("feature"), v.alias("shap"))
+
+
+def _ranked_long(df: DataFrame, key: str, entries: list) -> DataFrame:
+    """Ranked rows from a list of (feature name, shap Column)."""
+    return _ranked_entries(df, key, F.array(*[_entry(F.lit(f), v) for f, v in entries]))
+
+
 # G16 + W01
 def linear_attribution(df: DataFrame, weights: dict[str, float] = LINEAR_WEIGHTS,
                        key: str = "booking_id") -> DataFrame:
@@ -89,5 +95,20 @@ def feature_names(df: DataFrame, features_col: str) -> list[str]:
 
 
 def _ranked_from_arrays(df: DataFrame, key: str, names: Sequence[str], shap_col: str) -> DataFrame:
-    entries = [(n, F.col(shap_col)[i]) for i, n in enumerate(names)]
-    return _ranked_long(df, key, entries)
+    """Ranked rows from one array of attributions, in the order of ``names``."""
+    name = F.array(*[F.lit(n) for n in names])
+    return _ranked_entries(df, key, F.transform(shap_col, lambda v, i: _entry(F.get(name, i), v)))
+
+
+def vector_attribution(df: DataFrame, weights: Sequence[float], names: Sequence[str],
+                       features_col: str = "features", key: str = "booking_id") -> DataFrame:
+    """G16 of a fitted linear model over an assembled vector column: w * (x -
+    mean x) per slot, ranked within each booking.  Means are one aggregate of
+    one value per slot."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+    mean = df.select(Summarizer.mean(F.col(features_col))).first()[0].toArray()
+    w, m = (F.array(*[F.lit(float(v)) for v in vs]) for vs in (weights, mean))
+    shap = F.transform("x", lambda v, i: F.get(w, i) * (v - F.get(m, i)))
+    d = df.select(key, vector_to_array(features_col).alias("x")).select(key, shap.alias("shap"))
+    return _ranked_from_arrays(d, key, names, "shap")

@@ -118,13 +118,13 @@ def classifier(kind: str, tag: str | None = None, seed: int = 42):
     if kind == "logistic":
         est = LogisticRegression(maxIter=50, regParam=0.01, elasticNetParam=0.0, threshold=THRESHOLD, **common)
     elif kind == "forest":
-        est = RandomForestClassifier(numTrees=30, maxDepth=8, seed=seed, **common)
+        est = RandomForestClassifier(numTrees=20, maxDepth=8, seed=seed, **common)
     elif kind == "gbt_shallow":
-        est = GBTClassifier(maxDepth=3, maxIter=25, stepSize=0.2, seed=seed, **common)
+        est = GBTClassifier(maxDepth=3, maxIter=15, stepSize=0.3, seed=seed, **common)
     elif kind == "gbt_deep":
-        est = GBTClassifier(maxDepth=6, maxIter=12, stepSize=0.2, seed=seed, **common)
+        est = GBTClassifier(maxDepth=6, maxIter=6, stepSize=0.3, seed=seed, **common)
     elif kind == "gbt_sub":
-        est = GBTClassifier(maxDepth=5, maxIter=20, stepSize=0.2, subsamplingRate=0.7,
+        est = GBTClassifier(maxDepth=5, maxIter=8, stepSize=0.3, subsamplingRate=0.7,
                             featureSubsetStrategy="sqrt", seed=seed, **common)
     else:
         raise ValueError(kind)
@@ -176,6 +176,11 @@ def fit_and_evaluate(train: DataFrame, test: DataFrame, kind: str) -> DataFrame:
     return evaluate_scores(score(model, test, kind)).select(F.lit(kind).alias("model"), "*")
 
 
+def linear_weights(model) -> list[float]:
+    """Coefficients of a fitted logistic model, one per feature slot."""
+    return [float(w) for w in model.coefficients.toArray()]
+
+
 # F12
 def fit_voting(train_feat: DataFrame, kinds=("logistic", "forest", "gbt_shallow")) -> list:
     models = fit_many([lambda k=k: classifier(k).fit(train_feat) for k in kinds])

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
+from ..operators.quality import drop_leaky
 from ..session import shared_dir
 from ..sources import files
 from ..sources.bookings import bookings, duckdb_with_bookings as W
@@ -59,6 +60,48 @@ def q_scored_preview(spark, sf):
     return files.scored_preview(scored(spark, sf))
 
 
+_CONTRACT = files.batch_contract_rows(["booking_id", "hotel", "is_canceled", "arrival_date_month", "adults", "country"])
+
+
+@query("batch_contract", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{c}', {p}, {h}, '{a}')" for c, p, h, a in _CONTRACT) + ") AS t(\"column\", present, hard_required, action)")
+def q_batch_contract(spark, sf):
+    """A03 for a batch that has only some of the columns."""
+    b = bookings(spark, sf).select("booking_id", "hotel", "is_canceled", "arrival_date_month", "adults", "country")
+    return files.batch_contract(b)
+
+
+@query("drop_leaky", W("SELECT * EXCLUDE (deposit_type) FROM bookings"), as_double=("children",))
+def q_drop_leaky(spark, sf):
+    return drop_leaky(bookings(spark, sf))
+
+
+_TYPED = [f for f in files.BOOKING_SCHEMA.fields if f.dataType.simpleString() != "string"]
+
+
+@query("dtype_audit", W(" UNION ALL ".join(
+    f"SELECT '{f.name}' AS \"column\", '{f.dataType.simpleString()}' AS declared, "
+    + {"lead_time": "count(*) FILTER (WHERE booking_id % 7 = 0)", "adults": "count(*) FILTER (WHERE booking_id % 5 = 0)"}.get(f.name, "count(*) FILTER (WHERE false)")
+    + " AS n_bad FROM bookings" for f in _TYPED)))
+def q_dtype_audit(spark, sf):
+    """D25 over a text scan with words and fractions among the whole numbers."""
+    b = bookings(spark, sf)
+    text = b.select(*[F.col(c).cast("string").alias(c) for c in b.columns])
+    text = text.withColumns({"lead_time": F.when(F.col("booking_id").cast("long") % 7 == 0, "soon").otherwise(F.col("lead_time")),
+                             "adults": F.when(F.col("booking_id").cast("long") % 5 == 0, "1.5").otherwise(F.concat("adults", F.lit(".0")))})
+    return files.dtype_audit(text)
+
+
+@query("scored_sink_csv", W(f"SELECT booking_id, cancel_probability, prediction, risk_label FROM ({S.SCORED})"))
+def q_scored_sink_csv(spark, sf):
+    """A04 as CSV, scanned back."""
+    path = f"{shared_dir(spark)}/scored-csv-{uuid.uuid4().hex[:12]}"
+    files.write_scored(scored(spark, sf), path, fmt="csv")
+    d = files.scan_csv(spark, path)
+    return d.select("booking_id", F.col("cancel_probability").cast("double").alias("cancel_probability"),
+                    F.col("prediction").cast("int").alias("prediction"), "risk_label")
+
+
 @query("dataset_card", W("SELECT count(*) AS n_rows, 28 AS n_columns, count(DISTINCT hotel) AS n_hotels, "
                          "avg(is_canceled) * 100 AS cancel_rate FROM bookings"))
 def q_dataset_card(spark, sf):

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..constants import FEATURE_COLUMNS, THRESHOLD
@@ -18,14 +19,15 @@ from ..operators import learn as ln
 from ..operators import treeshap as ts
 from ..session import shared_dir
 from ..sources import files
-from ..sources.bookings import bookings
+from ..sources.bookings import bookings, source_stamp
+from ..sources.bookings import duckdb_with_bookings as W
 from .registry import query
 
 _CACHE: dict[tuple, object] = {}
 
 
 def _key(spark, sf, what):
-    return (spark.sparkContext.applicationId, sf, what)
+    return (spark.sparkContext.applicationId, sf, source_stamp(spark, sf), what)
 
 
 def _frame(spark, sf):
@@ -42,11 +44,12 @@ def _split(spark, sf):
 
 
 def shared_model(spark, sf, kind: str = "gbt_shallow") -> PipelineModel:
-    """Fit once on the train split, save (A06), load back."""
+    """Fit once on the train split, save (A06), load back.  ``stack`` is the
+    model that scores; ``gbt_shallow`` is the one that is explained."""
     k = _key(spark, sf, f"model-{kind}")
     if k not in _CACHE:
         train, _ = _split(spark, sf)
-        model = ln.fit_pipeline(train, kind)
+        model = ln.fit_stacking(train) if kind == "stack" else ln.fit_pipeline(train, kind)
         path = f"{shared_dir(spark)}/model-{kind}-{uuid.uuid4().hex[:8]}"
         files.save_model(model, path, {"kind": kind, "threshold": THRESHOLD, "features": FEATURE_COLUMNS})
         _CACHE[k] = files.load_model(path)[0]
@@ -79,39 +82,56 @@ def q_fit_boosted(spark, sf):
 def q_voting(spark, sf):
     train, test = _split(spark, sf)
     feat_model = ln.fit_featurizer(train)
-    members = ln.fit_voting(feat_model.transform(train))
+    members = ln.fit_voting(ln.train_matrix(feat_model, train))
     s = ln.vote(members, feat_model.transform(test))
     return ln.evaluate_scores(s, "p_vote").select(F.lit("voting").alias("model"), "*")
 
 
 @query("stacking")
 def q_stacking(spark, sf):
-    train, test = _split(spark, sf)
-    feat_model, bases, meta = ln.fit_stacking(train)
-    s = ln.stack_score(feat_model, bases, meta, test)
-    return ln.evaluate_scores(s, "p_stack").select(F.lit("stacking").alias("model"), "*")
+    _, test = _split(spark, sf)
+    s = ln.score(shared_model(spark, sf, "stack"), test, "stack")
+    return ln.evaluate_scores(s).select(F.lit("stacking").alias("model"), "*")
+
+
+def score_bookings(df, model, kind: str = "stack"):
+    """originals + cancel_probability (4 places, half-even), prediction
+    (unrounded >= 0.60), risk_label.  No label is needed; missing fillable
+    columns are filled for the model only."""
+    originals = df.columns
+    d = df.withColumns({f"_in_{i}": F.col(c) for i, c in enumerate(originals)})
+    fm = fx.feature_matrix(d, keep=[f"_in_{i}" for i in range(len(originals))], fill_missing=True)
+    s = model.transform(fm).withColumn("p", ln.p1(f"prob_{kind}"))
+    return s.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(originals)],
+                    fx.prob_round("p").alias("cancel_probability"),
+                    fx.decision("p").alias("prediction"), fx.risk_label("p").alias("risk_label"))
 
 
 @query("batch_score_model")
 def q_batch_score_model(spark, sf):
-    """F14 with a trained model: originals + cancel_probability (4 places,
-    half-even), prediction (unrounded >= 0.60), risk_label."""
-    b = bookings(spark, sf)
-    keep = [c for c in b.columns if c not in FEATURE_COLUMNS]
-    d = b.withColumns({"_agent_in": F.col("agent"), "_company_in": F.col("company")})
-    fm = fx.feature_matrix(d, keep=keep + ["_agent_in", "_company_in"])
-    fm = en.with_class_weight(fm)
-    s = shared_model(spark, sf).transform(fm).withColumn("p", ln.p1("prob_gbt_shallow"))
-    s = s.withColumns({"agent": F.col("_agent_in"), "company": F.col("_company_in")})
-    return s.select(*b.columns, fx.prob_round("p").alias("cancel_probability"),
-                    fx.decision("p").alias("prediction"), fx.risk_label("p").alias("risk_label"))
+    """F14 with the trained stack."""
+    return score_bookings(bookings(spark, sf), shared_model(spark, sf, "stack"))
+
+
+@query("score_csv")
+def q_score_csv(spark, sf):
+    """An uploaded batch end to end: CSV without the label -> contract ->
+    features -> saved stack -> CSV, read back."""
+    path = f"{shared_dir(spark)}/upload-{uuid.uuid4().hex[:8]}"
+    files.write_with_null_tokens(bookings(spark, sf).drop("is_canceled", "score"), path)
+    batch = files.scan_csv(spark, path)
+    bad = files.batch_contract(batch).filter("action = 'error'").collect()
+    if bad:
+        raise ValueError(f"missing required columns: {[r['column'] for r in bad]}")
+    files.write_scored(score_bookings(batch, shared_model(spark, sf, "stack")), path + "-scored", fmt="csv")
+    return files.scan_csv(spark, path + "-scored")
 
 
 def _cv(spark, sf):
     k = _key(spark, sf, "cv")
     if k not in _CACHE:
         train, _ = _split(spark, sf)
-        _CACHE[k] = ln.cv_models(train, ("logistic", "forest", "gbt_shallow"), 3)
+        _CACHE[k] = ln.cv_models(train)
     return _CACHE[k]
 
 
@@ -181,13 +201,65 @@ def q_local_shap(spark, sf):
 
 @query("global_shap")
 def q_global_shap(spark, sf):
-    """Mean |shap| per feature slot over a repeatable ~2,000-row hash sample
-    (the sample is the operator's definition), top 10 ranked."""
-    df = _frame(spark, sf)
-    total = df.count()
-    model, feat = _featurized(spark, sf, ex.sample_by_hash(df, 2000, total))
+    """Mean |shap| per feature slot over all bookings, top 10 ranked."""
+    model, feat = _featurized(spark, sf)
     names = ex.feature_names(feat, "features")
     sv = ts.tree_shap(feat, model.stages[-1])
     long = ex._ranked_from_arrays(sv, "booking_id", names, "shap")
     m = ex.mean_abs_attribution(long).withColumnRenamed("mean_abs_shap", "share")
     return ex.importance_topk(m, 10).withColumnRenamed("share", "mean_abs_shap")
+
+
+# Checks of what SQL cannot compute but can state: each has a twin.
+@query("local_shap_adds_up", W("SELECT booking_id, true AS adds_up, true AS ranks_complete FROM bookings"))
+def q_local_shap_adds_up(spark, sf):
+    """Per booking: base + attributions = the model's margin, and ranks 1..n."""
+    model, feat = _featurized(spark, sf)
+    names = ex.feature_names(feat, "features")
+    sv = ts.tree_shap(feat, model.stages[-1])
+    ranks = ex._ranked_from_arrays(sv, "booking_id", names, "shap").groupBy("booking_id").agg(
+        F.count_distinct("rank").alias("n"), F.max("rank").alias("last"))
+    margin = model.stages[-1].transform(feat).select("booking_id", vector_to_array("raw_gbt_shallow")[1].alias("raw"))
+    return sv.join(margin, "booking_id").join(ranks, "booking_id").select(
+        "booking_id", (F.abs(F.col("margin") - F.col("raw")) < 1e-9).alias("adds_up"),
+        ((F.col("n") == len(names)) & (F.col("last") == len(names))).alias("ranks_complete"))
+
+
+@query("gain_shares_sum", "SELECT true AS sums_to_one, true AS none_negative")
+def q_gain_shares_sum(spark, sf):
+    return q_gain_importance(spark, sf).agg((F.abs(F.sum("share") - 1) < 1e-9).alias("sums_to_one"),
+                                            (F.min("share") >= 0).alias("none_negative"))
+
+
+@query("model_artifact", W("SELECT booking_id, true AS same FROM bookings"))
+def q_model_artifact(spark, sf):
+    """A booking's probability before and after save and load."""
+    d = _frame(spark, sf)
+    model = shared_model(spark, sf)
+    path = f"{shared_dir(spark)}/artifact-{uuid.uuid4().hex[:8]}"
+    files.save_model(model, path, {"threshold": THRESHOLD})
+    p = lambda m, c: ln.score(m, d, "gbt_shallow").select("booking_id", F.col("p").alias(c))
+    return p(model, "a").join(p(files.load_model(path)[0], "b"), "booking_id").select("booking_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+def _logistic(spark, sf):
+    model = shared_model(spark, sf, "logistic")
+    return model.stages[-1], PipelineModel(stages=model.stages[:-1]).transform(_frame(spark, sf))
+
+
+@query("logistic_attribution")
+def q_logistic_attribution(spark, sf):
+    """G16 of the fitted logistic model, ranked per booking."""
+    model, feat = _logistic(spark, sf)
+    return ex.vector_attribution(feat, ln.linear_weights(model), ex.feature_names(feat, "features"))
+
+
+@query("logistic_attribution_adds_up", W("SELECT booking_id, true AS adds_up FROM bookings"))
+def q_logistic_attribution_adds_up(spark, sf):
+    """G16 with fitted weights: a booking's attributions sum to its margin
+    minus the mean margin."""
+    model, feat = _logistic(spark, sf)
+    total = q_logistic_attribution(spark, sf).groupBy("booking_id").agg(F.sum("shap").alias("total"))
+    margin = ln.write_and_read(model.transform(feat).select("booking_id", vector_to_array("raw_logistic")[1].alias("m")), "margins")
+    mean = margin.agg(F.avg("m")).first()[0]
+    return margin.join(total, "booking_id").select("booking_id", (F.abs(F.col("total") - (F.col("m") - F.lit(mean))) < 1e-6).alias("adds_up"))

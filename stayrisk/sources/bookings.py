@@ -10,7 +10,6 @@ the orders is spread over many tasks.  All give identical integer counts
 
 from __future__ import annotations
 
-import os
 import re
 import uuid
 
@@ -95,7 +94,7 @@ def register_driver_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES
     views = {}
     for t in names:
         views[t] = f"_stayrisk_{t}_{tag}"
-        spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")).createOrReplaceTempView(views[t])
+        spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(views[t])
     return views
 
 
@@ -164,10 +163,25 @@ def bookings_plan(spark: SparkSession, sf_dir: str, use_sql_window: bool = False
 _MATERIALIZED: dict[tuple, str] = {}
 
 
+def source_stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the source files: a changed source is built anew."""
+    conf, out = spark._jsc.hadoopConfiguration(), []
+    for t in DRIVER_TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            out += [(t, f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)]
+    return tuple(out)
+
+
+def _cache_key(spark: SparkSession, sf_dir: str) -> tuple:
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), source_stamp(spark, sf_dir))
+
+
 def bookings_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the written bookings table (written on first use)."""
     bookings(spark, sf_dir)
-    return _MATERIALIZED[(spark.sparkContext.applicationId, os.path.abspath(sf_dir))]
+    return _MATERIALIZED[_cache_key(spark, sf_dir)]
 
 
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +191,7 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     Writing cuts the lineage (a lost executor re-reads parquet instead of
     re-running the joins and windows) and lets many reports share one scan.
     """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = _cache_key(spark, sf_dir)
     path = _MATERIALIZED.get(key)
     if path is not None:
         try:

@@ -143,19 +143,13 @@ def write_with_null_tokens(df: DataFrame, path: str, tokens: Sequence[str] = ("N
 
 
 # A03
-def batch_contract(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Contract report: for each contract column, present / hard-required /
-    what happens when missing (error, filled with 0, or ignored)."""
-    spark = spark or df.sparkSession
-    have = set(df.columns)
-    rows = []
+def batch_contract_rows(columns: Sequence[str]) -> list[tuple[str, bool, bool, str]]:
+    have, rows = set(columns), []
     for c in CONTRACT_COLUMNS:
         if c in have:
             action = "ok"
-        elif c == "country" and "country_grouped" in have:
-            action = "ok (country_grouped given)"
         elif c == "country":
-            action = "country_grouped filled with 0"
+            action = "ok (country_grouped given)" if "country_grouped" in have else "country_grouped filled with 0"
         elif c in HARD_REQUIRED:
             action = "error"
         elif c in FILL_WITH_ZERO:
@@ -163,7 +157,14 @@ def batch_contract(df: DataFrame, spark: SparkSession | None = None) -> DataFram
         else:
             action = "ignored"
         rows.append((c, c in have, c in HARD_REQUIRED, action))
-    return spark.createDataFrame(rows, "column string, present boolean, hard_required boolean, action string")
+    return rows
+
+
+def batch_contract(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Contract report: for each contract column, present / hard-required /
+    what happens when missing (error, filled with 0, or ignored)."""
+    return (spark or df.sparkSession).createDataFrame(
+        batch_contract_rows(df.columns), "column string, present boolean, hard_required boolean, action string")
 
 
 # A04 / A05

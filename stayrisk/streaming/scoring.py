@@ -32,10 +32,13 @@ def score_stream(stream: DataFrame, model=None, prob_col: str = "score") -> Data
     if model is None:
         return score_columns(stream, prob_col)
     from ..operators.learn import p1
-    fm = fx.feature_matrix(stream, keep=[c for c in stream.columns if c not in fx.FEATURE_COLUMNS])
-    out = model.transform(fm.withColumn("weight", F.lit(1.0)))
+    originals = stream.columns
+    d = stream.withColumns({f"_in_{i}": F.col(c) for i, c in enumerate(originals)})
+    fm = fx.feature_matrix(d, keep=[f"_in_{i}" for i in range(len(originals))], fill_missing=True)
+    out = model.transform(fm)
     prob = [c for c in out.columns if c.startswith("prob_")][-1]
-    return score_columns(out.withColumn("p", p1(prob)), "p")
+    out = out.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(originals)], p1(prob).alias("_p"))
+    return score_columns(out, "_p").drop("_p")
 
 
 def start_scoring(spark: SparkSession, source: str, schema: T.StructType, sink: str,
