@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents repeat (operator 8);
     ``n_chars`` follows the text, other columns stay."""
-    d = line_dedup.dedup_lines(docs).drop("_n_lines", "_n_dropped")
+    d = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return d

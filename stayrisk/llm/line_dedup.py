@@ -158,20 +158,21 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     return (drops.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("drops")))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``, plus ``_n_lines``
-    (before) and ``_n_dropped``.  All other columns pass through."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
+    """``docs`` with the repeated lines taken out of ``text``; all other columns
+    pass through.  With ``counts``, also ``n_lines`` (before) and ``n_dropped``."""
     drops = dropped_lines(docs, min_chars, min_docs)
-    drops = drops.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("drops").alias("_drops"))
     text = F.coalesce("text", F.lit(""))
-    d = docs.withColumn("_key", F.xxhash64(text))
-    d = d.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
-    lines = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops"))
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("key"))  # names of further columns cannot clash
+    d = d.join(drops, d["row.doc_id"].eqNullSafe(drops["doc_id"]) & (d["key"] == drops["text_hash"]), "left").select("row", "drops")
+    lines = F.split(F.coalesce("row.text", F.lit("")), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
     slim = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    return d.select(
-        *[(F.when(F.col("_drops").isNull(), F.col("text")).otherwise(slim).alias("text") if c == "text" else F.col(c)) for c in docs.columns],
-        F.size(lines).cast("long").alias("_n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("_n_dropped"))
+    kept = F.when(F.col("drops").isNull(), F.col("row.text")).otherwise(slim)
+    out = [kept.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    if counts:
+        out += [F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped")]
+    return d.select(*out)
 
 
 ORACLE_SQL = """

@@ -36,6 +36,7 @@ id and a text are one document; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 
 import numpy as np
@@ -49,6 +50,8 @@ K = 5
 THRESHOLD = 0.8
 SKETCHES = 16
 PICKED = 3
+LENGTH_STEP = 1.08
+SPARE_STEP = 1.1
 _CANDIDATES = 24
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -263,26 +266,37 @@ def open_pairs(spokes: DataFrame, threshold: float) -> DataFrame:
                  (F.size("differ") - part * F.col("n_b")).alias("spare"),
                  # similar as a set but not in order: the bound below does not hold
                  (~F.col("linked") & (F.size("differ") <= part * (F.col("n_a") + F.col("n_b")))).alias("shuffled")))
-    least = s.groupBy("a").agg(F.min(F.when(~F.col("linked") & ~F.col("shuffled"), F.col("spare"))).alias("open_spare"),
-                               F.min("spare").alias("any_spare"), F.max("shuffled").alias("some_shuffled"))
-    s = written(s.join(least, "a").filter(F.col("open_spare").isNotNull() | F.col("some_shuffled")), "open-spokes")
-
-    def prefix(other):  # the overlap with any partner is at least (spare + other) / 2
-        return F.col("e") - F.greatest(F.lit(1), F.ceil((F.col("spare") + F.col(other)) / 2 - 1e-6)) + 1
-
-    grams = s.select("a", "b", "linked", "shuffled", "n_b", F.explode("differ").alias("kmer"),
-                     prefix("any_spare").alias("as_open"), F.coalesce(prefix("open_spare"), F.lit(0)).alias("as_any"))
+    # partners are told apart by what they have to spare, in classes: a node's
+    # prefix is cut for each class it can meet.  Similar texts are at most
+    # `reach` length classes apart.
+    reach = math.ceil(math.log(1 / threshold) / math.log(LENGTH_STEP))
+    s = s.withColumns({"length": F.floor(F.log(F.col("n_b").cast("double")) / F.log(F.lit(LENGTH_STEP))),
+                       "own": F.when(F.col("spare") <= 1, 0).otherwise(1 + F.floor(F.log("spare") / F.log(F.lit(SPARE_STEP))).cast("int"))})
+    met = s.groupBy("a", "length").agg(F.collect_set("own").alias("owns"), F.min("spare").alias("least"), F.max(~F.col("linked")).alias("open"))
+    near = F.explode(F.sequence(F.col("length") - reach, F.col("length") + reach)).alias("length")
+    met = met.select("a", near, "owns", "least", "open").groupBy("a", "length").agg(
+        F.array_distinct(F.flatten(F.collect_list("owns"))).alias("owns"), F.min("least").alias("least"), F.max("open").alias("open"))
+    s = written(s.join(met.filter("open"), ["a", "length"]), "open-spokes")
+
+    def prefix(other):  # the overlap with a partner is at least (spare + its spare) / 2
+        edge = F.when(other == 0, F.col("least")).otherwise(F.pow(F.lit(SPARE_STEP), other - 1) * 0.999)
+        return F.col("e") - F.greatest(F.lit(1), F.ceil((F.col("spare") + edge) / 2 - 1e-6)) + 1
+
+    cuts = F.filter(F.transform("owns", lambda c: F.struct(c.alias("other"), prefix(c).alias("cut"))), lambda c: c["cut"] > 0)
+    grams = s.filter(~F.col("shuffled")).select("a", "b", F.explode("differ").alias("kmer"))
     held = grams.groupBy("a", "kmer").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     grams = written(grams.join(held, ["a", "kmer"]), "open-kmers")
-    alone = s.select("a", "b", "e").join(grams.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")), ["a", "b"])
+    shared = s.select("a", "b", "linked", "n_b", "e", "own", cuts.alias("cuts")).join(
+        grams.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), ["a", "b"])
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("held", "kmer"))
     # k-mers that nobody else holds come first in the order
-    ranked = grams.join(alone, ["a", "b"]).withColumn("rank", rank + F.col("e") - F.col("met"))
-    first = written(ranked.filter(F.col("rank") <= F.greatest("as_open", "as_any")), "open-prefix")
-    x = first.filter(~F.col("linked") & ~F.col("shuffled") & (F.col("rank") <= F.col("as_open"))).alias("x")
-    y = first.filter(F.col("rank") <= F.col("as_any")).alias("y")
+    ranked = grams.join(shared, ["a", "b"]).withColumn("rank", rank + F.col("e") - F.col("shared"))
+    cut = F.explode(F.filter("cuts", lambda c: F.col("rank") <= c["cut"])).alias("cut")
+    first = ranked.select("a", "b", "linked", "n_b", "own", "kmer", cut).select("*", F.col("cut.other").alias("other")).drop("cut")
+    first = written(first, "open-prefix")
+    x, y = first.filter(~F.col("linked")).alias("x"), first.alias("y")
     same = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") != F.col("y.b")) & _alike(F.col("x.n_b"), F.col("y.n_b"), threshold)
-    pairs = x.join(y, same & (F.col("x.kmer") == F.col("y.kmer")))
+    pairs = x.join(y, same & (F.col("x.kmer") == F.col("y.kmer")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own")))
     odd = s.filter("shuffled").alias("x").join(s.alias("y"), same)
     both = lambda d: d.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
     return both(pairs).union(both(odd)).distinct()
@@ -338,7 +352,8 @@ def near_dups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> Data
 def keep_one(docs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged: one document of each
     group.  Rows that share the kept id and its text stay together."""
-    gone = near_dups(docs, k, threshold).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash")) & docs["doc_id"].eqNullSafe(F.col("_id"))
-    return docs.join(gone, same, "left_anti")
+    gone = near_dups(docs, k, threshold).filter(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # names of further columns cannot clash
+    same = ((F.xxhash64(F.coalesce(rows["row.text"], F.lit(""))) == gone["text_hash"])
+            & rows["row.doc_id"].eqNullSafe(gone["doc_id"]))
+    return rows.join(gone, same, "left_anti").select("row.*")

@@ -47,9 +47,8 @@ def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-                    F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    d = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
