@@ -54,9 +54,10 @@ def test_cascade_keeps_rows_whole_in_any_order(spark, edge_docs, no_docs):
     kept = quality_rules.keep(edge_docs)
     assert kept.columns == edge_docs.columns
     assert kept.count() == sum(verdict(r["text"]) for r in edge_docs.collect())
-    w = quality_rules.word_array(F.col("text"))
+    text = F.coalesce("text", F.lit(""))
     for names in ([r.name for r in quality_rules.RULES], [r.name for r in quality_rules.RULES[::-1]]):
-        assert edge_docs.filter(quality_rules.cascade(F.coalesce("text", F.lit("")), w, names)).count() == kept.count()
+        passed = quality_rules.bind(quality_rules.word_array(text), lambda w: quality_rules.cascade(text, w, names))
+        assert edge_docs.filter(passed).count() == kept.count()
     assert quality_rules.keep(no_docs).count() == 0 and quality_rules.measure(no_docs).count() == 0
 
 
