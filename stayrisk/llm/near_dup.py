@@ -51,7 +51,7 @@ THRESHOLD = 0.8
 SKETCHES = 16
 PICKED = 3
 LENGTH_STEP = 1.08
-SPARE_STEP = 1.1
+SPARE_STEP = 1.05
 _CANDIDATES = 24
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -296,7 +296,8 @@ def open_pairs(spokes: DataFrame, threshold: float) -> DataFrame:
     first = written(first, "open-prefix")
     x, y = first.filter(~F.col("linked")).alias("x"), first.alias("y")
     same = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") != F.col("y.b")) & _alike(F.col("x.n_b"), F.col("y.n_b"), threshold)
-    pairs = x.join(y, same & (F.col("x.kmer") == F.col("y.kmer")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own")))
+    once = F.col("y.linked") | (F.col("x.b") < F.col("y.b"))  # two open nodes meet from one side only
+    pairs = x.join(y, same & once & (F.col("x.kmer") == F.col("y.kmer")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own")))
     odd = s.filter("shuffled").alias("x").join(s.alias("y"), same)
     both = lambda d: d.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
     return both(pairs).union(both(odd)).distinct()
