@@ -128,3 +128,20 @@ def test_a_context_sums_to_one():
     tree = lm_score.context_tree([root, (key, n)])
     every = np.arange(256, dtype=np.int64) | (98 << 8)
     assert (10 ** lm_score.log_probability(every, tree)).sum() == pytest.approx(1.0, abs=1e-5)
+
+
+def test_every_cell_counts_at_any_size(spark, tmp_path):
+    """A corpus of more than 786,432 cells loses none: its scores are those of
+    the whole tree in one array.  Texts come eight times, so that the deepest
+    contexts tell what follows."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 117, 2000))) for _ in range(200)]
+    spark.createDataFrame(list(enumerate(texts * 8)), "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/d")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    each = [lm_score.cells(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    cell = np.concatenate([c for i, c in enumerate(each * 8) if zlib.crc32(str(i).encode()) % 7 != 2])
+    levels = [np.unique(cell & lm_score.mask(d), return_counts=True) for d in range(lm_score.DEPTH + 1)]
+    assert sum(len(k) for k, _ in levels[1:]) > 3 << 18
+    tree = lm_score.context_tree(levels)
+    for i, c in enumerate(each):
+        assert got[i] == pytest.approx(lm_score.log_probability(c, tree).sum(), abs=1e-6 * len(c))
