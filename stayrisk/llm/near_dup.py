@@ -331,7 +331,9 @@ def near_dups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> Data
     spokes = written(aligned(stars.join(several, "a"), texts, k, threshold), "spokes")
     moved = written(centres(spokes), "centres")
     again = stars.union(stars.select("a", F.col("a").alias("b")).distinct()).join(moved, "a").filter(F.col("b") != F.col("centre"))
-    again = written(again.select(F.col("centre").alias("a"), "b").distinct(), "stars")
+    again = again.select(F.col("centre").alias("a"), "b").distinct()
+    # a centre that is an unmoved hub has met some of them already
+    again = written(again.join(stars.join(moved, "a", "left_anti"), ["a", "b"], "left_anti"), "stars")
     closer = written(aligned(again.withColumn("wide", F.lit(True)), texts, k, threshold), "spokes")
     links = spokes.union(closer).filter("linked").select("a", "b")
     final = spokes.join(moved, "a", "left_anti").union(closer)

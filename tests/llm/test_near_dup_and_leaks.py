@@ -90,6 +90,38 @@ def test_classes_equal_all_pairs(spark, seed):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_two_stars_of_one_centre(spark, monkeypatch):
+    """Copies that share edits: stars move to the hub of another star, and a
+    member of both comes to the pair filter once."""
+    rnd = random.Random(0)
+    word = lambda: "".join(rnd.choice(["ka", "lo", "mi", "nu", "re", "so"]) for _ in range(rnd.randint(2, 5)))
+    rows = []
+    for _ in range(8):
+        base = [word() for _ in range(90)]
+        shared = [(rnd.randrange(90), word()) for _ in range(6)]
+        rows.append(" ".join(base))
+        for _ in range(40):
+            copy = list(base)
+            for at, w in rnd.sample(shared, rnd.randint(0, 2)) + [(rnd.randrange(90), word()) for _ in range(rnd.randint(0, 3))]:
+                copy[at] = w
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    stars, open_pairs = [], near_dup.open_pairs
+
+    def noted(spokes, threshold):
+        stars.extend((bytes(r["a"]), bytes(r["b"])) for r in spokes.select("a", "b").collect())
+        return open_pairs(spokes, threshold)
+
+    monkeypatch.setattr(near_dup, "open_pairs", noted)
+    got = near_dup.near_dups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(stars) == len(set(stars)) > 300
+    # families have no word in common by more than chance: all pairs of each
+    want = {}
+    for f in range(0, len(rows), 41):
+        want |= groups(rows[f:f + 41])
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
 def test_documents_of_the_smallest_table(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert {r["doc_id"]: r["class_id"] for r in near_dup.near_dups(docs).collect()} == groups(rows)
