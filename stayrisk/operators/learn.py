@@ -118,13 +118,13 @@ def classifier(kind: str, tag: str | None = None, seed: int = 42):
     if kind == "logistic":
         est = LogisticRegression(maxIter=50, regParam=0.01, elasticNetParam=0.0, threshold=THRESHOLD, **common)
     elif kind == "forest":
-        est = RandomForestClassifier(numTrees=20, maxDepth=8, seed=seed, **common)
+        est = RandomForestClassifier(numTrees=30, maxDepth=8, seed=seed, **common)
     elif kind == "gbt_shallow":
-        est = GBTClassifier(maxDepth=3, maxIter=15, stepSize=0.3, seed=seed, **common)
+        est = GBTClassifier(maxDepth=3, maxIter=25, stepSize=0.2, seed=seed, **common)
     elif kind == "gbt_deep":
-        est = GBTClassifier(maxDepth=6, maxIter=6, stepSize=0.3, seed=seed, **common)
+        est = GBTClassifier(maxDepth=6, maxIter=12, stepSize=0.2, seed=seed, **common)
     elif kind == "gbt_sub":
-        est = GBTClassifier(maxDepth=5, maxIter=8, stepSize=0.3, subsamplingRate=0.7,
+        est = GBTClassifier(maxDepth=5, maxIter=20, stepSize=0.2, subsamplingRate=0.7,
                             featureSubsetStrategy="sqrt", seed=seed, **common)
     else:
         raise ValueError(kind)
@@ -198,9 +198,10 @@ def vote(members: list, feat: DataFrame, out: str = "p_vote") -> DataFrame:
 
 # F13
 STACK_BASES = ("gbt_shallow", "gbt_deep", "gbt_sub", "forest")
+STACK_FOLDS = 3
 
 
-def fit_stacking(train: DataFrame, kinds=STACK_BASES, k: int = 3, beside=()) -> PipelineModel:
+def fit_stacking(train: DataFrame, kinds=STACK_BASES, k: int = STACK_FOLDS, beside=()) -> PipelineModel:
     """Stack as one persistable PipelineModel: features, base models, logistic
     meta-learner (``prob_stack``).  The meta-learner sees base probabilities of
     rows that neither the bases nor their encoders were fitted on.  Models
@@ -243,7 +244,7 @@ def fit_stacking(train: DataFrame, kinds=STACK_BASES, k: int = 3, beside=()) ->
 RANKED = (*STACK_BASES, "logistic", "voting", "stack")
 
 
-def cv_models(df: DataFrame, k: int = 5, inner: int = 2) -> DataFrame:
+def cv_models(df: DataFrame, k: int = 5, inner: int = STACK_FOLDS) -> DataFrame:
     """Per model x fold: F0.5, precision, recall on the held-out fold, for the
     five single models, their soft vote (logistic, forest, shallow boosting)
     and the stack.  Encoders and models are fitted on the other folds only."""
@@ -307,6 +308,7 @@ def model_ranking(cv: DataFrame) -> DataFrame:
 
 # F17 / F18
 TUNED = ("gbt_shallow", "gbt_deep", "gbt_sub")
+SEARCH_ROUNDS = 10
 
 
 def _search(df: DataFrame, candidates: dict[str, list[dict]], method: str, k: int) -> DataFrame:
@@ -324,7 +326,7 @@ def _search(df: DataFrame, candidates: dict[str, list[dict]], method: str, k: in
 
         def one(kind, params):
             est = classifier(kind)
-            model = est.copy({est.getParam(n): v for n, v in {"maxIter": 8, **params}.items()}).fit(x)
+            model = est.copy({est.getParam(n): v for n, v in {"maxIter": SEARCH_ROUNDS, **params}.items()}).fit(x)
             return MulticlassClassificationEvaluator(
                 labelCol=LABEL, predictionCol=est.getPredictionCol(), metricName="fMeasureByLabel",
                 metricLabel=1.0, beta=0.5).evaluate(model.transform(held))
@@ -347,7 +349,7 @@ def tuning_grid(df: DataFrame, k: int = 3, kinds=TUNED) -> DataFrame:
     return _search(df, {kind: grid for kind in kinds}, "grid", k)
 
 
-def tuning_random(df: DataFrame, n: int = 3, k: int = 3, seed: int = 7, kinds=TUNED) -> DataFrame:
+def tuning_random(df: DataFrame, n: int = 4, k: int = 3, seed: int = 7, kinds=TUNED) -> DataFrame:
     """seeded random search over the same space."""
     import random
     rnd = random.Random(seed)

@@ -96,3 +96,14 @@ def test_stack_saves_and_scores_without_label(spark, sf, tmp_path):
     again = PipelineModel.load(str(tmp_path / "stack"))
     p = lambda m, d: {r["booking_id"]: r["p"] for r in ln.score(m, d, "stack").select("booking_id", "p").collect()}
     assert p(stack, df) == p(again, df.drop("is_canceled", "weight"))
+
+
+def test_models_have_their_full_size(spark):
+    """Sizes of the fitted models and searches; the ranked stack is the scoring one."""
+    import inspect
+    assert ln.classifier("forest").getNumTrees() == 30
+    sizes = {k: (ln.classifier(k).getMaxIter(), ln.classifier(k).getStepSize()) for k in ln.TUNED}
+    assert sizes == {"gbt_shallow": (25, 0.2), "gbt_deep": (12, 0.2), "gbt_sub": (20, 0.2)}
+    of = lambda f, name: inspect.signature(f).parameters[name].default
+    assert ln.SEARCH_ROUNDS == 10 and of(ln.tuning_random, "n") == 4
+    assert of(ln.cv_models, "inner") == of(ln.fit_stacking, "k") == 3
