@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, langid, line_dedup, lm_score, mixing, near_dup, quality_model, quality_rules, token_counts,
+from . import (decontam, langid, line_dedup, lm_score, merkle, mixing, near_dup, quality_model, quality_rules, token_counts,
                toxicity)
 
 
@@ -59,7 +59,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered())
+    return d.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root",
+                    (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_language_id, op3_quality_rules, op4_quality_classifier, op5_decontaminate,
-    op6_token_counts, op7_near_dups, op8_line_dedup, op9_lm_score, op10_toxicity)}
-ORACLE: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+    op6_token_counts, op7_near_dups, op8_line_dedup, op9_lm_score, op10_toxicity, op11_merkle_manifest)}
+ORACLE: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL,
+                          "op11_merkle_manifest": merkle.ORACLE_SQL}
