@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, langid, line_dedup, lm_score, merkle, mixing, near_dup, quality_model, quality_rules, token_counts,
-               token_files, toxicity)
+from . import (decontam, langid, line_dedup, lm_score, merkle, mixing, near_dup, periodic_runs, quality_model, quality_rules,
+               token_counts, token_files, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +69,13 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True, full=False)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_language_id, op3_quality_rules, op4_quality_classifier, op5_decontaminate,
     op6_token_counts, op7_near_dups, op8_line_dedup, op9_lm_score, op10_toxicity, op11_merkle_manifest,
-    op12_token_files)}
+    op12_token_files, op13_periodic_runs)}
 ORACLE: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL,
                           "op11_merkle_manifest": merkle.ORACLE_SQL}
