@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_div, stable
 from .prefix import global_running_sum, segmented_running_sum
-from .quantiles import quantiles, value_block, value_counts
+from .quantiles import quantiles, value_block
 
 Y = "is_canceled"
 
@@ -134,7 +134,7 @@ def target_encode_oof(df: DataFrame, col: str, fold: str = "fold", y: str = Y, m
 def log_robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_rs") -> DataFrame:
     """log1p, then (v - median) / (Q3 - Q1) with exact, distributed quartiles
     (:mod:`.quantiles`)."""
-    q = quantiles(value_counts(df, {c: F.log1p(F.col(c)) for c in cols}), [0.25, 0.5, 0.75])
+    q = quantiles(df, {c: F.log1p(F.col(c)) for c in cols}, [0.25, 0.5, 0.75])
     q = q.agg(F.map_from_entries(F.collect_list(F.struct("column", "q")))).scalar()
     outs = {}
     for c in cols:

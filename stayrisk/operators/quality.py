@@ -10,14 +10,16 @@ pair per task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORY_DOMAINS, COUNTRIES, MIN_SUPPORT, NUMERIC_DOMAINS
 from ..functions.numeric import cents
-from .quantiles import quantiles, value_counts
+from .quantiles import bucket_counts, long_values, quantiles, quantiles_of
 
 LABEL = "is_canceled"
 
@@ -100,7 +102,7 @@ def adr_fences(df: DataFrame, by: Sequence[str] = ("hotel", "reserved_room_type"
                k: float = 1.5) -> DataFrame:
     """Upper ADR fence per hotel x room type: Q3 + k*IQR, in cents.  Quartiles
     are exact and distributed (:mod:`.quantiles`)."""
-    q = quantiles(value_counts(df, {"adr": cents("adr")}, by), [0.25, 0.75], by)
+    q = quantiles(df, {"adr": cents("adr")}, [0.25, 0.75], by)
     return q.select(*by, (F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("fence_cents"))
 
 
@@ -176,58 +178,85 @@ def _scale(c: str) -> float:
     return 100.0 if c in MONEY_COLUMNS else 1.0
 
 
+def _profile_buckets(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(values in long form, their first-pass buckets with moments), by column.
+
+    A bucket holds, beside its count and range, exact sums of whole values in
+    limbs of 31 bits (their squares cannot overflow for |x| < 2^61) and the
+    stable moments of the others."""
+    values = long_values(df, {c: _numeric(c) for c in cols})
+    x = F.col("value")
+    whole = (x == F.floor(x)) & (F.abs(x) < F.lit(float(1 << 61)))
+    size = F.when(whole, F.abs(x)).cast("long")
+    sign = F.signum(x).cast("long")
+    high, low = F.shiftright(size, 31), size.bitwiseAND((1 << 31) - 1)
+    big = high > 0
+    add = lambda v, name: F.sum(v.cast("decimal(28,0)")).alias(name)
+    extra = [F.every(whole).alias("whole"), add(sign * low, "sl"), add(low * low, "ll"), add(F.when(big, sign * high), "sh"),
+             add(F.when(big, high * low), "hl"), add(F.when(big, high * high), "hh"),
+             F.avg(x).alias("mean"), F.var_pop(x).alias("var")]
+    from .learn import write_and_read
+    return values, write_and_read(bucket_counts(values, extra=extra), "profile")
+
+
+def _moments(rows: list) -> dict:
+    """n, mean, sample sd, least, greatest and zero share of a column from its
+    buckets; whole columns in integers, others by adding up central moments."""
+    n = sum(r["n"] for r in rows)
+    if all(r["whole"] for r in rows):
+        total = lambda c: sum(int(r[c] or 0) for r in rows)
+        s = total("sl") + (total("sh") << 31)
+        ss = total("ll") + (total("hl") << 32) + (total("hh") << 62)
+        mean, spread = s / n, Fraction(n * ss - s * s, n)
+    else:
+        mean = math.fsum(r["n"] * r["mean"] for r in rows) / n
+        spread = math.fsum(r["n"] * (r["var"] + (r["mean"] - mean) ** 2) for r in rows)
+    return {"n": n, "mean": mean, "sd": math.sqrt(spread / (n - 1)) if n > 1 else None, "min": min(r["lo"] for r in rows),
+            "max": max(r["hi"] for r in rows), "zero_share": sum(r["n"] for r in rows if r["bucket"] == 0) / n}
+
+
 # D19
 def numeric_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS) -> DataFrame:
     """n, mean, sd, min, quartiles, max, zero share per numeric column.
 
-    All of it comes from the columns' value counts (one aggregate with map-side
-    combine): sums and sums of squares are added in DECIMAL, so the sample
-    variance is exact at any number of rows; quartiles are exact and
-    distributed (:mod:`.quantiles`).
+    One pass counts all columns' values in log buckets with their moments; the
+    quartiles take further passes over the buckets that hold them
+    (:mod:`.quantiles`).  Moments of whole columns are exact at any size and
+    number of rows: the buckets' integer sums, at most a few thousand a column,
+    are combined on the driver.
     """
     cols = _present(df, cols)
-    counts = value_counts(df, {c: _numeric(c) for c in cols})
-    q = quantiles(counts, [0.25, 0.5, 0.75])
-    x, n = F.col("value"), F.col("n")
-    whole = F.col("value") == F.floor("value")
-    D = "decimal(38,0)"
-    m = counts.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.sum(x * n).alias("s"), F.sum(x * x * n).alias("ss"),
-        F.sum(F.when(whole, x.cast("decimal(20,0)") * n.cast("decimal(15,0)"))).cast(D).alias("ws"),
-        F.sum(F.when(whole, (x * x).cast("decimal(20,0)") * n.cast("decimal(15,0)"))).cast(D).alias("wss"), F.every(whole).alias("whole"),
-        F.min(x).alias("mn"), F.max(x).alias("mx"), F.sum(F.when(x == 0, n).otherwise(0)).alias("zeros"))
-    rows = F.col("rows").cast(D)
-    spread = F.when(F.col("whole"), (rows * F.col("wss") - F.col("ws") * F.col("ws")).cast("double")).otherwise(
-        F.col("rows") * F.col("ss") - F.col("s") * F.col("s"))
-    var = F.try_divide(spread, F.col("rows").cast("double") * (F.col("rows") - 1).cast("double"))
-    total = F.when(F.col("whole"), F.col("ws").cast("double")).otherwise(F.col("s"))
-    m = m.join(q.drop("n"), "column")
-    scale = F.element_at(F.create_map(*[v for c in cols for v in (F.lit(c), F.lit(_scale(c)))]), F.col("column"))
-    empty = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    out = m.select("column", F.col("rows").alias("n"), (F.try_divide(total, F.col("rows").cast("double")) / scale).alias("mean"),
-                   (F.round(F.sqrt(var) / scale, 9) + 0.0).alias("sd"), (F.col("mn") / scale).alias("min"),
-                   *[(F.col("q")[i] / scale).alias(name) for i, name in enumerate(("q1", "median", "q3"))],
-                   (F.col("mx") / scale).alias("max"), F.try_divide("zeros", "rows").alias("zero_share"))
-    # a column without values keeps its row
-    return empty.join(out, "column", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    values, buckets = _profile_buckets(df, cols)
+    q = quantiles_of(values, buckets.select("column", "bucket", "n", "lo", "hi"), [0.25, 0.5, 0.75])
+    quartiles = {r["column"]: r["q"] for r in q.collect()}
+    by: dict[str, list] = {c: [] for c in cols}
+    for r in buckets.collect():
+        by[r["column"]].append(r)
+    out = []
+    for c in cols:
+        if not by[c]:  # a column without values keeps its row
+            out.append((c, 0, *[None] * 8))
+            continue
+        m, k = _moments(by[c]), _scale(c)
+        sd = None if m["sd"] is None else m["sd"] / k
+        sd = sd if sd is None or sd < 1e-3 else round(sd, 9)
+        out.append((c, m["n"], m["mean"] / k, sd, m["min"] / k, *[v / k for v in quartiles[c]], m["max"] / k, m["zero_share"]))
+    return df.sparkSession.createDataFrame(out, "`column` string, n long, mean double, sd double, min double, q1 double, median double, "
+                                                "q3 double, max double, zero_share double")
 
 
 # D20
 def outlier_profile(df: DataFrame, cols: Sequence[str] = NUMERIC_PROFILE_COLUMNS, k: float = 1.5) -> DataFrame:
-    """IQR fences per column and rows outside them, all from the columns' value
-    counts: one pass over the table."""
+    """IQR fences per column and rows outside them: quartiles by selection, then
+    one aggregate that counts all columns against their fences."""
     cols = _present(df, cols)
-    counts = value_counts(df, {c: _numeric(c) for c in cols})
-    q = quantiles(counts, [0.25, 0.75]).select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-    q = q.withColumns({"lo": F.col("q1") - k * (F.col("q3") - F.col("q1")), "hi": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
-    out = counts.join(q, "column").groupBy("column", "q1", "q3", "lo", "hi").agg(
-        F.sum(F.when(F.col("value") < F.col("lo"), F.col("n")).otherwise(0)).alias("n_below"),
-        F.sum(F.when(F.col("value") > F.col("hi"), F.col("n")).otherwise(0)).alias("n_above"))
-    scale = F.element_at(F.create_map(*[v for c in cols for v in (F.lit(c), F.lit(_scale(c)))]), F.col("column"))
-    empty = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    out = out.select("column", (F.col("q1") / scale).alias("q1"), (F.col("q3") / scale).alias("q3"),
-                     (F.col("lo") / scale).alias("lo_fence"), (F.col("hi") / scale).alias("hi_fence"), "n_below", "n_above")
-    return empty.join(out, "column", "left").fillna(0, ["n_below", "n_above"])
+    q = {r["column"]: r["q"] for r in quantiles(df, {c: _numeric(c) for c in cols}, [0.25, 0.75]).collect()}
+    fence = {c: (a - k * (b - a), b + k * (b - a)) for c, (a, b) in q.items()}
+    counts = [F.count_if(test(_numeric(c), fence[c][i])).alias(f"{c}__{i}") for c in fence
+              for i, test in enumerate((lambda x, f: x < f, lambda x, f: (x > f) & ~F.isnan(x)))]
+    row = df.agg(*counts or [F.count(F.lit(1))]).first()
+    out = [(c, *[v / _scale(c) for v in (*q[c], *fence[c])], row[f"{c}__0"], row[f"{c}__1"]) if c in q else (c, *[None] * 4, 0, 0) for c in cols]
+    return df.sparkSession.createDataFrame(out, "`column` string, q1 double, q3 double, lo_fence double, hi_fence double, n_below long, n_above long")
 
 
 # D21
@@ -247,49 +276,59 @@ def category_profile(df: DataFrame, cols: Sequence[str] = CATEGORY_PROFILE_COLUM
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
-def _exact_sql(df: DataFrame, c: str) -> str | None:
-    """SQL for an integer-valued version of the column, or None."""
+def _exact(df: DataFrame, c: str) -> Column | None:
+    """An integer-valued version of the column as DECIMAL(19,0), or None."""
     if c in MONEY_COLUMNS:
-        return f"CAST(round({_q(c)} * 100) AS BIGINT)"
-    return f"CAST({_q(c)} AS BIGINT)" if dict(df.dtypes)[c] in _INTEGRAL else None
+        return cents(c).cast("decimal(19,0)")
+    return F.col(c).cast("decimal(19,0)") if dict(df.dtypes)[c] in _INTEGRAL else None
+
+
+def mask_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per pattern of missing values (bit i: column i is present) the rows, the
+    sums of all columns and of all products of two present ones.  One aggregate,
+    no row is repeated; a sum beyond DECIMAL(38,0) is null."""
+    x = [_exact(df, c) for c in cols]
+    mask = sum((F.when(v.isNotNull(), 1 << i).otherwise(0) for i, v in enumerate(x)), F.lit(0))
+    sums = [F.try_sum(v).alias(f"s{i}") for i, v in enumerate(x)]
+    sums += [F.try_sum((x[i] * x[j]).cast("decimal(38,0)")).alias(f"p{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
+    return df.groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def _pearson(rows: list, i: int, j: int) -> float | None:
+    """r of columns i and j over the patterns that hold both, in integers;
+    NaN if one of their sums went beyond DECIMAL(38,0)."""
+    held = [r for r in rows if r["mask"] >> i & 1 and r["mask"] >> j & 1]
+    names = (f"s{i}", f"s{j}", f"p{i}_{i}", f"p{j}_{j}", f"p{i}_{j}")
+    if any(r[c] is None for r in held for c in names):
+        return math.nan
+    n = sum(r["n"] for r in held)
+    sx, sy, sxx, syy, sxy = (sum(int(r[c]) for r in held) for c in names)
+    left, right = n * sxx - sx * sx, n * syy - sy * sy
+    return (n * sxy - sx * sy) / (math.sqrt(left) * math.sqrt(right)) if left and right else None
 
 
 def correlation(df: DataFrame, cols: Sequence[str] = CORRELATION_COLUMNS) -> DataFrame:
     """Pearson r for every pair of columns, over the rows where both have a
-    value.
-
-    Integer and money columns go through sufficient statistics per pair: a row
-    becomes one (pair, x, y) entry per pair, entries are summed as integers in
-    4,096 row blocks and the blocks in DECIMAL, so the sums are exact and
-    independent of partitioning.  r = (n Sxy - Sx Sy) / sqrt((n Sxx - Sx^2)
-    (n Syy - Sy^2)) is combined in DECIMAL, free of cancellation.  Pairs with
-    another kind of column use ``corr`` on the same entries.
+    value; null where one of them does not vary or no row has both.
+
+    Integer and money columns go through cross-moments by pattern of missing
+    values: at most 2^columns rows of exact DECIMAL sums (few in practice), which
+    are added up and combined as integers, free of overflow and cancellation and
+    independent of partitioning.  Pairs with another kind of column, or with
+    sums beyond 38 digits, use ``corr``.
     """
     cols = _present(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    ex = {c: _exact_sql(df, c) for c in cols}
-    exact = [p for p in pairs if ex[p[0]] and ex[p[1]]]
-    other = [p for p in pairs if p not in exact]
-    out = None
-    if exact:
-        entries = ", ".join(f"struct('{a}' AS col_a, '{b}' AS col_b, {ex[a]} AS x, {ex[b]} AS y)" for a, b in exact)
-        row = ", ".join(_q(c) for c in df.columns if dict(df.dtypes)[c] not in ("map", "variant"))
-        long = df.selectExpr(f"pmod(xxhash64({row}), 4096) AS block", f"inline(array({entries}))").filter("x IS NOT NULL AND y IS NOT NULL")
-        sums = {"n": "count(1)", "sx": "sum(x)", "sy": "sum(y)", "sxx": "sum(x * x)", "syy": "sum(y * y)", "sxy": "sum(x * y)"}
-        part = long.groupBy("col_a", "col_b", "block").agg(*[F.expr(f"{v} AS {k}") for k, v in sums.items()])
-        g = part.groupBy("col_a", "col_b").agg(*[F.expr(f"CAST(sum(CAST({k} AS DECIMAL(28,0))) AS DECIMAL(38,0)) AS {k}") for k in sums])
-        up, left, right = ("CAST(n * sxy - sx * sy AS DOUBLE)", "CAST(n * sxx - sx * sx AS DOUBLE)", "CAST(n * syy - sy * sy AS DOUBLE)")
-        out = g.selectExpr("col_a", "col_b", f"round(try_divide({up}, sqrt({left}) * sqrt({right})), 9) + 0.0D AS r")
-    if other:
-        entries = ", ".join(f"struct('{a}' AS col_a, '{b}' AS col_b, CAST({ex[a] or _q(a)} AS DOUBLE) AS x, CAST({ex[b] or _q(b)} AS DOUBLE) AS y)"
-                            for a, b in other)
-        rest = df.selectExpr(f"inline(array({entries}))").groupBy("col_a", "col_b").agg(F.expr("round(corr(x, y), 9) + 0.0D AS r"))
-        out = rest if out is None else out.unionByName(rest)
-    # a pair without common rows keeps its row
-    all_pairs = df.sparkSession.createDataFrame(pairs, "col_a string, col_b string")
-    return all_pairs.join(out, ["col_a", "col_b"], "left")
+    whole = [c for c in cols if _exact(df, c) is not None]
+    rows = mask_sums(df, whole).collect() if len(whole) > 1 else []
+    r = {(a, b): _pearson(rows, whole.index(a), whole.index(b)) if a in whole and b in whole else math.nan for a, b in pairs}
+    rest = [p for p in pairs if r[p] is not None and math.isnan(r[p])]
+    if rest:
+        value = lambda c: (_exact(df, c) if c in whole else F.col(c)).cast("double")
+        found = df.agg(*[F.corr(value(a), value(b)).alias(f"r{k}") for k, (a, b) in enumerate(rest)]).first()
+        r.update({p: found[k] for k, p in enumerate(rest)})
+    out = [(a, b, None if r[a, b] is None or math.isnan(r[a, b]) else round(r[a, b], 9) + 0.0) for a, b in pairs]
+    return df.sparkSession.createDataFrame(out, "col_a string, col_b string, r double")
 
 
 # D24

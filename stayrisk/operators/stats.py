@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..constants import BAND_AMBER_LEAD, BAND_AMBER_MONTH, LEAD_LABELS, MIN_SUPPORT, TOP_K
 from ..functions import features as fx
 from ..functions.numeric import cents, safe_div
-from .quantiles import quantiles, value_counts
+from .quantiles import quantiles
 
 LABEL = "is_canceled"
 
@@ -235,7 +235,7 @@ def bivariate_rate(df: DataFrame, col: str, q: int = 4, label: str = LABEL) -> D
     right-closed: bin i holds cut(i-1) < x <= cut(i).  Our choice where the
     reference gives no rule.
     """
-    cuts = quantiles(value_counts(df, {col: F.col(col)}), [i / q for i in range(1, q)]).select("q").scalar()
+    cuts = quantiles(df, {col: F.col(col)}, [i / q for i in range(1, q)]).select("q").scalar()
     x = F.col(col)
     bin_no = F.lit(1)
     for i in range(q - 1):
