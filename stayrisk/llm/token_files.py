@@ -7,15 +7,21 @@ range into one file.  Spark's own sinks and readers move the bytes (text sink,
 reaches, and a lost task writes its file again.
 
 File: chunk records, an index record, a trailer; Spark's sink puts LF after each.
-A chunk is ``CHUNK_IDS`` ids (the last: fewer), transposed into bit planes (plane
-k holds bit k of every id) or byte planes, whichever compresses better, each
-plane a zstandard frame of its own; planes of zeros take no room.  The index
-holds, as byte planes too, the chunks' places, kinds, plane sizes and ids, and
-the files' documents with their ids and lengths, so one document is read by its
-chunks alone.  The trailer tells where the index is.
-
-Encoding: the tokenizer is asked for each distinct word of a task once.  Its
-pre-tokenizer never joins across blanks, so a text's ids are its words' ids.
+A chunk is ``CHUNK_IDS`` ids (the last: fewer) of 16 bits, or of 32 where the
+vocabulary needs them, transposed into bit planes (plane k holds bit k of every
+id) or byte planes, whichever compresses a file's first chunk better, each plane
+a zstandard frame of its own; planes of zeros take no room.  The index holds, as
+byte planes too, the chunks' places, kinds, plane sizes and ids, the width, and
+the file's documents with their ids and lengths, so one document is read by its
+chunks alone.  The trailer tells where the index is.  Between the tasks a
+document's ids travel as compressed byte planes, too.
+
+Encoding: the library is asked for each distinct piece of text of a task once.
+Words are pieces of their own; the vocabulary's pattern allows to cut plain words
+(printable ASCII without apostrophe and ``<``, and letters of Latin-1) further,
+between letters, digits and other characters, so a text's ids are its pieces'
+ids (tested on random texts).  A tokenizer with another pattern encodes by words,
+which must not be joined across blanks.
 
 Cases: null and empty texts are one end id; a null id comes first; rows that
 share an id ascend by a hash of their ids, equal rows are next to each other;
@@ -25,31 +31,48 @@ reads no rows.  Further columns are not written.
 
 from __future__ import annotations
 
+import json
 import math
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, scratch_root, split_bytes, utf8, written
+from .common import chunks, scratch_root, utf8, written
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 CHUNK_IDS = 1 << 16
 FILE_IDS = 1 << 20
-CACHED_WORDS = 1 << 18
+CACHED_PIECES = 1 << 20
+PIECE_BYTES = 1 << 22
+JOINED = 512
 LEVEL = 3
 MAGIC = b"idplane1"
 BITS, BYTES = 0, 1
+#: Kind of a byte: 0 blank, 1 letter, 2 digit, 3 other; 4 keeps its word whole.
+KIND = np.full(256, 4, np.uint8)
+KIND[33:127] = 3
+KIND[[32, 9, 10, 11, 12, 13]] = 0
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[48:58] = 2
+KIND[[ord("'"), ord("<")]] = 4
+LATIN = 0xC3  # first byte of the letters from U+00C0 to U+00FF; two of these are signs
+SIGNS = (0x97, 0xB7)
+WHOLE = re.compile("['<\\x00-\\x20\\x7f-\\xbf\\xd7\\xf7]|[^\\x00-\\xff]")
+#: Fixed value: the pattern of this public vocabulary, for which words may be cut.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def tokenizer_json(name: str = TOKENIZER) -> str:
     """The tokenizer file's text; a path, or the name of a public vocabulary."""
-    import os
-
     if not os.path.isabs(name):
         import public_tokenizers
         name = public_tokenizers.path(name)
@@ -57,57 +80,147 @@ def tokenizer_json(name: str = TOKENIZER) -> str:
         return f.read()
 
 
-class WordEncoder:
-    """Ids of texts, word by word; words met before come from a table."""
+def id_type(tokenizer: str, end_id: int = END_ID) -> str:
+    """The least of 16 and 32 bits that holds every id."""
+    from tokenizers import Tokenizer
+    return "<u2" if max(Tokenizer.from_str(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def pieces(data: np.ndarray, off: np.ndarray, cut: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends of the pieces that are encoded on their own, first
+    piece of each text).  Plain words are cut (if ``cut``) and lower-cased."""
+    n = len(data)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return data, z, z, np.zeros(len(off), np.int64)
+    kind = KIND[data]
+
+    def edges(k):
+        edge = np.ones(n + 1, bool)
+        edge[1:-1] = k[1:] != k[:-1]
+        edge[off] = True
+        return edge
+
+    if not cut:
+        kind = np.minimum(kind, 1)
+        edge = edges(kind)
+    else:
+        pair = np.flatnonzero(data == LATIN)
+        pair = pair[~np.isin(data[pair + 1], SIGNS)]
+        kind[pair] = kind[pair + 1] = 1
+        word = np.flatnonzero(edges(kind > 0))
+        whole = np.repeat(np.maximum.reduceat(kind == 4, word[:-1]), np.diff(word))
+        up = (data >= 65) & (data <= 90)
+        up[pair + 1] = data[pair + 1] < 0x9F
+        data = np.where(up & ~whole, data + 32, data).astype(np.uint8)
+        kind = np.where(whole, 5, kind)
+        edge = edges(kind)
+        digit = kind == 2
+        edge[:-1] |= digit
+        edge[1:] |= digit
+    filled = kind > 0
+    start, end = np.flatnonzero(filled & edge[:-1]), np.flatnonzero(filled & edge[1:]) + 1
+    return data, start, end, np.searchsorted(start, off)
+
+
+class PieceEncoder:
+    """Ids of texts, piece by piece; pieces met before come from a table."""
 
     def __init__(self, tokenizer: str, end_id: int = END_ID):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self._tokenizer, self._end, self._known = Tokenizer.from_str(tokenizer), end_id, {}
-
-    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self._known]
-        if new:
-            if len(self._known) > CACHED_WORDS:
-                self._known, new = {}, words
-            encoded = self._tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            self._known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(new, encoded))
-        return [self._known[w] for w in words]
+        self._tokenizer, self._end = Tokenizer.from_str(tokenizer), end_id
+        spec = json.loads(tokenizer)
+        self.cut = CUT_PATTERN in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\") and spec["model"].get("end_of_word_suffix") == "</w>"
+        if self.cut:
+            # plain pieces come normalised and cut: only blanks are left to split at
+            spec.update(normalizer=None, post_processor=None, added_tokens=[], pre_tokenizer={"type": "Sequence", "pretokenizers": [
+                {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+            self._plain = Tokenizer.from_str(json.dumps(spec))
+            self._ends = np.zeros(self._plain.get_vocab_size() + len(json.loads(tokenizer)["added_tokens"]), bool)
+            self._ends[[i for w, i in self._plain.get_vocab().items() if w.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty table; its piece 0 is the end of a text."""
+        self._known, self._ids = pa.array([b"\n"], pa.large_binary()), np.array([self._end], np.uint32)
+        self._begin, self._size = np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids of all words in that order on end, number of each)."""
+        plain = np.array([self.cut and not WHOLE.search(w) for w in words], bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        ids, sizes = [], []
+        for k in range(0, int(plain.sum()), JOINED):
+            group = order[k:min(k + JOINED, int(plain.sum()))]
+            (e,) = self._plain.encode_batch_fast([" ".join([words[i] for i in group])], add_special_tokens=False)
+            ids.append(np.array(e.ids, np.uint32))
+            last = np.flatnonzero(self._ends[ids[-1]])  # every plain piece ends with one end-of-word token
+            if len(last) != len(group):
+                raise ValueError("the vocabulary's words do not end in end-of-word tokens")
+            sizes.append(np.diff(last, prepend=-1))
+        each = [e.ids for e in self._tokenizer.encode_batch_fast([words[i] for i in order[int(plain.sum()):]], add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        ids.append(np.fromiter(chain.from_iterable(each), np.uint32, int(sizes[-1].sum())))
+        return order, np.concatenate(ids), np.concatenate(sizes)
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each of some distinct words."""
+        if len(self._known) > CACHED_PIECES:
+            self._forget()
+        number = pc.index_in(words, value_set=self._known)
+        new = np.flatnonzero(number.is_null().to_numpy(zero_copy_only=False))
+        out = number.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            fresh = words.take(pa.array(new))
+            order, ids, size = self._ids_of([w.decode() for w in fresh.to_pylist()])
+            out[new[order]] = len(self._known) + np.arange(len(order))
+            self._begin = np.concatenate([self._begin, len(self._ids) + np.cumsum(size) - size])
+            self._size, self._ids = np.concatenate([self._size, size]), np.concatenate([self._ids, ids])
+            self._known = pa.concat_arrays([self._known, fresh.take(pa.array(order))])
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, where each text begins and the last ends)."""
-        data, off = utf8(texts)
-        words = split_bytes(data, off)
-        # words and gaps as one array over the same bytes; then the words only
-        ends = np.column_stack([words.start, words.end]).ravel()
-        ends = np.concatenate([ends, [len(data)]]).astype(np.int64)
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
-        coded = pieces.take(pa.array(np.arange(0, len(ends) - 1, 2))).dictionary_encode()
-        ids = [*self._ids(coded.dictionary.to_pylist()), np.array([self._end], np.uint32)]
-        # an end after the words of each text
-        which = np.insert(coded.indices.to_numpy().astype(np.int64), words.first[1:], len(ids) - 1)
-        size = np.array([len(x) for x in ids], np.int64)
-        flat, begin = np.concatenate(ids), np.cumsum(size) - size
-        n = size[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])]
-        return out, upto[words.first + np.arange(len(words.first))]
-
-
-def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, ids`` (little-endian, 32 bits each), ``n_tokens``, ``digest``
-    (a hash of the ids) and ``row``, a number within the task."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
+        data, start, end, first = pieces(*utf8(texts), cut=self.cut)
+        # pieces and gaps as one array over the same bytes; then the pieces only
+        ends = np.concatenate([np.column_stack([start, end]).ravel(), [len(data)]]).astype(np.int64)
+        spans = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
+        coded = spans.take(pa.array(np.arange(0, len(ends) - 1, 2))).dictionary_encode()
+        number = self._numbers(coded.dictionary)
+        # an end after the pieces of each text
+        which = np.insert(number[coded.indices.to_numpy()] if len(number) else np.zeros(0, np.int64), first[1:], 0)
+        size = self._size[which]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        out = self._ids[np.repeat(self._begin[which] - upto[:-1], size) + np.arange(upto[-1])]
+        return out, upto[first + np.arange(len(first))]
+
+
+def packed(codec: "_Codec", ids: np.ndarray) -> bytes:
+    """A document's ids on their way to its file."""
+    planes = codec.pack(ids, BYTES)
+    return np.array([len(ids), *map(len, planes)], "<u4").tobytes() + b"".join(planes)
+
+
+def unpacked(codec: "_Codec", blob: bytes, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    n, *sizes = np.frombuffer(blob, "<u4", 1 + width)
+    return codec.unpack(blob[4 + 4 * width:], sizes, int(n), BYTES, dtype)
+
+
+def encoded(docs: DataFrame, tokenizer: str, dtype: str, end_id: int = END_ID) -> DataFrame:
+    """``doc_id, ids`` (:func:`packed`), ``n_tokens``, ``row`` (a number within
+    the task) and ``digest``, a hash of the ids."""
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches):
-        coder, row = WordEncoder(shared.value, end_id), 0
-        for b in chunks(batches):
+        coder, codec, row = PieceEncoder(shared.value, end_id), _Codec(), 0
+        for b in chunks(batches, limit=PIECE_BYTES):
             ids, at = coder.encode(b.column("text"))
-            blob = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(at * 4), pa.py_buffer(ids.astype("<u4").tobytes())])
+            ids = ids.astype(dtype)
+            blobs = [packed(codec, ids[a:z]) for a, z in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), blob.cast(pa.binary()), pa.array(np.diff(at), pa.int64()), pa.array(np.arange(row, row + b.num_rows), pa.int64())],
+                [b.column("doc_id").cast(pa.int64()), pa.array(blobs, pa.binary()), pa.array(np.diff(at), pa.int64()), pa.array(np.arange(row, row + b.num_rows), pa.int64())],
                 names=["doc_id", "ids", "n_tokens", "row"])
             row += b.num_rows
 
@@ -179,15 +292,15 @@ def _read_columns(codec: _Codec, blob: bytes, count: int) -> list[np.ndarray]:
     return out
 
 
-def file_records(batches: Iterator[pa.RecordBatch], chunk_ids: int = CHUNK_IDS) -> Iterator[bytes]:
+def file_records(batches: Iterator[pa.RecordBatch], dtype: str = "<u4", chunk_ids: int = CHUNK_IDS) -> Iterator[bytes]:
     """Records of one file from its documents (``doc_id, ids``) in order."""
-    codec, held, room = _Codec(), [], 0
+    codec, held, room, width = _Codec(), [], 0, np.dtype(dtype).itemsize
     place, starts, kinds, sizes, counts = 0, [], [], [], []
     docs: dict[str, list] = {"doc_id": [], "known": [], "n": []}
 
     def record(ids: np.ndarray) -> bytes:
         nonlocal place
-        kind, planes = codec.smallest(ids)
+        kind, planes = (kinds[0], codec.pack(ids, kinds[0])) if kinds else codec.smallest(ids)
         starts.append(place)
         kinds.append(kind)
         sizes.extend([*map(len, planes), *[0] * (32 - len(planes))])
@@ -198,7 +311,7 @@ def file_records(batches: Iterator[pa.RecordBatch], chunk_ids: int = CHUNK_IDS)
 
     for b in batches:
         for doc_id, blob in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-            ids = np.frombuffer(blob, "<u4")
+            ids = unpacked(codec, blob, dtype)
             for key, v in zip(docs, (doc_id or 0, doc_id is not None, len(ids))):
                 docs[key].append(v)
             held.append(ids)
@@ -213,12 +326,12 @@ def file_records(batches: Iterator[pa.RecordBatch], chunk_ids: int = CHUNK_IDS)
         return
     if room:
         yield record(np.concatenate(held))
-    index = b"".join(_column(codec, c) for c in (starts, kinds, sizes, counts, *docs.values()))
+    index = b"".join(_column(codec, c) for c in ([width], starts, kinds, sizes, counts, *docs.values()))
     yield index
     yield np.array([place, len(index)], "<i8").tobytes() + MAGIC
 
 
-INDEX_COLUMNS = ("starts", "kinds", "sizes", "counts", "doc_id", "known", "n")
+INDEX_COLUMNS = ("width", "starts", "kinds", "sizes", "counts", "doc_id", "known", "n")
 
 
 class TokenFile:
@@ -238,11 +351,11 @@ class TokenFile:
         x = self.index
         sizes = x["sizes"][32 * k:32 * k + 32]
         at = int(x["starts"][k])
-        return self._codec.unpack(self._content[at:at + int(sizes.sum())], sizes, int(x["counts"][k]), int(x["kinds"][k]), "<u4")
+        return self._codec.unpack(self._content[at:at + int(sizes.sum())], sizes, int(x["counts"][k]), int(x["kinds"][k]), f"<u{x['width'][0]}")
 
     def documents(self) -> Iterator[np.ndarray]:
         """Ids of each document in turn; a chunk is unpacked once."""
-        k, held, base = 0, np.zeros(0, np.uint32), 0
+        k, held, base = 0, np.zeros(0, f"<u{self.index['width'][0]}"), 0
         for a, b in zip(self.doc_starts[:-1], self.doc_starts[1:]):
             parts = [held[a - base:b - base]]
             while self._first[k] < b:  # the chunk at hand, ``held``, begins at id ``base``
@@ -261,13 +374,15 @@ class TokenFile:
 def write_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
     """Write the ids of ``docs`` (``doc_id, text``) under ``path`` as files of
     about ``file_ids`` ids, whole documents in ascending id order."""
-    rows = written(encoded(docs, tokenizer, end_id), "token-ids")
+    tokenizer = tokenizer_json(tokenizer)
+    dtype = id_type(tokenizer, end_id)
+    rows = written(encoded(docs, tokenizer, dtype, end_id), "token-ids")
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), "digest", "row"]
     dealt = rows.repartitionByRange(max(1, math.ceil(total / file_ids)), *order).sortWithinPartitions(*order)
 
     def run(batches):
-        for r in file_records(batches):
+        for r in file_records(batches, dtype):
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.binary())], names=["record"])
 
     records = dealt.select("doc_id", "ids").mapInArrow(run, "record binary")

@@ -58,16 +58,17 @@ def test_no_hot_task_for_equal_rows(spark, tmp_path):
     assert sum(n) == 2001 and len(n) >= 6 and max(n) < 800
 
 
-words = st.text(alphabet=st.one_of(st.sampled_from(" \t\n\r\x0b\x0c 　\u0085̸́ΣσςİßDŽ'<|>sStT9é漢😀"), st.characters(exclude_categories=("Cs",))), max_size=40)
+words = st.text(alphabet=st.one_of(st.sampled_from("<|endoftext|>StARTOF.,-_(=0 \x1c\x7f \t\n\r\x0b\x0c 　\u0085̸́ΣσςİßDŽ'<|>sStT9é漢😀"), st.characters(exclude_categories=("Cs",))), max_size=40)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(words, max_size=6))
+@given(st.lists(st.one_of(words, st.text("aBz9 .,'s<|endoftext|>=\u0338\u0301\n", max_size=30), st.sampled_from(
+    ["a<|endoftext|>b <|ENDOFTEXT|>", "x'S 'Stop don'T", "=\u0338 I\u0307", "12,3.4--5e6", "A\u0301,b"])), max_size=6))
 def test_words_encode_like_whole_texts(texts):
     global _CODER, _WHOLE
     if "_CODER" not in globals():
         from tokenizers import Tokenizer
-        _CODER, _WHOLE = tf.WordEncoder(tf.tokenizer_json()), Tokenizer.from_str(tf.tokenizer_json())
+        _CODER, _WHOLE = tf.PieceEncoder(tf.tokenizer_json()), Tokenizer.from_str(tf.tokenizer_json())
     ids, at = _CODER.encode(pa.array(texts, pa.string()))
     assert len(at) == len(texts) + 1
     for k, t in enumerate(texts):
@@ -76,7 +77,7 @@ def test_words_encode_like_whole_texts(texts):
 
 @pytest.mark.parametrize("text", [" " * 1_000_000, "a" * 300_000, "#" * 300_000, "ab " * 100_000])
 def test_very_long_texts(text, encode):
-    ids, at = tf.WordEncoder(tf.tokenizer_json()).encode(pa.array([None, text, ""]))
+    ids, at = tf.PieceEncoder(tf.tokenizer_json()).encode(pa.array([None, text, ""]))
     assert ids[at[1]:at[2]].tolist() == encode(text) and at.tolist() == [0, 1, len(ids) - 1, len(ids)]
 
 
@@ -96,7 +97,7 @@ def test_planes(values, kind):
 def test_random_access_across_chunks():
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 50_000, n, dtype=np.uint32) for n in (1, 30, 500, 1, 64, 63, 7)]
-    batch = pa.RecordBatch.from_pydict({"doc_id": [3, None, 4, 4, 9, 10, 11], "ids": [d.tobytes() for d in docs]})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [3, None, 4, 4, 9, 10, 11], "ids": [tf.packed(tf._Codec(), d) for d in docs]})
     content = b"".join(r + b"\n" for r in tf.file_records(iter([batch]), chunk_ids=64))
     f = tf.TokenFile(content)
     assert f.index["counts"].tolist() == [64] * 10 + [666 - 640]
