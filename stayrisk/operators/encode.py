@@ -139,10 +139,17 @@ def log_robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_rs") ->
     outs = {}
     for c in cols:
         qc = q[c]
-        outs[c + suffix] = stable(safe_div(F.log1p(F.col(c)) - qc[1], qc[2] - qc[0]))
+        outs[c + suffix] = robust_scaled(F.log1p(F.col(c)), qc)
     return df.withColumns(outs)
 
 
+def robust_scaled(x: Column, quartiles) -> Column:
+    """(x - median) / (Q3 - Q1); null where the quartiles are equal."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    q1, median, q3 = (lit(quartiles[i]) for i in range(3))
+    return stable(safe_div(x - median, q3 - q1))
+
+
 # F06
 def class_weights(df: DataFrame, y: str = Y) -> DataFrame:
     """Balanced weights n / (k * n_c) per label value."""

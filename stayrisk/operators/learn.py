@@ -7,13 +7,12 @@ read more than once are written to the shared folder.
 
 from __future__ import annotations
 
-import re
+from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import (OneHotEncoder, RobustScaler, SQLTransformer,
-                                StringIndexer, TargetEncoder, VectorAssembler, VectorSlicer)
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,22 +20,13 @@ from pyspark.sql import functions as F
 from ..constants import THRESHOLD
 from ..functions import features as fx
 from ..functions.numeric import safe_div, stable
+from . import boost
 from . import encode as en
 from . import evaluate as ev
+from .boost import LEARNERS
+from .encoder import LABEL, FeatureEncoder, fit_subsets
 
 # ---------------------------------------------------------------- model frame
-LABEL = "is_canceled"
-ONEHOT_COLS = ["hotel", "meal", "distribution_channel", "reserved_room_type", "customer_type",
-               "arrival_season", "babies_bin", "children_bin", "parking_bin", "prev_cancel_bin",
-               "prev_loyal_bin", "booking_changes_bin"]
-TARGET_COLS = ["agent", "country_grouped"]
-BINARY_COLS = ["market_segment"]
-LOG_COLS = ["lead_time", "adr", "days_in_waiting_list", "lead_x_transient"]
-PLAIN_COLS = ["stays_in_weekend_nights", "stays_in_week_nights", "adults", "is_repeated_guest",
-              "total_of_special_requests", "month_sin", "month_cos", "no_commitment",
-              "is_weekend_only", "has_company"]
-
-
 def model_frame(bookings: DataFrame, weighted: bool = True) -> DataFrame:
     """Key + label (+ balanced weight) + the 29 features.  ``deposit_type`` is
     not among them (leaky, B09)."""
@@ -44,75 +34,28 @@ def model_frame(bookings: DataFrame, weighted: bool = True) -> DataFrame:
     return en.with_class_weight(fm, LABEL) if weighted else fm.withColumn("weight", F.lit(1.0))
 
 
-CATEGORIES = ONEHOT_COLS + ["agent_key", "country_grouped"] + BINARY_COLS
-
-
-def _head_stages(te_smoothing: float) -> list:
-    prep = SQLTransformer(statement=(
-        "SELECT *, " + ", ".join(f"log1p(greatest(CAST({c} AS DOUBLE), 0D)) AS {c}_log" for c in LOG_COLS)
-        + ", CAST(company IS NOT NULL AS INT) AS has_company, CAST(agent AS STRING) AS agent_key FROM __THIS__"))
-    idx = StringIndexer(inputCols=CATEGORIES, outputCols=[f"{c}_idx" for c in CATEGORIES],
-                        handleInvalid="keep", stringOrderType="alphabetAsc")
-    ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in ONEHOT_COLS],
-                        outputCols=[f"{c}_ohe" for c in ONEHOT_COLS], dropLast=False, handleInvalid="keep")
-    te = TargetEncoder(inputCols=["agent_key_idx", "country_grouped_idx"], outputCols=["agent_te", "country_te"],
-                       labelCol=LABEL, targetType="binary", handleInvalid="keep", smoothing=te_smoothing)
-    return [prep, idx, ohe, te]
-
-
-def code_width(levels: int) -> int:
-    """Bits for codes 1..levels; 0 is the code of null and unseen values."""
-    return max(1, levels.bit_length())
+def fit_featurizer(train: DataFrame, te_smoothing: float = 10.0) -> PipelineModel:
+    """F02-F05 as one persistable stage (:mod:`.encoder`)."""
+    return PipelineModel(stages=[FeatureEncoder(te_smoothing).fit(train)])
 
 
-def fit_featurizer(train: DataFrame, te_smoothing: float = 10.0) -> PipelineModel:
-    """F02-F05 as one persistable pipeline: one-hot (no level dropped), target
-    encoding for agent and country (null and unseen values: the prior, as F04),
-    base-2 codes of as many bits as the fitted market segments need, log1p +
-    robust scaling for skewed counts."""
-    head = Pipeline(stages=_head_stages(te_smoothing)).fit(train)
-    labels = dict(zip(CATEGORIES, head.stages[1].labelsArray))
-    prior = train.agg(F.avg(LABEL)).first()[0] or 0.0
-    # "+ 0.0" drops the nominal metadata the encoder copies from the index
-    # column, so trees treat the encodings as numbers, not 60-level categories
-    te = [f"CASE WHEN {c}_idx < {len(labels[c])} THEN {o} ELSE {prior!r}D END + 0.0D AS {o}_num"
-          for c, o in (("agent_key", "agent_te"), ("country_grouped", "country_te"))]
-    known, width = len(labels["market_segment"]), code_width(len(labels["market_segment"]))
-    code = f"CASE WHEN market_segment_idx < {known} THEN CAST(market_segment_idx AS INT) + 1 ELSE 0 END"
-    bits = [f"CAST(shiftright({code}, {width - 1 - i}) & 1 AS DOUBLE) AS market_segment_{i}" for i in range(width)]
-    numbers = SQLTransformer(statement=f"SELECT *, {', '.join(te + bits)} FROM __THIS__")
-    logv = VectorAssembler(inputCols=[f"{c}_log" for c in LOG_COLS], outputCol="log_vec", handleInvalid="keep")
-    rs = RobustScaler(inputCol="log_vec", outputCol="log_scaled", withCentering=True, withScaling=True)
-    asm = VectorAssembler(inputCols=[f"{c}_ohe" for c in ONEHOT_COLS] + ["agent_te_num", "country_te_num"]
-                          + [f"market_segment_{i}" for i in range(width)] + ["log_scaled"] + PLAIN_COLS,
-                          outputCol="features", handleInvalid="keep")
-    tail = Pipeline(stages=[numbers, logv, rs, asm]).fit(head.transform(train))
-    return PipelineModel(stages=head.stages + tail.stages)
-
-
-def train_matrix(featurizer: PipelineModel, train: DataFrame, folds: int = 5, te_smoothing: float = 10.0) -> DataFrame:
+def train_matrix(featurizer: PipelineModel, train: DataFrame) -> DataFrame:
     """Features of the rows the featurizer was fitted on: as it transforms
-    them, but each row's target encodings come from the other folds, so a row's
+    them, but each row's target encodings come from the other parts, so a row's
     own label is not in its features."""
-    d = PipelineModel(stages=featurizer.stages[:3]).transform(train)
-    d = d.withColumn("_part", F.pmod(en.portable_hash(), F.lit(folds)).cast("int"))
-    for col, out in (("agent_key", "agent_te"), ("country_grouped", "country_te")):
-        d = en.target_encode_oof(d, col, "_part", LABEL, te_smoothing, out)
-    # the fitted statement sends unseen values to the prior; here the
-    # out-of-fold value stands for itself
-    numbers = featurizer.stages[4].getStatement()
-    for out in ("agent_te", "country_te"):
-        numbers = re.sub(rf"CASE WHEN \w+ < \d+ THEN {out} ELSE \S+ END", out, numbers)
-    tail = PipelineModel(stages=[SQLTransformer(statement=numbers)] + featurizer.stages[5:])
-    return tail.transform(d)
+    return featurizer.stages[0].transform_train(train)
+
 
+def written_matrix(encoder, train: DataFrame) -> DataFrame:
+    """What fits read many times, written once."""
+    return write_and_read(encoder.transform_train(train).select("booking_id", LABEL, "weight", "features"), "matrix")
 
-MODEL_KINDS = ("logistic", "forest", "gbt_shallow", "gbt_deep", "gbt_sub")
+
+MODEL_KINDS = ("logistic", "forest", "gbt_shallow", "gbt_deep", "gbt_sub", *LEARNERS)
 
 
 def classifier(kind: str, tag: str | None = None, seed: int = 42):
-    """F09-F11.  The three boosted configurations stand in for the
-    reference's three boosting libraries (shallow / deep / subsampled)."""
+    """F09-F11, the MLlib learners; the second-order ones are those of :mod:`.boost`."""
     tag = tag or kind
     common = dict(featuresCol="features", labelCol=LABEL, weightCol="weight", predictionCol=f"pred_{tag}")
     if kind == "logistic":
@@ -149,11 +92,42 @@ def fit_many(jobs: list, parallelism: int = 3) -> list:
         return list(pool.map(lambda job: job(), jobs))
 
 
+def boost_rows(matrix: DataFrame, subset: int = 0) -> DataFrame:
+    """A training matrix as the rows that :func:`boost.fit_many` reads."""
+    return matrix.select(F.lit(subset).alias("subset"), F.col(LABEL).cast("double").alias("y"), F.col("weight").cast("double").alias("w"),
+                         F.xxhash64("booking_id").alias("code"), vector_to_array("features").alias("x"))
+
+
+def fit_kinds(encoders: dict, matrices: dict[int, DataFrame], kinds: dict[int, tuple]) -> dict:
+    """(subset, kind) -> fitted stage.  All boosted models share their passes;
+    the others are fitted beside each other."""
+    boosted = [(s, kind) for s in kinds for kind in kinds[s] if kind in LEARNERS]
+    others = [(s, kind) for s in kinds for kind in kinds[s] if kind not in LEARNERS]
+
+    def all_boosted():
+        if not boosted:
+            return {}
+        rows = None
+        for s in sorted({s for s, _ in boosted}):
+            part = boost_rows(matrices[s], s)
+            rows = part if rows is None else rows.unionByName(part)
+        binary = next(iter(encoders.values())).binary_slots()
+        models = boost.fit_many(rows, [(s, LEARNERS[kind]) for s, kind in boosted], binary)
+        return {job: m.named(job[1], THRESHOLD) for job, m in zip(boosted, models)}
+
+    first, *rest = fit_many([all_boosted, *[lambda s=s, kind=kind: classifier(kind).fit(matrices[s]) for s, kind in others]], parallelism=4)
+    return {**first, **dict(zip(others, rest))}
+
+
 def fit_pipeline(train: DataFrame, kind: str, **params) -> PipelineModel:
     """Features + one classifier as one persistable PipelineModel."""
-    feat = fit_featurizer(train)
+    enc = FeatureEncoder().fit(train)
+    x = written_matrix(enc, train)
+    if kind in LEARNERS:
+        how = replace(LEARNERS[kind], **params)
+        return PipelineModel(stages=[enc, boost.fit_many(boost_rows(x), [(0, how)], enc.binary_slots())[0].named(kind, THRESHOLD)])
     est = classifier(kind)
-    return PipelineModel(stages=feat.stages + [est.copy({est.getParam(k): v for k, v in params.items()}).fit(train_matrix(feat, train))])
+    return PipelineModel(stages=[enc, est.copy({est.getParam(k): v for k, v in params.items()}).fit(x)])
 
 
 def score(model: PipelineModel, df: DataFrame, kind: str, out: str = "p") -> DataFrame:
@@ -182,9 +156,13 @@ def linear_weights(model) -> list[float]:
 
 
 # F12
-def fit_voting(train_feat: DataFrame, kinds=("logistic", "forest", "gbt_shallow")) -> list:
-    models = fit_many([lambda k=k: classifier(k).fit(train_feat) for k in kinds])
-    return list(zip(kinds, models))
+VOTERS = ("logistic", "forest", "boost_level")
+
+
+def fit_voting(encoder, matrix: DataFrame, kinds=VOTERS) -> list:
+    """Members fitted on one written training matrix."""
+    models = fit_kinds({0: encoder}, {0: matrix}, {0: tuple(kinds)})
+    return [(kind, models[0, kind]) for kind in kinds]
 
 
 def vote(members: list, feat: DataFrame, out: str = "p_vote") -> DataFrame:
@@ -197,8 +175,37 @@ def vote(members: list, feat: DataFrame, out: str = "p_vote") -> DataFrame:
 
 
 # F13
-STACK_BASES = ("gbt_shallow", "gbt_deep", "gbt_sub", "forest")
-STACK_FOLDS = 3
+STACK_BASES = ("boost_level", "boost_leaf", "boost_symmetric", "forest")
+STACK_FOLDS = 4
+
+
+def fit_on_subsets(folds: DataFrame, subsets: dict[int, list[int]], kinds: dict[int, tuple]) -> tuple[dict, dict]:
+    """(encoders, models by (subset, kind)) of training sets that are unions of
+    the rows' folds.  Every set's matrix is written once."""
+    encoders = fit_subsets(folds, "fold", subsets)
+    matrices = fit_many([lambda s=s: written_matrix(encoders[s], folds.filter(F.col("fold").isin(subsets[s]))) for s in subsets], parallelism=4)
+    return encoders, fit_kinds(encoders, dict(zip(subsets, matrices)), kinds)
+
+
+def base_scores(encoder, models: list, rows: DataFrame) -> DataFrame:
+    """``rows`` with the probabilities of all ``models``."""
+    return PipelineModel(stages=[encoder, *models]).transform(rows)
+
+
+def fit_meta(rows: DataFrame, kinds=STACK_BASES) -> PipelineModel:
+    """The logistic meta-learner over the bases' probabilities (``prob_stack``)."""
+    pick = [VectorSlicer(inputCol=f"prob_{kind}", outputCol=f"p1_{kind}", indices=[1]) for kind in kinds]
+    join = VectorAssembler(inputCols=[f"p1_{kind}" for kind in kinds], outputCol="meta_features")
+    return Pipeline(stages=[*pick, join, LogisticRegression(
+        featuresCol="meta_features", labelCol=LABEL, weightCol="weight", probabilityCol="prob_stack",
+        rawPredictionCol="raw_stack", predictionCol="pred_stack", threshold=THRESHOLD)]).fit(rows)
+
+
+def _union(parts: list) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def fit_stacking(train: DataFrame, kinds=STACK_BASES, k: int = STACK_FOLDS, beside=()) -> PipelineModel:
@@ -207,64 +214,71 @@ def fit_stacking(train: DataFrame, kinds=STACK_BASES, k: int = STACK_FOLDS, besi
     rows that neither the bases nor their encoders were fitted on.  Models
     ``beside`` are fitted and scored along, but not stacked."""
     folds = write_and_read(en.stratified_folds(train, k), "stack-folds")
+    every = list(range(1, k + 1))
+    subsets = {0: every, **{f: [g for g in every if g != f] for f in every}}
+    encoders, models = fit_on_subsets(folds, subsets, {s: (*kinds, *beside) if s == 0 else tuple(kinds) for s in subsets})
 
     def meta_rows(f):
-        part = folds.filter(F.col("fold") != f)
-        feat = fit_featurizer(part)
-        x = train_matrix(feat, part).persist()
-        try:
-            d = feat.transform(folds.filter(F.col("fold") == f))
-            for kind in kinds:
-                d = classifier(kind).fit(x).transform(d)
-            return write_and_read(d.select(LABEL, "weight", *[f"prob_{kind}" for kind in kinds]), "stack-meta")
-        finally:
-            x.unpersist()
-
-    def bases():
-        feat = fit_featurizer(train)
-        x = train_matrix(feat, train).persist()
-        try:
-            return feat, [classifier(kind).fit(x) for kind in (*kinds, *beside)]
-        finally:
-            x.unpersist()
-
-    *held, (feat, models) = fit_many([lambda f=f: meta_rows(f) for f in range(1, k + 1)] + [bases])
-    rows = held[0]
-    for h in held[1:]:
-        rows = rows.unionByName(h)
-    pick = [VectorSlicer(inputCol=f"prob_{kind}", outputCol=f"p1_{kind}", indices=[1]) for kind in kinds]
-    join = VectorAssembler(inputCols=[f"p1_{kind}" for kind in kinds], outputCol="meta_features")
-    meta = Pipeline(stages=[*pick, join, LogisticRegression(
-        featuresCol="meta_features", labelCol=LABEL, weightCol="weight", probabilityCol="prob_stack",
-        rawPredictionCol="raw_stack", predictionCol="pred_stack", threshold=THRESHOLD)]).fit(rows)
-    return PipelineModel(stages=feat.stages + models + meta.stages)
+        d = base_scores(encoders[f], [models[f, kind] for kind in kinds], folds.filter(F.col("fold") == f))
+        return write_and_read(d.select(LABEL, "weight", *[f"prob_{kind}" for kind in kinds]), "stack-meta")
+
+    meta = fit_meta(_union(fit_many([lambda f=f: meta_rows(f) for f in every])), kinds)
+    return PipelineModel(stages=[encoders[0], *[models[0, kind] for kind in (*kinds, *beside)], *meta.stages])
 
 
 # F16
 RANKED = (*STACK_BASES, "logistic", "voting", "stack")
 
 
-def cv_models(df: DataFrame, k: int = 5, inner: int = STACK_FOLDS) -> DataFrame:
+def nested_scores(folds: DataFrame, k: int, kinds=STACK_BASES) -> tuple[DataFrame, dict, dict, dict]:
+    """Nested stacking with fits shared by pairs of folds.
+
+    The bases are fitted once without each pair of folds {i, j}; their scores of
+    i and of j are inner out-of-fold rows of outer folds j and i.  With the fits
+    without one fold, which score the outer fold itself, that is k (k - 1) / 2 + k
+    training sets instead of k * k, and k - 1 inner folds for each outer one.
+
+    Returns the inner rows (``booking_id, fold, outer``, label, weight, base
+    probabilities), the encoders, the models and the training sets (folds by
+    number: f for all but fold f, 100 i + j for all but i and j)."""
+    every = list(range(1, k + 1))
+    pairs = [(i, j) for i in every for j in every if i < j]
+    subsets = {f: [g for g in every if g != f] for f in every}
+    subsets.update({100 * i + j: [g for g in every if g not in (i, j)] for i, j in pairs})
+    encoders, models = fit_on_subsets(folds, subsets, {s: (*kinds, "logistic") if s < 100 else tuple(kinds) for s in subsets})
+
+    def pair_rows(i, j):
+        s = 100 * i + j
+        d = base_scores(encoders[s], [models[s, kind] for kind in kinds], folds.filter(F.col("fold").isin(i, j)))
+        outer = F.when(F.col("fold") == i, F.lit(j)).otherwise(F.lit(i))
+        return write_and_read(d.select("booking_id", "fold", outer.alias("outer"), LABEL, "weight", *[f"prob_{kind}" for kind in kinds]), "cv-pair")
+
+    inner = _union(fit_many([lambda p=p: pair_rows(*p) for p in pairs], parallelism=4))
+    return inner, encoders, models, subsets
+
+
+def cv_models(df: DataFrame, k: int = 5) -> DataFrame:
     """Per model x fold: F0.5, precision, recall on the held-out fold, for the
-    five single models, their soft vote (logistic, forest, shallow boosting)
-    and the stack.  Encoders and models are fitted on the other folds only."""
+    five single models, their soft vote (logistic, forest, level-wise boosting)
+    and the stack, whose inner folds are the other k - 1 (:func:`nested_scores`).
+    Encoders and models are fitted on the other folds only."""
     folds = write_and_read(en.stratified_folds(df, k), "cv-folds")
+    inner, encoders, models, _ = nested_scores(folds, k)
 
     def fold_scores(f):
-        model = fit_stacking(folds.filter(F.col("fold") != f).drop("fold"), k=inner, beside=("logistic",))
-        d = model.transform(folds.filter(F.col("fold") == f))
+        meta = fit_meta(inner.filter(F.col("outer") == f))
+        single = [models[f, kind] for kind in (*STACK_BASES, "logistic")]
+        d = meta.transform(base_scores(encoders[f], single, folds.filter(F.col("fold") == f)))
         p = {kind: p1(f"prob_{kind}") for kind in (*STACK_BASES, "logistic", "stack")}
-        p["voting"] = (p["logistic"] + p["forest"] + p["gbt_shallow"]) / 3
-        each = F.array(*[F.struct(F.lit(m).alias("model"), fx.decision(p[m]).alias("prediction")) for m in RANKED])
+        p["voting"] = sum(p[kind] for kind in VOTERS) / len(VOTERS)
+        d = d.select(LABEL, "fold", *[v.alias(f"p_{m}") for m, v in p.items()])
+        each = F.array(*[F.struct(F.lit(m).alias("model"), fx.decision(f"p_{m}").alias("prediction")) for m in RANKED])
         return write_and_read(d.select(LABEL, "fold", F.inline(each)).groupBy("model", "fold").agg(
             F.count_if((F.col(LABEL) == 0) & (F.col("prediction") == 1)).alias("fp"),
             F.count_if((F.col(LABEL) == 1) & (F.col("prediction") == 0)).alias("fn"),
             F.count_if((F.col(LABEL) == 1) & (F.col("prediction") == 1)).alias("tp")), "cv-fold")
 
-    parts = fit_many([lambda f=f: fold_scores(f) for f in range(1, k + 1)], parallelism=2)
-    g = parts[0]
-    for part in parts[1:]:
-        g = g.unionByName(part)
+    g = _union(fit_many([lambda f=f: fold_scores(f) for f in range(1, k + 1)], parallelism=3))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return write_and_read(g.select("model", "fold", safe_div(1.25 * tp, 1.25 * tp + 0.25 * fn + fp).alias("f05"),
                                    safe_div(tp, tp + fp).alias("precision"), safe_div(tp, tp + fn).alias("recall")), "cv")
@@ -307,54 +321,51 @@ def model_ranking(cv: DataFrame) -> DataFrame:
 
 
 # F17 / F18
-TUNED = ("gbt_shallow", "gbt_deep", "gbt_sub")
-SEARCH_ROUNDS = 10
+TUNED = tuple(LEARNERS)
 
 
-def _search(df: DataFrame, candidates: dict[str, list[dict]], method: str, k: int) -> DataFrame:
-    """Mean F0.5 over ``k`` stratified folds of each model's parameter sets;
-    encoders are fitted on the training folds of each split."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+def trial_scores(df: DataFrame, trials: list[tuple[str, dict]], k: int) -> list[float]:
+    """Mean F0.5 over ``k`` stratified folds of each trial (learner, parameters
+    that differ from the learner's own).  Encoders are fitted on the training
+    folds of each split; all trials of all splits share the boosting passes, at
+    the learners' own rounds."""
     folds = write_and_read(en.stratified_folds(df, k), "search-folds")
-    tried = [(kind, params) for kind, sets in candidates.items() for params in sets]
-
-    def on_fold(f):
-        part = folds.filter(F.col("fold") != f)
-        feat = fit_featurizer(part)
-        x = train_matrix(feat, part).persist()
-        held = feat.transform(folds.filter(F.col("fold") == f)).select("features", LABEL, "weight").persist()
-
-        def one(kind, params):
-            est = classifier(kind)
-            model = est.copy({est.getParam(n): v for n, v in {"maxIter": SEARCH_ROUNDS, **params}.items()}).fit(x)
-            return MulticlassClassificationEvaluator(
-                labelCol=LABEL, predictionCol=est.getPredictionCol(), metricName="fMeasureByLabel",
-                metricLabel=1.0, beta=0.5).evaluate(model.transform(held))
-
-        try:
-            return fit_many([lambda c=c: one(*c) for c in tried], parallelism=4)
-        finally:
-            x.unpersist()
-            held.unpersist()
-
-    scores = [on_fold(f) for f in range(1, k + 1)]
-    rows = [(kind, method, ", ".join(f"{n}={v}" for n, v in sorted(params.items())), float(sum(s[i] for s in scores) / k))
-            for i, (kind, params) in enumerate(tried)]
+    every = list(range(1, k + 1))
+    subsets = {f: [g for g in every if g != f] for f in every}
+    encoders = fit_subsets(folds, "fold", subsets)
+    rows = _union(fit_many([lambda s=s: boost_rows(written_matrix(encoders[s], folds.filter(F.col("fold").isin(subsets[s]))), s) for s in subsets]))
+    jobs = [(f, replace(LEARNERS[kind], **params)) for f in every for kind, params in trials]
+    models = boost.fit_many(rows, jobs, encoders[1].binary_slots(), "search")
+
+    def held(f):
+        mine = models[(f - 1) * len(trials):f * len(trials)]
+        d = encoders[f].transform(folds.filter(F.col("fold") == f))
+        d = d.select(F.col(LABEL).alias("y"), F.posexplode(boost.margins(mine, F.col("features"))).alias("trial", "m"))
+        cancel = 1.0 / (1.0 + F.exp(-F.col("m"))) >= THRESHOLD
+        g = d.groupBy("trial").agg(F.count_if((F.col("y") == 0) & cancel).alias("fp"), F.count_if((F.col("y") == 1) & ~cancel).alias("fn"),
+                                   F.count_if((F.col("y") == 1) & cancel).alias("tp"))
+        return {r["trial"]: 1.25 * r["tp"] / (1.25 * r["tp"] + 0.25 * r["fn"] + r["fp"]) if r["tp"] else 0.0 for r in g.collect()}
+
+    scores = fit_many([lambda f=f: held(f) for f in every])
+    return [sum(s[t] for s in scores) / k for t in range(len(trials))]
+
+
+def _search(df: DataFrame, trials: list[tuple[str, dict]], method: str, k: int) -> DataFrame:
+    rows = [(kind, method, ", ".join(f"{n}={v}" for n, v in sorted(params.items())), float(score))
+            for (kind, params), score in zip(trials, trial_scores(df, trials, k))]
     return df.sparkSession.createDataFrame(rows, "model string, method string, params string, f05 double")
 
 
 def tuning_grid(df: DataFrame, k: int = 3, kinds=TUNED) -> DataFrame:
     """grid search of the boosted models (depth x step)."""
-    grid = [{"maxDepth": d, "stepSize": s} for d in (2, 4) for s in (0.1, 0.3)]
-    return _search(df, {kind: grid for kind in kinds}, "grid", k)
+    return _search(df, [(kind, {"depth": d, "step": s}) for kind in kinds for d in (2, 4) for s in (0.1, 0.3)], "grid", k)
 
 
 def tuning_random(df: DataFrame, n: int = 4, k: int = 3, seed: int = 7, kinds=TUNED) -> DataFrame:
     """seeded random search over the same space."""
     import random
     rnd = random.Random(seed)
-    return _search(df, {kind: [{"maxDepth": rnd.randint(2, 5), "stepSize": round(rnd.uniform(0.05, 0.4), 3)} for _ in range(n)]
-                        for kind in kinds}, "random", k)
+    return _search(df, [(kind, {"depth": rnd.randint(2, 5), "step": round(rnd.uniform(0.05, 0.4), 3)}) for kind in kinds for _ in range(n)], "random", k)
 
 
 # F19

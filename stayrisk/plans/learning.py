@@ -17,6 +17,8 @@ from ..operators import encode as en
 from ..operators import explain as ex
 from ..operators import learn as ln
 from ..operators import treeshap as ts
+from ..operators.boost import LEARNERS
+from ..operators.encoder import FeatureEncoder
 from ..session import shared_dir
 from ..sources import files
 from ..sources.bookings import bookings, source_stamp
@@ -68,9 +70,22 @@ def q_fit_forest(spark, sf):
 
 @query("fit_boosted")
 def q_fit_boosted(spark, sf):
+    """The three second-order learners, fitted in shared passes."""
     train, test = _split(spark, sf)
-    kinds = ("gbt_shallow", "gbt_deep", "gbt_sub")
-    parts = ln.fit_many([lambda k=k: ln.write_and_read(ln.fit_and_evaluate(train, test, k), f"eval-{k}")
+    enc = FeatureEncoder().fit(train)
+    models = ln.fit_kinds({0: enc}, {0: ln.written_matrix(enc, train)}, {0: tuple(LEARNERS)})
+    return _evaluated(LEARNERS, lambda k: ln.score(PipelineModel(stages=[enc, models[0, k]]), test, k))
+
+
+@query("fit_boosted_first_order")
+def q_fit_boosted_first_order(spark, sf):
+    """MLlib's first-order boosting in three sizes."""
+    train, test = _split(spark, sf)
+    return _evaluated(("gbt_shallow", "gbt_deep", "gbt_sub"), lambda k: ln.score(ln.fit_pipeline(train, k), test, k))
+
+
+def _evaluated(kinds, scored):
+    parts = ln.fit_many([lambda k=k: ln.write_and_read(ln.evaluate_scores(scored(k)).select(F.lit(k).alias("model"), "*"), f"eval-{k}")
                          for k in kinds])
     out = parts[0]
     for r in parts[1:]:
@@ -81,9 +96,8 @@ def q_fit_boosted(spark, sf):
 @query("voting")
 def q_voting(spark, sf):
     train, test = _split(spark, sf)
-    feat_model = ln.fit_featurizer(train)
-    members = ln.fit_voting(ln.train_matrix(feat_model, train))
-    s = ln.vote(members, feat_model.transform(test))
+    enc = FeatureEncoder().fit(train)
+    s = ln.vote(ln.fit_voting(enc, ln.written_matrix(enc, train)), enc.transform(test))
     return ln.evaluate_scores(s, "p_vote").select(F.lit("voting").alias("model"), "*")
 
 

@@ -91,7 +91,7 @@ def test_null_and_unseen_agents_get_the_prior(spark, sf):
 def test_stack_saves_and_scores_without_label(spark, sf, tmp_path):
     from pyspark.ml import PipelineModel
     df = ln.model_frame(bookings(spark, sf))
-    stack = ln.fit_stacking(df, kinds=("gbt_shallow", "forest"), k=2)
+    stack = ln.fit_stacking(df, kinds=("boost_level", "forest"), k=2)
     stack.save(str(tmp_path / "stack"))
     again = PipelineModel.load(str(tmp_path / "stack"))
     p = lambda m, d: {r["booking_id"]: r["p"] for r in ln.score(m, d, "stack").select("booking_id", "p").collect()}
@@ -99,11 +99,66 @@ def test_stack_saves_and_scores_without_label(spark, sf, tmp_path):
 
 
 def test_models_have_their_full_size(spark):
-    """Sizes of the fitted models and searches; the ranked stack is the scoring one."""
+    """Sizes of the fitted models; searches run at the learners' own rounds and
+    the ranked stack has as many inner folds as the scoring one."""
     import inspect
     assert ln.classifier("forest").getNumTrees() == 30
-    sizes = {k: (ln.classifier(k).getMaxIter(), ln.classifier(k).getStepSize()) for k in ln.TUNED}
+    sizes = {k: (ln.classifier(k).getMaxIter(), ln.classifier(k).getStepSize()) for k in ("gbt_shallow", "gbt_deep", "gbt_sub")}
     assert sizes == {"gbt_shallow": (25, 0.2), "gbt_deep": (12, 0.2), "gbt_sub": (20, 0.2)}
+    sizes = {k: (h.rounds, h.depth, h.step) for k, h in ln.LEARNERS.items()}
+    assert sizes == {"boost_level": (25, 3, 0.2), "boost_leaf": (12, 6, 0.2), "boost_symmetric": (20, 5, 0.2)}
     of = lambda f, name: inspect.signature(f).parameters[name].default
-    assert ln.SEARCH_ROUNDS == 10 and of(ln.tuning_random, "n") == 4
-    assert of(ln.cv_models, "inner") == of(ln.fit_stacking, "k") == 3
+    assert ln.TUNED == tuple(ln.LEARNERS) and of(ln.tuning_random, "n") == 4
+    assert of(ln.cv_models, "k") - 1 == of(ln.fit_stacking, "k") == 4
+
+
+def test_no_row_is_scored_by_a_base_that_saw_it(spark, sf, monkeypatch):
+    """Each outer fold's inner rows are all rows of the other folds, once, scored
+    by bases whose training folds hold neither the row's fold nor the outer one."""
+    from dataclasses import replace
+    short = {k: replace(h, rounds=1) for k, h in ln.LEARNERS.items()}
+    monkeypatch.setattr(ln, "LEARNERS", short)
+    df = ln.model_frame(bookings(spark, sf)).filter("booking_id < 600")
+    folds = ln.write_and_read(ln.en.stratified_folds(df, 3), "test-folds")
+    seen = []
+    whole = ln.base_scores
+    monkeypatch.setattr(ln, "base_scores", lambda enc, models, rows: seen.append((models, sorted(r[0] for r in rows.select("fold").distinct().collect()))) or whole(enc, models, rows))
+    kinds = ("boost_level", "boost_symmetric")
+    inner, encoders, models, subsets = ln.nested_scores(folds, 3, kinds)
+    of = {id(m): subsets[s] for (s, _), m in models.items()}
+    assert len(seen) == 3 and all(not set(of[id(m)]) & set(scored) for ms, scored in seen for m in ms)
+    n = {r["fold"]: r["count"] for r in folds.groupBy("fold").count().collect()}
+    got = {(r["outer"], r["fold"]): (r["n"], r["d"]) for r in inner.groupBy("outer", "fold").agg(
+        F.count("*").alias("n"), F.count_distinct("booking_id").alias("d")).collect()}
+    assert got == {(o, f): (n[f], n[f]) for o in n for f in n if o != f}
+    # a pair's scores of its two folds come from one fit: the third fold's rows
+    assert subsets == {1: [2, 3], 2: [1, 3], 3: [1, 2], 102: [3], 103: [2], 203: [1]}
+
+
+def test_encoder_is_the_queries_encoders(spark, sf, tmp_path):
+    """One answer for F04 and F05 in the query and in the fitted stage, the same
+    after saving and loading, and for several training sets at once."""
+    from stayrisk.operators import encode as en
+    from stayrisk.operators.encoder import FeatureEncoder, FeatureEncoderModel, fit_subsets
+    df = ln.model_frame(bookings(spark, sf)).withColumn("agent", F.when(F.col("booking_id") % 3 > 0, F.col("agent")))
+    enc = FeatureEncoder().fit(df)
+    enc.save(str(tmp_path / "enc"))
+    again = FeatureEncoderModel.load(str(tmp_path / "enc"))
+    rows = lambda e, d: {r["booking_id"]: (r["agent_te_num"], r["country_te_num"], str(r["features"].toArray().tolist()))
+                         for r in e.transform(d).select("booking_id", "agent_te_num", "country_te_num", "features").collect()}
+    got = rows(enc, df)
+    assert got == rows(again, df) and len(got) == df.count()
+    te = {r["booking_id"]: r["agent_te"] for r in en.target_encode(df, "agent").collect()}
+    assert all(v[0] == pytest.approx(te[k], abs=1e-12) for k, v in got.items())
+    at = {n: i for i, n in enumerate(enc.slots())}
+    scaled = {r["booking_id"]: r for r in en.log_robust_scale(df, ["lead_time", "adr"]).collect()}
+    vec = {r["booking_id"]: r["features"] for r in enc.transform(df).select("booking_id", "features").collect()}
+    assert all(vec[k][at[f"log_scaled_{c}"]] == r[f"{c}_rs"] for k, r in scaled.items() for c in ("lead_time", "adr"))
+    folds = ln.write_and_read(en.stratified_folds(df, 3), "test-folds")
+    many = fit_subsets(folds, "fold", {7: [1, 3], 9: [1, 2, 3]})
+    part = folds.filter("fold != 2")
+    assert rows(many[7], part) == rows(FeatureEncoder().fit(part), part) and rows(many[9], df) == got
+    oof = en.target_encode_oof(df.withColumn("part", F.pmod(en.portable_hash(), F.lit(5)).cast("int")), "agent", "part")
+    oof = {r["booking_id"]: r["agent_te"] for r in oof.collect()}
+    train = {r["booking_id"]: r["agent_te_num"] for r in enc.transform_train(df).collect()}
+    assert all(train[k] == pytest.approx(v, abs=1e-12) for k, v in oof.items())
