@@ -145,3 +145,18 @@ def test_every_cell_counts_at_any_size(spark, tmp_path):
     tree = lm_score.context_tree(levels)
     for i, c in enumerate(each):
         assert got[i] == pytest.approx(lm_score.log_probability(c, tree).sum(), abs=1e-6 * len(c))
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "　", "  ", "\t \n"])
+@pytest.mark.parametrize("n", [token_counts.LONG_RUN, 9000])
+def test_long_blank_runs_count_as_the_library_does(blank, n):
+    coder = token_counts.encoder(token_counts.read_vocabulary(token_counts.VOCABULARY))
+    run = (blank * n)[:n]
+    for text in (run, f"a{run}b", f"{run}'t", f"x. {run}", f"ab {run}cd{run} 12\n{run}é", f"{run}9"):
+        assert token_counts.token_count(coder, text) == len(coder.encode_ordinary(text))
+
+
+def test_very_long_texts_of_one_kind(spark):
+    texts = [" " * 1_000_000, "a " + " " * 10_000_000 + "b", "\n" * 1_000_000 + "x", "a" * 1_000_000, "#" * 1_000_000, "　" * 1_000_000]
+    got = token_counts.length_histogram(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert got.agg({"n_docs": "sum"}).first()[0] == 6 and got.agg({"n_tokens": "max"}).first()[0] >= 9_999_999
