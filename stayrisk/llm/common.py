@@ -193,21 +193,20 @@ def binary_temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def bounded_sample(df: DataFrame, label: str, per_label: int, key: str = "doc_id", seed: int = 17) -> DataFrame:
-    """About ``per_label`` rows of each label value (all, if there are fewer),
-    chosen by a hash of the key: the same rows at any partitioning.  ``weight``
-    is the number of rows a chosen row stands for.  The label must have few
-    distinct values and the key few repeats."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    top = (1 << 63) - 1
-    keep, weight = F.lit(False), F.lit(1.0)
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        share = min(1.0, per_label / n)
-        cut = top if share == 1 else int(share * top)
-        here = F.col(label) == F.lit(value)
-        keep = keep | (here & (F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit(top)) <= F.lit(cut)))
-        weight = F.when(here, F.lit(1 / share)).otherwise(weight)
-    return df.filter(keep).withColumn("weight", weight)
+def bounded_sample(df: DataFrame, label: str, per_label: int, seed: int = 17) -> DataFrame:
+    """About ``per_label`` different rows of each label value (all, if there are
+    fewer), chosen by a hash of the whole row: the same rows at any partitioning,
+    whatever ids repeat or are null.  Equal rows come once; ``weight`` is the
+    number of rows a chosen row stands for.  Shares of the label values are
+    joined, not listed, so there may be any number of them."""
+    top = (1 << 53) - 1
+    place = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns], *[F.col(c).isNull() for c in df.columns]).bitwiseAND(F.lit(top))
+    rows = df.filter(F.col(label).isNotNull()).withColumn("_place", place)
+    shares = rows.groupBy(label).agg(F.count_distinct("_place").alias("_n"))
+    shares = written(shares.select(F.col(label).alias("_label"), F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("_n")).alias("_share")), "shares")
+    kept = rows.join(shares, (rows[label] == shares["_label"]) & (F.col("_place") <= F.col("_share") * top))
+    return (kept.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"), F.first("_share").alias("_share"))
+            .select(*df.columns, (F.col("_copies") / F.col("_share")).alias("weight")))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_label: int) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, chunks, fold, held_out, mix64
+from .common import bounded_sample, chunks, held_out, mix64
 
 FEATURES = 1 << 15
 GRAMS = (1, 2, 3)
@@ -122,7 +122,8 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> tuple:
     counts[list(df)] = list(df.values())
     idf = np.log((1 + rows) / (1 + counts)) + 1
     sample = bounded_sample(train.select("doc_id", "text", "lang"), "lang", per_lang).select(
-        "text", "lang", fold(10).alias("fold"), F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)).alias("at"))
+        "text", "lang", F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(10)).cast("int").alias("fold"),
+        F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30)).alias("at"))
     got = sample.mapInArrow(_examples, "lang string, fold int, f array<int>, n array<float>").toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     learn, check = [], []

@@ -97,3 +97,63 @@ def test_noisy_or_and_contexts_match_plain_loops():
                 want[bucket[i], plus[bucket[j]]] += 1
                 want[bucket[i], minus[bucket[j]]] -= 1
     assert (table.reshape(want.shape) == want).all()
+
+
+def test_sample_goes_by_row(spark):
+    """Rows of one id or without id are sampled like any others; equal rows come
+    once with their number as weight; labels need not be listed."""
+    from pyspark.sql import functions as F
+
+    from stayrisk.llm.common import bounded_sample
+    n = 20_000
+    d = spark.range(2 * n).select(
+        F.when(F.col("id") < n, 7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+        F.when(F.col("id") < n, "en").otherwise("fr").alias("lang"))
+    d = d.union(spark.range(5000).select(F.lit(3).cast("long"), F.lit("same"), F.lit("de"))).union(spark.range(3).select("id", F.lit("x"), F.lit(None)))
+    got = bounded_sample(d, "lang", 600).repartition(3)
+    r = {x["lang"]: (x["n"], x["w"]) for x in got.groupBy("lang").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    assert set(r) == {"en", "fr", "de"} and r["de"] == (1, 5000.0)
+    for lang in ("en", "fr"):
+        assert abs(r[lang][0] - 600) <= 60 and abs(r[lang][1] - n) <= 0.1 * n
+    assert sorted(map(str, got.collect())) == sorted(map(str, bounded_sample(d.repartition(7), "lang", 600).collect()))
+    model = langid.fit(d)
+    assert model[0] == ["de", "en", "fr"]
+
+
+def test_language_features_and_one_ftrl_step_match_plain_loops():
+    """Document frequencies by loop, and FTRL-proximal by its formulas."""
+    import math
+
+    texts = ["Abc ab.", "été à Paris", "12 34", ""]
+    feats, has = langid.features(pa.array(texts))
+    (counts,) = langid._document_frequencies(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    df = dict(zip(counts.column("f").to_pylist(), counts.column("df").to_pylist()))
+    assert df.pop(-1) == 4
+    assert df == {c: sum(c in set(f.tolist()) for f in feats) for c in {int(x) for f in feats for x in f}}
+    assert list(has) == [True, True, False, False]
+    ex = [(np.array([3, 5]), np.array([0.6, 0.8]), 0), (np.array([5, 9]), np.array([1.0, 0.5]), 1), (np.array([3]), np.array([1.0]), 1)]
+    got = langid.fit_ftrl(ex, 2, epochs=2)
+    z, n = {}, {}
+
+    def weight(f, k):
+        v = z.get((f, k), 0.0)
+        l1, l2 = langid.L1 * 0.01, langid.L2 * 0.01
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((langid.BETA + math.sqrt(n.get((f, k), 0.0))) / langid.ALPHA + l2)
+
+    rng = np.random.default_rng(3)
+    for _ in range(2):
+        for i in rng.permutation(3):
+            fs, xs, y = ex[i]
+            w = {(f, k): weight(f, k) for f in fs.tolist() for k in (0, 1)}
+            s = [sum(x * w[f, k] for f, x in zip(fs.tolist(), xs)) for k in (0, 1)]
+            p = [math.exp(v - max(s)) for v in s]
+            for f, x in zip(fs.tolist(), xs):
+                for k in (0, 1):
+                    g = x * (p[k] / sum(p) - (k == y))
+                    was = n.get((f, k), 0.0)
+                    z[f, k] = z.get((f, k), 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / langid.ALPHA * w[f, k]
+                    n[f, k] = was + g * g
+    for f in (3, 5, 9):
+        for k in (0, 1):
+            assert got[f, k] == pytest.approx(weight(f, k), abs=1e-12)
+    assert np.count_nonzero(got) <= 6
