@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_div, stable
-from .prefix import global_running_sum, segmented_running_sum
+from .prefix import global_running_sum, nested_running_sum, segmented_running_sum
 from .quantiles import quantiles, value_block
 
 Y = "is_canceled"
@@ -130,6 +130,31 @@ def target_encode_oof(df: DataFrame, col: str, fold: str = "fold", y: str = Y, m
     return j.withColumn(out, F.coalesce(te, prior)).drop("_tot_s", "_tot_n", "_own")
 
 
+def order_levels() -> dict[str, Column]:
+    """Nested ranges of the hash ``_h`` in which a category's rows are ordered."""
+    return {"_h20": F.shiftright("_h", 20), "_h10": F.shiftright("_h", 10)}
+
+
+def target_encode_ordered(df: DataFrame, col: str, y: str = Y, m: float = 10.0, seed: int = 0,
+                          key: str = "booking_id", out: str | None = None) -> DataFrame:
+    """Ordered target statistics: a row's code is the m-estimate of the rows of
+    its category that come earlier in a seeded order, so neither its own label
+    nor a later one is in it.  The first row of a category and rows of the null
+    category get the prior (the overall label mean); rows without a label get a
+    code and count for none.
+
+    The order is (Lehmer step of the key plus ``seed``, key).  Running sums are
+    taken over nested hash ranges of each category, so a category with a third
+    of all rows is many small windows (:func:`.prefix.nested_running_sum`)."""
+    out = out or f"{col}_te"
+    h = (F.col(key) % 2147483647 + seed) % 2147483647 * 48271 % 2147483647
+    prior = df.agg(F.avg(y)).scalar()
+    d = nested_running_sum(df.withColumn("_h", h), [col], [F.col("_h"), F.col(key)], order_levels(),
+                           {"_s": F.coalesce(F.col(y), F.lit(0)).cast("long"), "_n": F.col(y).isNotNull().cast("long")})
+    code = (F.col("_s") + F.lit(m) * prior) / (F.col("_n") + F.lit(m))
+    return d.withColumn(out, F.when(F.col(col).isNull(), prior).otherwise(code)).drop("_h", "_s", "_n")
+
+
 # F05
 def log_robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_rs") -> DataFrame:
     """log1p, then (v - median) / (Q3 - Q1) with exact, distributed quartiles

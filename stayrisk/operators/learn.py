@@ -7,7 +7,8 @@ read more than once are written to the shared folder.
 
 from __future__ import annotations
 
-from dataclasses import replace
+import json
+from dataclasses import asdict, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
@@ -350,22 +351,111 @@ def trial_scores(df: DataFrame, trials: list[tuple[str, dict]], k: int) -> list[
     return [sum(s[t] for s in scores) / k for t in range(len(trials))]
 
 
-def _search(df: DataFrame, trials: list[tuple[str, dict]], method: str, k: int) -> DataFrame:
-    rows = [(kind, method, ", ".join(f"{n}={v}" for n, v in sorted(params.items())), float(score))
-            for (kind, params), score in zip(trials, trial_scores(df, trials, k))]
-    return df.sparkSession.createDataFrame(rows, "model string, method string, params string, f05 double")
+class Trials:
+    """Finished trials, kept in the shared folder under the data's stamp: a row
+    per learner with all its parameters and number of folds.  A search runs only
+    what no search, in this session or an earlier one, has run on this data."""
 
+    SCHEMA = "learner string, growth string, folds int, f05 double"
 
-def tuning_grid(df: DataFrame, k: int = 3, kinds=TUNED) -> DataFrame:
-    """grid search of the boosted models (depth x step)."""
-    return _search(df, [(kind, {"depth": d, "step": s}) for kind in kinds for d in (2, 4) for s in (0.1, 0.3)], "grid", k)
+    def __init__(self, df: DataFrame, stamp: str, k: int = 3):
+        from ..session import shared_dir
+        self.df, self.k, self.spark = df, k, df.sparkSession
+        self.path = f"{shared_dir(self.spark)}/trials-{stamp}"
 
+    def _key(self, kind: str, params: dict) -> tuple:
+        return kind, json.dumps(asdict(replace(LEARNERS[kind], **params)), sort_keys=True), self.k
 
-def tuning_random(df: DataFrame, n: int = 4, k: int = 3, seed: int = 7, kinds=TUNED) -> DataFrame:
-    """seeded random search over the same space."""
+    def finished(self) -> dict:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return {}
+        return {(r["learner"], r["growth"], r["folds"]): r["f05"] for r in self.spark.read.schema(self.SCHEMA).parquet(self.path).collect()}
+
+    def scores(self, trials: list[tuple[str, dict]]) -> list[float]:
+        """Mean F0.5 of each trial; the missing ones share their passes."""
+        known = self.finished()
+        todo = list({self._key(*t): t for t in trials if self._key(*t) not in known}.values())
+        if todo:
+            new = {self._key(*t): float(s) for t, s in zip(todo, trial_scores(self.df, todo, self.k))}
+            self.spark.createDataFrame([(*key, s) for key, s in new.items()], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+            known.update(new)
+        return [known[self._key(*t)] for t in trials]
+
+    def table(self, trials: list[tuple[str, dict]], method: str) -> DataFrame:
+        rows = [(kind, method, ", ".join(f"{n}={v}" for n, v in sorted(params.items())), score)
+                for (kind, params), score in zip(trials, self.scores(trials))]
+        return self.spark.createDataFrame(rows, "model string, method string, params string, f05 double")
+
+
+DEPTHS, STEPS = (2, 5), (0.05, 0.4)
+
+
+def grid_trials(kinds=TUNED) -> list[tuple[str, dict]]:
+    """the boosted models' depth x step."""
+    return [(kind, {"depth": d, "step": s}) for kind in kinds for d in (2, 4) for s in (0.1, 0.3)]
+
+
+def random_trials(n: int = 4, seed: int = 7, kinds=TUNED) -> list[tuple[str, dict]]:
+    """seeded draws from the same space."""
     import random
     rnd = random.Random(seed)
-    return _search(df, [(kind, {"depth": rnd.randint(2, 5), "step": round(rnd.uniform(0.05, 0.4), 3)}) for kind in kinds for _ in range(n)], "random", k)
+    return [(kind, {"depth": rnd.randint(*DEPTHS), "step": round(rnd.uniform(*STEPS), 3)}) for kind in kinds for _ in range(n)]
+
+
+def parzen_proposals(done: list[tuple[dict, float]], n: int, seed: int, share: float = 0.3, draws: int = 64) -> list[dict]:
+    """``n`` parameter sets to try next, from finished ``(parameters, score)``.
+
+    The best ``share`` of the trials and the rest each give a Parzen density
+    (Gaussian kernels on the step's logarithm and on depth, and one kernel over
+    the whole space).  Of ``draws`` draws from the density of the good ones the
+    one of greatest density ratio is proposed; it then counts as a finished
+    trial of the rest, so proposals that run side by side keep apart."""
+    import math
+    import random
+    rnd = random.Random(seed)
+    low, high = math.log(STEPS[0]), math.log(STEPS[1])
+    point = lambda p: (float(p["depth"]), math.log(p["step"]))
+    ranked = [point(p) for p, _ in sorted(done, key=lambda t: (-t[1], t[0]["depth"], t[0]["step"]))]
+    cut = max(1, round(share * len(ranked)))
+    good, rest = ranked[:cut], ranked[cut:]
+    widths = 0.8, (high - low) / 6
+
+    def density(x, points):
+        kernel = lambda d, s: math.exp(-(d * d + s * s) / 2) / (2 * math.pi * widths[0] * widths[1])
+        flat = 1 / ((DEPTHS[1] - DEPTHS[0] + 1) * (high - low))
+        return (flat + sum(kernel((x[0] - a) / widths[0], (x[1] - b) / widths[1]) for a, b in points)) / (len(points) + 1)
+
+    def draw():
+        k = rnd.randrange(len(good) + 1)
+        if k == len(good):
+            return float(rnd.randint(*DEPTHS)), rnd.uniform(low, high)
+        d, s = good[k]
+        return (float(min(max(round(rnd.gauss(d, widths[0])), DEPTHS[0]), DEPTHS[1])), min(max(rnd.gauss(s, widths[1]), low), high))
+
+    out = []
+    for _ in range(n):
+        best = max((draw() for _ in range(draws)), key=lambda x: density(x, good) / density(x, rest))
+        rest.append(best)
+        out.append({"depth": int(best[0]), "step": round(math.exp(best[1]), 3)})
+    return out
+
+
+def parzen_trials(store: Trials, start: list[tuple[str, dict]], rounds: int = 2, n: int = 2, seed: int = 7, kinds=TUNED) -> list[tuple[str, dict]]:
+    """F19's third method: ``rounds`` times ``n`` proposals per learner from its
+    finished trials, beginning with those of ``start``; a round's fits share
+    their passes."""
+    tried: list[tuple[str, dict]] = []
+    for r in range(rounds):
+        pool = [*start, *tried]
+        scores = store.scores(pool)
+        new = []
+        for kind in kinds:
+            done = [(p, s) for (name, p), s in zip(pool, scores) if name == kind]
+            new += [(kind, p) for p in parzen_proposals(done, n, seed + r)]
+        store.scores(new)
+        tried += new
+    return tried
 
 
 # F19

@@ -5,6 +5,7 @@ shared by scoring, importance and attribution queries."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.ml import PipelineModel
@@ -163,8 +164,12 @@ def _tuned(spark, sf, method):
     k = _key(spark, sf, f"tune-{method}")
     if k not in _CACHE:
         train, _ = _split(spark, sf)
-        r = ln.tuning_grid(train) if method == "grid" else ln.tuning_random(train)
-        _CACHE[k] = ln.write_and_read(r, f"tune-{method}")
+        store = ln.Trials(train, hashlib.sha256(repr(source_stamp(spark, sf)).encode()).hexdigest()[:20])
+        start = ln.grid_trials() + ln.random_trials()
+        if method == "compare":  # both searches share their passes
+            store.scores(start)
+        trials = {"grid": ln.grid_trials, "random": ln.random_trials, "parzen": lambda: ln.parzen_trials(store, start), "compare": list}[method]()
+        _CACHE[k] = store.table(trials, method)
     return _CACHE[k]
 
 
@@ -180,7 +185,14 @@ def q_tuning_random(spark, sf):
 
 @query("tuning_compare")
 def q_tuning_compare(spark, sf):
-    return ln.tuning_compare(_tuned(spark, sf, "grid").unionByName(_tuned(spark, sf, "random")))
+    """grid, random and Parzen search of each learner."""
+    _tuned(spark, sf, "compare")
+    return ln.tuning_compare(ln._union([_tuned(spark, sf, m) for m in ("grid", "random", "parzen")]))
+
+
+@query("tuning_parzen")
+def q_tuning_parzen(spark, sf):
+    return _tuned(spark, sf, "parzen")
 
 
 def _featurized(spark, sf, df=None):

@@ -180,6 +180,17 @@ def q_target_encode(spark, sf):
     return en.target_encode(b, "agent").drop("is_canceled")
 
 
+@query("target_encode_ordered", W(
+    f"SELECT booking_id, agent, CASE WHEN agent IS NULL THEN p.prior ELSE (coalesce(sum(is_canceled) OVER w, 0) + CAST(10.0 AS {D}) * p.prior) "
+    f"/ (count(is_canceled) OVER w + CAST(10.0 AS {D})) END AS agent_te "
+    "FROM (SELECT *, (booking_id % 2147483647 + 11) % 2147483647 * 48271 % 2147483647 AS h FROM bookings), (SELECT avg(is_canceled) AS prior FROM bookings) p "
+    "WINDOW w AS (PARTITION BY agent ORDER BY h, booking_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
+def q_target_encode_ordered(spark, sf):
+    """F04 by ordered target statistics."""
+    b = bookings(spark, sf).select("booking_id", "agent", "is_canceled")
+    return en.target_encode_ordered(b, "agent", seed=11).drop("is_canceled")
+
+
 _FOLDS = ("f AS (SELECT *, CAST(((row_number() OVER (PARTITION BY is_canceled ORDER BY h, booking_id) - 1) % 5) + 1 AS INTEGER) AS fold "
           "FROM (SELECT *, (booking_id % 2147483647) * 48271 % 2147483647 AS h FROM bookings))")
 

@@ -60,3 +60,30 @@ def test_class_weights(spark):
     df = spark.createDataFrame([(1,), (1,), (0,), (0,), (0,), (0,)], "is_canceled int")
     w = {r["is_canceled"]: r["weight"] for r in en.class_weights(df).collect()}
     assert w == {1: 6 / 4, 0: 6 / 8}
+
+
+def test_ordered_target_codes_see_only_earlier_rows(spark):
+    """Equal to the running m-estimate in the seeded order, for a hot category,
+    null categories, null labels and huge keys; no window holds much of it."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stayrisk.operators import encode as en
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(1 << 40), "hot" if i % 3 == 0 else rnd.choice(["a", "b", None]), rnd.choice([0, 1, 1, None])) for i in range(3000)]
+    rows = list({r[0]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "booking_id long, c string, is_canceled int")
+    for seed in (0, 5):
+        got = {r["booking_id"]: r["c_te"] for r in en.target_encode_ordered(df, "c", seed=seed).collect()}
+        known = [y for _, _, y in rows if y is not None]
+        prior = sum(known) / len(known)
+        s, n = {}, {}
+        for k, c, y in sorted(rows, key=lambda r: ((r[0] % 2147483647 + seed) % 2147483647 * 48271 % 2147483647, r[0])):
+            want = prior if c is None else (s.get(c, 0) + 10 * prior) / (n.get(c, 0) + 10)
+            assert abs(got[k] - want) < 1e-12
+            if y is not None:
+                s[c], n[c] = s.get(c, 0) + y, n.get(c, 0) + 1
+    hot = spark.range(200_000).select((F.col("id") * 16807 % 2147483647).alias("_h")).withColumns(en.order_levels())
+    assert hot.groupBy("_h20").agg(F.count_distinct("_h10").alias("n")).agg(F.max("n")).first()[0] <= 1024
+    assert hot.groupBy("_h20", "_h10").count().agg(F.max("count")).first()[0] <= 10

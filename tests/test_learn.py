@@ -108,7 +108,7 @@ def test_models_have_their_full_size(spark):
     sizes = {k: (h.rounds, h.depth, h.step) for k, h in ln.LEARNERS.items()}
     assert sizes == {"boost_level": (25, 3, 0.2), "boost_leaf": (12, 6, 0.2), "boost_symmetric": (20, 5, 0.2)}
     of = lambda f, name: inspect.signature(f).parameters[name].default
-    assert ln.TUNED == tuple(ln.LEARNERS) and of(ln.tuning_random, "n") == 4
+    assert ln.TUNED == tuple(ln.LEARNERS) and of(ln.random_trials, "n") == 4
     assert of(ln.cv_models, "k") - 1 == of(ln.fit_stacking, "k") == 4
 
 
@@ -162,3 +162,58 @@ def test_encoder_is_the_queries_encoders(spark, sf, tmp_path):
     oof = {r["booking_id"]: r["agent_te"] for r in oof.collect()}
     train = {r["booking_id"]: r["agent_te_num"] for r in enc.transform_train(df).collect()}
     assert all(train[k] == pytest.approx(v, abs=1e-12) for k, v in oof.items())
+
+
+def test_trials_are_run_once_and_kept(spark, sf, monkeypatch, tmp_path):
+    """A finished trial is read from the shared table, in any later search; other
+    parameters, folds or data are other trials."""
+    ran = []
+    monkeypatch.setattr(ln, "trial_scores", lambda df, trials, k: ran.append(list(trials)) or [0.1 * p["depth"] + p["step"] for _, p in trials])
+    import uuid
+    df, stamp = spark.range(1), uuid.uuid4().hex
+    store = ln.Trials(df, stamp)
+    grid, draws = ln.grid_trials(), ln.random_trials()
+    assert len(grid) == len(draws) == 12 and store.finished() == {}
+    first = store.scores(grid + grid[:2])
+    assert len(ran) == 1 and len(ran[0]) == 12 and first[12:] == first[:2]
+    assert ln.Trials(df, stamp).scores(grid) == first[:12] and len(ran) == 1
+    ln.Trials(df, stamp, k=2).scores(grid[:1])
+    assert len(ran) == 2
+    found = ln.parzen_trials(store, grid + draws)
+    assert [len(r) for r in ran[2:]] == [12, 6, 6] and len(found) == 12
+    assert ln.parzen_trials(ln.Trials(df, stamp), grid + draws) == found and len(ran) == 5
+    table = ln._union([store.table(t, m) for t, m in ((grid, "grid"), (draws, "random"), (found, "parzen"))])
+    r = ln.tuning_compare(table).collect()
+    assert len(r) == 3 and all(x["best_f05"] == max(x["grid"], x["random"], x["parzen"]) for x in r)
+
+
+def test_parzen_proposals_go_where_trials_were_good():
+    import math
+    goal = lambda p: -abs(p["depth"] - 4) - 3 * abs(math.log(p["step"] / 0.2))
+    done = [(p, goal(p)) for p in [{"depth": d, "step": s} for d in (2, 3, 4, 5) for s in (0.06, 0.12, 0.22, 0.38)]]
+    near = [goal(p) for seed in range(10) for p in ln.parzen_proposals(done, 3, seed)]
+    flat = [goal(p) for _, p in ln.random_trials(30, 3, ("boost_level",))]
+    assert sum(near) / len(near) > sum(flat) / len(flat) + 0.5
+    one = ln.parzen_proposals(done, 4, 1)
+    assert one == ln.parzen_proposals(done, 4, 1) and all(2 <= p["depth"] <= 5 and 0.05 <= p["step"] <= 0.4 for p in one)
+    assert len({(p["depth"], p["step"]) for p in one}) == 4 and ln.parzen_proposals([], 2, 1)
+
+
+def test_trial_scores_are_the_models_scores(spark, sf, monkeypatch):
+    """A trial's score is the mean F0.5 of its model over the folds."""
+    from dataclasses import replace
+    monkeypatch.setattr(ln, "LEARNERS", {k: replace(h, rounds=2) for k, h in ln.LEARNERS.items()})
+    df = ln.model_frame(bookings(spark, sf)).filter("booking_id < 500")
+    trials = [("boost_level", {"depth": 2, "step": 0.9}), ("boost_symmetric", {"depth": 3, "step": 0.5})]
+    got = ln.trial_scores(df, trials, 2)
+    folds = ln.write_and_read(ln.en.stratified_folds(df, 2), "test-folds")
+    for (kind, params), score in zip(trials, got):
+        f05 = []
+        for f in (1, 2):
+            enc = ln.fit_subsets(folds, "fold", {1: [3 - f]})[1]
+            x = ln.written_matrix(enc, folds.filter(F.col("fold") != f))
+            m = ln.boost.fit_many(ln.boost_rows(x), [(0, replace(ln.LEARNERS[kind], **params))], enc.binary_slots())[0].named("t", ln.THRESHOLD)
+            r = m.transform(enc.transform(folds.filter(F.col("fold") == f))).select(ln.LABEL, "pred_t").collect()
+            tp, fp, fn = (sum((a[0], a[1]) == p for a in r) for p in ((1, 1.0), (0, 1.0), (1, 0.0)))
+            f05.append(1.25 * tp / (1.25 * tp + 0.25 * fn + fp) if tp else 0.0)
+        assert score == pytest.approx(sum(f05) / 2)
