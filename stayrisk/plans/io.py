@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import features as fx
 from ..operators.quality import drop_leaky
@@ -49,6 +50,46 @@ def q_scan_batch(spark, sf):
     return files.file_row_counts(df).agg(F.sum("rows").alias("n_rows"))
 
 
+def _kinds_sql(f):
+    """Type and number of values of a column as the CSV spells them."""
+    v = f"CAST({f.name} AS VARCHAR)"
+    if isinstance(f.dataType, T.IntegerType):
+        v = f"CASE WHEN booking_id % 3 = 0 THEN {v} || '.0' ELSE {v} END"
+    bare = lambda p: p.strip("^$")
+    kind = (f"CASE WHEN v IS NULL THEN 0 WHEN regexp_full_match(v, '{bare(files.INT_PATTERN)}') THEN 1 "
+            f"WHEN regexp_full_match(v, '{bare(files.DOUBLE_PATTERN)}') THEN 2 WHEN v IN ('True', 'False', 'TRUE', 'FALSE', 'true', 'false') THEN 4 "
+            f"WHEN regexp_full_match(v, '{bare(files.DATE_PATTERN)}') AND TRY_CAST(v AS DATE) IS NOT NULL THEN 8 ELSE 16 END")
+    return (f"SELECT '{f.name}' AS \"column\", CASE bit_or({kind}) WHEN 1 THEN 'bigint' WHEN 2 THEN 'double' WHEN 3 THEN 'double' "
+            f"WHEN 4 THEN 'boolean' WHEN 8 THEN 'date' ELSE 'string' END AS type, count(v) AS n_values FROM (SELECT {v} AS v FROM bookings)")
+
+
+@query("infer_types", W(" UNION ALL ".join(_kinds_sql(f) for f in files.BOOKING_SCHEMA.fields)))
+def q_infer_types(spark, sf):
+    """A01/A02 without a schema: types of the CSV's columns from all values."""
+    return files.infer_types(files.scan_text(spark, bookings_csv(spark, sf)))
+
+
+_WHOLE = [f.name for f in files.BOOKING_SCHEMA.fields if isinstance(f.dataType, T.IntegerType)]
+
+
+@query("scan_inferred", W("SELECT * REPLACE (" + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _WHOLE) + ") FROM bookings"))
+def q_scan_inferred(spark, sf):
+    """The CSV read with inferred types; whole numbers that some rows write with
+    a fraction are doubles."""
+    return files.scan_inferred(spark, bookings_csv(spark, sf))
+
+
+@query("scored_batches", W(f"SELECT *, CASE WHEN booking_id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch FROM ({S.SCORED})"), as_double=("children",))
+def q_scored_batches(spark, sf):
+    """A04 batch by batch: one of them first written with other rows, then again."""
+    root = f"{shared_dir(spark)}/scored-batches-{uuid.uuid4().hex[:12]}"
+    d = scored(spark, sf)
+    files.write_scored_batch(d.filter("booking_id % 2 = 0").limit(7), root, "even")
+    for k, batch in enumerate(("even", "odd")):
+        files.write_scored_batch(d.filter(F.col("booking_id") % 2 == k), root, batch)
+    return files.read_scored_batches(spark, root)
+
+
 @query("scored_sink", W(S.SCORED), as_double=("children",))
 def q_scored_sink(spark, sf):
     path = _once(spark, sf, "scored", lambda p: files.write_scored(scored(spark, sf), p))

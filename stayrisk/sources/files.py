@@ -9,10 +9,12 @@ over the scan: no Python per row.
 from __future__ import annotations
 
 import csv
+import io
 import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,34 +57,94 @@ def typed(v, data_type: T.DataType):
     return F.coalesce(plain, F.when(F.abs(number) < F.lit(1e18), whole))
 
 
+HEAD_CHARS = 1 << 14
+
+
+def csv_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files that Spark would read at a path, folder or glob."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    todo, out = list(fs.globStatus(p) or []), []
+    while todo:
+        s = todo.pop()
+        if s.isDirectory():
+            todo += list(fs.listStatus(s.getPath()))
+        elif s.getLen() > 0:
+            out.append(s.getPath().toString())
+    hidden = lambda f: f.rsplit("/", 1)[-1].startswith(("_", "."))
+    return sorted(f for f in out if not hidden(f))
+
+
+def first_record(spark: SparkSession, file: str) -> list[str]:
+    """The header of a CSV file from its first characters alone; more are read
+    only while a quoted name runs on."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    size = HEAD_CHARS
+    while True:
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+            plain = codec.createInputStream(stream) if codec is not None else stream
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8"), min(size, HEAD_CHARS))
+            lines, chars = [], 0
+            while chars < size:
+                line = reader.readLine()
+                if line is None:
+                    break
+                lines.append(line)
+                chars += len(line) + 1
+                if "\n".join(lines).count('"') % 2 == 0:  # no quoted field is open
+                    break
+            else:
+                size *= 2
+                continue
+        finally:
+            stream.close()
+        return next(csv.reader(io.StringIO("\n".join(lines).lstrip("\ufeff"), newline="")), [])
+
+
 def _by_header(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
-    """(columns, files) for each distinct header among the CSV files of
-    ``path``: files are matched by name, not by position."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
-        F.monotonically_increasing_id().alias("line"))
-    heads = (lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"))
-             .groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).collect())
-    return sorted(((next(csv.reader([r["head"].lstrip("\ufeff")]), []), r["files"]) for r in heads), key=lambda x: x[1])
+    """(columns, paths) for each distinct header among the CSV files of ``path``:
+    files are matched by name, not by position.  Headers come from the files'
+    first bytes, some files at a time; files of one header are read by ``path``
+    itself."""
+    from concurrent.futures import ThreadPoolExecutor
+    names = csv_files(spark, path)
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        heads = list(pool.map(lambda f: tuple(first_record(spark, f)), names))
+    by: dict[tuple, list[str]] = {}
+    for head, name in zip(heads, names):
+        by.setdefault(head, []).append(name)
+    if len(by) == 1:
+        return [(list(head), [path]) for head in by]
+    return [(list(head), files) for head, files in by.items()]
+
+
+def _raw_csv(spark: SparkSession, path: str, with_file: bool, multi_line: bool) -> DataFrame | None:
+    """All files of ``path`` with every column as text, matched by name."""
+    raw = None
+    for columns, names in _by_header(spark, path):
+        text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        part = spark.read.schema(text).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(names)
+        if with_file:
+            part = part.withColumn("source_file", F.input_file_name())
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    return raw
 
 
 # A01 / A02
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType = BOOKING_SCHEMA,
-             tokens: Sequence[str] = CSV_NULL_TOKENS, with_file: bool = False) -> DataFrame:
+             tokens: Sequence[str] = CSV_NULL_TOKENS, with_file: bool = False, multi_line: bool = False) -> DataFrame:
     """Read booking CSV file(s) (a path, folder or glob) with a header.
 
     Columns in ``schema`` are converted to their declared type; any other
     columns stay text.  Files may have their columns in any order; a column
     that a file lacks is null there.  ``with_file`` adds the source file name
-    (A02's per-file row counts are a ``groupBy`` on it).
+    (A02's per-file row counts are a ``groupBy`` on it).  ``multi_line`` reads
+    quoted fields with line ends in them; a file is then one task's work.
     """
-    raw = None
-    for columns, names in _by_header(spark, path):
-        text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        part = spark.read.schema(text).option("header", True).csv(names)
-        if with_file:
-            part = part.withColumn("source_file", F.input_file_name())
-        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    raw = _raw_csv(spark, path, with_file, multi_line)
     if raw is None:  # no file has a line
         raw = spark.createDataFrame([], T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
     types = {f.name: f.dataType for f in schema.fields}
@@ -95,6 +157,51 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType = BOOKING_SCHE
     return raw.select(*cols)
 
 
+#: Kinds of values as bits: a column's kinds are the OR of its values' bits.
+INT, DOUBLE, BOOL, DATE, TEXT = 1, 2, 4, 8, 16
+INT_PATTERN = r"^[+-]?[0-9]{1,18}$"
+DOUBLE_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def value_kind(v) -> Column:
+    """The bit of a text value's narrowest type; 0 for null."""
+    return (F.when(v.isNull(), 0).when(v.rlike(INT_PATTERN), INT).when(v.rlike(DOUBLE_PATTERN), DOUBLE)
+            .when(v.isin("True", "False", "TRUE", "FALSE", "true", "false"), BOOL)
+            .when(v.rlike(DATE_PATTERN) & v.try_cast("date").isNotNull(), DATE).otherwise(TEXT))
+
+
+def type_of_kinds(kinds: int) -> str:
+    """The least type that holds all kinds: null < int < double < text, bool <
+    text, date < text.  A column without values is text."""
+    return {INT: "bigint", DOUBLE: "double", INT | DOUBLE: "double", BOOL: "boolean", DATE: "date"}.get(kinds, "string")
+
+
+def infer_types(raw: DataFrame, tokens: Sequence[str] = CSV_NULL_TOKENS) -> DataFrame:
+    """``column, type, n_values`` of a table of text columns, over all values in
+    one aggregate."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(raw.columns):
+        v = null_tokens_to_null(c, tokens)
+        aggs += [F.bit_or(value_kind(v)).alias(f"k{i}"), F.count(v).alias(f"n{i}")]
+    r = raw.agg(*aggs).first()
+    rows = [(c, type_of_kinds(r[f"k{i}"] or 0), r[f"n{i}"]) for i, c in enumerate(raw.columns)]
+    return raw.sparkSession.createDataFrame(rows, "`column` string, type string, n_values long")
+
+
+def scan_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Any CSV with a header, every column as text."""
+    raw = _raw_csv(spark, path, False, multi_line)
+    return spark.createDataFrame([], T.StructType([])) if raw is None else raw
+
+
+def scan_inferred(spark: SparkSession, path: str, tokens: Sequence[str] = CSV_NULL_TOKENS, multi_line: bool = False) -> DataFrame:
+    """Read any CSV with a header; types are inferred from all values."""
+    raw = scan_text(spark, path, multi_line)
+    kinds = {r["column"]: r["type"] for r in infer_types(raw, tokens).collect()}
+    return raw.select(*[null_tokens_to_null(c, tokens).cast(kinds[c]).alias(c) for c in raw.columns])
+
+
 def scan_bookings(spark: SparkSession, path: str, fmt: str = "csv", **kw) -> DataFrame:
     if fmt == "parquet":
         return spark.read.parquet(path)
@@ -139,7 +246,7 @@ def write_with_null_tokens(df: DataFrame, path: str, tokens: Sequence[str] = ("N
         cols.append(F.coalesce(v, tok).alias(f.name))
     for part, order in ((0, cols), (1, cols[::-1])):
         (df.filter(F.pmod(F.xxhash64(key), F.lit(2)) == part).select(*order).write.mode("append")
-         .option("header", True).option("emptyValue", "").csv(path))
+         .option("header", True).option("emptyValue", "").option("escape", '"').csv(path))
 
 
 # A03
@@ -181,7 +288,54 @@ def write_scored(scored: DataFrame, path: str, fmt: str = "parquet") -> None:
     if fmt == "parquet":
         w.partitionBy("risk_label").parquet(path)
     else:
-        w.option("header", True).option("encoding", "UTF-8").csv(path)
+        w.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
+
+
+def write_scored_batch(scored: DataFrame, root: str, batch: str) -> None:
+    """Write one scored batch under ``root`` so that it may be written again.
+
+    Rows go to a folder of this run (``data/batch=<batch>/run=<run>``, parquet by
+    ``risk_label``); the batch's manifest, written last and put in place by one
+    rename, names the run that counts.  Scoring a batch again replaces only it; a
+    reader sees the old rows or the new ones, and nothing of a run that failed."""
+    spark, run = scored.sparkSession, uuid.uuid4().hex[:16]
+    originals = [c for c in scored.columns if c not in RESULT_COLUMNS]
+    scored.select(*originals, *RESULT_COLUMNS).write.partitionBy("risk_label").parquet(f"{root}/data/batch={batch}/run={run}")
+    _put_text(spark, f"{root}/manifest/{batch}", json.dumps({"batch": batch, "run": run}))
+
+
+def _put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all, in place of an older one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(target.getParent())
+    fresh = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex[:8]}")
+    stream = fs.create(fresh)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    uri = fs.makeQualified(target).toUri()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, conf).rename(fs.makeQualified(fresh), fs.makeQualified(target), how)
+
+
+def scored_runs(spark: SparkSession, root: str) -> dict[str, str]:
+    """Batch -> the run that counts, from the manifests."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    rows = [json.loads(r["value"]) for r in spark.read.text(f"{root}/manifest").collect()]
+    return {r["batch"]: r["run"] for r in rows}
+
+
+def read_scored_batches(spark: SparkSession, root: str) -> DataFrame:
+    """All batches' rows, with ``batch``, of the runs that count."""
+    runs = scored_runs(spark, root)
+    if not runs:
+        raise FileNotFoundError(f"no scored batch at {root}")
+    paths = [f"{root}/data/batch={b}/run={r}" for b, r in sorted(runs.items())]
+    return spark.read.option("basePath", f"{root}/data").parquet(*paths).drop("run").withColumn("batch", F.col("batch").cast("string"))
 
 
 def scored_preview(scored: DataFrame, n: int = 200, key: str = "booking_id") -> DataFrame:

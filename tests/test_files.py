@@ -92,3 +92,77 @@ def test_drop_leaky_keeps_original(spark, sf):
     m = drop_leaky(b)
     assert "deposit_type" not in m.columns and "deposit_type" in b.columns
     assert m.count() == b.count()
+
+
+def _folder(**texts):
+    root = tempfile.mkdtemp(prefix="stayrisk-test-")
+    for name, text in texts.items():
+        with open(os.path.join(root, f"{name}.csv"), "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+    return root
+
+
+def test_types_come_from_all_values(spark):
+    rows = ["i,d,m,b,t,day,x,none,big,mixed", "1,1.5,2,True,a,2020-02-29,1,,123456789012345678,1", "-7,.5,3.0,false,b,1999-12-31,,NA,5,x",
+            "+3,1e-3,,TRUE,1,2020-01-01,2020-01-01,null,12345678901234567890,2.5", "NULL,2.,NaN,NA,True,N/A,3,None,1,True"]
+    root = _folder(a="\n".join(rows[:3]) + "\n", b="\n".join([rows[0], *rows[3:]]) + "\n")
+    raw = files.scan_text(spark, root)
+    got = {r["column"]: (r["type"], r["n_values"]) for r in files.infer_types(raw).collect()}
+    assert got == {"i": ("bigint", 3), "d": ("double", 4), "m": ("double", 2), "b": ("boolean", 3), "t": ("string", 4), "day": ("date", 3),
+                   "x": ("string", 3), "none": ("string", 0), "big": ("double", 4), "mixed": ("string", 4)}
+    df = files.scan_inferred(spark, root)
+    assert dict(df.dtypes)["day"] == "date" and sorted(r["i"] or 0 for r in df.collect()) == [-7, 0, 1, 3]
+    assert files.infer_types(spark.createDataFrame([], "a string")).collect()[0]["type"] == "string"
+
+
+def test_one_scan_infers_all_types(spark):
+    """The inference is one job over one scan; headers are read from the files'
+    first characters, not by a job."""
+    root = _folder(a="x,y\n" + "\n".join(f"{i},{i}.5" for i in range(50_000)))
+    sc = spark.sparkContext
+    sc.setJobGroup("heads", "headers")
+    heads = files._by_header(spark, root)
+    assert heads == [(["x", "y"], [root])] and sc.statusTracker().getJobIdsForGroup("heads") == []
+    raw = files.scan_text(spark, root)
+    sc.setJobGroup("kinds", "types")
+    kinds = files.infer_types(raw)
+    jobs = sc.statusTracker().getJobIdsForGroup("kinds")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds}
+    assert len(stages) <= 3 and [r["type"] for r in kinds.collect()] == ["bigint", "double"]
+
+
+def test_headers_with_quotes_line_ends_and_compression(spark):
+    import gzip
+    root = _folder(a='"id","long\nname","c ""q"""\r\n1,"two\nlines",3\r\n', b='id,c "q"\n5,6\n', empty="", bom="﻿id\n9\n")
+    with gzip.open(os.path.join(root, "z.csv.gz"), "wt") as f:
+        f.write("id,zip\n7,8\n")
+    os.mkdir(os.path.join(root, "_hidden"))
+    heads = {tuple(c) for c, _ in files._by_header(spark, root)}
+    assert heads == {("id", "long\nname", 'c "q"'), ("id", 'c "q"'), ("id",), ("id", "zip")}
+    df = files.scan_inferred(spark, root, multi_line=True)
+    got = {r["id"]: r.asDict() for r in df.collect()}
+    assert set(got) == {1, 5, 7, 9} and got[1]["long\nname"] == "two\nlines" and got[1]['c "q"'] == 3 and got[7]["zip"] == 8 and got[5]['c "q"'] == 6
+    name = "n" * 40_000  # a header longer than one read
+    long = _folder(a=f'"{name}\nx",b\n1,2\n')
+    assert files._by_header(spark, long)[0][0] == [f"{name}\nx", "b"]
+    assert files.scan_text(spark, _folder(empty="")).columns == []
+
+
+def test_a_batch_may_be_written_again(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="stayrisk-sink-") + "/scored"
+    row = lambda ids, label: spark.createDataFrame([(i, 0.5, 1, label) for i in ids], "booking_id long, cancel_probability double, prediction int, risk_label string")
+    with pytest.raises(FileNotFoundError):
+        files.read_scored_batches(spark, root)
+    files.write_scored_batch(row([1, 2], "high"), root, "b1")
+    files.write_scored_batch(row([3], "low"), root, "b2")
+    before = files.read_scored_batches(spark, root)  # a reader that holds the first run
+    files.write_scored_batch(row([1, 5], "low"), root, "b1")
+    read = lambda d: sorted((r["batch"], r["booking_id"], r["risk_label"]) for r in d.collect())
+    assert read(files.read_scored_batches(spark, root)) == [("b1", 1, "low"), ("b1", 5, "low"), ("b2", 3, "low")]
+    assert read(before) == [("b1", 1, "high"), ("b1", 2, "high"), ("b2", 3, "low")]
+    # a run that dies before its manifest is not seen
+    monkeypatch.setattr(files, "_put_text", lambda *a: (_ for _ in ()).throw(RuntimeError("lost driver")))
+    with pytest.raises(RuntimeError):
+        files.write_scored_batch(row([9], "high"), root, "b2")
+    assert read(files.read_scored_batches(spark, root)) == [("b1", 1, "low"), ("b1", 5, "low"), ("b2", 3, "low")]
