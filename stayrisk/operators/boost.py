@@ -24,7 +24,7 @@ import json
 import math
 import sys
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -100,10 +100,14 @@ class _Job:
     tree: Tree | None = None
     level: int = 0
     open: np.ndarray | None = None
-    sums: dict = field(default_factory=dict)
+    round: int = 0
 
     def begin(self) -> None:
-        self.tree, self.level, self.open, self.sums = Tree(self.how.depth), 0, np.array([1]), {}
+        self.tree, self.level, self.open, self.round = Tree(self.how.depth), 0, np.array([1]), len(self.trees)
+
+    def without_trees(self) -> "_Job":
+        """What the search for cuts needs."""
+        return replace(self, trees=[], tree=None)
 
     def done(self) -> bool:
         return len(self.trees) >= self.how.rounds
@@ -112,7 +116,7 @@ class _Job:
         """Features that the current tree may cut."""
         if self.how.feature_share >= 1:
             return np.ones(n, bool)
-        rng = np.random.default_rng([self.how.seed, len(self.trees)])
+        rng = np.random.default_rng([self.how.seed, self.round])
         out = np.zeros(n, bool)
         out[rng.choice(n, max(1, round(n * self.how.feature_share)), replace=False)] = True
         return out
@@ -121,7 +125,7 @@ class _Job:
         """Rows that the current tree is fitted on, by their repeatable code."""
         if self.how.row_share >= 1:
             return np.ones(len(code), bool)
-        z = code.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (self.how.seed * 1_000_003 + len(self.trees) + 1) % (1 << 64))
+        z = code.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (self.how.seed * 1_000_003 + self.round + 1) % (1 << 64))
         for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
         z ^= z >> np.uint64(31)
@@ -282,7 +286,7 @@ def one_pass(matrix: DataFrame, jobs: list[_Job], sizes: np.ndarray, parts: int)
     while parts > FAN_IN:  # partial histograms add up in a tree
         parts = -(-parts // FAN_IN)
         d = d.groupBy("job", "block", F.pmod("part", F.lit(parts)).alias("group")).applyInArrow(_added, "job int, block int, part long, sums binary")
-    return d.groupBy("job", "block").applyInArrow(_cuts_of(jobs, sizes), CANDIDATE).collect()
+    return d.groupBy("job", "block").applyInArrow(_cuts_of([j.without_trees() for j in jobs], sizes), CANDIDATE).collect()
 
 
 def _grow(job: _Job, found: list) -> None:
