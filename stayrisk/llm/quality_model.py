@@ -29,7 +29,8 @@ DIMS = 32
 REACH = 2
 PER_LABEL = 3000
 HIDDEN = 24
-EPOCHS = 300
+STEPS = 1600  # of Adam, at any number of rows
+MINIBATCH = 256
 BLOCK = 256
 #: Blank, symbol or letter: words and runs of symbols are tokens of their own.
 KINDS = (NOT_BLANK + LETTERS).astype(np.uint8)
@@ -104,26 +105,30 @@ def pool(col: pa.Array, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def gradient(p: list, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list:
+    """Derivatives of the weighted log loss (sum of ``weight`` parts) plus the
+    small L2 price of both layers' weights."""
+    h = np.tanh(x @ p[0] + p[1])
+    e = (sigmoid(h @ p[2] + p[3]) - y) * weight
+    back = np.outer(e, p[2]) * (1 - h * h)
+    return [x.T @ back + 1e-4 * p[0], back.sum(axis=0), h.T @ e + 1e-4 * p[2], np.array([e.sum()])]
+
+
 def fit_network(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 5) -> tuple:
-    """Two-layer network (tanh, logistic) by Adam on minibatches:
-    (mean, scale, w1, b1, w2, b2)."""
+    """Two-layer network (tanh, logistic) by ``STEPS`` steps of Adam on
+    minibatches: (mean, scale, w1, b1, w2, b2)."""
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = (x - mean) / scale
     p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, s, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     weight = weight / weight.mean()
-    size = 256
-    for epoch in range(max(20, min(EPOCHS, 400_000 // max(1, len(x))))):
+    while t < STEPS:
         order = rng.permutation(len(x))
-        for k in range(0, len(x), size):
-            at = order[k:k + size]
-            h = np.tanh(x[at] @ p[0] + p[1])
-            e = (sigmoid(h @ p[2] + p[3]) - y[at]) * weight[at] / len(at)
-            back = np.outer(e, p[2]) * (1 - h * h)
-            grads = [x[at].T @ back + 1e-4 * p[0], back.sum(axis=0), h.T @ e + 1e-4 * p[2], np.array([e.sum()])]
+        for k in range(0, min(len(x), (STEPS - t) * MINIBATCH), MINIBATCH):
+            at = order[k:k + MINIBATCH]
             t += 1
-            for i, g in enumerate(grads):
+            for i, g in enumerate(gradient(p, x[at], y[at], weight[at] / len(at))):
                 m[i] += 0.1 * (g - m[i])
                 s[i] += 0.001 * (g * g - s[i])
                 p[i] -= 0.005 * (m[i] / (1 - 0.9 ** t)) / (np.sqrt(s[i] / (1 - 0.999 ** t)) + 1e-8)

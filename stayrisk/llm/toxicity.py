@@ -75,6 +75,17 @@ def noisy_or(z: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(text, _softplus(z), minlength=n))
 
 
+def bag_gradient(w, b, bucket, sentence, text, y) -> tuple[np.ndarray, float]:
+    """Derivatives of the mean document log loss, P(document) the noisy-or of its
+    sentences' probabilities, in the feature weights and the bias."""
+    z = np.bincount(sentence, w[bucket], minlength=len(text)) + b
+    p = sigmoid(z)
+    clean = np.exp(-np.bincount(text, _softplus(z), minlength=len(y)))  # P(no sentence offends)
+    pull = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0) / len(y)
+    g_sentence = pull[text] * p
+    return np.bincount(bucket, g_sentence[sentence], minlength=len(w)), float(g_sentence.sum())
+
+
 def fit_bags(bucket, sentence, text, y, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """(feature weights, bias): minimises the mean document log loss.  The L1
     price is that of ``L1_DOCS`` documents, so what few documents hold is not
@@ -83,13 +94,7 @@ def fit_bags(bucket, sentence, text, y, steps: int = STEPS) -> tuple[np.ndarray,
     squares, bias_squares = np.zeros(FEATURES), 0.0
     price, floor = L1_DOCS / len(y), SLOW_DOCS / len(y)
     for _ in range(steps):
-        z = np.bincount(sentence, w[bucket], minlength=len(text)) + b
-        p = sigmoid(z)
-        clean = np.exp(-np.bincount(text, _softplus(z), minlength=len(y)))  # P(no sentence offends)
-        pull = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0) / len(y)
-        g_sentence = pull[text] * p
-        g = np.bincount(bucket, g_sentence[sentence], minlength=FEATURES)
-        gb = g_sentence.sum()
+        g, gb = bag_gradient(w, b, bucket, sentence, text, y)
         squares += g * g
         bias_squares += gb * gb
         step = RATE / (np.sqrt(squares) + floor)

@@ -157,3 +157,58 @@ def test_language_features_and_one_ftrl_step_match_plain_loops():
         for k in (0, 1):
             assert got[f, k] == pytest.approx(weight(f, k), abs=1e-12)
     assert np.count_nonzero(got) <= 6
+
+
+def test_network_gradient_and_fit(monkeypatch):
+    """Back-propagation against differences of the loss; the fit separates what
+    one hidden layer can, in the same number of steps at any size."""
+    rng = np.random.default_rng(9)
+    x, y, w = rng.normal(size=(7, 3)), np.array([0, 1, 1, 0, 1, 0, 0.0]), rng.random(7) + 0.1
+    p = [rng.normal(size=(3, 4)), rng.normal(size=4), rng.normal(size=4), rng.normal(size=1)]
+
+    def loss(q):
+        z = np.tanh(x @ q[0] + q[1]) @ q[2] + q[3]
+        return (w * (np.logaddexp(0, z) - y * z)).sum() + 0.5e-4 * ((q[0] ** 2).sum() + (q[2] ** 2).sum())
+
+    for i, g in enumerate(quality_model.gradient(p, x, y, w)):
+        for at in np.ndindex(p[i].shape):
+            ends = []
+            for d in (1e-6, -1e-6):
+                q = [a.copy() for a in p]
+                q[i][at] += d
+                ends.append(loss(q))
+            assert g[at] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-6)
+    calls = []
+    whole = quality_model.gradient
+    monkeypatch.setattr(quality_model, "gradient", lambda *a: calls.append(1) or whole(*a))
+    for n in (60, 700):
+        x = rng.normal(size=(n, 2))
+        y = (x[:, 0] * x[:, 1] > 0).astype(float)
+        z = quality_model.forward(quality_model.fit_network(x, y, np.ones(n)), x)
+        assert ((z > 0) == (y > 0)).mean() > 0.95
+    assert len(calls) == 2 * quality_model.STEPS
+
+
+def test_noisy_or_gradient():
+    """Derivatives of the document loss against differences, by feature and bias."""
+    rng = np.random.default_rng(4)
+    text = np.array([0, 0, 1, 2, 2, 2])  # document of each sentence; document 3 has none
+    sentence = np.array([0, 0, 1, 2, 2, 3, 4, 5, 5])
+    bucket = rng.integers(0, 6, len(sentence))
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    w, b = rng.normal(size=6), -0.7
+
+    def loss(w, b):
+        total = 0.0
+        for d in range(4):
+            clean = 1.0
+            for s in np.flatnonzero(text == d):
+                clean *= 1 - 1 / (1 + np.exp(-(w[bucket[sentence == s]].sum() + b)))
+            total -= np.log(1 - clean) if y[d] else np.log(clean)
+        return total / 4
+
+    g, gb = toxicity.bag_gradient(w, b, bucket, sentence, text, y)
+    for k in range(6):
+        e = np.eye(6)[k] * 1e-6
+        assert g[k] == pytest.approx((loss(w + e, b) - loss(w - e, b)) / 2e-6, abs=1e-6)
+    assert gb == pytest.approx((loss(w, b + 1e-6) - loss(w, b - 1e-6)) / 2e-6, abs=1e-6)
