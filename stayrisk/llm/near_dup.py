@@ -18,14 +18,16 @@ linked; a group is a connected component.
    thousands of copies costs a linear number of alignments.
 3. A hub that carries edits of its own gives way to the member nearest to the
    k-mers that most of the star agree on, with a second star around it.
-4. Members linked to one hub are connected.  What is left are pairs under one
-   hub H of which one, A, is not linked to H.  With E(X) the k-mers in which X
-   and H differ, A and B differ in exactly those in which E(A) and E(B) do, so a
-   link needs an overlap of at least (|E(A)| + |E(B)| - (|A| + |B|) / 9) / 2.
+4. These links give components.  What is left are pairs of two components under
+   one hub H, of which one, A, is not linked to H.  With E(X) the k-mers in which
+   X and H differ, A and B differ in exactly those in which E(A) and E(B) do, so
+   a link needs an overlap of at least (|E(A)| + |E(B)| - (|A| + |B|) / 9) / 2.
    A prefix filter on these sets, rarest k-mer first, finds all pairs that can
-   reach it; an edited copy's prefix is k-mers of its own, so unlinked copies
-   of one text do not meet each other.  The found pairs are aligned.
-5. Links give components.
+   reach it: a member's row tells the place of a k-mer among its own, and a pair
+   meets only where both places lie in the prefixes that the pair's two
+   overlaps allow.  An edited copy's prefix is k-mers of its own, so unlinked
+   copies of one text do not meet each other.  The found pairs are aligned.
+5. Their links join components.
 
 Cases: texts without words are never grouped (each is its own class); texts of
 fewer than five words are one k-mer, so only equal ones meet; a null id takes
@@ -51,7 +53,7 @@ THRESHOLD = 0.8
 SKETCHES = 16
 PICKED = 3
 LENGTH_STEP = 1.08
-SPARE_STEP = 1.05
+HUB_SHARE = 256  # members of a hub that read one copy of its text
 _CANDIDATES = 24
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -210,7 +212,13 @@ def aligned(pairs: DataFrame, texts: DataFrame, k: int = K, threshold: float = T
     """``pairs`` (``a, b``: nodes, ``wide``) with whether their texts are
     similar enough, their lengths and, if wide, the k-mers in which they differ."""
     side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "wide", "text_a", "text_b")
+    # a hub of many members hands out copies of its text, so they are not one task's work
+    big = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_SHARE).alias("copies")).filter("copies > 1")
+    dealt = (pairs.join(big, "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))))
+             .select("a", "b", "wide", "copy"))
+    hubs = side("a").join(big, "a", "left").select(
+        "a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    both = dealt.join(side("b"), "b").join(hubs, ["a", "copy"]).select("a", "b", "wide", "text_a", "text_b")
     return both.mapInArrow(_align(k, threshold), ALIGNED)
 
 
@@ -233,6 +241,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` after ``edges`` have joined some of their components."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    e = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    top = components(e.filter("a <> b")).withColumnRenamed("label", "top")
+    alone = top.join(labels, "node", "left_anti").select("node", F.col("top").alias("label"))  # nodes without a link before
+    known = labels.join(top.withColumnRenamed("node", "label"), "label", "left")
+    return known.select("node", F.coalesce("top", "label").alias("label")).union(alone)
+
+
 def _alike(n: Column, m: Column, threshold: float) -> Column:
     """Lengths that allow a similarity of ``threshold``."""
     return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)
@@ -256,48 +275,45 @@ def centres(spokes: DataFrame) -> DataFrame:
     return best.filter(F.col("best.far") < F.col("n_wrong")).select("a", F.col("best.b").alias("centre"))
 
 
-def open_pairs(spokes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of nodes under one hub, at least one of them not linked to it,
-    that can be similar enough.  ``spokes`` is ``aligned`` (hub ``a``, member
-    ``b``)."""
+def open_pairs(spokes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes under one hub, at least one of them not linked to it and
+    not of one component (``labels``: ``node, label``), that can be similar
+    enough.  ``spokes`` is ``aligned`` (hub ``a``, member ``b``)."""
     part = F.lit((1 - threshold) / (1 + threshold))  # |A d B| <= part * (|A| + |B|)
     s = (spokes.filter(F.col("differ").isNotNull())
          .select("a", "b", "linked", "n_b", "differ", F.size("differ").alias("e"),
                  (F.size("differ") - part * F.col("n_b")).alias("spare"),
                  # similar as a set but not in order: the bound below does not hold
                  (~F.col("linked") & (F.size("differ") <= part * (F.col("n_a") + F.col("n_b")))).alias("shuffled")))
-    # partners are told apart by what they have to spare, in classes: a node's
-    # prefix is cut for each class it can meet.  Similar texts are at most
-    # `reach` length classes apart.
+    s = s.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    # the least that a partner of similar length has to spare; similar texts are
+    # at most `reach` length classes apart
     reach = math.ceil(math.log(1 / threshold) / math.log(LENGTH_STEP))
-    s = s.withColumns({"length": F.floor(F.log(F.col("n_b").cast("double")) / F.log(F.lit(LENGTH_STEP))),
-                       "own": F.when(F.col("spare") <= 1, 0).otherwise(1 + F.floor(F.log("spare") / F.log(F.lit(SPARE_STEP))).cast("int"))})
-    met = s.groupBy("a", "length").agg(F.collect_set("own").alias("owns"), F.min("spare").alias("least"), F.max(~F.col("linked")).alias("open"))
+    s = s.withColumn("length", F.floor(F.log(F.col("n_b").cast("double")) / F.log(F.lit(LENGTH_STEP))))
+    met = s.groupBy("a", "length").agg(F.min("spare").alias("least"), F.max(~F.col("linked")).alias("open"))
     near = F.explode(F.sequence(F.col("length") - reach, F.col("length") + reach)).alias("length")
-    met = met.select("a", near, "owns", "least", "open").groupBy("a", "length").agg(
-        F.array_distinct(F.flatten(F.collect_list("owns"))).alias("owns"), F.min("least").alias("least"), F.max("open").alias("open"))
+    met = met.select("a", near, "least", "open").groupBy("a", "length").agg(F.min("least").alias("least"), F.max("open").alias("open"))
     s = written(s.join(met.filter("open"), ["a", "length"]), "open-spokes")
 
-    def prefix(other):  # the overlap with a partner is at least (spare + its spare) / 2
-        edge = F.when(other == 0, F.col("least")).otherwise(F.pow(F.lit(SPARE_STEP), other - 1) * 0.999)
-        return F.col("e") - F.greatest(F.lit(1), F.ceil((F.col("spare") + edge) / 2 - 1e-6)) + 1
+    def prefix(e, spare, other):  # the overlap with a partner is at least (spare + its spare) / 2
+        return e - F.greatest(F.lit(1), F.ceil((spare + other) / 2 - 1e-6)) + 1
 
-    cuts = F.filter(F.transform("owns", lambda c: F.struct(c.alias("other"), prefix(c).alias("cut"))), lambda c: c["cut"] > 0)
     grams = s.filter(~F.col("shuffled")).select("a", "b", F.explode("differ").alias("kmer"))
     held = grams.groupBy("a", "kmer").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     grams = written(grams.join(held, ["a", "kmer"]), "open-kmers")
-    shared = s.select("a", "b", "linked", "n_b", "e", "own", cuts.alias("cuts")).join(
+    shared = s.select("a", "b", "linked", "n_b", "e", "spare", "label", prefix(F.col("e"), F.col("spare"), F.col("least")).alias("most")).join(
         grams.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), ["a", "b"])
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("held", "kmer"))
     # k-mers that nobody else holds come first in the order
-    ranked = grams.join(shared, ["a", "b"]).withColumn("rank", rank + F.col("e") - F.col("shared"))
-    cut = F.explode(F.filter("cuts", lambda c: F.col("rank") <= c["cut"])).alias("cut")
-    first = ranked.select("a", "b", "linked", "n_b", "own", "kmer", cut).select("*", F.col("cut.other").alias("other")).drop("cut")
-    first = written(first, "open-prefix")
+    ranked = grams.join(shared, ["a", "b"]).withColumn("rank", rank + F.col("e") - F.col("shared")).filter("rank <= most")
+    first = written(ranked.select("a", "b", "linked", "n_b", "e", "spare", "label", "kmer", "rank"), "open-prefix")
     x, y = first.filter(~F.col("linked")).alias("x"), first.alias("y")
-    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") != F.col("y.b")) & _alike(F.col("x.n_b"), F.col("y.n_b"), threshold)
+    same = ((F.col("x.a") == F.col("y.a")) & (F.col("x.b") != F.col("y.b")) & (F.col("x.label") != F.col("y.label"))
+            & _alike(F.col("x.n_b"), F.col("y.n_b"), threshold))
     once = F.col("y.linked") | (F.col("x.b") < F.col("y.b"))  # two open nodes meet from one side only
-    pairs = x.join(y, same & once & (F.col("x.kmer") == F.col("y.kmer")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own")))
+    inside = ((F.col("x.rank") <= prefix(F.col("x.e"), F.col("x.spare"), F.col("y.spare")))
+              & (F.col("y.rank") <= prefix(F.col("y.e"), F.col("y.spare"), F.col("x.spare"))))
+    pairs = x.join(y, same & once & (F.col("x.kmer") == F.col("y.kmer")) & inside)
     odd = s.filter("shuffled").alias("x").join(s.alias("y"), same)
     both = lambda d: d.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
     return both(pairs).union(both(odd)).distinct()
@@ -338,9 +354,10 @@ def near_dups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> Data
     links = spokes.union(closer).filter("linked").select("a", "b")
     final = spokes.join(moved, "a", "left_anti").union(closer)
     seen = stars.union(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(open_pairs(final, threshold).join(seen, ["a", "b"], "left_anti"), "pairs")
+    labels = components(links)
+    pairs = written(open_pairs(final, labels, threshold).join(seen, ["a", "b"], "left_anti"), "pairs")
     more = written(aligned(pairs.withColumn("wide", F.lit(False)), texts, k, threshold), "more-spokes").filter("linked").select("a", "b")
-    labels = components(links.union(more))
+    labels = joined(labels, more)
 
     by_node = nodes.select("node", F.col("doc_id").alias("text_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = by_node.groupBy("label").agg(F.min("text_id").alias("class_id"))

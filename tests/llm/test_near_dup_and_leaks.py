@@ -108,9 +108,9 @@ def test_two_stars_of_one_centre(spark, monkeypatch):
     rows = list(enumerate(rows))
     stars, open_pairs = [], near_dup.open_pairs
 
-    def noted(spokes, threshold):
+    def noted(spokes, *rest):
         stars.extend((bytes(r["a"]), bytes(r["b"])) for r in spokes.select("a", "b").collect())
-        return open_pairs(spokes, threshold)
+        return open_pairs(spokes, *rest)
 
     monkeypatch.setattr(near_dup, "open_pairs", noted)
     got = near_dup.near_dups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
@@ -220,3 +220,13 @@ def test_leak_edges(spark, edge_docs, no_docs):
     assert [(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(hit, bench).collect()] == [(None, None)] * 2
     assert decontam.find_leaks(no_docs, bench).count() == 0 and decontam.clean(no_docs, bench).count() == 0
     assert decontam.find_leaks(edge_docs, bench.limit(0)).count() == 0 and decontam.clean(edge_docs, bench.limit(0)).count() == edge_docs.count()
+
+
+def test_joined_components(spark):
+    """Edges between labelled and unlabelled nodes merge their components."""
+    b = lambda *xs: [bytes([x]) for x in xs]
+    labels = spark.createDataFrame(list(zip(b(1, 2, 3, 4, 5, 6), b(1, 1, 3, 3, 5, 5))), "node binary, label binary")
+    edges = spark.createDataFrame(list(zip(b(2, 6, 9), b(4, 8, 10))), "a binary, b binary")
+    got = {r["node"][0]: r["label"][0] for r in near_dup.joined(labels, edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 8: 5, 9: 9, 10: 9}
+    assert {r["node"][0]: r["label"][0] for r in near_dup.joined(labels, edges.limit(0)).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
