@@ -8,7 +8,7 @@ A tree is built in blocks of 256 consecutive, aligned nodes.  A block keeps each
 of its levels as one hex string: fixed-width substrings of it are the runs whose
 hashes make the next level, and the substrings on both sides of a node are its
 siblings.  The block's last node is a leaf of the next round, so a source with a
-third of all rows is two blocks' worth of work more often, not one long string.
+third of all rows is many blocks, never one long string.
 Going down again, every block gets the siblings above it once and its rows add
 their own flanks; nobody holds more than a block.
 
