@@ -9,8 +9,8 @@ of depth d takes d passes, for all its nodes at once, and all models of a call
 share the passes, on whichever subsets of the rows each is fitted.
 
 Nothing but the models is carried from pass to pass, so a lost executor costs the
-tasks it ran.  Derivatives are added as integers: the trees do not depend on the
-partitioning.
+tasks it ran.  Derivatives are added as integers: given the cuts, which are
+approximate quantiles, the trees do not depend on the partitioning.
 
 Three learners differ in how a tree grows:
 ``level``      every node of a level is cut where that pays;
