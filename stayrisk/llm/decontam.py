@@ -2,10 +2,11 @@
 
 Texts and test items become sequences of word hashes (lower case, punctuation
 as gaps).  Windows of ``MIN_MATCH`` words, hashed by a running Karp-Rabin sum,
-are the seeds: a document meets an item only over shared seeds.  For each such
-pair seeds on one diagonal join into maximal matches; the longest match that
+are the seeds: a document meets an item only over shared seeds, if these touch
+enough of the item's words.  For each such pair the longest match that
 overlaps no marked word, on either side, is marked as a tile, again and again,
-until none of ``MIN_MATCH`` words is left.  An item leaks into a document if
+until none of ``MIN_MATCH`` words is left; the same sum over longer windows
+finds that match without a list of all.  An item leaks into a document if
 the tiles cover at least ``MIN_COVERAGE`` of its words, in any order, so
 reordered passages count.
 
@@ -21,7 +22,6 @@ document is clean.
 
 from __future__ import annotations
 
-import heapq
 import math
 from typing import NamedTuple
 
@@ -37,7 +37,9 @@ MIN_MATCH = 4
 MIN_COVERAGE = 0.6
 BLOCK_WORDS = 1 << 20
 _FILTER_BITS = 22
+_LISTED = 1 << 22
 _BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _words(col: pa.Array):
@@ -60,13 +62,15 @@ def seeds(tokens: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray
 
 
 class Block(NamedTuple):
-    """Items of one benchmark block: seeds in order with (item, place)."""
+    """Items of one benchmark block: seeds in order with (item, place), and the
+    words of all items on end."""
     ids: list
-    n_words: np.ndarray
     hash: np.ndarray
     item: np.ndarray
     place: np.ndarray
     maybe: np.ndarray
+    words: np.ndarray
+    first: np.ndarray
     width: int
 
 
@@ -79,74 +83,153 @@ def make_block(items: pa.Table, width: int = MIN_MATCH) -> Block:
     item = np.searchsorted(words.first, at, side="right") - 1
     maybe = np.zeros(1 << _FILTER_BITS, bool)
     maybe[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Block(items.column("item_id").to_pylist(), np.diff(words.first), h, item.astype(np.int32),
-                 (at - words.first[item]).astype(np.int32), maybe, width)
-
-
-def tile(i: np.ndarray, j: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from seed matches (i in the item, j in the text):
-    tiles (length, i, j), longest first, ties by place."""
-    order = np.lexsort((i, j - i))
-    i, j = i[order], j[order]
-    new = np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1)])
-    run = np.flatnonzero(new)
-    length = np.diff(np.concatenate([run, [len(i)]])) + width - 1
-    heap = [(-n, a, b) for n, a, b in zip(length.tolist(), i[run].tolist(), j[run].tolist())]
-    heapq.heapify(heap)
-    in_item: set[int] = set()
-    in_text: set[int] = set()
-    tiles = []
-    while heap:
-        n, a, b = heapq.heappop(heap)
-        free, begin = [], None
-        for k in range(-n + 1):
-            ok = k < -n and a + k not in in_item and b + k not in in_text
-            if ok and begin is None:
-                begin = k
-            elif not ok and begin is not None:
-                free.append((begin, k - begin))
-                begin = None
-        if free == [(0, -n)]:
-            tiles.append((-n, a, b))
-            in_item.update(range(a, a - n))
-            in_text.update(range(b, b - n))
+    return Block(items.column("item_id").to_pylist(), h, item.astype(np.int32), (at - words.first[item]).astype(np.int32),
+                 maybe, words.hash, words.first, width)
+
+
+class _Rolling:
+    """Karp-Rabin hashes of a sequence's windows, of any width, in O(1) each."""
+
+    def __init__(self, tokens: np.ndarray):
+        n = len(tokens)
+        self.tokens = tokens
+        power, inverse = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
+        power[0] = inverse[0] = 1
+        self.inverse = np.cumprod(inverse, dtype=np.uint64)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * np.cumprod(power, dtype=np.uint64)[:n], dtype=np.uint64)])
+        self.marked = np.zeros(n, bool)
+
+    def free(self) -> np.ndarray:
+        """Unmarked words from each place on."""
+        stop = np.append(np.flatnonzero(self.marked), len(self.marked))
+        at = np.arange(len(self.marked))
+        return stop[np.searchsorted(stop, at)] - at
+
+    def windows(self, free: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, hash) of the unmarked windows of ``width`` words."""
+        at = np.flatnonzero(free >= width)
+        return at, (self.sums[at + width] - self.sums[at]) * self.inverse[at]
+
+
+def _longest(item: _Rolling, text: _Rolling, free: tuple[np.ndarray, np.ndarray], width: int, most: int) -> int:
+    """Greatest window length up to ``most`` that unmarked words of both have
+    in common, or ``width`` - 1.  A common window holds shorter common ones, so
+    the lengths are halved."""
+    low, high, probe = width - 1, most, most
+    while low < high:
+        if np.isin(text.windows(free[1], probe)[1], item.windows(free[0], probe)[1]).any():
+            low = probe
         else:
-            for k, m in free:
-                if m >= width:
-                    heapq.heappush(heap, (-m, a + k, b + k))
+            high = probe - 1
+        probe = (low + high + 1) // 2
+    return low
+
+
+def tile(item: np.ndarray, text: np.ndarray, width: int, marked: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two sequences of word hashes: tiles (length,
+    place in the item, place in the text), longest first, ties by place.  Words
+    that are ``marked`` in the text take no part.
+
+    No list of matches is made: Karp-Rabin windows give the greatest length
+    that unmarked words still have in common, and the tiles of that length are
+    marked in order.  Memory is a few numbers a word, however often words
+    repeat; the rounds are as many as different tile lengths, of which an item
+    of n words has fewer than sqrt(2 n)."""
+    a, b = _Rolling(item), _Rolling(text)
+    if marked is not None:
+        b.marked |= marked
+    tiles = []
+    most = min(len(item), len(text))
+    while most >= width:
+        free = a.free(), b.free()
+        most = _longest(a, b, free, width, min(most, int(free[0].max()), int(free[1].max())))
+        if most < width:
+            break
+        at_a, hash_a = a.windows(free[0], most)
+        at_b, hash_b = b.windows(free[1], most)
+        meet = np.isin(hash_b, hash_a)
+        at_b, hash_b = at_b[meet], hash_b[meet]
+        order = np.argsort(hash_b, kind="stable")
+        at_b, hash_b = at_b[order], hash_b[order]
+        begin, end = np.searchsorted(hash_b, hash_a, "left"), np.searchsorted(hash_b, hash_a, "right")
+        following: dict[int, int] = {}  # first window of a hash that may be unmarked still
+        for i, low, high in zip(at_a.tolist(), begin.tolist(), end.tolist()):
+            if a.marked[i] or a.marked[i + most - 1]:
+                continue
+            k = following.get(low, low)
+            # a window meets a marked one of its own length at an end
+            while k < high and (b.marked[at_b[k]] or b.marked[at_b[k] + most - 1]):
+                k += 1
+            following[low] = k
+            if k < high:
+                j = int(at_b[k])
+                tiles.append((most, i, j))
+                a.marked[i:i + most] = True
+                b.marked[j:j + most] = True
+        most -= 1
     return tiles
 
 
-def leaks(col: pa.Array, block: Block, min_coverage: float = MIN_COVERAGE):
-    """(text number, item number, coverage, tiles) of every leak into the texts."""
-    words = _words(col)
+def _seeded_pairs(words, block: Block, min_coverage: float):
+    """(text number, item number) whose shared seeds touch enough words of the
+    item.  Each different seed of a text counts once, so a text alone lists at
+    most the block's seeds; texts are taken together up to ``_LISTED``."""
     h, at = seeds(words.hash, words.first, block.width)
     near = block.maybe[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
-    h, at = h[near], at[near]
+    h, text = h[near], np.searchsorted(words.first, at[near], side="right") - 1
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (np.diff(text) != 0) | (h[1:] != h[:-1])
+    h, text = h[new], text[new]
     low, high = np.searchsorted(block.hash, h, "left"), np.searchsorted(block.hash, h, "right")
-    times = high - low
-    if not times.sum():
+    hit = high > low
+    low, times, text = low[hit], (high - low)[hit], text[hit]
+    if not len(text):
         return
-    at = np.repeat(at, times)
-    begin = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
-    match = begin + np.arange(len(at))
-    item, i = block.item[match], block.place[match]
-    text = np.searchsorted(words.first, at, side="right") - 1
-    j = at - words.first[text]
-    pair = text * len(block.ids) + item
-    order = np.argsort(pair, kind="stable")
-    cuts = np.flatnonzero(np.diff(pair[order])) + 1
-    for group in np.split(order, cuts):
-        t, m = int(text[group[0]]), int(item[group[0]])
-        total = int(block.n_words[m])
-        reach = np.unique(i[group])  # words that any seed touches bound the coverage
-        touched = int(np.minimum(np.diff(np.append(reach, reach[-1] + block.width)), block.width).sum())
-        if touched < min_coverage * total:
-            continue
-        tiles = tile(i[group], j[group], block.width)
-        covered = sum(x[0] for x in tiles) / total
+    total = np.diff(block.first)
+    done = np.concatenate([[0], np.cumsum(times)])
+    ends = np.append(np.flatnonzero(np.diff(text)) + 1, len(text))  # after each text's last seed
+    x = 0
+    while x < len(text):
+        fits = ends[(ends > x) & (done[ends] - done[x] <= _LISTED)]
+        y = int(fits[-1]) if len(fits) else int(ends[ends > x][0])
+        match = np.repeat(low[x:y] - (done[x:y] - done[x]), times[x:y]) + np.arange(done[y] - done[x])
+        pair = np.repeat(text[x:y], times[x:y]) * len(block.ids) + block.item[match]
+        place = block.place[match]
+        order = np.lexsort((place, pair))
+        pair, place = pair[order], place[order]
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(pair) != 0]))
+        reach = np.full(len(pair), block.width)
+        reach[:-1] = np.minimum(np.diff(place), block.width)
+        reach[np.append(begin[1:], len(pair)) - 1] = block.width
+        touched = np.add.reduceat(reach, begin)
+        pair = pair[begin]
+        item = pair % len(block.ids)
+        good = touched >= min_coverage * total[item]
+        yield from zip((pair[good] // len(block.ids)).tolist(), item[good].tolist())
+        x = y
+
+
+def leaks(col: pa.Array, block: Block, min_coverage: float = MIN_COVERAGE):
+    """(text number, item number, coverage, tiles) of every leak into the texts."""
+    words = _words(col)
+    of, own = -1, None
+    for t, m in _seeded_pairs(words, block, min_coverage):
+        tokens = words.hash[words.first[t]:words.first[t + 1]]
+        if t != of:
+            of, own = t, seeds(tokens, np.array([0, len(tokens)]), block.width)[0]
+        item = block.words[block.first[m]:block.first[m + 1]]
+        met = np.flatnonzero(np.isin(own, seeds(item, np.array([0, len(item)]), block.width)[0]))
+        # the words that shared seeds touch, and one marked word after each stretch
+        touched = np.zeros(len(tokens) + 1, bool)
+        for k in range(block.width):
+            touched[met + k] = True
+        place = np.flatnonzero(touched | np.append(False, touched[:-1]))
+        tiles = tile(item, np.append(tokens, np.uint64(0))[place], block.width, ~touched[place])
+        covered = sum(x[0] for x in tiles) / len(item)
         if covered >= min_coverage:
-            yield t, m, covered, tiles
+            yield t, m, covered, [(n, i, int(place[j])) for n, i, j in tiles]
 
 
 def _blocks(benchmark: DataFrame, width: int, block_words: int):

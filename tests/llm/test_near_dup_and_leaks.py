@@ -191,6 +191,35 @@ def test_tiling_matches_plain_search():
         assert got == greedy_cover(item, text, decontam.MIN_MATCH)
 
 
+def test_tiling_of_few_different_words_matches_plain_search():
+    rnd = random.Random(6)
+    for n in (1, 2, 2, 3) * 12:
+        item = [rnd.choice("abc"[:n]) for _ in range(rnd.randint(4, 22))]
+        text = [rnd.choice("abcx"[:n + rnd.randint(0, 1)]) for _ in range(rnd.randint(0, 40))]
+        block = decontam.make_block(pa.table({"item_id": pa.array([1, 3]), "text": ["x y z x y", " ".join(item)]}))
+        found = [f for f in decontam.leaks(pa.array(["", " ".join(text), None]), block, 0.01) if f[1] == 1]
+        assert sum(m for f in found for m, _, _ in f[3]) == greedy_cover(item, text, decontam.MIN_MATCH)
+        for t, _, covered, tiles in found:
+            assert t == 1 and covered == pytest.approx(sum(m for m, _, _ in tiles) / len(item))
+            assert all(item[i:i + m] == text[j:j + m] for m, i, j in tiles)
+            places = [j + k for m, _, j in tiles for k in range(m)]
+            assert len(set(places)) == len(places)
+
+
+def test_a_million_equal_words_take_bounded_memory():
+    import tracemalloc
+    items = [" ".join(["w"] * 200), " ".join(["w"] * 100 + ["v"] + ["w"] * 99), " ".join(["v"] * 50)]
+    block = decontam.make_block(pa.table({"item_id": pa.array([1, 2, 3]), "text": items}))
+    text = pa.array(["w " * 1_000_000])
+    tracemalloc.start()
+    found = list(decontam.leaks(text, block))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(t, m, c) for t, m, c, _ in found] == [(0, 0, 1.0), (0, 1, 0.995)]
+    assert found[1][3] == [(100, 0, 0), (99, 101, 100)]
+    assert peak < 300e6  # 1.97e8 seed matches with the first item alone
+
+
 def test_leaks_whole_reordered_and_clean(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
