@@ -157,3 +157,45 @@ def test_saved_model_scores_alike(spark, fitted, tmp_path):
     assert str(a) == str(b) and m.gain_shares(4).sum() == pytest.approx(1)
     r = m.transform(d).first()
     assert r["prob_x"][1] == pytest.approx(1 / (1 + math.exp(-r["raw_x"]))) and r["pred_x"] == float(r["prob_x"][1] >= 0.6)
+
+
+def test_passes_read_blocks_and_bytes_shared_by_features(spark, data):
+    """Spark hands blocks of rows to a pass, not rows; small features share a byte."""
+    layout = bo.Layout([5, 66, 3, 66])
+    cuts = {s: [np.array([-1.0, 0.0, 1.0]), np.linspace(0, 3, 64), np.array([0.5]), np.linspace(-2, 2, 64)] for s in (0, 1)}
+    assert len(layout.groups) == 3
+    blocks = bo.binned(data[0].coalesce(1), cuts, layout).collect()
+    assert len(blocks) == 4 and sum(len(r["y"]) for r in blocks) == 8 * data[0].count()
+    x = data[1]
+    got = np.concatenate([np.frombuffer(r["bins"], np.uint8).reshape(-1, 3) for r in blocks if r["subset"] == 0])
+    ids = np.concatenate([np.frombuffer(r["code"], np.int64) for r in blocks if r["subset"] == 0])
+    columns = bo.Columns(got, layout)
+    for f in range(4):
+        assert (columns[f] == bo.bins_of(x[ids, f], cuts[0][f])).all()
+
+
+def test_histograms_of_shared_bytes_and_walks_by_column():
+    rng = np.random.default_rng(3)
+    sizes = [3, 3, 66, 5, 2]
+    bins = np.array([rng.integers(0, s, 2000) for s in sizes], np.uint8)
+    layout, w = bo.Layout(sizes), rng.integers(-9, 9, 2000)
+    packed = layout.packed(bins)
+    out = np.zeros((2, 1, sum(sizes)), np.int64)
+    for byte, codes in enumerate(layout.codes):
+        one = np.bincount(packed[:, byte], w, minlength=codes).astype(np.int64)
+        layout.spread(byte, np.array([[one], [2 * one]]), out)
+    for f, s in enumerate(sizes):
+        want = np.bincount(bins[f], w, minlength=s)
+        assert (out[0, 0, layout.first[f]:layout.first[f + 1]] == want).all() and (out[1, 0, layout.first[f]:layout.first[f + 1]] == 2 * want).all()
+    t = bo.Tree(3)
+    for node, (f, b, missing_left) in {1: (2, 30, False), 2: (0, 1, True), 3: (3, 2, False), 6: (2, 50, True)}.items():
+        t.feature[node], t.bin[node], t.missing_left[node] = f, b, missing_left
+    for levels in (1, 2, 3):
+        at, ends = t.reach(bo.Columns(packed, layout), 2000, levels)
+        for i in range(2000):
+            node = 1
+            for _ in range(levels):
+                if t.feature[node] >= 0:
+                    v = bins[t.feature[node], i]
+                    node = 2 * node + (0 if (t.missing_left[node] if v == 0 else v <= t.bin[node]) else 1)
+            assert ends[at[i]] == node
