@@ -32,3 +32,14 @@ def test_rebuilds_when_folder_is_gone(spark, sf):
     B._MATERIALIZED[key] = B._MATERIALIZED[key] + "-missing"     # as if cleaned up
     assert B.bookings(spark, sf).count() == n
     assert not B._MATERIALIZED[key].endswith("-missing")
+
+
+def test_one_exchange_of_few_columns_by_customer(spark, sf):
+    """Rows are dealt by customer once, as the columns that all others are
+    derived from, and nothing is written or dealt again before the window."""
+    plan = bookings_plan(spark, sf, checkpoint=True)._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    dealt = [x for x in text.splitlines() if "Exchange hashpartitioning" in x and "custkey" in x.lower() and "o_custkey" in x]
+    assert len(dealt) == 1 and "REPARTITION_BY_COL" in dealt[0]
+    assert not any("Exchange hashpartitioning(cust" in x for x in text.splitlines())
+    assert "history-" not in text
