@@ -112,3 +112,26 @@ def test_leaf_tables_equal_the_batch_version_without_python(spark):
     assert "Python" not in plan and "MapIn" not in plan and "Exchange" not in plan
     odd = spark.createDataFrame([(1, [float("nan"), 2.0, float("nan")])], "booking_id long, x array<double>").withColumn("features", array_to_vector("x"))
     assert np.allclose(ts.tree_shap(odd, gbt).first()["shap"], ts.batch_shap(np.array([[np.nan, 2.0, np.nan]]), trees, 3)[0], atol=1e-9)
+
+
+def test_sums_and_ranks_of_a_booking_need_no_shuffle(spark, sf):
+    """Both checks read a booking's own row; ranks are those of the exploded rows."""
+    from stayrisk.plans import QUERIES
+    for name in ("local_shap_adds_up", "logistic_attribution_adds_up"):
+        d = QUERIES[name](spark, sf)
+        assert "Exchange hashpartitioning" not in d._jdf.queryExecution().executedPlan().toString()
+        rows = d.collect()
+        assert len(rows) == 1500 and all(all(r[1:]) for r in rows)
+    df = spark.createDataFrame([(1, [0.5, -0.7, None, 0.5])], "booking_id long, shap array<double>")
+    long = ex._ranked_from_arrays(df, "booking_id", list("dbca"), "shap").orderBy("rank").collect()
+    got = df.select(ex.ranking_of_arrays(list("dbca"), "shap")).first()[0]
+    assert [(r["rank"], r["feature"], r["shap"]) for r in got] == [(r["rank"], r["feature"], r["shap"]) for r in long]
+    assert [r["feature"] for r in got] == ["b", "a", "d", "c"]
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, tmp_path):
+    from stayrisk.operators import learn as ln
+    spark.range(10_000).withColumnRenamed("id", "booking_id").coalesce(1).write.parquet(str(tmp_path / "t"))
+    d = ln.spread(spark.read.parquet(str(tmp_path / "t")), rows=1000)
+    sizes = [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 10_000 and max(sizes) < 2000
