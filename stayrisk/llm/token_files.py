@@ -34,7 +34,6 @@ from __future__ import annotations
 import json
 import math
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -52,7 +51,7 @@ END_ID = 2
 CHUNK_IDS = 1 << 16
 FILE_IDS = 1 << 20
 CACHED_PIECES = 1 << 20
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 21
 JOINED = 512
 LEVEL = 3
 MAGIC = b"idplane1"
@@ -66,7 +65,7 @@ KIND[48:58] = 2
 KIND[[ord("'"), ord("<")]] = 4
 LATIN = 0xC3  # first byte of the letters from U+00C0 to U+00FF; two of these are signs
 SIGNS = (0x97, 0xB7)
-WHOLE = re.compile("['<\\x00-\\x20\\x7f-\\xbf\\xd7\\xf7]|[^\\x00-\\xff]")
+WHOLE = r"['<\x00-\x20\x7f-\x{bf}\x{d7}\x{f7}]|[^\x00-\x{ff}]"  # RE2
 #: Fixed value: the pattern of this public vocabulary, for which words may be cut.
 CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -119,8 +118,9 @@ def pieces(data: np.ndarray, off: np.ndarray, cut: bool = True) -> tuple[np.ndar
         edge[:-1] |= digit
         edge[1:] |= digit
     filled = kind > 0
-    start, end = np.flatnonzero(filled & edge[:-1]), np.flatnonzero(filled & edge[1:]) + 1
-    return data, start, end, np.searchsorted(start, off)
+    place = np.int32 if n < 1 << 31 else np.int64
+    start, end = np.flatnonzero(filled & edge[:-1]).astype(place), np.flatnonzero(filled & edge[1:]).astype(place) + place(1)
+    return data, start, end, np.searchsorted(start, off.astype(place))
 
 
 class PieceEncoder:
@@ -146,9 +146,11 @@ class PieceEncoder:
         self._known, self._ids = pa.array([b"\n"], pa.large_binary()), np.array([self._end], np.uint32)
         self._begin, self._size = np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(order, ids of all words in that order on end, number of each)."""
-        plain = np.array([self.cut and not WHOLE.search(w) for w in words], bool)
+        words = words.cast(pa.large_string())
+        plain = ~pc.match_substring_regex(words, WHOLE).to_numpy(zero_copy_only=False) & self.cut
+        words = words.to_pylist()
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         ids, sizes = [], []
         for k in range(0, int(plain.sum()), JOINED):
@@ -168,12 +170,15 @@ class PieceEncoder:
         """The number of each of some distinct words."""
         if len(self._known) > CACHED_PIECES:
             self._forget()
-        number = pc.index_in(words, value_set=self._known)
-        new = np.flatnonzero(number.is_null().to_numpy(zero_copy_only=False))
-        out = number.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # the few words are hashed, not the long table
+        at = pc.index_in(self._known, value_set=words)
+        known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        out = np.full(len(words), -1)
+        out[at.drop_null().to_numpy()] = known
+        new = np.flatnonzero(out < 0)
         if len(new):
             fresh = words.take(pa.array(new))
-            order, ids, size = self._ids_of([w.decode() for w in fresh.to_pylist()])
+            order, ids, size = self._ids_of(fresh)
             out[new[order]] = len(self._known) + np.arange(len(order))
             self._begin = np.concatenate([self._begin, len(self._ids) + np.cumsum(size) - size])
             self._size, self._ids = np.concatenate([self._size, size]), np.concatenate([self._ids, ids])
@@ -184,16 +189,21 @@ class PieceEncoder:
         """(ids of all texts on end, where each text begins and the last ends)."""
         data, start, end, first = pieces(*utf8(texts), cut=self.cut)
         # pieces and gaps as one array over the same bytes; then the pieces only
-        ends = np.concatenate([np.column_stack([start, end]).ravel(), [len(data)]]).astype(np.int64)
-        spans = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
-        coded = spans.take(pa.array(np.arange(0, len(ends) - 1, 2))).dictionary_encode()
-        number = self._numbers(coded.dictionary)
+        n = len(start)
+        ends = np.empty(2 * n + 1, start.dtype)
+        ends[:-1:2], ends[1::2], ends[-1] = start, end, len(data)
+        spans = pa.Array.from_buffers(pa.large_binary() if ends.itemsize == 8 else pa.binary(), 2 * n, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        coded = spans.take(pa.array(np.arange(0, 2 * n, 2, dtype=start.dtype))).dictionary_encode()
+        del data, start, end, ends, spans  # the chunk's arrays are many times its text
+        number = self._numbers(coded.dictionary.cast(pa.large_binary()))
         # an end after the pieces of each text
         which = np.insert(number[coded.indices.to_numpy()] if len(number) else np.zeros(0, np.int64), first[1:], 0)
+        del coded
         size = self._size[which]
         upto = np.concatenate([[0], np.cumsum(size)])
-        out = self._ids[np.repeat(self._begin[which] - upto[:-1], size) + np.arange(upto[-1])]
-        return out, upto[first + np.arange(len(first))]
+        at = np.repeat(self._begin[which] - upto[:-1], size)
+        at += np.arange(upto[-1])
+        return self._ids[at], upto[first + np.arange(len(first))]
 
 
 def packed(codec: "_Codec", ids: np.ndarray) -> bytes:

@@ -1,5 +1,6 @@
 """Token files: exact round trip against whole-text encoding."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -81,6 +82,19 @@ def test_very_long_texts(text, encode):
     assert ids[at[1]:at[2]].tolist() == encode(text) and at.tolist() == [0, 1, len(ids) - 1, len(ids)]
 
 
+def test_encoding_memory_is_bounded():
+    """8 MB of short pieces: a task's arrays stay small, whatever the batch holds."""
+    coder, text = tf.PieceEncoder(tf.tokenizer_json()), " ".join(["an", "a1", "it", "-x"] * 320)
+    batch = pa.RecordBatch.from_pydict({"text": [text] * 2200})
+    tracemalloc.start()
+    try:
+        for b in tf.chunks(iter([batch]), limit=tf.PIECE_BYTES):
+            coder.encode(b.column("text"))
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=70), st.sampled_from([tf.BITS, tf.BYTES]))
 def test_planes(values, kind):
