@@ -21,7 +21,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import encode as en
@@ -49,6 +49,12 @@ def _log(c: str):
     return F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0)))
 
 
+def _level(c: str, known: Sequence[str], other: int) -> Column:
+    """A value's place among the known ones; ``other`` for null and unseen values."""
+    at = F.array_position(F.array(*[F.lit(v) for v in known]).cast("array<string>"), F.col(c).cast("string")).cast("int")
+    return F.when(at > 0, at - 1).otherwise(F.lit(other))
+
+
 def part_of():
     """Part of a training row, for target codes from the other parts."""
     return F.pmod(en.portable_hash(), F.lit(PARTS)).cast("int")
@@ -129,17 +135,18 @@ class FeatureEncoderModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
     learned = Param(Params._dummy(), "learned", "levels, codes and quartiles as JSON", typeConverter=TypeConverters.toString)
 
-    def _slots(self) -> tuple[dict, list[str], list]:
-        """(what was learned, slot names, slot expressions)."""
+    def _slots(self) -> tuple[dict, list[str], Column]:
+        """(what was learned, slot names, array of the slots).  A one-hot column's
+        slots are one expression, a slice of zeros around a 1, and missing numbers
+        become NaN in a lambda.  Spark fuses no lambda into a stage's one method,
+        which with all slots in it is too long for the JVM to compile."""
         state = json.loads(self.getOrDefault(self.learned))
-        names, slots = [], []
+        names, slots, hot = [], [], []
         for c in ONEHOT_COLS:
             known = state["levels"][c]
-            for v in known:
-                names.append(f"{c}_ohe_{v}")
-                slots.append(F.coalesce(F.col(c).cast("string") == F.lit(v), F.lit(False)).cast("double"))
-            names.append(f"{c}_ohe___unknown")
-            slots.append(1.0 - F.coalesce(F.col(c).cast("string").isin(known), F.lit(False)).cast("double"))
+            names += [*[f"{c}_ohe_{v}" for v in known], f"{c}_ohe___unknown"]
+            zeros = [0.0] * len(known)
+            hot.append(F.slice(F.lit([*zeros, 1.0, *zeros]), len(known) + 1 - _level(c, known, len(known)), len(known) + 1))
         for out in TARGET_COLS.values():
             names.append(out)
             slots.append(F.col(out))
@@ -154,13 +161,21 @@ class FeatureEncoderModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         for c in PLAIN_COLS:
             names.append(c)
             slots.append((F.col("company").isNotNull() if c == "has_company" else F.col(c)).cast("double"))
-        return state, names, [F.coalesce(s, F.lit(float("nan"))) for s in slots]
+        return state, names, F.concat(*hot, F.transform(F.array(*slots), lambda v: F.coalesce(v, F.lit(float("nan")))))
 
     def binary_slots(self) -> list[int]:
         """Slots that hold only 0 and 1."""
         _, names, _ = self._slots()
         return [i for i, n in enumerate(names) if "_ohe_" in n or n.startswith("market_segment_")]
 
+    def one_hot_slots(self) -> list[list[int]]:
+        """Slots of each one-hot column; every row has one of them."""
+        levels, out, at = json.loads(self.getOrDefault(self.learned))["levels"], [], 0
+        for c in ONEHOT_COLS:
+            out.append(list(range(at, at + len(levels[c]) + 1)))
+            at += len(levels[c]) + 1
+        return out
+
     def slots(self) -> list[str]:
         return self._slots()[1]
 
@@ -186,10 +201,10 @@ class FeatureEncoderModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         d = self._coded(df, state, part)
         known = state["levels"]["market_segment"]
         width = code_width(len(known))
-        code = F.coalesce(F.array_position(F.array(*[F.lit(v) for v in known]).cast("array<string>"), F.col("market_segment")), F.lit(0))
+        code = _level("market_segment", known, -1) + 1
         d = d.withColumns({f"market_segment_{i}": F.shiftright(code, width - 1 - i).bitwiseAND(1).cast("double") for i in range(width)})
         meta = {"ml_attr": {"attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(names)]}, "num_attrs": len(names)}}
-        return d.withColumn("features", array_to_vector(F.array(*slots)).alias("features", metadata=meta))
+        return d.withColumn("features", array_to_vector(slots).alias("features", metadata=meta))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return self._encoded(df, F.lit(-1))

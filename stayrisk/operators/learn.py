@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, replace
+from functools import cached_property
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
@@ -123,8 +124,8 @@ def fit_kinds(encoders: dict, matrices: dict[int, DataFrame], kinds: dict[int, t
         for s in sorted({s for s, _ in boosted}):
             part = boost_rows(matrices[s], s)
             rows = part if rows is None else rows.unionByName(part)
-        binary = next(iter(encoders.values())).binary_slots()
-        models = boost.fit_many(rows, [(s, LEARNERS[kind]) for s, kind in boosted], binary, written=True)
+        enc = next(iter(encoders.values()))
+        models = boost.fit_many(rows, [(s, LEARNERS[kind]) for s, kind in boosted], enc.binary_slots(), written=True, exclusive=enc.one_hot_slots())
         return {job: m.named(job[1], THRESHOLD) for job, m in zip(boosted, models)}
 
     first, *rest = fit_many([all_boosted, *[lambda s=s, kind=kind: classifier(kind).fit(spread(matrices[s])) for s, kind in others]], parallelism=4)
@@ -137,7 +138,8 @@ def fit_pipeline(train: DataFrame, kind: str, **params) -> PipelineModel:
     x = written_matrix(enc, train)
     if kind in LEARNERS:
         how = replace(LEARNERS[kind], **params)
-        return PipelineModel(stages=[enc, boost.fit_many(boost_rows(x), [(0, how)], enc.binary_slots(), written=True)[0].named(kind, THRESHOLD)])
+        model = boost.fit_many(boost_rows(x), [(0, how)], enc.binary_slots(), written=True, exclusive=enc.one_hot_slots())[0]
+        return PipelineModel(stages=[enc, model.named(kind, THRESHOLD)])
     est = classifier(kind)
     return PipelineModel(stages=[enc, est.copy({est.getParam(k): v for k, v in params.items()}).fit(spread(x))])
 
@@ -336,18 +338,41 @@ def model_ranking(cv: DataFrame) -> DataFrame:
 TUNED = tuple(LEARNERS)
 
 
-def trial_scores(df: DataFrame, trials: list[tuple[str, dict]], k: int) -> list[float]:
+class SearchRows:
+    """What every trial on ``df`` reads: ``k`` stratified folds, the encoders fitted
+    on the training folds of each split, and their binned matrices, made once when
+    first needed."""
+
+    def __init__(self, df: DataFrame, k: int):
+        self.df, self.k, self.every = df, k, list(range(1, k + 1))
+        self.subsets = {f: [g for g in self.every if g != f] for f in self.every}
+
+    @cached_property
+    def folds(self) -> DataFrame:
+        return write_and_read(en.stratified_folds(self.df, self.k), "search-folds")
+
+    @cached_property
+    def encoders(self) -> dict:
+        return fit_subsets(self.folds, "fold", self.subsets)
+
+    @cached_property
+    def binned(self) -> boost.Binned:
+        def rows(s):
+            return boost_rows(written_matrix(self.encoders[s], self.folds.filter(F.col("fold").isin(self.subsets[s]))), s)
+
+        enc = self.encoders[1]
+        return boost.ready(_union(fit_many([lambda s=s: rows(s) for s in self.subsets])), enc.binary_slots(), "search", True, enc.one_hot_slots())
+
+
+def trial_scores(df: DataFrame | SearchRows, trials: list[tuple[str, dict]], k: int) -> list[float]:
     """Mean F0.5 over ``k`` stratified folds of each trial (learner, parameters
     that differ from the learner's own).  Encoders are fitted on the training
     folds of each split; all trials of all splits share the boosting passes, at
     the learners' own rounds."""
-    folds = write_and_read(en.stratified_folds(df, k), "search-folds")
-    every = list(range(1, k + 1))
-    subsets = {f: [g for g in every if g != f] for f in every}
-    encoders = fit_subsets(folds, "fold", subsets)
-    rows = _union(fit_many([lambda s=s: boost_rows(written_matrix(encoders[s], folds.filter(F.col("fold").isin(subsets[s]))), s) for s in subsets]))
+    data = df if isinstance(df, SearchRows) else SearchRows(df, k)
+    folds, every, encoders = data.folds, data.every, data.encoders
     jobs = [(f, replace(LEARNERS[kind], **params)) for f in every for kind, params in trials]
-    models = boost.fit_many(rows, jobs, encoders[1].binary_slots(), "search", written=True)
+    models = boost.fit_ready(data.binned, jobs)
 
     def held(f):
         mine = models[(f - 1) * len(trials):f * len(trials)]
@@ -371,7 +396,7 @@ class Trials:
 
     def __init__(self, df: DataFrame, stamp: str, k: int = 3):
         from ..session import shared_dir
-        self.df, self.k, self.spark = df, k, df.sparkSession
+        self.rows, self.k, self.spark = SearchRows(df, k), k, df.sparkSession
         self.path = f"{shared_dir(self.spark)}/trials-{stamp}"
 
     def _key(self, kind: str, params: dict) -> tuple:
@@ -388,7 +413,7 @@ class Trials:
         known = self.finished()
         todo = list({self._key(*t): t for t in trials if self._key(*t) not in known}.values())
         if todo:
-            new = {self._key(*t): float(s) for t, s in zip(todo, trial_scores(self.df, todo, self.k))}
+            new = {self._key(*t): float(s) for t, s in zip(todo, trial_scores(self.rows, todo, self.k))}
             self.spark.createDataFrame([(*key, s) for key, s in new.items()], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
             known.update(new)
         return [known[self._key(*t)] for t in trials]

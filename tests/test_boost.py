@@ -199,3 +199,72 @@ def test_histograms_of_shared_bytes_and_walks_by_column():
                     v = bins[t.feature[node], i]
                     node = 2 * node + (0 if (t.missing_left[node] if v == 0 else v <= t.bin[node]) else 1)
             assert ends[at[i]] == node
+
+
+def test_one_hot_groups_share_a_code_and_bits_take_two():
+    """A one-hot group takes a code per slot, not three per feature, and its
+    histograms and bins are those of its features."""
+    rng = np.random.default_rng(4)
+    hot = rng.integers(0, 12, 3000)
+    bins = np.array([*[1 + (hot == i) for i in range(12)], *rng.integers(1, 3, (8, 3000)), rng.integers(0, 60, 3000)], np.uint8)
+    sizes = [3] * 20 + [60]
+    layout, w = bo.Layout(sizes, range(20), [list(range(12))]), rng.integers(-9, 9, 3000)
+    assert len(layout.groups) == 3 and len(bo.Layout(sizes).groups) == 5
+    packed = layout.packed(bins)
+    out = np.zeros((2, 1, sum(sizes)), np.int64)
+    for byte, codes in enumerate(layout.codes):
+        one = np.bincount(packed[:, byte], w, minlength=codes).astype(np.int64)
+        layout.spread(byte, np.array([[one], [2 * one]]), out)
+    columns = bo.Columns(packed, layout)
+    for f, s in enumerate(sizes):
+        assert (columns[f] == bins[f]).all()
+        assert (out[0, 0, layout.first[f]:layout.first[f + 1]] == np.bincount(bins[f], w, minlength=s)).all()
+    bins[1] = 2
+    with pytest.raises(ValueError, match="one of a group"):
+        layout.packed(bins)
+
+
+def test_fits_do_not_depend_on_what_the_layout_is_told(spark):
+    rng = np.random.default_rng(5)
+    hot, v, y = rng.integers(0, 4, 600), rng.normal(size=600), rng.integers(0, 2, 600)
+    rows = spark.createDataFrame([(0, float(y[i]), 1.0, i, [*[float(hot[i] == k) for k in range(4)], float(v[i])]) for i in range(600)],
+                                 "subset int, y double, w double, code long, x array<double>")
+    jobs = [(0, how) for how in GROWTHS]
+    plain, told = bo.fit_many(rows, jobs, range(4)), bo.fit_many(rows, jobs, range(4), exclusive=[list(range(4))])
+    assert [m.state() for m in plain] == [m.state() for m in told]
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_walks_with_and_without_one_cut_a_level(shared):
+    """Both ways of walking a tree end where a row by row walk does, also where
+    branches end early."""
+    rng = np.random.default_rng(6)
+    bins = rng.integers(0, 9, (5, 500)).astype(np.uint8)
+    for depth in (1, 4, 9):
+        t = bo.Tree(depth)
+        cuts = [(rng.integers(0, 5), rng.integers(1, 8), bool(rng.integers(0, 2))) for _ in range(1 << depth)]
+        for node in range(1, 1 << depth):
+            if (node == 1 or t.feature[node // 2] >= 0) and rng.random() < 0.9:
+                t.feature[node], t.bin[node], t.missing_left[node] = cuts[node.bit_length()] if shared else cuts[node]
+        assert (t._cut_of_each_level(depth) is not None) == (shared or depth == 1)
+        at, ends = t.reach(list(bins), 500, depth)
+        for i in range(500):
+            node = 1
+            while t.feature[node] >= 0:
+                b = bins[t.feature[node], i]
+                node = 2 * node + (0 if (t.missing_left[node] if b == 0 else b <= t.bin[node]) else 1)
+            assert ends[at[i]] == node
+
+
+def test_finished_trees_travel_as_one_array_a_field():
+    import pickle
+    job = bo._Job(0, bo.Growth(rounds=99, depth=6))
+    for k in range(60):
+        t = bo.Tree(6)
+        t.feature[1], t.value[:] = k, k
+        job.trees.append(t)
+    job.begin()
+    sent = pickle.dumps(job)
+    again = pickle.loads(sent)
+    assert sent.count(b"ndarray") + sent.count(b"_reconstruct") <= 4 and len(again.trees) == 60
+    assert all((getattr(a, f) == getattr(b, f)).all() for a, b in zip(job.trees, again.trees) for f in bo.Tree.FIELDS)

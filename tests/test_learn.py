@@ -217,3 +217,26 @@ def test_trial_scores_are_the_models_scores(spark, sf, monkeypatch):
             tp, fp, fn = (sum((a[0], a[1]) == p for a in r) for p in ((1, 1.0), (0, 1.0), (1, 0.0)))
             f05.append(1.25 * tp / (1.25 * tp + 0.25 * fn + fp) if tp else 0.0)
         assert score == pytest.approx(sum(f05) / 2)
+
+
+def test_slots_are_not_fused_into_one_method(spark, sf):
+    """With all slots in a stage's one generated method the JVM never compiles it."""
+    df = ln.model_frame(bookings(spark, sf)).filter("booking_id < 200")
+    plan = ln.fit_featurizer(df).transform(df).select("features")._jdf.queryExecution().executedPlan().toString()
+    lines = [line.strip(" :+-") for line in plan.splitlines() if "AS features" in line]
+    assert lines and not any(line.startswith("*(") for line in lines) and "AdaptiveSparkPlan" not in lines[0]
+
+
+def test_one_hot_slots(spark, sf):
+    """One slot of each column's is 1, also for null and unseen values."""
+    df = ln.model_frame(bookings(spark, sf)).filter("booking_id < 300")
+    enc = ln.fit_featurizer(df.filter("meal <> 'BB'")).stages[0]
+    rows = df.withColumn("hotel", F.when(F.col("booking_id") % 3 > 0, F.col("hotel")))
+    names = enc.slots()
+    for r in enc.transform(rows).select("hotel", "meal", "features").collect():
+        x = r["features"].toArray()
+        for group in enc.one_hot_slots():
+            assert sorted(x[group])[-2:] == [0.0, 1.0] and sum(x[group]) == 1
+        for c in ("hotel", "meal"):
+            want = f"{c}_ohe_{r[c]}" if f"{c}_ohe_{r[c]}" in names else f"{c}_ohe___unknown"
+            assert x[names.index(want)] == 1
