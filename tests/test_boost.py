@@ -268,3 +268,18 @@ def test_finished_trees_travel_as_one_array_a_field():
     again = pickle.loads(sent)
     assert sent.count(b"ndarray") + sent.count(b"_reconstruct") <= 4 and len(again.trees) == 60
     assert all((getattr(a, f) == getattr(b, f)).all() for a, b in zip(job.trees, again.trees) for f in bo.Tree.FIELDS)
+
+
+def test_rows_are_read_twice_before_the_passes(spark, data, monkeypatch):
+    """One aggregate gives cuts and sums, one scan the blocks, with the same result
+    as when the length of the rows is looked up first."""
+    rows, seen = data[0], []
+    looked = bo.ready(rows, written=True)
+    kind, collect = type(rows), type(rows).collect
+    monkeypatch.setattr(kind, "collect", lambda df: seen.append(df) or collect(df))
+    monkeypatch.setattr(kind, "first", lambda df: pytest.fail("the rows are read once more"))
+    known = bo.ready(rows, written=True, slots=4)
+    assert len(seen) == 1
+    assert (known.stats, known.slots) == (looked.stats, looked.slots) and known.layout.groups == looked.layout.groups
+    assert all(np.array_equal(a, b) for s in (0, 1) for a, b in zip(known.cuts[s], looked.cuts[s]))
+    assert known.stats[1]["n"] == rows.filter("subset = 1").count() and known.stats[0]["top"] == 1.3
