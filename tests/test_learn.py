@@ -240,3 +240,21 @@ def test_one_hot_slots(spark, sf):
         for c in ("hotel", "meal"):
             want = f"{c}_ohe_{r[c]}" if f"{c}_ohe_{r[c]}" in names else f"{c}_ohe___unknown"
             assert x[names.index(want)] == 1
+
+
+def test_forest_keeps_rows_nodes_and_grows_the_same_trees(spark, sf):
+    """Rows are not walked down from the root at every level."""
+    df = ln.model_frame(bookings(spark, sf))
+    enc = ln.FeatureEncoder().fit(df)
+    x = ln.written_matrix(enc, df)
+    est = ln.classifier("forest")
+    assert est.getCacheNodeIds()
+    small = {est.numTrees: 5}
+    assert est.copy(small).fit(x).toDebugString == est.copy({**small, est.cacheNodeIds: False}).fit(x).toDebugString
+
+
+def test_large_fits_run_one_at_a_time():
+    """What MLlib keeps of the rows of fits that run at once is bounded."""
+    assert ln.beside([]) == ln.beside([1000, 1000]) == ln.beside([540_000] * 4 + [720_000]) == 3
+    assert ln.beside([1000, 5_400_000]) == ln.beside([43_000_000]) == 1
+    assert all(ln.beside([n]) * n <= 12 * ln.TASK_ROWS for n in range(0, 3_000_000, 9_999))
