@@ -283,3 +283,47 @@ def test_rows_are_read_twice_before_the_passes(spark, data, monkeypatch):
     assert (known.stats, known.slots) == (looked.stats, looked.slots) and known.layout.groups == looked.layout.groups
     assert all(np.array_equal(a, b) for s in (0, 1) for a, b in zip(known.cuts[s], looked.cuts[s]))
     assert known.stats[1]["n"] == rows.filter("subset = 1").count() and known.stats[0]["top"] == 1.3
+
+
+def test_a_task_takes_a_trees_cuts_once_for_all_chunks(data, monkeypatch):
+    """A walk costs no tree search per chunk of rows, and chunks add up."""
+    import pyarrow as pa
+    import pyspark
+    rng = np.random.default_rng(7)
+    layout, n = bo.Layout([9] * 4), 256
+    bins = rng.integers(0, 9, (4, 3 * n)).astype(np.uint8)
+    y, w, code = rng.integers(0, 2, 3 * n).astype(float), np.ones(3 * n), np.arange(3 * n)
+    part = lambda v, k: v[k * n:(k + 1) * n].tobytes()
+    batches = [pa.RecordBatch.from_pydict({"subset": pa.array([0], pa.int32()), "y": [part(y, k)], "w": [part(w, k)], "code": [part(code, k)],
+                                           "bins": [part(layout.packed(bins), k)]}) for k in range(3)]
+    job = bo._Job(0, bo.Growth(depth=2), scale=1024.0)
+    for f in (0, 1):
+        t = bo.Tree(2)
+        t.feature[1:4], t.bin[1:4], t.value[:] = [f, 2, 3], [3, 4, 5], rng.normal(size=8)
+        job.trees.append(t)
+    job.begin()
+    task = type("Task", (), {"partitionId": lambda self: 0})
+    monkeypatch.setattr(pyspark, "TaskContext", type("Context", (), {"get": staticmethod(task)}))
+    searched, search = [], bo.Tree._cut_of_each_level
+    monkeypatch.setattr(bo.Tree, "_cut_of_each_level", lambda t, levels: searched.append(t) or search(t, levels))
+    got = next(bo._histograms([job], layout)(batches))
+    assert len(searched) == 3  # two finished trees and the open one
+    margins = bo.margin(0.0, [bo.Walk(t, 2) for t in job.trees], bo.Bins(bins), 3 * n)
+    p = 1 / (1 + np.exp(-margins))
+    want = np.bincount(bins[0], np.rint((p - y) * 1024), minlength=9)
+    assert (np.frombuffer(got.column("sums")[0].as_py(), np.int64).reshape(2, 1, 36)[0, 0, :9] == want).all()
+
+
+def test_subsets_fitted_beside_each_other_and_alone(spark, data):
+    """Groups of subsets have passes of their own; trees are the same."""
+    rows = data[0]
+    ready = bo.ready(rows, written=True, slots=4)
+    jobs = [(s, bo.Growth(how.growth, 2, how.depth, how.leaves)) for how in GROWTHS for s in (0, 1)]
+    made = bo._groups([bo._Job(*j) for j in jobs], ready.stats, 500)
+    assert len(bo._groups([bo._Job(*j) for j in jobs], ready.stats)) == 1
+    assert sorted({j.subset for j in g} == {s} for s, g in zip((0, 1), sorted(made, key=lambda g: g[0].subset))) == [True, True]
+    both = bo.fit_ready(ready, jobs, 500)
+    assert [m.state() for m in both] == [m.state() for m in bo.fit_ready(ready, jobs)]
+    for s in (0, 1):
+        alone = bo.fit_ready(ready, [j for j in jobs if j[0] == s])
+        assert [m.state() for m in alone] == [m.state() for m, j in zip(both, jobs) if j[0] == s]

@@ -166,3 +166,15 @@ def test_a_batch_may_be_written_again(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         files.write_scored_batch(row([9], "high"), root, "b2")
     assert read(files.read_scored_batches(spark, root)) == [("b1", 1, "low"), ("b1", 5, "low"), ("b2", 3, "low")]
+
+
+def test_whole_numbers_are_typed_without_failing_casts(spark):
+    """A text with a point never reaches the cast to a whole number, which would
+    raise and catch an exception for each value; the values are what they were."""
+    texts = {"2.0": 2, "2.": 2, " 7 ": 7, "+5": 5, "-3.000": -3, "1e3": 1000, "1.5e3": 1500, "2.5": None, "abc": None, "3000000000": None,
+             "3000000000.0": None, "Infinity": None, ".0": 0, "1.2.3": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    out = df.select("t", files.typed(F.col("t"), T.IntegerType()).alias("v"))
+    assert {r["t"]: r["v"] for r in out.collect()} == texts
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT Contains(lambda" in plan and "cast(t#" not in plan

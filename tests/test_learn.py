@@ -258,3 +258,10 @@ def test_large_fits_run_one_at_a_time():
     assert ln.beside([]) == ln.beside([1000, 1000]) == ln.beside([540_000] * 4 + [720_000]) == 3
     assert ln.beside([1000, 5_400_000]) == ln.beside([43_000_000]) == 1
     assert all(ln.beside([n]) * n <= 12 * ln.TASK_ROWS for n in range(0, 3_000_000, 9_999))
+
+
+def test_small_files_of_a_meta_table_are_read_by_few_tasks(spark):
+    parts = ln._union([spark.range(0, 100, 1, 8) for _ in range(4)])
+    few = ln.packed(parts)
+    assert parts.rdd.getNumPartitions() == 32 and few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert ln.packed(parts, 50).rdd.getNumPartitions() == 8 and few.count() == 400
