@@ -11,7 +11,11 @@ of depth d takes d passes, for all its nodes at once, and all models of a call
 share the passes, on whichever subsets of the rows each is fitted; on large tables
 two groups of subsets have passes beside each other.
 
-Nothing but the models is carried from pass to pass, so a lost executor costs the
+Between passes only the models are carried and, on large tables, the margins of
+finished trees: now and then they are written beside the rows, so that a pass walks
+a few trees and not all, and a cut node's histograms are kept by the driver, so that
+only the lighter child's rows are counted and the other's sums are the rest.  Margins are
+read back as they were added up, sums are integers, and a lost executor costs the
 tasks it ran.  Derivatives are added as integers: given the cuts, which are
 approximate quantiles, the trees do not depend on the partitioning.
 
@@ -44,7 +48,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CUTS = 64
-BLOCK_FEATURES = 16
+BLOCK_FEATURES = 256
 FAN_IN = 64
 
 
@@ -199,25 +203,62 @@ class _Job:
     level: int = 0
     open: np.ndarray | None = None
     round: int = 0
+    kept: int = 0  # trees whose margins are in the blocks, and the place there
+    place: int = -1
+    halves: bool = False  # of two children one is counted
+    counted: np.ndarray | None = None  # nodes whose rows are counted, if not all open ones
+    parents: dict | None = None  # histograms of the nodes above
 
     def begin(self) -> None:
         self.tree, self.level, self.open, self.round = Tree(self.how.depth), 0, np.array([1]), len(self.trees)
+        self.counted = self.parents = None
+
+    def to_count(self) -> np.ndarray:
+        return self.open if self.counted is None else self.counted
+
+    def keeps_sums(self) -> bool:
+        return self.halves and self.level + 1 < self.how.depth
+
+    def whole(self, counted: np.ndarray, f0: int) -> np.ndarray:
+        """Sums (2, open nodes, bins) of a block that begins at bin ``f0`` from those
+        of the counted nodes."""
+        if self.counted is None:
+            return counted
+        at = {int(node): i for i, node in enumerate(self.counted)}
+        rest = lambda node: self.parents[node // 2][:, f0:f0 + counted.shape[2]] - counted[:, at[node ^ 1]]
+        return np.stack([counted[:, at[node]] if node in at else rest(node) for node in self.open.tolist()], axis=1)
 
     def without_trees(self) -> "_Job":
         """What the search for cuts needs."""
-        return replace(self, trees=[], tree=None)
+        return replace(self, trees=[], tree=None, kept=0)
 
     def done(self) -> bool:
         return len(self.trees) >= self.how.rounds
 
+    def walked(self) -> list:
+        """Finished trees that a pass walks."""
+        return self.trees[self.kept:]
+
+    def passes_left(self) -> int:
+        return (self.how.rounds - len(self.trees)) * self.how.depth - self.level
+
+    def without_open_tree(self) -> "_Job":
+        """What margins need."""
+        return replace(self, tree=None, open=None, counted=None)
+
+    def start(self, margins: np.ndarray | None):
+        """Margins of a chunk's rows before the walked trees."""
+        return self.base if self.place < 0 else margins[:, self.place]
+
     def __getstate__(self) -> dict:
-        """Every task of a pass reads all finished trees: they travel as one array
+        """Every task of a pass reads the trees it walks: they travel as one array
         per field, not as thousands of small ones."""
-        return {**self.__dict__, "trees": {a: np.array([getattr(t, a) for t in self.trees]) for a in Tree.FIELDS}, "count": len(self.trees)}
+        walked = self.walked()
+        return {**self.__dict__, "parents": None, "trees": {a: np.array([getattr(t, a) for t in walked]) for a in Tree.FIELDS}, "count": len(walked)}
 
     def __setstate__(self, state: dict) -> None:
         fields, count = state.pop("trees"), state.pop("count")
-        self.__dict__.update(state, trees=[Tree.of({a: v[i] for a, v in fields.items()}) for i in range(count)])
+        self.__dict__.update(state, trees=[None] * state["kept"] + [Tree.of({a: v[i] for a, v in fields.items()}) for i in range(count)])
 
     def features(self, n: int) -> np.ndarray:
         """Features that the current tree may cut."""
@@ -239,8 +280,9 @@ class _Job:
         return (z >> np.uint64(11)).astype(np.float64) / (1 << 53) < self.how.row_share
 
 
-def margin(base: float, walks: Sequence[Walk], columns: Bins, n: int) -> np.ndarray:
-    out, value = np.full(n, base), np.empty(n)
+def margin(base, walks: Sequence[Walk], columns: Bins, n: int) -> np.ndarray:
+    """``base``, a number or one per row, and the trees' values, added in their order."""
+    out, value = np.full(n, base, float), np.empty(n)
     for w in walks:
         out += np.take(w.values, w.at(columns, n), out=value, mode="clip")  # in range; clipping skips a copy
     return out
@@ -396,7 +438,8 @@ def _values(column: pa.Array, kind) -> np.ndarray:
 
 
 def _chunks(batches):
-    """(subset, y, w, code, bytes of the rows) of about ``CHUNK`` rows of one subset."""
+    """(subset, y, w, code, bytes of the rows, carried margins of the rows if there are
+    any) of about ``CHUNK`` rows of one subset."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -408,7 +451,8 @@ def _chunks(batches):
                 c = b.slice(k, min(step, z - k))
                 y, w, code = (_values(c.column(n), kind) for n, kind in (("y", np.float64), ("w", np.float64), ("code", np.int64)))
                 if len(y):
-                    yield int(subset[k]), y, w, code, _values(c.column("bins"), np.uint8).reshape(len(y), -1)
+                    margins = _values(c.column("margins"), np.float64).reshape(len(y), -1) if "margins" in b.schema.names else None
+                    yield int(subset[k]), y, w, code, _values(c.column("bins"), np.uint8).reshape(len(y), -1), margins
 
 
 def _histograms(jobs: list[_Job], layout: Layout):
@@ -420,41 +464,44 @@ def _histograms(jobs: list[_Job], layout: Layout):
     for k, job in enumerate(jobs):
         by_subset.setdefault(job.subset, []).append(k)
 
-    def add(k, columns, y, w, code, sums):
+    def add(k, columns, y, w, code, margins, sums):
         """One job's rows of a chunk; rows that its tree is not fitted on or
         that are in no open node add nothing."""
         job, n = jobs[k], len(y)
         if k not in walks:
-            walks[k] = Walk(job.tree, job.level), [Walk(t, job.how.depth) for t in job.trees]
+            walks[k] = Walk(job.tree, job.level), [Walk(t, job.how.depth) for t in job.walked()]
         current, finished = walks[k]
         at, ends = current.at(columns, n), current.ends
-        p = 1.0 / (1.0 + np.exp(-margin(job.base, finished, columns, n)))
-        g, h = np.rint(w * (p - y) * job.scale), np.rint(w * p * (1 - p) * job.scale)
-        if job.how.row_share < 1:
-            taken = job.take(code)
-            g, h = g * taken, h * taken
-        nodes = len(job.open)
+        nodes = len(job.to_count())
         place = np.full(1 << (job.how.depth + 1), nodes)
-        place[job.open] = np.arange(nodes)
-        node = np.take(place[ends] * 256, at, mode="clip")
+        place[job.to_count()] = np.arange(nodes)
+        node, m = np.take(place[ends] * 256, at, mode="clip"), margin(job.start(margins), finished, columns, n)
+        some = None
+        if job.how.row_share < 1 or (place[ends] == nodes).any():
+            some = np.flatnonzero(node < nodes * 256)
+            if job.how.row_share < 1:
+                some = some[job.take(code[some])]
+            node, m, y, w = node[some], m[some], y[some], w[some]
+        p = 1.0 / (1.0 + np.exp(-m))
+        g, h = np.rint(w * (p - y) * job.scale), np.rint(w * p * (1 - p) * job.scale)
         total = sums.setdefault(k, np.zeros((len(layout.codes), 2, nodes, 256), np.int64))
-        flat = np.empty(n, np.int64)
+        flat = np.empty(len(node), np.int64)
         for byte, codes in enumerate(columns.wide()):
-            np.add(node, codes, out=flat)
+            np.add(node, codes, out=flat) if some is None else np.add(node, np.take(codes, some, out=flat, mode="clip"), out=flat)
             for i, v in enumerate((g, h)):
-                total[byte, i] += np.bincount(flat, v, minlength=(nodes + 1) * 256)[:nodes * 256].astype(np.int64).reshape(nodes, 256)
+                total[byte, i] += np.bincount(flat, v, minlength=nodes * 256).astype(np.int64).reshape(nodes, 256)
 
     def run(batches):
         from pyspark import TaskContext
         sums: dict[int, np.ndarray] = {}
-        for subset, y, w, code, packed in _chunks(batches):
+        for subset, y, w, code, packed, margins in _chunks(batches):
             if subset in by_subset:
                 columns = Columns(packed, layout)
                 for k in by_subset[subset]:
-                    add(k, columns, y, w, code, sums)
+                    add(k, columns, y, w, code, margins, sums)
         rows = []
         for k, total in sums.items():
-            whole = np.zeros((2, len(jobs[k].open), int(first[-1])), np.int64)
+            whole = np.zeros((2, len(jobs[k].to_count()), int(first[-1])), np.int64)
             for byte, codes in enumerate(layout.codes):
                 layout.spread(byte, total[byte, :, :, :codes], whole)
             rows += [(k, block, TaskContext.get().partitionId(), np.ascontiguousarray(whole[:, :, first[f]:first[min(f + BLOCK_FEATURES, len(sizes))]]).tobytes())
@@ -484,47 +531,54 @@ def gains(g: np.ndarray, h: np.ndarray, total_g, total_h, l2: float) -> np.ndarr
     return 0.5 * (score(g, h) + score(total_g - g, total_h - h) - score(total_g, total_h))
 
 
-CANDIDATE = "job int, node int, gain double, feature int, bin int, missing_left boolean, g double, h double, left_g double, left_h double"
+CANDIDATE = ("job int, node int, gain double, feature int, bin int, missing_left boolean, g double, h double, left_g double, left_h double, "
+             "block int, sums binary")
+
+
+def _candidates(mine: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of features with ``mine`` bins, one after another, all cuts in the order in which
+    the first of equal gain is taken: feature, last bin that goes left (never the last
+    one), the place of that bin and of the feature's bin 0, side of missing values."""
+    first = np.concatenate([[0], np.cumsum(mine)])
+    cuts = [(f, b, first[f] + b, first[f], side) for f in np.flatnonzero(allowed & (mine >= 3)).tolist() for side in (0, 1) for b in range(1, int(mine[f]) - 1)]
+    return tuple(np.array(c, np.int64) for c in zip(*cuts)) if cuts else (np.zeros(0, np.int64),) * 5
+
 
+def _cuts_of(jobs: list[_Job], sizes: np.ndarray, parents: Sequence[dict | None] = ()):
+    """Group of one job and block: the best cut of every open node in it, all cuts of
+    all nodes compared at once, and the sums that the children's are taken from."""
+    starts = np.concatenate([[0], np.cumsum(sizes)])
 
-def _cuts_of(jobs: list[_Job], sizes: np.ndarray):
-    """Group of one job and block: the best cut of every open node in it."""
     def run(t: pa.Table) -> pa.Table:
         k, block = t.column("job")[0].as_py(), t.column("block")[0].as_py()
         job, f0 = jobs[k], block * BLOCK_FEATURES
-        mine, allowed = sizes[f0:f0 + BLOCK_FEATURES], jobs[k].features(len(sizes))[f0:f0 + BLOCK_FEATURES]
+        if job.counted is not None:
+            job = replace(job, parents=parents[k])
+        mine, allowed = sizes[f0:f0 + BLOCK_FEATURES], job.features(len(sizes))[f0:f0 + BLOCK_FEATURES]
         n = len(job.open)
-        sums = _total(t).reshape(2, n, -1) / job.scale
-        at = np.concatenate([[0], np.cumsum(mine)])
-        total = sums[:, :, at[0]:at[1]].sum(axis=2)  # every feature holds all rows
-        best = [(-math.inf,)] * n
-        shared = (-math.inf,)
-        for f, (a, z) in enumerate(zip(at, at[1:])):
-            if not allowed[f] or z - a < 3:
-                continue
-            upto = np.cumsum(sums[:, :, a + 1:z - 1], axis=2)  # bins 1..b; the last bin is never cut off
-            for missing_left in (False, True):
-                left = upto + sums[:, :, a:a + 1] if missing_left else upto
-                gain = gains(left[0], left[1], total[0][:, None], total[1][:, None], job.how.l2)
-                if job.how.growth == "symmetric":
-                    b = int(np.argmax(gain.sum(axis=0)))
-                    if gain[:, b].sum() > shared[0]:
-                        shared = (gain[:, b].sum(), f0 + f, b + 1, missing_left, left[0][:, b], left[1][:, b])
-                    continue
-                low = np.minimum(left[1], total[1][:, None] - left[1]) < job.how.least_weight
-                gain = np.where(low, -math.inf, gain)
-                b = np.argmax(gain, axis=1)
-                for i in range(n):
-                    if gain[i, b[i]] > best[i][0]:
-                        best[i] = (gain[i, b[i]], f0 + f, int(b[i]) + 1, missing_left, left[0][i, b[i]], left[1][i, b[i]])
+        sums = job.whole(_total(t).reshape(2, len(job.to_count()), -1), int(starts[f0]))
+        total = sums[:, :, :mine[0]].sum(axis=2) / job.scale  # every feature holds all rows
+        feature, last, at, first, side = _candidates(mine, allowed)
+        upto = np.cumsum(sums, axis=2)
+        left = (upto[:, :, at] - upto[:, :, first] + side * sums[:, :, first]) / job.scale
+        gain = gains(left[0], left[1], total[0][:, None], total[1][:, None], job.how.l2)
+        gain[np.isnan(gain)] = -math.inf  # nothing on one side, and no l2
+        if job.how.growth == "symmetric":
+            whole = gain.sum(axis=0)
+            best = np.full(n, int(np.argmax(whole)) if len(feature) else -1)
+            most = np.full(n, whole[best[0]] if len(feature) and n else -math.inf)
+        else:
+            low = np.minimum(left[1], total[1][:, None] - left[1]) < job.how.least_weight
+            gain = np.where(low, -math.inf, gain)
+            best = np.argmax(gain, axis=1) if len(feature) else np.full(n, -1)
+            most = gain[np.arange(n), best] if len(feature) else np.full(n, -math.inf)
         rows = []
         for i, node in enumerate(job.open):
-            c = best[i]
-            if job.how.growth == "symmetric" and len(shared) > 1:
-                c = (*shared[:4], shared[4][i], shared[5][i])
-            c = c if len(c) > 1 else (-math.inf, -1, 0, False, 0.0, 0.0)
-            rows.append((k, int(node), float(c[0]), c[1], c[2], bool(c[3]), total[0][i], total[1][i], float(c[4]), float(c[5])))
-        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.float64()] * 4)
+            b, found = best[i], most[i] > -math.inf
+            c = (most[i], f0 + feature[b], last[b], side[b], left[0][i, b], left[1][i, b]) if found else (-math.inf, -1, 0, False, 0.0, 0.0)
+            rows.append((k, int(node), float(c[0]), int(c[1]), int(c[2]), bool(c[3]), total[0][i], total[1][i], float(c[4]), float(c[5]),
+                         block, np.ascontiguousarray(sums[:, i]).tobytes() if job.keeps_sums() else None))
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.float64()] * 4, pa.int32(), pa.binary())
         return pa.table([pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)], names=[c.split()[0] for c in CANDIDATE.split(", ")])
 
     return run
@@ -536,7 +590,40 @@ def one_pass(matrix: DataFrame, jobs: list[_Job], layout: Layout, parts: int) ->
     while parts > FAN_IN:  # partial histograms add up in a tree
         parts = -(-parts // FAN_IN)
         d = d.groupBy("job", "block", F.pmod("part", F.lit(parts)).alias("group")).applyInArrow(_added, "job int, block int, part long, sums binary")
-    return d.groupBy("job", "block").applyInArrow(_cuts_of([j.without_trees() for j in jobs], layout.sizes), CANDIDATE).collect()
+    cuts = _cuts_of([j.without_trees() for j in jobs], layout.sizes, [j.parents for j in jobs] if any(j.parents for j in jobs) else ())
+    return d.groupBy("job", "block").applyInArrow(cuts, CANDIDATE).collect()
+
+
+CARRIED = 8
+KEPT_BYTES = 1 << 28  # histograms of all open nodes, above which every node is counted
+
+
+def _carry_pays(jobs: list[_Job]) -> bool:
+    """After ``CARRIED`` trees a model, unless few passes are left.  Writing a row's
+    margin costs about as much as walking 20 trees, reading it as walking two."""
+    walked, left = (np.array([v(j) for j in jobs]) for v in (lambda j: len(j.walked()), _Job.passes_left))
+    return walked.sum() >= CARRIED * len(jobs) and (walked * left).sum() > 2 * (20 + 2 * left).sum()
+
+
+def carried(matrix: DataFrame, jobs: list[_Job], layout: Layout) -> DataFrame:
+    """The blocks of the jobs' subsets with the margins of their finished trees, row by
+    row, one for each of a subset's jobs."""
+    by_subset: dict[int, list[_Job]] = {}
+    for j in jobs:
+        by_subset.setdefault(j.subset, []).append(j.without_open_tree())
+
+    def run(batches):
+        walks = {s: [[Walk(t, j.how.depth) for t in j.walked()] for j in js] for s, js in by_subset.items()}
+        for subset, y, w, code, packed, margins in _chunks(batches):
+            if subset not in by_subset:
+                continue
+            n, columns = len(y), Columns(packed, layout)
+            m = np.column_stack([margin(j.start(margins), ws, columns, n) for j, ws in zip(by_subset[subset], walks[subset])])
+            out = [(subset, *[v[k:k + BLOCK_ROWS].tobytes() for v in (y, w, code, packed, m)]) for k in range(0, n, BLOCK_ROWS)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out), (pa.int32(), *[pa.binary()] * 5))],
+                                             names=["subset", "y", "w", "code", "bins", "margins"])
+
+    return matrix.mapInArrow(run, BLOCK + ", margins binary")
 
 
 def _grow(job: _Job, found: list) -> None:
@@ -545,7 +632,7 @@ def _grow(job: _Job, found: list) -> None:
     by: dict[int, list] = {}
     for r in found:
         by.setdefault(r["node"], []).append(r)
-    ahead = []
+    ahead, counted, parents = [], [], {}
     for node in job.open.tolist():
         best = max(by[node], key=lambda r: (r["gain"], -r["feature"])) if node in by else None
         if best is None:
@@ -553,10 +640,16 @@ def _grow(job: _Job, found: list) -> None:
         t.value[node] = -best["g"] / (best["h"] + how.l2) * how.step
         if best["gain"] > how.least_gain and best["feature"] >= 0:
             t.feature[node], t.bin[node], t.missing_left[node], t.gain[node] = best["feature"], best["bin"], best["missing_left"], best["gain"]
+            lightest = []
             for child, (g, h) in ((2 * node, (best["left_g"], best["left_h"])), (2 * node + 1, (best["g"] - best["left_g"], best["h"] - best["left_h"]))):
                 t.value[child] = -g / (h + how.l2) * how.step
                 if h > 0:  # a symmetric cut may leave one side of a node empty
                     ahead.append(child)
+                    lightest.append((h, child))
+            if job.keeps_sums() and lightest:
+                counted.append(min(lightest)[1])
+                parents[node] = np.concatenate([np.frombuffer(r["sums"], np.int64).reshape(2, -1) for r in sorted(by[node], key=lambda r: r["block"])], axis=1)
+    job.counted, job.parents = (np.array(counted, np.int64), parents) if counted else (None, None)
     job.level += 1
     job.open = np.array(ahead, np.int64)
     if not ahead or job.level == how.depth:
@@ -631,7 +724,9 @@ def _groups(jobs: list[_Job], stats: dict, rows_from: int = GROUP_ROWS) -> list[
 def fit_ready(data: Binned, models: list[tuple[int, Growth]], rows_from: int = GROUP_ROWS) -> list["BoostedModel"]:
     """Fit all ``models`` (subset, growth) in shared passes: a row counts for the
     models of its subset.  From ``rows_from`` rows on, two groups of subsets have
-    passes of their own, beside each other; trees do not depend on it."""
+    passes of their own, beside each other, margins are carried and one child of two
+    is counted; trees do not depend on it."""
+    from .learn import remove_table, write_table
     jobs = [_Job(s, how) for s, how in models]
     for j in jobs:
         if j.subset in data.stats and data.stats[j.subset]["w"]:
@@ -644,16 +739,31 @@ def fit_ready(data: Binned, models: list[tuple[int, Growth]], rows_from: int = G
     groups = _groups([j for j in jobs if j.subset in data.stats], data.stats, rows_from)
 
     def passes(left: list[_Job]) -> None:
-        matrix = data.matrix
+        matrix, parts, large = data.matrix, data.parts, sum(data.stats[s]["n"] for s in {j.subset for j in left}) >= rows_from // GROUPS
         if len(groups) > 1:
             matrix = matrix.filter(F.col("subset").isin(sorted({j.subset for j in left})))
+        spark, old = matrix.sparkSession, None
+        for j in left:
+            j.halves = large and 16 * int(data.layout.first[-1]) * sum(1 << j.how.depth for j in left) <= KEPT_BYTES
         while left:
             found: dict[int, list] = {}
-            for r in one_pass(matrix, left, data.layout, data.parts):
+            for r in one_pass(matrix, left, data.layout, parts):
                 found.setdefault(r["job"], []).append(r)
             for k, j in enumerate(left):
                 _grow(j, found.get(k, []))
             left = [j for j in left if not j.done()]
+            if left and large and _carry_pays(left):
+                path = write_table(carried(matrix, left, data.layout), "boost-margins")
+                if old:
+                    remove_table(spark, old)
+                matrix, old = spark.read.parquet(path), path
+                parts = matrix.rdd.getNumPartitions()
+                places: dict[int, int] = {}
+                for j in left:
+                    j.kept, j.place = len(j.trees), places.setdefault(j.subset, 0)
+                    places[j.subset] += 1
+        if old:
+            remove_table(spark, old)
 
     with ThreadPoolExecutor(max_workers=max(1, len(groups))) as pool:
         list(pool.map(passes, groups))

@@ -327,3 +327,64 @@ def test_subsets_fitted_beside_each_other_and_alone(spark, data):
     for s in (0, 1):
         alone = bo.fit_ready(ready, [j for j in jobs if j[0] == s])
         assert [m.state() for m in alone] == [m.state() for m, j in zip(both, jobs) if j[0] == s]
+
+
+def test_carried_margins_and_counting_one_child_leave_the_trees_as_they_are(spark, data, monkeypatch):
+    """On large tables a pass walks only trees since the margins were last written, and
+    counts the rows of the lighter child; models are equal, and what was written is gone."""
+    import os
+    from stayrisk.operators import learn
+    ready = bo.ready(data[0], written=True, slots=4)
+    models = [(s, replace(how, rounds=7, depth=3, row_share=share)) for how in GROWTHS for s, share in ((0, 1.0), (1, 0.7))]
+    monkeypatch.setattr(bo, "CARRIED", 2)
+    monkeypatch.setattr(bo, "_carry_pays", lambda jobs: sum(len(j.walked()) for j in jobs) >= 2 * len(jobs))
+    walked, counted, written, write, one_pass = [], [], [], learn.write_table, bo.one_pass
+    monkeypatch.setattr(learn, "write_table", lambda df, kind: written.append((kind, write(df, kind))) or written[-1][1])
+
+    def seen(matrix, jobs, *rest):
+        walked.append(max(len(j.walked()) for j in jobs))
+        counted.extend((len(j.to_count()), len(j.open)) for j in jobs if j.level)
+        return one_pass(matrix, jobs, *rest)
+
+    monkeypatch.setattr(bo, "one_pass", seen)
+    plain = [m.state() for m in bo.fit_ready(ready, models)]
+    assert max(walked) == 6 and all(a == b for a, b in counted) and not written
+    walked.clear(), counted.clear()
+    assert [m.state() for m in bo.fit_ready(ready, models, 500)] == plain
+    assert max(walked) <= 4 and all(a <= b for a, b in counted) and any(2 * a == b for a, b in counted)
+    assert len(written) >= 4 and not any(os.path.exists(path) for _, path in written)
+
+
+def test_best_cut_of_all_features_at_once():
+    """Equal to a search of one feature after another, bins 0 on either side."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    sizes, n = np.array([6, 3, 2, 9]), 3
+    whole = rng.integers(-50, 50, (2, n, 400)), rng.integers(1, 60, (n, 400))
+    for growth in ("level", "symmetric"):
+        job = bo._Job(0, bo.Growth(growth, depth=4, least_weight=5.0))
+        job.begin()
+        job.open, job.level = np.array([4, 5, 7]), 2
+        sums = np.zeros((2, n, 20), np.int64)
+        for f, (a, s) in enumerate(zip(np.concatenate([[0], np.cumsum(sizes)]), sizes)):
+            bins = rng.integers(0, s, 400)
+            for i in range(n):
+                sums[0, i, a:a + s] = np.bincount(bins, whole[0][0, i], minlength=s)
+                sums[1, i, a:a + s] = np.bincount(bins, whole[1][i], minlength=s)
+        t = pa.table({"job": pa.array([0], pa.int32()), "block": pa.array([0], pa.int32()), "part": [0], "sums": [sums.tobytes()]})
+        got = bo._cuts_of([job], sizes)(t).to_pylist()
+        best = [(-math.inf,)] * n
+        for f, (a, s) in enumerate(zip(np.concatenate([[0], np.cumsum(sizes)]), sizes)):
+            for side in (False, True):
+                for b in range(1, s - 1):
+                    left = sums[:, :, a + 1:a + b + 1].sum(axis=2) + (sums[:, :, a] if side else 0)
+                    total = sums[:, :, a:a + s].sum(axis=2)
+                    gain = bo.gains(left[0], left[1], total[0], total[1], 1.0)
+                    if growth == "symmetric":
+                        gain = np.full(n, gain.sum())
+                    else:
+                        gain = np.where(np.minimum(left[1], total[1] - left[1]) < 5.0, -math.inf, gain)
+                    best = [(gain[i], f, b, side, left[0][i], left[1][i]) if gain[i] > best[i][0] + 1e-9 else best[i] for i in range(n)]
+        for r, node, want in zip(got, (4, 5, 7), best):
+            assert r["node"] == node and (r["feature"], r["bin"], r["missing_left"], r["left_g"], r["left_h"]) == want[1:]
+            assert abs(r["gain"] - want[0]) < 1e-9
