@@ -135,3 +135,44 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, tmp_path):
     d = ln.spread(spark.read.parquet(str(tmp_path / "t")), rows=1000)
     sizes = [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 10_000 and max(sizes) < 2000
+
+
+def test_ranks_of_arrays_equal_sorted_structs_and_sort_none(spark):
+    """Ranks found batch by batch equal those of sorted structs, with ties, zeros, NaN,
+    nulls, rows of other lengths and equal names; no struct is sorted."""
+    rng = np.random.default_rng(8)
+    names = [f"f{i}" for i in rng.permutation(30)]
+    rows = [(i, [float(v) for v in np.where(rng.random(30) < 0.3, 0.0, rng.integers(-4, 5, 30) / 7)]) for i in range(200)]
+    odd = [(900, [math.nan, None, -1.0, 1.0, None, math.nan, -0.0, 0.0] + [0.5] * 22), (901, [None] * 30)]
+    for some, called in ((rows, names), (rows + odd, names), (rows + [(902, None), (903, []), (904, [1.0, -1.0] + [0.0] * 31)], names),
+                         (rows, ["x", *names[1:29], "x"])):
+        df = spark.createDataFrame(some, "booking_id long, shap array<double>")
+        name = F.array(*[F.lit(n) for n in called])
+        entries = F.transform("shap", lambda v, i: ex._entry(F.get(name, i), v))
+        sort = lambda d: [tuple(map(str, r)) for r in d.orderBy("booking_id", "rank").collect()]
+        got = ex._ranked_from_arrays(df, "booking_id", called, "shap")
+        assert sort(got) == sort(ex._ranked_entries(df, "booking_id", entries))
+        whole = {r["booking_id"]: r["r"] for r in df.select("booking_id", ex.ranking_of_arrays(called, "shap").alias("r")).collect()}
+        flat = [tuple(map(str, (k, e["feature"], e["shap"], e["rank"]))) for k in sorted(whole) for e in whole[k] or []]
+        assert flat == [(r[0], r[1], r[2], r[4]) for r in sort(got)]
+        assert got.schema["rank"].dataType.simpleString() == "bigint"
+        assert "sort_array" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbouring_leaves_share_a_table():
+    """A node's two leaves, and small trees whole, are one table a feature; groups of
+    any size give the same attributions."""
+    t = _toy_tree()
+    tests, tables = ts.leaf_tables([t])[0]
+    assert len(ts.leaf_tables([t])) == 1 and len(tests) == 3 and all(len(v) == 8 for v in tables.values())
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.random(64), rng.random(64) * 3, rng.integers(0, 2, 64)])
+    want = ts.batch_shap(x, [t], 3)
+    assert [len(ts.leaf_tables([t], bits)) for bits in (1, 2, 3)] == [2, 2, 1]
+    for bits in (1, 2, 3):
+        got = np.zeros((64, 3))
+        for tests, tables in ts.leaf_tables([t], bits):
+            code = sum((np.isin(x[:, 2], [1.0]) if "IN" in c else x[:, int(c[2])] <= float(c.split("<= ")[1][:-1])).astype(int) << i for i, c in enumerate(tests))
+            for f, table in tables.items():
+                got[:, f] += table[code]
+        assert np.abs(got - want).max() < 1e-12
