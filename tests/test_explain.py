@@ -176,3 +176,14 @@ def test_neighbouring_leaves_share_a_table():
             for f, table in tables.items():
                 got[:, f] += table[code]
         assert np.abs(got - want).max() < 1e-12
+
+
+def test_model_artifact_compares_a_booking_in_its_own_row(spark, sf):
+    """The model before and after save and load score one row; nothing is shuffled or
+    joined by booking."""
+    from stayrisk.plans import QUERIES
+    d = QUERIES["model_artifact"](spark, sf)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan and "booking_id#" in plan
+    rows = d.collect()
+    assert len(rows) == 1500 == len({r["booking_id"] for r in rows}) and all(r["same"] for r in rows)
